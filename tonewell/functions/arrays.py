@@ -75,10 +75,10 @@ def double_guided_scores(
 
 def weighted_scores(terms: list[tuple[float, Column]]) -> Column:
     """Weighted sum of several score arrays."""
-    (weight, first), *rest = terms
-    acc = F.transform(first, lambda x: x * F.lit(weight))
-    for weight, column in rest:
-        acc = F.zip_with(acc, column, lambda a, x, w=weight: a + F.lit(w) * x)
+    scaled = [scale(column, F.lit(weight)) for weight, column in terms]
+    acc = scaled[0]
+    for term in scaled[1:]:
+        acc = add(acc, term)
     return acc
 
 

@@ -214,7 +214,7 @@ def sample_id(index: Column, prompt: Column, conditions: Column, reuse_uuid: Col
         )
     )
     pairs = F.transform(
-        F.array_sort(F.map_entries(conditions)),
+        F.array_sort(F.map_entries(slug_values(conditions))),
         lambda e: F.concat(e["key"], F.lit("="), e["value"]),
     )
     label = F.substring(F.array_join(pairs, "-"), 1, 100)

@@ -47,21 +47,23 @@ def to_conditions(
 
 def flatten_conditions(df: DataFrame, kinds: Sequence[str]) -> DataFrame:
     """One map ``flat`` with ``kind.attribute`` keys."""
-    parts = [F.transform_keys(F.col(k), lambda n, v, k=k: F.concat(F.lit(f"{k}."), n)) for k in kinds]
+
+    def dotted(kind: str) -> Column:
+        return F.transform_keys(F.col(kind), lambda n, v: F.concat(F.lit(f"{kind}."), n))
+
+    parts = [dotted(k) for k in kinds]
     return df.withColumn("flat", F.map_concat(*parts)).drop(*kinds)
 
 
 def unflatten_conditions(df: DataFrame, flat: str, kinds: Sequence[str]) -> DataFrame:
     """The maps per kind back from the dotted keys."""
-    return df.withColumns(
-        {
-            k: F.transform_keys(
-                F.map_filter(F.col(flat), lambda n, v, k=k: n.startswith(f"{k}.")),
-                lambda n, v, k=k: F.substr(n, F.lit(len(k) + 2)),
-            )
-            for k in kinds
-        }
-    ).drop(flat)
+
+
+    def of_kind(kind: str) -> Column:
+        own = F.map_filter(F.col(flat), lambda n, v: n.startswith(f"{kind}."))
+        return F.transform_keys(own, lambda n, v: F.substr(n, F.lit(len(kind) + 2)))
+
+    return df.withColumns({k: of_kind(k) for k in kinds}).drop(flat)
 
 
 def hydrate_conditions(df: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -77,14 +79,12 @@ def hydrate_conditions(df: DataFrame, names: Sequence[str]) -> DataFrame:
         "joint_embed": lambda v: v["text"],
         "symbolic": lambda v: F.lit("symbolic"),
     }
-    parts = [
-        F.transform_values(
-            F.map_filter(F.col(kind), lambda n, v: F.array_contains(wanted, n)),
-            lambda n, v, kind=kind: shown[kind](v).cast("string"),
-        )
-        for kind in KINDS
-        if kind in df.columns
-    ]
+
+    def logged(kind: str) -> Column:
+        kept = F.map_filter(F.col(kind), lambda n, v: F.array_contains(wanted, n))
+        return F.transform_values(kept, lambda n, v: shown[kind](v).cast("string"))
+
+    parts = [logged(kind) for kind in KINDS if kind in df.columns]
     return df.withColumn("conditions", F.map_concat(*parts))
 
 
@@ -151,16 +151,18 @@ def attribute_dropout(
     """
     if not training and not active_on_eval:
         return df
+
+    def dropped(column: Column, kind: str, name: str, probability: float) -> Column:
+        hit = uniform(f"attr:{seed}", F.lit(kind), F.lit(name), batch) < F.lit(probability)
+        return F.transform_values(
+            column,
+            lambda n, v: F.when((n == name) & hit, _nullify(kind, name, v, null_index)).otherwise(v),
+        )
+
     for kind, probabilities in p.items():
         column = F.col(_checked(kind))
         for name, probability in probabilities.items():
-            hit = uniform(f"attr:{seed}", F.lit(kind), F.lit(name), batch) < F.lit(probability)
-            column = F.transform_values(
-                column,
-                lambda n, v, hit=hit, kind=kind, name=name: F.when(
-                    (n == name) & hit, _nullify(kind, name, v, null_index)
-                ).otherwise(v),
-            )
+            column = dropped(column, kind, name, probability)
         df = df.withColumn(kind, column)
     return df
 
@@ -178,19 +180,19 @@ def guidance_dropout(
     if not training:
         return df
     drop = uniform(f"guide:{seed}", batch) < F.lit(p)
+
+    def emptied(kind: str) -> Column:
+        return F.transform_values(
+            F.col(kind), lambda n, v: F.when(drop, _nullify(kind, "", v, null_index)).otherwise(v)
+        )
+
     for kind in kinds:
         if _checked(kind) not in df.columns:
             continue
         if kind == "symbolic":
             # The two symbolic conditions have different value types.
             raise ValueError("drop symbolic columns with nullify_chords and nullify_melody")
-        df = df.withColumn(
-            kind,
-            F.transform_values(
-                F.col(kind),
-                lambda n, v, kind=kind: F.when(drop, _nullify(kind, "", v, null_index)).otherwise(v),
-            ),
-        )
+        df = df.withColumn(kind, emptied(kind))
     return df
 
 

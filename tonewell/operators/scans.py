@@ -134,22 +134,30 @@ def span_bucket(position: Column, width) -> Column:
     return F.floor(position / F.lit(width)).cast("bigint")
 
 
-def text_bucket(df: DataFrame, column: str, buckets: int = 64) -> Column:
-    """Ordered bucket of a string column from a bounded sample of its values.
+def range_bucket(df: DataFrame, columns: Sequence[str], buckets: int | None = None) -> Column:
+    """Ordered bucket of one or more columns, from a bounded sample of their values.
 
-    At most ``buckets * 32`` values (those with the smallest hashes) reach the
-    driver; they only choose the cut points, every row stays in the result.
+    At most 32 tuples per bucket (those with the smallest hashes) reach the
+    driver; they only choose the cut points, every row stays in the result. With
+    a unique last column no bucket can get hot, whatever the first ones repeat.
     """
-    sample = (
-        df.select(column)
-        .where(F.col(column).isNotNull())
-        .orderBy(F.xxhash64(column))
-        .limit(buckets * 32)
+    if buckets is None:
+        partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        buckets = min(max(partitions, 32), 1024)
+    picked = df.select(*columns).dropna().orderBy(F.xxhash64(*columns)).limit(buckets * 32)
+    values = sorted(
+        {tuple(row) for row in picked.collect()},
+        key=lambda t: tuple(v.encode("utf-8") if isinstance(v, str) else v for v in t),
     )
-    values = sorted({row[0] for row in sample.collect()}, key=lambda v: v.encode("utf-8"))
-    step = max(1, len(values) // buckets)
+    step = max(1, -(-len(values) // buckets))
     cuts = values[step::step]
     if not cuts:
         return F.lit(0)
-    array = F.array(*[F.lit(c) for c in cuts])
-    return F.size(F.filter(array, lambda c: c <= F.col(column)))
+
+    def as_struct(parts) -> Column:
+        return F.struct(*[p.alias(c) for p, c in zip(parts, columns)])
+
+    types = [df.schema[c].dataType for c in columns]
+    literals = [as_struct([F.lit(v).cast(t) for v, t in zip(cut, types)]) for cut in cuts]
+    here = as_struct([F.col(c) for c in columns])
+    return F.size(F.filter(F.array(*literals), lambda c: c <= here))

@@ -1,6 +1,6 @@
 """All registered queries; importing this module fills the registry."""
 
-from tonewell.plans import catalog_corpus, catalog_text  # noqa: F401
+from tonewell.plans import catalog_corpus, catalog_joins, catalog_text  # noqa: F401
 from tonewell.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

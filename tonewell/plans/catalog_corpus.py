@@ -70,10 +70,10 @@ def split_sampling_summary(spark, sf):
     "row_number() OVER (ORDER BY path) - 1 AS pos FROM manifest",
 )
 def manifest_order(spark, sf):
-    from tonewell.operators.scans import row_positions, text_bucket
+    from tonewell.operators.scans import range_bucket, row_positions
 
     rows = manifest(spark, sf).select("path", "duration", "sample_rate", "weight")
-    return row_positions(rows, [], text_bucket(rows, "path"), [F.col("path")])
+    return row_positions(rows, [], range_bucket(rows, ["path"]), [F.col("path")])
 
 
 @query(

@@ -443,11 +443,11 @@ def null_symbols(spark, sf):
 GROUP BY batch, attribute""",
 )
 def collated_conditions(spark, sf):
-    from tonewell.operators.scans import row_positions, span_bucket
+    from tonewell.operators.scans import range_bucket, row_positions
 
-    rows = row_positions(
-        table(spark, sf, "conversations"), [], span_bucket(F.col("conv_id"), 16), [F.col("conv_id"), F.col("turn")]
-    )
+    turns = table(spark, sf, "conversations")
+    order = ["conv_id", "turn"]
+    rows = row_positions(turns, [], range_bucket(turns, order), [F.col(c) for c in order])
     made = rows.select(
         F.expr("pos div 16").alias("batch"),
         "pos",

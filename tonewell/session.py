@@ -32,6 +32,7 @@ def local_session(app: str = "tonewell", cpus: str = "*", memory: str = "8g") ->
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )
