@@ -177,7 +177,8 @@ def chunk_embeddings(
     last = F.floor((seek + F.lit(window_seconds)) / F.lit(stride_seconds))
     wanted = segment_frames(segments, first, last - first)
     hit = wanted.join(full.select(track, "frame", vector), [track, "frame"])
-    return mean_vectors(hit, [segment], vector)
+    # A window past the end of its track keeps its row, with a null vector.
+    return segments.select(segment).join(mean_vectors(hit, [segment], vector), segment, "left")
 
 
 def mean_vectors(df: DataFrame, by: Sequence[str], vector: str) -> DataFrame:
