@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row.
+
+    An expression used inside a lambda would be computed again for each element;
+    as the only element of an array it becomes a variable.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def doubles(c: Column) -> Column:
     return c.cast("array<double>")
 
@@ -27,8 +38,7 @@ def norm(c: Column) -> Column:
 
 
 def l2_normalise(c: Column, eps: float = 1e-12) -> Column:
-    length = F.greatest(norm(c), F.lit(eps))
-    return F.transform(c, lambda x: x / length)
+    return let(F.greatest(norm(c), F.lit(eps)), lambda length: F.transform(c, lambda x: x / length))
 
 
 def cosine(a: Column, b: Column, eps: float = 1e-8) -> Column:
@@ -37,15 +47,16 @@ def cosine(a: Column, b: Column, eps: float = 1e-8) -> Column:
 
 
 def softmax(c: Column, temperature: float = 1.0) -> Column:
-    top = F.array_max(c)
-    weights = F.transform(c, lambda x: F.exp((x - top) / F.lit(temperature)))
-    mass = total(weights)
-    return F.transform(weights, lambda w: w / mass)
+    weights = let(
+        F.array_max(c), lambda top: F.transform(c, lambda x: F.exp((x - top) / F.lit(temperature)))
+    )
+    return let(weights, lambda ws: let(total(ws), lambda mass: F.transform(ws, lambda w: w / mass)))
 
 
 def log_sum_exp(c: Column) -> Column:
-    top = F.array_max(c)
-    return top + F.log(total(F.transform(c, lambda x: F.exp(x - top))))
+    return let(
+        F.array_max(c), lambda top: top + F.log(total(F.transform(c, lambda x: F.exp(x - top))))
+    )
 
 
 def add(a: Column, b: Column) -> Column:
@@ -95,13 +106,13 @@ def argmax(c: Column) -> Column:
 
 def argmax_one_hot(c: Column) -> Column:
     """One-hot of the first maximum, all zero where that maximum is 0."""
-    top, at = F.array_max(c), argmax(c)
-    return F.transform(c, lambda x, i: F.when((i == at) & (top != 0), 1.0).otherwise(0.0))
+    hot = F.when(F.array_max(c) != 0, argmax(c)).otherwise(-1)
+    return let(hot, lambda at: F.transform(c, lambda x, i: F.when(i == at, 1.0).otherwise(0.0)))
 
 
 def inf_normalise(c: Column, eps: float = 1e-6) -> Column:
     peak = F.greatest(F.array_max(F.transform(c, F.abs)), F.lit(eps))
-    return F.transform(c, lambda x: x / peak)
+    return let(peak, lambda p: F.transform(c, lambda x: x / p))
 
 
 def fit_length(c: Column, size: int) -> Column:
@@ -122,29 +133,37 @@ def resample_linear(c: Column, rate_in: float, rate_out: float, size: int) -> Co
     The result has ``size`` entries: cut, or padded by zeros. Inputs no longer
     than one output step give zeros only.
     """
-    n = F.size(c)
     ratio = rate_out / rate_in
-    made = F.floor(n * F.lit(ratio)).cast("int")
-
-    def at(i):
-        # The source position follows the given scale, as resizing by a factor does.
-        pos = F.greatest((i + F.lit(0.5)) / F.lit(ratio) - F.lit(0.5), F.lit(0.0))
-        low = F.least(F.floor(pos).cast("int"), n - 1)
-        high = F.least(low + 1, n - 1)
-        frac = pos - low
-        return F.get(c, low) * (1.0 - frac) + F.get(c, high) * frac
-
-    values = F.transform(
-        F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.when(i < made, at(i)).otherwise(0.0)
-    )
-    return F.when(n <= F.lit(rate_in / rate_out), F.array_repeat(F.lit(0.0), size)).otherwise(values)
+
+    def resized(values):
+        n = F.size(values)
+
+        def at(i):
+            # The source position follows the given scale, as resizing by a factor does.
+            pos = F.greatest((i + F.lit(0.5)) / F.lit(ratio) - F.lit(0.5), F.lit(0.0))
+            low = F.least(F.floor(pos).cast("int"), n - 1)
+            high = F.least(low + 1, n - 1)
+            frac = pos - low
+            return F.get(values, low) * (1.0 - frac) + F.get(values, high) * frac
+
+        made = F.floor(n * F.lit(ratio)).cast("int")
+        filled = F.transform(
+            F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.when(i < made, at(i)).otherwise(0.0)
+        )
+        too_short = n <= F.lit(rate_in / rate_out)
+        return F.when(too_short, F.array_repeat(F.lit(0.0), size)).otherwise(filled)
+
+    return let(c, resized)
 
 
 def excerpt_mask(size: int, start: Column, width: int) -> Column:
     """0 inside [start, start + width), 1 elsewhere."""
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(size - 1)),
-        lambda i: (~((i >= start) & (i < start + F.lit(width)))).cast("int"),
+    return let(
+        start,
+        lambda s: F.transform(
+            F.sequence(F.lit(0), F.lit(size - 1)),
+            lambda i: (~((i >= s) & (i < s + F.lit(width)))).cast("int"),
+        ),
     )
 
 
@@ -163,8 +182,12 @@ def blur_blocks(c: Column, width: int) -> Column:
     missing = F.pmod(F.lit(width) - n % F.lit(width), F.lit(width))
     mirrored = F.reverse(F.slice(c, F.greatest(n - missing, F.lit(1)), missing))
     full = F.when(missing > 0, F.concat(c, mirrored)).otherwise(c)
-    return F.transform(
-        F.sequence(F.lit(0), n - 1),
-        lambda t: total(F.slice(full, (F.floor(t / width) * width + 1).cast("int"), F.lit(width)))
-        / F.lit(float(width)),
-    )
+    blocks = F.sequence(F.lit(0), F.floor((n - 1) / width).cast("int"))
+
+    def means(values):
+        return F.transform(
+            blocks, lambda b: total(F.slice(values, b * width + 1, F.lit(width))) / F.lit(float(width))
+        )
+
+    spread = let(full, lambda values: F.flatten(F.transform(means(values), lambda m: F.array_repeat(m, width))))
+    return F.slice(spread, F.lit(1), n)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tonewell.functions import text as X
+from tonewell.functions.arrays import let
 
 REQUIRED = X.PROMPT_FIELDS
 
@@ -26,13 +27,17 @@ def normalise_payload(df: DataFrame, payload: str) -> DataFrame:
     )
     raw_tags = F.from_json(field["genre_tags"], "array<string>")
     tags = F.filter(F.transform(raw_tags, lambda t: X.strip(t)), lambda t: F.length(t) > 0)
-    rows = rows.withColumn("__tags", tags)
-    lowered = F.transform("__tags", F.lower)
-    first_seen = F.filter(
-        F.transform("__tags", lambda t, i: F.struct(t.alias("t"), i.alias("i"))),
-        lambda x: F.array_position(lowered, F.lower(x["t"])) == x["i"] + 1,
-    )
-    distinct = F.slice(F.transform(first_seen, lambda x: x["t"]), 1, 5)
+
+    def first_seen(values):
+        """Tags whose lower-case form has not come before, in order."""
+        numbered = F.transform(values, lambda t, i: F.struct(t.alias("t"), F.lower(t).alias("k"), i.alias("i")))
+        kept = let(
+            F.transform(values, F.lower),
+            lambda keys: F.filter(numbered, lambda x: F.array_position(keys, x["k"]) == x["i"] + 1),
+        )
+        return F.slice(F.transform(kept, lambda x: x["t"]), 1, 5)
+
+    distinct = let(tags, first_seen)
     description = X.normalise_text(field["description"])
     rows = rows.withColumn("__text", description)
     words = F.split("__text", f"{X.PY_SPACE}+")
@@ -58,7 +63,7 @@ def normalise_payload(df: DataFrame, payload: str) -> DataFrame:
     columns["genre_tags"] = F.when(
         good, F.when(F.size(distinct) > 0, distinct).otherwise(F.array(F.lit("Unknown")))
     )
-    return rows.withColumns(columns).drop("__m", "__tags", "__text")
+    return rows.withColumns(columns).drop("__m", "__text")
 
 
 def split_errors(df: DataFrame) -> tuple[DataFrame, DataFrame]:

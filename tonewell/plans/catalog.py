@@ -1,6 +1,12 @@
 """All registered queries; importing this module fills the registry."""
 
-from tonewell.plans import catalog_corpus, catalog_joins, catalog_metrics, catalog_text  # noqa: F401
+from tonewell.plans import (  # noqa: F401
+    catalog_corpus,
+    catalog_joins,
+    catalog_metrics,
+    catalog_text,
+    catalog_tokens,
+)
 from tonewell.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
