@@ -6,6 +6,7 @@ from tonewell.plans import (  # noqa: F401
     catalog_metrics,
     catalog_text,
     catalog_tokens,
+    catalog_vectors,
 )
 from tonewell.plans.registry import ORACLES, QUERIES
 

@@ -410,8 +410,9 @@ def window_plan(spark, sf):
 
 @query(
     "stitched_windows",
-    """SELECT doc_id, CAST(t AS INTEGER) AS t, substr(text, CAST(t + 1 AS BIGINT), 1) AS code FROM (
-  SELECT doc_id, text, unnest(range(length(text))) AS t FROM documents WHERE length(text) > 25)""",
+    """SELECT doc_id, length(text) AS tokens, CAST(length(text) AS BIGINT) * (length(text) - 1) // 2 AS place_sum,
+  CAST(list_sum(list_transform(string_split(text, ''), lambda c: ascii(c))) AS BIGINT) AS code_sum
+FROM documents WHERE length(text) > 25""",
 )
 def stitched_windows(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
@@ -421,4 +422,9 @@ def stitched_windows(spark, sf):
         "window",
         F.posexplode(F.split(F.substr("text", F.col("offset") + 1, F.col("gen_len")), "")).alias("pos", "code"),
     )
-    return batches.stitch_windows(generated, plan, "doc_id")
+    stitched = batches.stitch_windows(generated, plan.drop("text"), "doc_id")
+    return stitched.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("tokens"),
+        F.sum("t").cast("bigint").alias("place_sum"),
+        F.sum(F.ascii("code")).cast("bigint").alias("code_sum"),
+    )
