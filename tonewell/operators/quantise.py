@@ -7,6 +7,7 @@ product. The vectors themselves are never shuffled to be encoded.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -110,8 +111,8 @@ def init_centroids(df: DataFrame, vector: str, key: str, k: int, seed) -> np.nda
     picked.sort(key=lambda r: (r["__u"], r[key]))
     values = np.array([r[vector] for r in picked], dtype=np.float64)
     if len(values) < k:
-        draws = np.random.default_rng(abs(hash(str(seed))) % 2**32).integers(0, len(values), k)
-        values = values[draws]
+        digests = [hashlib.md5(f"{seed}|repeat|{i}".encode()).hexdigest() for i in range(k)]
+        values = values[[int(d, 16) % len(values) for d in digests]]
     return values
 
 

@@ -4,6 +4,7 @@ from tonewell.plans import (  # noqa: F401
     catalog_corpus,
     catalog_joins,
     catalog_metrics,
+    catalog_signal,
     catalog_text,
     catalog_tokens,
     catalog_vectors,
