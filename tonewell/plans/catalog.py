@@ -2,6 +2,7 @@
 
 from tonewell.plans import (  # noqa: F401
     catalog_corpus,
+    catalog_jobs,
     catalog_joins,
     catalog_metrics,
     catalog_signal,
