@@ -138,6 +138,7 @@ def merge_description(
             if name in fields
         ]
     )
+    pairs = pairs.cast("array<struct<u: double, name: string, pair: string>>")
     kept = F.array_sort(F.filter(pairs, lambda p: p["pair"].isNotNull()))
     merging = uniform(f"{seed}:merge", row_key) < F.lit(merge_p)
     metadata = F.when(merging, F.array_join(F.transform(kept, lambda p: p["pair"]), ". ")).otherwise("")

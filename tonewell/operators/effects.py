@@ -63,6 +63,8 @@ def select_effects(
             for name in names
         ]
     )
+    # The cast gives an empty list its type.
+    entries = entries.cast("array<struct<u: double, name: string, keep: boolean>>")
     kept = F.filter(entries, lambda e: e["keep"])
     if max_length is not None:
         kept = F.slice(F.array_sort(kept), 1, max_length)
