@@ -32,16 +32,22 @@ def uniform_int(low: int, high: int, seed, *keys) -> Column:
     return (F.floor(uniform(seed, *keys) * F.lit(high - low + 1)) + F.lit(low)).cast("int")
 
 
-def _fold(hex_digits: Column, digits: int, modulus: int) -> Column:
-    """Big-integer value of a hex string modulo ``modulus``, eight digits at a time."""
-    step = 2**32 % modulus
-    chunks = F.transform(
-        F.sequence(F.lit(0), F.lit(digits // 8 - 1)),
-        lambda i: F.conv(F.substr(hex_digits, i * 8 + 1, F.lit(8)), 16, 10).cast("bigint"),
-    )
-    return F.aggregate(
-        chunks, F.lit(0).cast("bigint"), lambda acc, c: (acc * F.lit(step) + c) % F.lit(modulus)
-    )
+def _fold(digest: Column, digits: int, modulus: int) -> Column:
+    """Big-integer value of a hex digest modulo ``modulus`` (below 2^31), fifteen digits at a time."""
+    width = 15
+    first = digits % width or width
+
+    def folded(text_: Column) -> Column:
+        def chunk(start: int, length: int) -> Column:
+            return F.conv(F.substring(text_, start + 1, length), 16, 10).cast("bigint")
+
+        value = chunk(0, first) % F.lit(modulus)
+        for start in range(first, digits, width):
+            value = (value * F.lit(16**width % modulus) + chunk(start, width)) % F.lit(modulus)
+        return value
+
+    # Bound once, so that the digest is not made again for every chunk.
+    return F.get(F.transform(F.array(digest), folded), F.lit(0))
 
 
 def md5_mod(value: Column, modulus: int) -> Column:

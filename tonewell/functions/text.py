@@ -13,10 +13,14 @@ from pyspark.sql import types as T
 
 from tonewell.functions.hashing import sha256_mod, uniform
 
-# Fixed value: the characters Python counts as white space, as a regex class.
-PY_SPACE = (
-    "[\t\n\x0b\x0c\r\x1c-\x1f \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+# Fixed value: the characters Python counts as white space.
+PY_SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
 )
+# The same characters as a regex class.
+PY_SPACE = f"[{PY_SPACES}]"
 # Fixed value: punctuation tokens left out of the hashed vocabulary.
 PUNCTUATION = ("?", ":", "!", ".", ",", ";")
 # Fixed value: order of the structured prompt fields.
@@ -50,7 +54,7 @@ MERGED_FIELDS = (
 
 def strip(c: Column) -> Column:
     """Trim every character Python's ``str.strip`` trims."""
-    return F.regexp_replace(c, f"^{PY_SPACE}+|{PY_SPACE}+$", "")
+    return F.btrim(c, F.lit(PY_SPACES))
 
 
 def _is_null_text(c: Column) -> Column:
@@ -78,7 +82,9 @@ def get_keyword_list(c: Column, kind: str = "string") -> Column:
         # A missing number reads as the word "none"; NaN is an empty list.
         word = F.when(c.isNull(), F.lit("none")).otherwise(c.cast("string"))
         return F.when(~F.isnan(F.coalesce(c.cast("double"), F.lit(0.0))), F.array(word))
-    return _keywords(F.split(c, f"[,{PY_SPACE[1:]}"))
+    # The split leaves no white space to strip in a word.
+    words = F.filter(F.split(c, f"[,{PY_SPACE[1:]}"), lambda w: (w != "") & (w != "None"))
+    return F.when(F.size(words) > 0, F.transform(words, F.lower))
 
 
 def get_musical_key(c: Column) -> Column:
@@ -146,7 +152,7 @@ def merge_description(
     base = F.when(~dropped, description)
     merged = F.when(
         base.isNull(), F.when(F.length(metadata) > 1, metadata)
-    ).otherwise(F.concat(F.regexp_replace(base, "\\.+$", ""), F.lit(". "), metadata))
+    ).otherwise(F.concat(F.rtrim(base, F.lit(".")), F.lit(". "), metadata))
     return F.when(F.length(merged) > 0, strip(merged))
 
 

@@ -29,13 +29,13 @@ def normalise_payload(df: DataFrame, payload: str) -> DataFrame:
     tags = F.filter(F.transform(raw_tags, lambda t: X.strip(t)), lambda t: F.length(t) > 0)
 
     def first_seen(values):
-        """Tags whose lower-case form has not come before, in order."""
-        numbered = F.transform(values, lambda t, i: F.struct(t.alias("t"), F.lower(t).alias("k"), i.alias("i")))
-        kept = let(
+        """The first five tags whose lower-case form has not come before, in order."""
+        return let(
             F.transform(values, F.lower),
-            lambda keys: F.filter(numbered, lambda x: F.array_position(keys, x["k"]) == x["i"] + 1),
+            lambda keys: F.transform(
+                F.slice(F.array_distinct(keys), 1, 5), lambda k: F.element_at(values, F.array_position(keys, k).cast("int"))
+            ),
         )
-        return F.slice(F.transform(kept, lambda x: x["t"]), 1, 5)
 
     distinct = let(tags, first_seen)
     description = X.normalise_text(field["description"])

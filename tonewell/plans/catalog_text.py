@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tonewell.functions import text as X
 from tonewell.functions.hashing import uniform
 from tonewell.operators import captions, conditions
-from tonewell.plans.registry import PY_SPACE_SQL, query, sql_fold, sql_trim, sql_u, table
+from tonewell.plans.registry import PY_SPACE_SQL, heavy_table, query, sql_fold, sql_trim, sql_u, table
 
 SPACE = PY_SPACE_SQL
 
@@ -28,7 +28,7 @@ def sql_keyword(value: str) -> str:
 FROM documents""",
 )
 def keyword_normalise(spark, sf):
-    docs = table(spark, sf, "documents").select(
+    docs = heavy_table(spark, sf, "documents").select(
         "doc_id",
         F.col("lang").alias("genre"),
         F.col("source").alias("artist"),
@@ -75,7 +75,7 @@ SELECT doc_id,
 FROM uniq""",
 )
 def caption_normalise(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = heavy_table(spark, sf, "documents")
     payload = F.to_json(
         F.struct(
             F.col("text").alias("description"),
@@ -119,7 +119,7 @@ SELECT doc_id, CASE WHEN length(v) > 0 THEN {sql_trim("v")} END AS description F
 
 @query("description_merge", _merge_sql())
 def description_merge(spark, sf):
-    rows = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
+    rows = heavy_table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
     fields = {
         "key": F.col("lang"),
         "bpm": F.when(F.col("quality") == 1, F.col("n_chars").cast("string")),
@@ -156,7 +156,7 @@ def prompt_text(spark, sf):
     "SELECT conv_id, turn, CASE WHEN role = 'user' THEN text ELSE text || ' ' || role END AS mixed FROM conversations",
 )
 def mixed_text(spark, sf):
-    turns = table(spark, sf, "conversations")
+    turns = heavy_table(spark, sf, "conversations")
     other = F.when(F.col("role") == "user", F.col("text")).otherwise(F.col("role"))
     return turns.select("conv_id", "turn", X.mix_text(F.col("text"), other).alias("mixed"))
 
@@ -170,7 +170,7 @@ SELECT d.doc_id, coalesce(k.kept, '') AS kept FROM documents d LEFT JOIN (
   WHERE {sql_u(5, 'doc_id', 'i')} >= 0.3 GROUP BY doc_id) k ON d.doc_id = k.doc_id""",
 )
 def word_dropout(spark, sf):
-    return table(spark, sf, "documents").select(
+    return heavy_table(spark, sf, "documents").select(
         "doc_id", X.word_dropout(F.col("text"), 0.3, 5, F.col("doc_id")).alias("kept")
     )
 
@@ -183,7 +183,7 @@ SELECT conv_id, turn, list_transform(ws, lambda w: {sql_fold("sha256(w)", 64, 40
   CAST(len(ws) AS INTEGER) AS length FROM t""",
 )
 def hashed_tokens(spark, sf):
-    turns = table(spark, sf, "conversations")
+    turns = heavy_table(spark, sf, "conversations")
     return turns.select("conv_id", "turn", X.hash_tokens(F.col("text"), 4096).alias("h")).select(
         "conv_id", "turn", "h.tokens", "h.length"
     )
@@ -218,7 +218,7 @@ def slugs(spark, sf):
 
 @query("text_slugs", f"SELECT doc_id, {sql_slug('text')} AS slug FROM documents")
 def text_slugs(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", X.slugify(F.col("text")).alias("slug"))
+    return heavy_table(spark, sf, "documents").select("doc_id", X.slugify(F.col("text")).alias("slug"))
 
 
 @query(
@@ -263,7 +263,7 @@ def path_mappers(spark, sf):
 def zip_paths(spark, sf):
     raw = F.concat(F.col("source"), F.lit(".zip:"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".json"))
     parsed = X.parse_zip_path(raw)
-    return table(spark, sf, "documents").select(
+    return heavy_table(spark, sf, "documents").select(
         "doc_id", parsed.alias("p"), X.absolute_path(raw, "/base").alias("full_path")
     ).select("doc_id", "p.zip_path", "p.file_path", "full_path")
 
@@ -292,7 +292,7 @@ def flat_config(spark, sf):
   AS signature FROM conversations GROUP BY conv_id""",
 )
 def run_signature(spark, sf):
-    turns = table(spark, sf, "conversations")
+    turns = heavy_table(spark, sf, "conversations")
     runs = turns.groupBy("conv_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("turn", F.md5("text").alias("m")))), lambda x: x["m"]).alias("names")
     )
@@ -306,7 +306,7 @@ FROM (SELECT doc_id, string_split(text, '.') AS s FROM documents)""",
 )
 def picked_descriptions(spark, sf):
     sentences = F.split("text", "\\.", -1)
-    return table(spark, sf, "documents").select(
+    return heavy_table(spark, sf, "documents").select(
         "doc_id", X.pick_element(sentences, "pick", F.col("doc_id")).alias("description")
     )
 
@@ -316,7 +316,7 @@ def picked_descriptions(spark, sf):
 
 def condition_rows(spark, sf):
     """Conversation turns as conditioned items; a conversation is a batch."""
-    turns = table(spark, sf, "conversations")
+    turns = heavy_table(spark, sf, "conversations")
     return turns.select(
         "conv_id",
         "turn",
@@ -346,7 +346,7 @@ UNION ALL SELECT conv_id, turn, 'text.keywords', array_to_string(string_split(te
 UNION ALL SELECT conv_id, turn, 'wav.self_wav', CAST(conv_id AS VARCHAR) || '/' || CAST(turn AS VARCHAR) FROM conversations""",
 )
 def condition_attributes(spark, sf):
-    rows = table(spark, sf, "conversations").select(
+    rows = heavy_table(spark, sf, "conversations").select(
         "conv_id",
         "turn",
         F.col("text").alias("description"),
@@ -445,7 +445,7 @@ GROUP BY batch, attribute""",
 def collated_conditions(spark, sf):
     from tonewell.operators.scans import range_bucket, row_positions
 
-    turns = table(spark, sf, "conversations")
+    turns = heavy_table(spark, sf, "conversations")
     order = ["conv_id", "turn"]
     rows = row_positions(turns, [], range_bucket(turns, order), [F.col(c) for c in order])
     made = rows.select(

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tonewell.functions.text import PY_SPACE
-from tonewell.session import configure
+from tonewell.session import configure, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,6 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def heavy_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows cost much CPU: spread over the cores where the files do not do it."""
+    return spread(table(spark, sf_dir, name))
+
+
 # SQL text of the shared expressions -------------------------------------------------
 
 # SQL patterns take the same literal class as the Spark expressions.
