@@ -15,6 +15,7 @@ def rows():
     out = []
     for i in range(600):
         group = "hot" if rnd.random() < 0.6 else f"g{rnd.randrange(5)}"
+        group = None if i % 11 == 0 else group
         out.append((i, group, rnd.randrange(100), None if rnd.random() < 0.3 else rnd.randrange(50)))
     return out
 
@@ -38,6 +39,7 @@ def test_positions(frame, rows):
 
 
 def test_global_positions_by_sampled_ranges(frame, rows):
+    frame, rows = frame.dropna(subset=["g"]), [r for r in rows if r[1] is not None]
     got = row_positions(frame, [], range_bucket(frame, ["g", "id"], 8), [F.col("g"), F.col("id")], "pos").collect()
     expected = {r[0]: i for i, r in enumerate(sorted(rows, key=lambda r: (r[1], r[0])))}
     assert {r["id"]: r["pos"] for r in got} == expected
@@ -63,6 +65,14 @@ def test_running(frame, rows, inclusive):
     assert {r["id"]: (r["s"], r["lo"], r["hi"], r["la"]) for r in got} == expected
 
 
+def test_null_order_values_stay(spark):
+    df = spark.createDataFrame([("a", None, 1), ("a", 5, 2), ("a", 90, 3), (None, None, 4)], "g string, t int, v int")
+    got = row_positions(df, ["g"], span_bucket(F.col("t"), 10), [F.col("t")], "pos").collect()
+    assert sorted((r["v"], r["pos"]) for r in got) == [(1, 0), (2, 1), (3, 2), (4, 0)]
+    summed = running(df, ["g"], span_bucket(F.col("t"), 10), [F.col("t")], {"s": ("sum", F.col("v"))}).collect()
+    assert sorted((r["v"], r["s"]) for r in summed) == [(1, 1), (2, 3), (3, 6), (4, 4)]
+
+
 def test_take_smallest(spark):
     df = spark.range(5000).withColumn("u", (F.col("id") * 7919 % 5003) / 5003.0)
     got = {r["id"] for r in take_smallest(df, 1234, F.col("u"), [F.col("id")], 64).collect()}

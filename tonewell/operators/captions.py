@@ -53,16 +53,18 @@ def normalise_payload(df: DataFrame, payload: str) -> DataFrame:
     )
     rows = rows.withColumn("error", error)
     good = F.col("error").isNull()
-    cut = F.when(F.size(words) > 60, F.array_join(F.slice(words, 1, 60), " ")).otherwise(F.col("__text"))
+    cut = let(
+        words,
+        lambda ws: F.when(F.size(ws) > 60, F.array_join(F.slice(ws, 1, 60), " ")).otherwise(F.col("__text")),
+    )
     columns = {
         name: F.when(good, X.normalise_text(field[name]))
         for name in REQUIRED
         if name not in ("description", "genre_tags")
     }
     columns["description"] = F.when(good, cut)
-    columns["genre_tags"] = F.when(
-        good, F.when(F.size(distinct) > 0, distinct).otherwise(F.array(F.lit("Unknown")))
-    )
+    named = let(distinct, lambda d: F.when(F.size(d) > 0, d).otherwise(F.array(F.lit("Unknown"))))
+    columns["genre_tags"] = F.when(good, named)
     return rows.withColumns(columns).drop("__m", "__text")
 
 

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tonewell.functions import arrays as A
 from tonewell.functions import text as X
 from tonewell.functions.hashing import uniform
 from tonewell.operators.scans import row_positions, share_bucket
@@ -168,8 +169,8 @@ def chunk_embeddings(
     """Mean vector of the track frames in the window that starts at the seek time.
 
     The frame range is [seek // stride, (seek + window) // stride). The range
-    join becomes an equi join because the wanted frame numbers are generated.
-    Vectors are averaged by position, with partial sums before the shuffle.
+    join becomes an equi join because the wanted frame numbers are generated. A
+    segment meets at most window / stride frames, so its list is short.
     """
     # A null seek time means the start of the track.
     seek = F.coalesce(F.col("seek_time"), F.lit(0.0))
@@ -177,8 +178,12 @@ def chunk_embeddings(
     last = F.floor((seek + F.lit(window_seconds)) / F.lit(stride_seconds))
     wanted = segment_frames(segments, first, last - first)
     hit = wanted.join(full.select(track, "frame", vector), [track, "frame"])
+    met = F.array_sort(F.collect_list(F.struct("frame", A.doubles(F.col(vector)).alias("v"))))
+    lists = hit.groupBy(segment).agg(F.transform(met, lambda f: f["v"]).alias("__v"))
+    total = F.aggregate(F.slice("__v", F.lit(2), F.size("__v")), F.get("__v", F.lit(0)), A.add)
+    means = lists.select(segment, A.let(F.size("__v"), lambda n: F.transform(total, lambda x: x / n)).alias(vector))
     # A window past the end of its track keeps its row, with a null vector.
-    return segments.select(segment).join(mean_vectors(hit, [segment], vector), segment, "left")
+    return segments.select(segment).join(means, segment, "left")
 
 
 def mean_vectors(df: DataFrame, by: Sequence[str], vector: str) -> DataFrame:
@@ -202,7 +207,7 @@ def random_pairs(
         u = uniform(f"{seed}:{side}", F.col(batch), F.col(item))
         rows = df.select(batch, item, *payload).withColumn("__u", u)
         placed = row_positions(
-            rows, [batch], share_bucket(F.col("__u"), 16), [F.col("__u"), F.col(item)], "rank"
+            rows, [batch], share_bucket(F.col("__u"), 64), [F.col("__u"), F.col(item)], "rank"
         )
         return placed.select(
             batch, "rank", *[F.col(c).alias(f"{side}_{c}") for c in (item, *payload)]

@@ -32,25 +32,38 @@ def sampling_weights(df: DataFrame, on_weight: bool, on_duration: bool) -> DataF
     )
 
 
+def _bucketed(df: DataFrame, key: str, score: str, buckets: int) -> DataFrame:
+    """Rows that can be drawn, with their hash bucket."""
+    return df.filter(F.col(score) > 0).withColumn("bucket", bucket_of(buckets, F.col(key)))
+
+
+def _bucket_spans(rows: DataFrame, score: str) -> DataFrame:
+    """(bucket, bucket_low, bucket_weight, total): the place of each bucket on the scale of all weights.
+
+    One row per bucket, so the windows without a key stay small.
+    """
+    sizes = rows.groupBy("bucket").agg(F.sum(score).alias("bucket_weight"))
+    earlier = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return sizes.select(
+        "bucket",
+        F.coalesce(F.sum("bucket_weight").over(earlier), F.lit(0.0)).alias("bucket_low"),
+        "bucket_weight",
+        F.sum("bucket_weight").over(everything).alias("total"),
+    )
+
+
 def sampling_cdf(df: DataFrame, key: str, score: str, buckets: int = 1024) -> DataFrame:
     """Cumulative weights by (hash bucket, key): columns bucket, low, high.
 
     Two-level prefix sum: a window inside each bucket and the offsets of the
     earlier buckets, one row per bucket.
     """
-    rows = df.filter(F.col(score) > 0).withColumn("bucket", bucket_of(buckets, F.col(key)))
-    sizes = rows.groupBy("bucket").agg(F.sum(score).alias("__sum"))
-    earlier = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    # At most ``buckets`` rows, so this window without a key stays small.
-    offsets = sizes.select(
-        "bucket",
-        F.coalesce(F.sum("__sum").over(earlier), F.lit(0.0)).alias("bucket_low"),
-        F.col("__sum").alias("bucket_weight"),
-    )
+    rows = _bucketed(df, key, score, buckets)
     inside = Window.partitionBy("bucket").orderBy(key)
     local = rows.withColumn("__local", F.sum(score).over(inside))
     return (
-        local.join(F.broadcast(offsets), "bucket")
+        local.join(F.broadcast(_bucket_spans(rows, score).drop("total")), "bucket")
         .withColumn("high", F.col("bucket_low") + F.col("__local"))
         .withColumn("low", F.col("high") - F.col(score))
         .drop("__local")
@@ -87,20 +100,17 @@ def sample_files(
     scored = scored.withColumn("score", sampling_score(on_weight, on_duration))
     cdf = sampling_cdf(scored, key, "score", buckets)
 
-    offsets = cdf.groupBy("bucket").agg(
-        F.min("bucket_low").alias("b_low"), F.max("bucket_weight").alias("b_weight")
-    )
-    total = offsets.agg(F.max(F.col("b_low") + F.col("b_weight")).alias("total"))
-    spans = (
-        offsets.withColumn("one", F.lit(1))
-        .join(F.broadcast(total.withColumn("one", F.lit(1))), "one")
-        .withColumn("first", F.floor(F.col("b_low") / F.col("total") * F.lit(buckets)))
-        .withColumn(
-            "last",
-            F.floor((F.col("b_low") + F.col("b_weight")) / F.col("total") * F.lit(buckets)),
-        )
-        .withColumn("slot", F.explode(F.sequence("first", "last")))
-        .select("slot", "bucket", "b_low", "b_weight", "total")
+    places = _bucket_spans(_bucketed(scored, key, "score", buckets), "score")
+    slot = [
+        F.floor(edge / F.col("total") * F.lit(buckets))
+        for edge in (F.col("bucket_low"), F.col("bucket_low") + F.col("bucket_weight"))
+    ]
+    spans = places.select(
+        F.explode(F.sequence(*slot)).alias("slot"),
+        "bucket",
+        F.col("bucket_low").alias("b_low"),
+        F.col("bucket_weight").alias("b_weight"),
+        "total",
     )
     draws = spark.range(n).select(
         F.col("id").alias("index"),

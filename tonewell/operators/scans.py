@@ -13,38 +13,58 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BUCKET = "__bucket"
 
 
-def _carry_join(rows: DataFrame, carry: DataFrame, by: Sequence[str]) -> DataFrame:
-    keys = [*by, BUCKET]
-    left, right = rows.alias("l"), carry.alias("r")
-    condition = None
-    for key in keys:
-        term = F.col(f"l.{key}").eqNullSafe(F.col(f"r.{key}"))
-        condition = term if condition is None else condition & term
-    extra = [F.col(f"r.{c}") for c in carry.columns if c not in keys]
-    return left.join(right, condition, "left").select("l.*", *extra)
+def _default(kind: T.DataType) -> Column:
+    """Any value of a type, to stand in for null next to a null flag."""
+    if isinstance(kind, T.StringType):
+        return F.lit("")
+    if isinstance(kind, T.BooleanType):
+        return F.lit(False)
+    if isinstance(kind, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return F.lit(0).cast(kind) if isinstance(kind, T.NumericType) else F.lit("1970-01-01").cast(kind)
+    raise TypeError(f"cannot group by a column of type {kind.simpleString()}")
+
+
+def _with_cell(df: DataFrame, by: Sequence[str], bucket: Column) -> tuple[DataFrame, list[str], list[str]]:
+    """(rows with key columns, group keys, group and bucket keys).
+
+    The keys are never null, so window, aggregate and join share one hash
+    partitioning and the rows are shuffled once, also for null groups.
+    """
+    columns, groups = {}, []
+    for i, name in enumerate(by):
+        columns[f"__k{i}"] = F.coalesce(F.col(name), _default(df.schema[name].dataType))
+        groups.append(f"__k{i}")
+        if df.schema[name].nullable:
+            columns[f"__n{i}"] = F.col(name).isNull()
+            groups.append(f"__n{i}")
+    # Rows without a bucket have a null order value and come first.
+    placed = F.coalesce(bucket.cast("bigint"), F.lit(-(2**63)))
+    return df.withColumns({**columns, BUCKET: placed}), groups, [*groups, BUCKET]
+
+
+def _earlier(groups: Sequence[str]):
+    """All earlier buckets of the same group, over one row per group and bucket."""
+    return Window.partitionBy(*groups).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
 
 
 def row_positions(
     df: DataFrame, by: Sequence[str], bucket: Column, order: Sequence[Column], out: str = "pos"
 ) -> DataFrame:
     """Zero-based rank inside each group, as a bigint column ``out``."""
-    by = list(by)
-    rows = df.withColumn(BUCKET, bucket)
-    local = Window.partitionBy(*by, BUCKET).orderBy(*order)
-    earlier = Window.partitionBy(*by).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = rows.groupBy(*by, BUCKET).agg(F.count(F.lit(1)).alias("__n"))
-    offsets = sizes.select(
-        *by, BUCKET, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__offset")
-    )
+    rows, groups, keys = _with_cell(df, by, bucket)
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size"))
+    offsets = sizes.select(*keys, F.coalesce(F.sum("__size").over(_earlier(groups)), F.lit(0)).alias("__offset"))
+    local = Window.partitionBy(*keys).orderBy(*order)
     ranked = rows.withColumn("__local", F.row_number().over(local) - 1)
     return (
-        _carry_join(ranked, offsets, by)
+        ranked.join(offsets, keys)
         .withColumn(out, (F.col("__local") + F.col("__offset")).cast("bigint"))
-        .drop("__local", "__offset", BUCKET)
+        .drop("__local", "__offset", *keys)
     )
 
 
@@ -61,14 +81,13 @@ def running(
     ``outputs`` maps an output name to (kind, value). With ``inclusive`` false
     the current row is left out.
     """
-    by = list(by)
-    rows = df.withColumn(BUCKET, bucket)
+    rows, groups, keys = _with_cell(df, by, bucket)
     for name, (_, value) in outputs.items():
         rows = rows.withColumn(f"__v_{name}", value)
     order = list(order)
     frame = (Window.unboundedPreceding, Window.currentRow if inclusive else -1)
-    local = Window.partitionBy(*by, BUCKET).orderBy(*order).rowsBetween(*frame)
-    earlier = Window.partitionBy(*by).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    local = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*frame)
+    earlier = _earlier(groups)
     plain = {"sum": F.sum, "min": F.min, "max": F.max}
 
     partial, carries, locals_ = [], [], []
@@ -85,9 +104,8 @@ def running(
             carries.append(func(f"__p_{name}").over(earlier).alias(f"__c_{name}"))
             locals_.append(func(value).over(local).alias(f"__l_{name}"))
 
-    carry = rows.groupBy(*by, BUCKET).agg(*partial).select(*by, BUCKET, *carries)
-    joined = _carry_join(rows.select("*", *locals_), carry, by)
-    result = joined
+    carry = rows.groupBy(*keys).agg(*partial).select(*keys, *carries)
+    result = rows.select("*", *locals_).join(carry, keys)
     for name, (kind, _) in outputs.items():
         here, before = F.col(f"__l_{name}"), F.col(f"__c_{name}")
         if kind == "sum":
@@ -100,7 +118,7 @@ def running(
         else:
             merged = F.least(here, before) if kind == "min" else F.greatest(here, before)
         result = result.withColumn(name, merged)
-    drop = [BUCKET] + [f"__{t}_{n}" for t in "vlc" for n in outputs]
+    drop = keys + [f"__{t}_{n}" for t in "vlc" for n in outputs]
     return result.drop(*drop)
 
 

@@ -363,60 +363,62 @@ def snr_mix(
     snr = F.lit(snr_low) if snr_low == snr_high else uniform_int(snr_low, snr_high - 1, f"{seed}:snr", key)
     level = uniform_int(-35, -16, f"{seed}:level", key)
 
-    lengths = signal.groupBy("clip_id").agg(F.max(F.col("start_frame") + F.size("samples")).alias("len"))
+    # One pass over the signal gives the length and the statistics of every clip.
+    whole = clip_stats(signal).select("clip_id", "n", "top", "energy")
+
+    def named(prefix: str, column: str) -> DataFrame:
+        return whole.select(
+            F.col("clip_id").alias(column), *[F.col(c).alias(f"{prefix}_{c}") for c in ("n", "top", "energy")]
+        )
+
+    start = F.floor(uniform(f"{seed}:start", key) * (F.floor(F.col("src_n") * F.lit(1 - min_overlap)) + 1))
     plan = (
         pairs.select("mix_id", *extra, "source", "target")
-        .join(lengths.select(F.col("clip_id").alias("source"), F.col("len").alias("src_len")), "source")
-        .join(lengths.select(F.col("clip_id").alias("target"), F.col("len").alias("dst_len")), "target")
-        .withColumn("__snr", snr)
-        .withColumn("__level", level)
-        .withColumn(
-            "__start",
-            F.floor(
-                uniform(f"{seed}:start", key) * (F.floor(F.col("src_len") * F.lit(1 - min_overlap)) + 1)
-            ).cast("bigint"),
-        )
+        .join(named("src", "source"), "source")
+        .join(named("dst", "target"), "target")
+        .withColumns({"__snr": snr, "__level": level, "__start": start.cast("bigint")})
     )
 
-    def side(column: str) -> DataFrame:
-        clips = plan.select("mix_id", F.col(column).alias("clip_id"), "src_len", "dst_len", "__start")
-        rows = signal.join(clips, "clip_id")
-        kept = F.greatest(F.least(F.col("src_len") - F.col("start_frame"), F.size("samples")), F.lit(0))
-        return rows.withColumn("samples", F.slice("samples", F.lit(1), kept.cast("int"))).filter(
-            F.size("samples") > 0
-        )
+    # Only a target longer than its source is cut, and then measured again.
+    cut = signal.join(
+        plan.filter(F.col("dst_n") > F.col("src_n")).select("mix_id", F.col("target").alias("clip_id"), "src_n"), "clip_id"
+    )
+    left = F.greatest(F.least(F.col("src_n") - F.col("start_frame"), F.size("samples")), F.lit(0)).cast("int")
+    cut = cut.withColumn("samples", F.slice("samples", F.lit(1), left)).filter(F.size("samples") > 0)
+    shorter = clip_stats(cut, "mix_id").select("mix_id", F.col("top").alias("__top"), F.col("energy").alias("__energy"))
+    plan = plan.join(shorter, "mix_id", "left")
 
-    def gains(rows: DataFrame, name: str, padded: bool) -> DataFrame:
-        stats = clip_stats(rows, "mix_id").join(plan.select("mix_id", "src_len", "dst_len"), "mix_id")
-        top = F.when(F.lit(padded) & (F.col("dst_len") < F.col("src_len")), F.greatest("top", F.lit(0.0))).otherwise(F.col("top"))
-        rms = F.sqrt(F.col("energy") / F.col("src_len"))
+    def gain(top: Column, rms: Column) -> Column:
         unit = F.lit(1.0) / (F.abs(top) + F.lit(EPS32))
-        gain = unit * F.lit(10.0 ** (target_db / 20.0)) / (rms * unit + F.lit(EPS32))
-        return stats.select("mix_id", gain.alias(f"__{name}"), (gain * rms).alias(f"__{name}_rms"))
+        return unit * F.lit(10.0 ** (target_db / 20.0)) / (rms * unit + F.lit(EPS32))
+
+    # A shorter target is completed by zeros, which count for its largest sample.
+    dst_top = F.coalesce("__top", F.when(F.col("dst_n") < F.col("src_n"), F.greatest("dst_top", F.lit(0.0))).otherwise(F.col("dst_top")))
+    src_rms = F.sqrt(F.col("src_energy") / F.col("src_n"))
+    dst_rms = F.sqrt(F.coalesce("__energy", "dst_energy") / F.col("src_n"))
+    plan = plan.withColumns({"__a": gain(F.col("src_top"), src_rms), "__g": gain(dst_top, dst_rms)})
+    ratio = F.col("__a") * src_rms / F.pow(F.lit(10.0), F.col("__snr") / 20.0) / (F.col("__g") * dst_rms + F.lit(EPS32))
+    plan = plan.withColumn("__b", F.col("__g") * ratio)
 
-    source, target = side("source"), side("target")
-    mixed_gain = plan.join(gains(source, "a", False), "mix_id").join(gains(target, "b", True), "mix_id")
-    ratio = F.col("__a_rms") / F.pow(F.lit(10.0), F.col("__snr") / 20.0) / (F.col("__b_rms") + F.lit(EPS32))
-    gain_table = mixed_gain.select("mix_id", "__a", (F.col("__b") * ratio).alias("__b"), "__level")
+    source = signal.join(plan.select("mix_id", F.col("source").alias("clip_id"), "__a", "__b", "__level"), "clip_id")
+    target = signal.join(plan.select("mix_id", F.col("target").alias("clip_id"), "src_n", "__start"), "clip_id")
 
     # A target chunk, moved by the start, meets one or two source chunks.
     moved = target.withColumn("__at", F.col("start_frame") + F.col("__start"))
     last = F.col("__at") + F.size("samples") - 1
-    reached = moved.filter(F.col("__at") < F.col("src_len")).withColumn(
+    reached = moved.filter(F.col("__at") < F.col("src_n")).withColumn(
         "chunk_idx",
         F.explode(
             F.sequence(
                 F.floor(F.col("__at") / chunk).cast("int"),
-                F.floor(F.least(last, F.col("src_len") - 1) / chunk).cast("int"),
+                F.floor(F.least(last, F.col("src_n") - 1) / chunk).cast("int"),
             )
         ),
     )
     pieces = reached.groupBy("mix_id", "chunk_idx").agg(
         F.collect_list(F.struct(F.col("__at").alias("at"), F.col("samples").alias("s"))).alias("__pieces")
     )
-    met = source.select("mix_id", "channel", "chunk_idx", "start_frame", "samples").join(
-        pieces, ["mix_id", "chunk_idx"], "left"
-    ).join(gain_table, "mix_id")
+    met = source.join(pieces, ["mix_id", "chunk_idx"], "left")
     none = F.array().cast("array<struct<at:bigint,s:array<double>>>")
 
     def summed(x: Column, i: Column) -> Column:

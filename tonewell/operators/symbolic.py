@@ -14,12 +14,15 @@ UNKNOWN = "UNK"
 
 def build_vocab(chords: DataFrame) -> DataFrame:
     """(chord, idx): dense index by first (track, pos); the unknown symbol comes last."""
-    first = chords.groupBy("chord").agg(F.min(F.struct("track", "pos")).alias("first"))
+    # Plain minima first, the pair (track, pos) only per symbol and track.
+    per_track = chords.groupBy("chord", "track").agg(F.min("pos").alias("pos"))
+    first = per_track.groupBy("chord").agg(F.min(F.struct("track", "pos")).alias("first"))
+    unknown = F.lit(None).cast(first.schema["first"].dataType).alias("first")
+    spark = chords.sparkSession
+    symbols = first.unionByName(spark.range(1).select(F.lit(UNKNOWN).alias("chord"), unknown))
     # One row per distinct symbol: the vocabulary, not the events.
-    order = Window.orderBy("first")
-    indexed = first.select("chord", (F.row_number().over(order) - 1).cast("int").alias("idx"))
-    size = first.agg(F.count(F.lit(1)).cast("int").alias("idx"))
-    return indexed.unionByName(size.select(F.lit(UNKNOWN).alias("chord"), "idx"))
+    order = Window.orderBy(F.col("first").asc_nulls_last())
+    return symbols.select("chord", (F.row_number().over(order) - 1).cast("int").alias("idx"))
 
 
 def apply_vocab(df: DataFrame, vocab: DataFrame, column: str = "chord", strict: bool = False) -> DataFrame:

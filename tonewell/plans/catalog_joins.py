@@ -9,6 +9,7 @@ from tonewell.functions.hashing import uniform
 from tonewell.operators import joins, matching, symbolic
 from tonewell.plans.catalog_corpus import MANIFEST_SQL, manifest
 from tonewell.plans.registry import query, sql_u, table
+from tonewell.session import cut_lineage
 
 
 def seconds(column: str = "ts"):
@@ -302,7 +303,7 @@ def chord_frames(spark, sf):
         (day * F.lit(86400.0) + F.lit(1800.0)).alias("seek_time"),
     ).distinct()
     return symbolic.frame_chords(
-        segments, chords, symbolic.build_vocab(chords), 1.0 / 3600.0, 86400.0, bucket_seconds=86400.0
+        segments, chords, cut_lineage(symbolic.build_vocab(chords)), 1.0 / 3600.0, 86400.0, bucket_seconds=86400.0
     )
 
 
@@ -314,7 +315,7 @@ FROM chords c LEFT JOIN small s ON c.chord = s.chord""",
 )
 def chord_indices(spark, sf):
     chords = chord_events(spark, sf)
-    vocab = symbolic.build_vocab(chords).filter(F.col("chord") != "error")
+    vocab = cut_lineage(symbolic.build_vocab(chords)).filter(F.col("chord") != "error")
     return symbolic.apply_vocab(chords.select("event_id", "chord"), vocab).select("event_id", "idx")
 
 
