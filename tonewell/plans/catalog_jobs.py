@@ -13,6 +13,7 @@ from tonewell.plans.catalog_corpus import MANIFEST_SQL, MD5_100, manifest
 from tonewell.plans.catalog_joins import SECONDS_SQL, seconds
 from tonewell.plans.catalog_metrics import HISTORY_SQL, V_SQL, run_history, vectors
 from tonewell.plans.catalog_signal import CHUNK, sql_wave, waves
+from tonewell.plans.catalog_vectors import K, START_SQL, _assign_sql, start_codes
 from tonewell.plans.registry import query, table
 from tonewell.session import configure, scratch_path
 from tonewell.sources import caches, manifests, sidecars, wav
@@ -395,18 +396,44 @@ def chunk_windows_stream(spark, sf):
     )
 
 
-@query("online_codebook_stream")
+def _online_sql(steps: int = 4) -> str:
+    """One moving-average step per batch of labels, with the codes of the step before."""
+    parts = [
+        START_SQL,
+        "t0 AS (SELECT code, 0.0::DOUBLE AS size, x AS avg, x FROM book0)",
+    ]
+    for k in range(steps):
+        parts.append(f"v{k} AS (SELECT vec_id, x FROM v WHERE label // 3 = {k})")
+        parts.append(f"a{k} AS {_assign_sql(f'v{k}', f't{k}')}")
+        parts.append(
+            f"""n{k} AS (SELECT code, sum(n) AS n, list(s ORDER BY i) AS s FROM (SELECT a.code, c.i, CASE WHEN c.i = 0 THEN count(*) ELSE 0 END AS n, sum(c.e) AS s
+   FROM a{k} a JOIN cells c ON c.vec_id = a.vec_id GROUP BY a.code, c.i) GROUP BY code)"""
+        )
+        parts.append(
+            f"""m{k} AS (SELECT t.code, 0.9 * size + 0.1 * coalesce(n, 0) AS size, list_transform(list_zip(avg, coalesce(s, [0.0::DOUBLE FOR e IN avg])), lambda z: 0.9 * z[1] + 0.1 * z[2]) AS avg
+   FROM t{k} t LEFT JOIN n{k} n ON n.code = t.code)"""
+        )
+        parts.append(
+            f"""t{k + 1} AS (SELECT code, size, avg, list_transform(avg, lambda e: e / ((size + 1e-5) / (tot + {K} * 1e-5) * tot)) AS x
+   FROM m{k}, (SELECT sum(size) AS tot FROM m{k}))"""
+        )
+    return f"""WITH {', '.join(parts)}
+SELECT CAST(code AS INTEGER) AS code, round(size, 6) AS cluster_size, round(list_sum(list_transform(avg, lambda e: e * e)), 6) AS energy FROM t{steps}"""
+
+
+@query("online_codebook_stream", _online_sql())
 def online_codebook_stream(spark, sf):
-    from tonewell.plans.catalog_vectors import start_codes
     from tonewell.streaming import jobs
 
-    rows, folder = vector_files(configure(spark), sf)
+    rows = vectors(configure(spark), sf)
+    folder = scratch_path(spark, "vectors")
+    for part in range(4):
+        rows.filter(F.floor(F.col("label") / 3) == part).coalesce(1).write.mode("append").parquet(folder)
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
     state = scratch_path(spark, "codebook")
-    jobs.online_codebook(
-        stream, "x", "vec_id", start_codes(spark, sf), state, scratch_path(spark, "check"), 0.9, threshold=0.5
-    )
+    jobs.online_codebook(stream, "x", "vec_id", start_codes(spark, sf), state, scratch_path(spark, "check"), 0.9)
     newest = jobs.newest_version(spark, state)
     return newest.groupBy("code").agg(
-        F.round(F.max("cluster_size"), 6).alias("cluster_size"), F.round(F.sum(F.col("embed") * F.col("embed")), 6).alias("energy")
+        F.round(F.max("cluster_size"), 6).alias("cluster_size"),
+        F.round(F.sum(F.col("embed_avg") * F.col("embed_avg")), 6).alias("energy"),
     )

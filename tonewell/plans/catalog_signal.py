@@ -295,23 +295,41 @@ def estimate(spark, sf):
     return waves(spark, sf).withColumn("samples", F.transform("samples", lambda x: x + 0.5 * x * x))
 
 
-def dft_sql(name: str, expr: str) -> str:
-    """Magnitudes (vec_id, f, k, m) of the frames centred at f * 8."""
+def dft(name: str, expr: str, n_fft: int, hop: int, win: int, centre: bool, floor: float = 0.0, scale: str = "1.0") -> str:
+    """SQL of squared magnitudes (vec_id, f, k, s) of whole clips of 64 samples, step by step:
+    mirrored positions, window, sums of cosines and sines."""
+    pad = n_fft // 2 if centre else (n_fft - hop) // 2
+    frames = 1 + 64 // hop if centre else -(-64 // hop)
+    left = (n_fft - win) // 2
     return f"""
-{name} AS (SELECT vec_id, f, k, sqrt(greatest(power(sum(v * cos(2 * pi() * k * n / 16)), 2) + power(sum(v * sin(2 * pi() * k * n / 16)), 2), 1e-7)) AS m
-  FROM (SELECT c.vec_id, p.f, p.n, ({expr}) * (0.5 - 0.5 * cos(2 * pi() * p.n / 16)) AS v FROM place p JOIN cells c ON c.i = p.at),
-   (SELECT unnest(range(9)) AS k) GROUP BY vec_id, f, k)"""
+{name}_at AS (SELECT f, n, CASE WHEN q < 0 THEN -q WHEN q >= {64 + pad} THEN -1 WHEN q >= 64 THEN 126 - q ELSE q END AS at,
+   CASE WHEN n >= {left} AND n < {left + win} THEN 0.5 - 0.5 * cos(2 * pi() * (n - {left}) / {win}) ELSE 0 END AS w
+  FROM (SELECT f, n, f * {hop} - {pad} + n AS q FROM (SELECT unnest(range({frames})) AS f), (SELECT unnest(range({n_fft})) AS n))),
+{name} AS (SELECT vec_id, f, k, greatest({scale} * (power(sum(v * cos(2 * pi() * k * n / {n_fft})), 2) + power(sum(v * sin(2 * pi() * k * n / {n_fft})), 2)), {floor}) AS s
+  FROM (SELECT c.vec_id, p.f, p.n, ({expr}) * p.w AS v FROM {name}_at p JOIN cells c ON c.i = p.at),
+   (SELECT unnest(range({n_fft // 2 + 1})) AS k) GROUP BY vec_id, f, k)"""
 
 
-PLACE_SQL = """
-place AS (SELECT f, n, CASE WHEN abs(f * 8 - 8 + n) >= 64 THEN 126 - abs(f * 8 - 8 + n) ELSE abs(f * 8 - 8 + n) END AS at
-  FROM (SELECT unnest(range(9)) AS f), (SELECT unnest(range(16)) AS n))
-"""
+def mel_sql(name: str, source: str, n_fft: int, n_mels: int, rate: int) -> str:
+    """SQL of mel values (vec_id, f, m, e): triangles between evenly spaced mel points."""
+    step = f"(2595 * log10(1 + {rate / 2} / 700.0) / {n_mels + 1})"
+
+    def edge(j: str) -> str:
+        return f"(700 * (power(10, ({j}) * {step} / 2595) - 1))"
+
+    freq = f"(k * {rate // 2 / (n_fft // 2)})"
+    return f"""
+{name} AS (SELECT vec_id, f, m, sum(s * greatest(least(({freq} - {edge('m')}) / ({edge('m + 1')} - {edge('m')}),
+    ({edge('m + 2')} - {freq}) / ({edge('m + 2')} - {edge('m + 1')})), 0)) AS e
+  FROM {source}, (SELECT unnest(range({n_mels})) AS m) GROUP BY vec_id, f, m)"""
+
+
+EST = "e + 0.5 * e * e"
 
 
 @query(
     "stft_frames",
-    f"WITH {V_SQL}, {PLACE_SQL}, {dft_sql('d', 'e')} SELECT vec_id AS clip_id, f AS frame, CAST(k AS INTEGER) AS bin, round(m, 6) AS x FROM d",
+    f"WITH {V_SQL}, {dft('d', 'e', 16, 8, 16, True, 1e-7)} SELECT vec_id AS clip_id, f AS frame, CAST(k AS INTEGER) AS bin, round(sqrt(s), 6) AS x FROM d",
 )
 def stft_frames(spark, sf):
     from tonewell.operators import spectral
@@ -322,8 +340,8 @@ def stft_frames(spark, sf):
 
 @query(
     "stft_losses",
-    f"""WITH {V_SQL}, {PLACE_SQL}, {dft_sql('r', 'e')}, {dft_sql('s', 'e + 0.5 * e * e')},
-j AS (SELECT vec_id, s.m AS e, r.m AS r FROM r JOIN s USING (vec_id, f, k))
+    f"""WITH {V_SQL}, {dft('r', 'e', 16, 8, 16, True, 1e-7)}, {dft('s', EST, 16, 8, 16, True, 1e-7)},
+j AS (SELECT vec_id, sqrt(s.s) AS e, sqrt(r.s) AS r FROM r JOIN s USING (vec_id, f, k))
 SELECT round(sqrt(sum((e - r) * (e - r))) / (sqrt(sum(r * r)) + {EPS}), 6) AS convergence,
   round(avg(abs(ln({EPS} + r) - ln({EPS} + e))), 6) AS log_l1,
   round(0.1 * sqrt(sum((e - r) * (e - r))) / (sqrt(sum(r * r)) + {EPS}) + 0.1 * avg(abs(ln({EPS} + r) - ln({EPS} + e))), 6) AS loss FROM j""",
@@ -335,7 +353,22 @@ def stft_losses(spark, sf):
     return out.withColumns({c: F.round(c, 6) for c in ("convergence", "log_l1", "loss")})
 
 
-@query("multi_resolution_stft")
+
+def _multi_resolution_sql() -> str:
+    parts, rows = [V_SQL], []
+    for i, (n_fft, hop, win) in enumerate(((16, 8, 12), (32, 16, 24), (8, 5, 6))):
+        parts += [dft(f"r{i}", "e", n_fft, hop, win, True, 1e-7), dft(f"s{i}", EST, n_fft, hop, win, True, 1e-7)]
+        rows.append(
+            f"SELECT sqrt(sum(power(sqrt(s.s) - sqrt(r.s), 2))) / (sqrt(sum(r.s)) + {EPS}) AS c, "
+            f"avg(abs(ln({EPS} + sqrt(r.s)) - ln({EPS} + sqrt(s.s)))) AS l FROM r{i} r JOIN s{i} s USING (vec_id, f, k)"
+        )
+    return (
+        f"WITH {', '.join(parts)} SELECT round(avg(c), 6) AS convergence, round(avg(l), 6) AS log_l1, "
+        f"round(0.1 * avg(c) + 0.1 * avg(l), 6) AS loss FROM ({' UNION ALL '.join(rows)})"
+    )
+
+
+@query("multi_resolution_stft", _multi_resolution_sql())
 def multi_resolution_stft(spark, sf):
     from tonewell.operators import spectral
 
@@ -345,7 +378,22 @@ def multi_resolution_stft(spark, sf):
     return out.withColumns({c: F.round(c, 6) for c in ("convergence", "log_l1", "loss")})
 
 
-@query("mel_losses")
+def _mel_losses_sql() -> str:
+    parts, scales = [V_SQL], []
+    for i in (4, 5):
+        size = 2**i
+        parts += [dft(f"r{i}", "e", size, size // 4, size, False), dft(f"s{i}", EST, size, size // 4, size, False)]
+        parts += [mel_sql(f"mr{i}", f"r{i}", size, 6, 16000), mel_sql(f"ms{i}", f"s{i}", size, 6, 16000)]
+        scales.append(
+            f"SELECT avg(abs(s.e - r.e)) + sqrt({size - 1}) * avg(power(log10(s.e + 1e-5) - log10(r.e + 1e-5), 2)) AS loss "
+            f"FROM mr{i} r JOIN ms{i} s USING (vec_id, f, m)"
+        )
+    return f"""WITH {', '.join(parts)} SELECT
+ round((SELECT avg(abs(log10(s.e + 1e-5) - log10(r.e + 1e-5))) FROM mr4 r JOIN ms4 s USING (vec_id, f, m)), 6) AS mel_l1,
+ round((SELECT sum(loss) FROM ({' UNION ALL '.join(scales)})) / (sqrt(15) + sqrt(31) + 2), 6) AS multi_scale"""
+
+
+@query("mel_losses", _mel_losses_sql())
 def mel_losses(spark, sf):
     from tonewell.operators import spectral
 
@@ -360,17 +408,50 @@ def mel_losses(spark, sf):
     )
 
 
-@query("relative_volume_mel")
+# The scale of the reference cancels in the mel ratio only after the floors, so it is applied first.
+RVM_SCALE = "(1.0 / 6.0 / (SELECT power(greatest(sqrt(avg(e * e)), power(10, -25 / 20.0)), 2) FROM cells))"
+
+
+@query(
+    "relative_volume_mel",
+    f"""WITH {V_SQL}, {dft('r', 'e', 16, 8, 16, True, scale=RVM_SCALE)}, {dft('s', EST, 16, 8, 16, True, scale=RVM_SCALE)},
+{mel_sql('mr', 'r', 16, 8, 16000)}, {mel_sql('ms', 's', 16, 8, 16000)},
+b AS (SELECT m, avg(greatest(least(20 * log10(greatest(abs(sqrt(r.e) - sqrt(s.e)), power(10, -6))) - 20 * log10(greatest(sqrt(r.e), power(10, -25 / 20.0))), 25), -25)) AS v
+  FROM mr r JOIN ms s USING (vec_id, f, m) GROUP BY m)
+SELECT 'rvm_' || CAST(CAST(floor(m / 2) AS INTEGER) AS VARCHAR) AS band, round(avg(v), 5) AS rvm FROM b GROUP BY 1
+UNION ALL SELECT 'rvm', round(avg(v), 5) FROM b""",
+)
 def relative_volume_mel(spark, sf):
     from tonewell.operators import spectral
 
     out = spectral.relative_volume_mel(
         estimate(spark, sf), waves(spark, sf), CHUNK, sample_rate=16000, n_mels=8, n_fft=16, hop=8, bands=4
     )
-    return out.withColumn("rvm", F.round("rvm", 6))
+    return out.withColumn("rvm", F.round("rvm", 5))
+
+
+def chroma_sql(name: str, source: str, n_fft: int, rate: int) -> str:
+    """SQL of chroma values (vec_id, f, c, v) over the largest one of their frame."""
+    return f"""
+{name} AS (SELECT vec_id, f, c, e / greatest(max(abs(e)) OVER (PARTITION BY vec_id, f), 1e-6) AS v FROM (
+  SELECT vec_id, f, c, sum(s * w) AS e FROM {source} JOIN bank USING (k) GROUP BY vec_id, f, c))"""
+
+
+BANK_SQL = """
+pitch AS (SELECT k, CASE WHEN k = 0 THEN 12 * log2(500 / 27.5) - 18 ELSE 12 * log2(k * 500 / 27.5) END AS p FROM (SELECT unnest(range(17)) AS k)),
+width AS (SELECT k, p, greatest(12 * log2((k + 1) * 500 / 27.5) - p, 1.0) AS b FROM pitch),
+raw AS (SELECT k, p, c, exp(-0.5 * power(2 * (((p - c + 126) - 12 * floor((p - c + 126) / 12)) - 6) / b, 2)) AS g FROM width, (SELECT unnest(range(12)) AS c)),
+bank AS (SELECT k, (c + 9) % 12 AS c, g / sqrt(sum(g * g) OVER (PARTITION BY k)) * exp(-0.5 * power((p / 12 - 5) / 2, 2)) AS w FROM raw)
+"""
 
 
-@query("chroma_cosine")
+@query(
+    "chroma_cosine",
+    f"""WITH {V_SQL}, {BANK_SQL}, {dft('r', 'e', 32, 8, 32, True, scale='(1.0 / 12.0)')}, {dft('s', EST, 32, 8, 32, True, scale='(1.0 / 12.0)')},
+{chroma_sql('cr', 'r', 32, 16000)}, {chroma_sql('cs', 's', 32, 16000)},
+d AS (SELECT vec_id, f, sum(r.v * s.v) / (sqrt(sum(r.v * r.v)) * sqrt(sum(s.v * s.v))) AS c FROM cr r JOIN cs s USING (vec_id, f, c) WHERE f < 8 GROUP BY vec_id, f)
+SELECT round(sum(c) / (SELECT count(*) * 8 FROM v), 6) AS cosine, (SELECT count(*) * 8 FROM v) AS frames FROM d""",
+)
 def chroma_cosine(spark, sf):
     from tonewell.operators import metrics, spectral
 
