@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tonewell.operators import joins, signal
-from tonewell.plans.convert import convert_corpus
+from tonewell.plans.convert import convert_corpus, converted_files
 from tonewell.sources import caches, manifests, sidecars, wav
 
 
@@ -167,13 +167,13 @@ def test_conversion_resumes(spark, tmp_path):
     everything = files.unionByName(broken).unionByName(outside)
     target, done, failed = (str(tmp_path / n) for n in ("target", "done", "failed"))
     for _ in range(2):
-        convert_corpus(everything, root, "/out", target, done, 8, 16000, failures=failed)
-    rows = spark.read.parquet(target).collect()
+        convert_corpus(everything, root, "/out", target, done, failures=failed)
+    rows = converted_files(spark, target).collect()
     assert sorted(r["out_path"] for r in rows) == ["/out/a.wav", "/out/b.wav", "/out/c.wav"]
     assert all(r["sidecar"] == "{}" for r in rows)
     assert {r["out_path"][-5]: wav.pcm_layout(bytes(r["content"]))["channels"] for r in rows} == {"a": 1, "b": 2, "c": 2}
     assert spark.read.parquet(done).count() == 3
-    assert {r["path"] for r in spark.read.json(failed).collect()} == {"/out/d.wav", "/else/e.wav"}
+    assert {r["path"] for r in spark.read.json(failed).collect()} == {f"{root}/d.wav", "/else/e.wav"}
 
 
 def test_cache_computes_only_misses(spark, tmp_path):

@@ -212,7 +212,7 @@ FROM cells c, (SELECT unnest(range(2)) AS ch) WHERE label <> 3""",
 )
 def converted_corpus(spark, sf):
     """Three-channel clips to stereo; the clips of one label are already done."""
-    from tonewell.plans.convert import convert_corpus
+    from tonewell.plans.convert import convert_corpus, converted_files
 
     configure(spark)
     mono = waves(spark, sf)
@@ -229,8 +229,8 @@ def converted_corpus(spark, sf):
     done = scratch_path(spark, "done")
     out = scratch_path(spark, "converted")
     corpus.filter(F.col("label") == 3).select(F.regexp_replace("path", "^/in/", "/out/").alias("out_path")).write.parquet(done)
-    convert_corpus(corpus.drop("label"), "/in", "/out", out, done, chunk=CHUNK, sample_rate=16000)
-    back = spark.read.parquet(out).select(F.col("out_path").alias("clip_id"), "content")
+    convert_corpus(corpus.drop("label"), "/in", "/out", out, done)
+    back = converted_files(spark, out).select(F.col("out_path").alias("clip_id"), "content")
     return signal.to_long(wav.decode(back, CHUNK)).select(F.col("clip_id").alias("out_path"), "channel", "t", "x")
 
 

@@ -1,22 +1,15 @@
-"""Distributed corpus conversion: resume, decode, fix channels, encode, mark as done."""
+"""Distributed corpus conversion: resume, decode, fix channels, clip, encode, mark as done."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonewell.operators import signal as S
 from tonewell.operators.corpus import convert_plan
 from tonewell.sources.manifests import path_exists
-from tonewell.sources.wav import decode, wav_bytes
-
-
-def _to_wanted_channels(signal: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Per clip one or two channels; ``wanted``: (clip_id, out_channels)."""
-    joined = signal.join(wanted, "clip_id")
-    mono = S.convert_channels(joined.filter(F.col("out_channels") == 1).drop("out_channels"), 1)
-    stereo = S.convert_channels(joined.filter(F.col("out_channels") == 2).drop("out_channels"), 2)
-    return mono.unionByName(stereo.select(*mono.columns))
+from tonewell.sources.wav import convert_files
 
 
 def convert_corpus(
@@ -25,32 +18,33 @@ def convert_corpus(
     out_root: str,
     target: str,
     done: str,
-    chunk: int,
-    sample_rate: int,
     channels: int | None = None,
     failures: str | None = None,
 ) -> None:
     """Convert the files that have no finished mark and mark them.
 
     ``corpus``: (path, content, channels), other columns (a copied sidecar for
-    instance) are kept next to the result. Results go to ``target``, marks to
-    ``done``, failed paths to ``failures``; a failed file does not stop the run.
+    instance) are kept next to the result. A file is converted where it was read,
+    without any shuffle of its content. One pass writes results and failed rows
+    to ``target`` (partition ``failed``); marks go to ``done``, the failed paths of
+    this run to ``failures``. A failed file does not stop the run and is tried
+    again by the next one.
     """
     spark = corpus.sparkSession
+    run = f"run-{uuid.uuid4().hex}"
     marks = spark.read.parquet(done) if path_exists(spark, done) else spark.createDataFrame([], "out_path string")
-    plan = convert_plan(corpus, marks, root, out_root, ".wav", channels)
-    good = plan.filter(F.col("error").isNull())
-    chunks = decode(good.select(F.col("out_path").alias("clip_id"), "content"), chunk)
-    bad_rows = chunks.filter(F.col("error").isNotNull()).select(F.col("clip_id").alias("path"), "error")
-    samples = chunks.filter(F.col("error").isNull()).drop("sample_rate", "error")
-    wanted = good.select(F.col("out_path").alias("clip_id"), "out_channels")
-    clipped = S.normalise_clip(_to_wanted_channels(samples, wanted), 0.0)
-    encoded = wav_bytes(S.i16_pcm(clipped), sample_rate).withColumnRenamed("clip_id", "out_path")
-    extra = [c for c in corpus.columns if c not in ("path", "content", "channels")]
-    encoded.join(good.select("out_path", *extra), "out_path").write.mode("append").parquet(target)
-    # The marks come from what was written, so a lost run leaves no wrong mark.
-    written = spark.read.parquet(target).select("out_path")
-    written.join(marks, "out_path", "left_anti").write.mode("append").parquet(done)
+    plan = convert_plan(corpus, marks, root, out_root, ".wav", channels).drop("channels")
+    made = convert_files(plan.withColumn("reason", F.col("error")).drop("error"))
+    rows = made.withColumn("failed", F.col("error").isNotNull().cast("int")).withColumn("run", F.lit(run))
+    rows.write.mode("append").partitionBy("run", "failed").parquet(target)
+
+    # Marks and failures come from what was written, so a lost run leaves none.
+    written = spark.read.parquet(target).filter(F.col("run") == run)
+    written.filter("failed = 0").select("out_path").write.mode("append").parquet(done)
     if failures is not None:
-        outside = plan.filter(F.col("error").isNotNull()).select("path", "error")
-        bad_rows.unionByName(outside).write.mode("append").json(failures)
+        written.filter("failed = 1").select("path", "error").write.mode("append").json(failures)
+
+
+def converted_files(spark, target: str) -> DataFrame:
+    """(out_path, content, kept columns) of all converted files."""
+    return spark.read.parquet(target).filter("failed = 0").drop("failed", "run", "error", "path", "out_channels")

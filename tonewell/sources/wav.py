@@ -19,6 +19,9 @@ from tonewell.sources.sidecars import file_path
 
 # Fixed value: suffixes of audio files, compared in lower case.
 EXTENSIONS = (".wav", ".mp3", ".flac", ".ogg", ".m4a")
+# Samples held in memory before a task hands its rows on.
+MAX_VALUES = 4_000_000
+SIGNAL_COLUMNS = ["clip_id", "channel", "chunk_idx", "start_frame", "samples", "sample_rate", "error"]
 SIGNAL_SCHEMA = (
     "clip_id string, channel int, chunk_idx int, start_frame bigint, samples array<double>, "
     "sample_rate int, error string"
@@ -113,15 +116,23 @@ def decode(files: DataFrame, chunk: int) -> DataFrame:
         columns.append(name)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, held = [], 0
         for batch in batches:
             for row in batch.itertuples():
-                yield from _chunks(row, chunk)
+                for made in _chunks(row, chunk):
+                    rows.append(made)
+                    held += 0 if made[4] is None else len(made[4])
+                    if held > MAX_VALUES:
+                        yield pd.DataFrame(rows, columns=SIGNAL_COLUMNS)
+                        rows, held = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=SIGNAL_COLUMNS)
 
     return files.select(*columns).mapInPandas(read, SIGNAL_SCHEMA)
 
 
-def _chunks(row, chunk: int) -> Iterator[pd.DataFrame]:
-    names = ["clip_id", "channel", "chunk_idx", "start_frame", "samples", "sample_rate", "error"]
+def _chunks(row, chunk: int) -> Iterator[tuple]:
+    """Chunk rows of one file, or its error row."""
     try:
         head = pcm_layout(row.content)
         data = _samples(row.content, head)
@@ -133,13 +144,12 @@ def _chunks(row, chunk: int) -> Iterator[pd.DataFrame]:
             if row.pad and len(data) < wanted:
                 data = np.pad(data, ((0, wanted - len(data)), (0, 0)))
     except Exception as exc:
-        yield pd.DataFrame([(row.clip_id, None, None, None, None, None, str(exc))], columns=names)
+        yield (row.clip_id, None, None, None, None, None, str(exc))
         return
     for index, start in enumerate(range(0, len(data), chunk)):
         part = data[start : start + chunk]
-        yield pd.DataFrame(
-            [(row.clip_id, c, index, start, part[:, c], rate, None) for c in range(part.shape[1])], columns=names
-        )
+        for c in range(part.shape[1]):
+            yield (row.clip_id, c, index, start, part[:, c], rate, None)
 
 
 def read_signal(
@@ -152,6 +162,63 @@ def read_signal(
     return decode(files.withColumnRenamed("path", "clip_id"), int(chunk_seconds * sample_rate))
 
 
+def _encode(codes: np.ndarray, rate: int) -> bytes:
+    """16-bit WAV file of (frames, channels) codes."""
+    data, channels = codes.astype("<i2").tobytes(), codes.shape[1]
+    head = struct.pack(
+        "<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + len(data), b"WAVE", b"fmt ", 16, 1, channels, rate,
+        rate * 2 * channels, 2 * channels, 16, b"data", len(data),
+    )
+    return head + data
+
+
+def _pcm_codes(samples: np.ndarray) -> np.ndarray:
+    """Clamped samples as 16-bit codes; a file that would overflow uses the factor 2^15 - 1."""
+    samples = np.clip(samples, -1.0, 1.0)
+    codes = np.rint(samples * 2.0**15)
+    return np.rint(samples * (2.0**15 - 1)) if codes.size and codes.max() >= 2**15 else codes
+
+
+def _with_channels(samples: np.ndarray, wanted: int) -> np.ndarray:
+    """Same count, mean to mono, copies of mono, or the first channels."""
+    have = samples.shape[1]
+    if wanted == 1 and have > 1:
+        return samples.mean(axis=1, keepdims=True)
+    if have == 1:
+        return np.repeat(samples, wanted, axis=1)
+    if have < wanted:
+        raise ValueError("the file has fewer channels than asked for and is not mono")
+    return samples[:, :wanted]
+
+
+def convert_files(files: DataFrame) -> DataFrame:
+    """Re-encode (content, out_channels) rows in place; ``error`` tells why a row failed.
+
+    A non-null ``reason`` is an error found before. Other columns stay.
+    """
+    kept = [c for c in files.columns if c not in ("content", "reason")]
+    schema = ", ".join(f"`{c}` {files.schema[c].dataType.simpleString()}" for c in kept)
+
+    def one(content, wanted, reason):
+        try:
+            if reason is not None:
+                raise ValueError(reason)
+            head = pcm_layout(content)
+            samples = _with_channels(_samples(content, head), int(wanted))
+            return _encode(_pcm_codes(samples), head["rate"]), None
+        except Exception as exc:
+            return None, str(exc)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = [one(*row) for row in zip(batch["content"], batch["out_channels"], batch["reason"])]
+            out = batch[kept].copy()
+            out["content"], out["error"] = [m[0] for m in made], [m[1] for m in made]
+            yield out
+
+    return files.mapInPandas(run, f"{schema}, content binary, error string")
+
+
 def wav_bytes(signal: DataFrame, sample_rate: int) -> DataFrame:
     """(clip_id, content): one 16-bit WAV file per clip from integer chunks.
 
@@ -160,17 +227,11 @@ def wav_bytes(signal: DataFrame, sample_rate: int) -> DataFrame:
     kind = signal.schema["clip_id"].dataType.simpleString()
 
     def encode(rows: pd.DataFrame) -> pd.DataFrame:
-        channels = int(rows["channel"].max()) + 1
-        parts = []
-        for _, chunk in rows.sort_values(["chunk_idx", "channel"]).groupby("chunk_idx", sort=True):
-            parts.append(np.stack([np.asarray(s, dtype="<i2") for s in chunk["samples"]], axis=1).tobytes())
-        data = b"".join(parts)
-        block = 2 * channels
-        head = struct.pack(
-            "<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + len(data), b"WAVE", b"fmt ", 16, 1, channels,
-            sample_rate, sample_rate * block, block, 16, b"data", len(data),
+        ordered = rows.sort_values("chunk_idx")
+        tracks = [np.concatenate(part["samples"].to_list()) for _, part in ordered.groupby("channel", sort=True)]
+        return pd.DataFrame(
+            {"clip_id": [rows["clip_id"].iloc[0]], "content": [_encode(np.stack(tracks, axis=1), sample_rate)]}
         )
-        return pd.DataFrame({"clip_id": [rows["clip_id"].iloc[0]], "content": [head + data]})
 
     rows = signal.select("clip_id", "channel", "chunk_idx", "samples")
     return rows.groupBy("clip_id").applyInPandas(encode, f"clip_id {kind}, content binary")
