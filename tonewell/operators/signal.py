@@ -379,12 +379,19 @@ def snr_mix(
         .withColumns({"__snr": snr, "__level": level, "__start": start.cast("bigint")})
     )
 
+    def chunks_of(mixes: DataFrame, frames: Column) -> DataFrame:
+        """Signal chunks of the first ``frames`` frames of ``clip_id``, per mix.
+
+        Joined on (clip, chunk), so a clip that many mixes use is spread out.
+        """
+        last = F.ceil(frames / chunk).cast("int") - 1
+        wanted = mixes.withColumn("chunk_idx", F.explode(F.when(last >= 0, F.sequence(F.lit(0), last))))
+        return signal.join(wanted, ["clip_id", "chunk_idx"])
+
     # Only a target longer than its source is cut, and then measured again.
-    cut = signal.join(
-        plan.filter(F.col("dst_n") > F.col("src_n")).select("mix_id", F.col("target").alias("clip_id"), "src_n"), "clip_id"
-    )
-    left = F.greatest(F.least(F.col("src_n") - F.col("start_frame"), F.size("samples")), F.lit(0)).cast("int")
-    cut = cut.withColumn("samples", F.slice("samples", F.lit(1), left)).filter(F.size("samples") > 0)
+    longer = plan.filter(F.col("dst_n") > F.col("src_n")).select("mix_id", F.col("target").alias("clip_id"), "src_n")
+    left = F.least(F.col("src_n") - F.col("start_frame"), F.size("samples")).cast("int")
+    cut = chunks_of(longer, F.col("src_n")).withColumn("samples", F.slice("samples", F.lit(1), left))
     shorter = clip_stats(cut, "mix_id").select("mix_id", F.col("top").alias("__top"), F.col("energy").alias("__energy"))
     plan = plan.join(shorter, "mix_id", "left")
 
@@ -400,13 +407,18 @@ def snr_mix(
     ratio = F.col("__a") * src_rms / F.pow(F.lit(10.0), F.col("__snr") / 20.0) / (F.col("__g") * dst_rms + F.lit(EPS32))
     plan = plan.withColumn("__b", F.col("__g") * ratio)
 
-    source = signal.join(plan.select("mix_id", F.col("source").alias("clip_id"), "__a", "__b", "__level"), "clip_id")
-    target = signal.join(plan.select("mix_id", F.col("target").alias("clip_id"), "src_n", "__start"), "clip_id")
+    source = chunks_of(
+        plan.select("mix_id", F.col("source").alias("clip_id"), "src_n", "__a", "__b", "__level"), F.col("src_n")
+    )
+    heard = F.least(F.col("dst_n"), F.col("src_n") - F.col("__start"))
+    target = chunks_of(
+        plan.select("mix_id", F.col("target").alias("clip_id"), "src_n", "dst_n", "__start"), heard
+    )
 
     # A target chunk, moved by the start, meets one or two source chunks.
     moved = target.withColumn("__at", F.col("start_frame") + F.col("__start"))
     last = F.col("__at") + F.size("samples") - 1
-    reached = moved.filter(F.col("__at") < F.col("src_n")).withColumn(
+    reached = moved.withColumn(
         "chunk_idx",
         F.explode(
             F.sequence(
