@@ -14,7 +14,7 @@ from tonewell.plans.catalog_joins import SECONDS_SQL, seconds
 from tonewell.plans.catalog_metrics import HISTORY_SQL, V_SQL, run_history, vectors
 from tonewell.plans.catalog_signal import CHUNK, sql_wave, waves
 from tonewell.plans.catalog_vectors import K, START_SQL, _assign_sql, start_codes
-from tonewell.plans.registry import query, table
+from tonewell.plans.registry import joined, query, sql_joined, table
 from tonewell.session import configure, scratch_path
 from tonewell.sources import caches, manifests, sidecars, wav
 
@@ -122,7 +122,7 @@ def history_files(spark, sf):
 
 @query(
     "paraphrase_file",
-    """SELECT 'p' || CAST(item_id AS VARCHAR) AS info_path, string_split(text, '. ') AS texts FROM benchmark""",
+    """SELECT 'p' || CAST(item_id AS VARCHAR) AS info_path, array_to_string(string_split(text, '. '), ' / ') AS texts FROM benchmark""",
 )
 def paraphrase_file(spark, sf):
     folder = scratch_path(configure(spark), "paraphrases")
@@ -134,12 +134,14 @@ def paraphrase_file(spark, sf):
     entries.write.text(folder, compression="gzip")
     # Every line is an object of its own here, so the text is read by line.
     parsed = F.from_json("value", "map<string,array<string>>")
-    return spark.read.text(folder).select(F.explode(parsed).alias("info_path", "texts"))
+    return spark.read.text(folder).select(F.explode(parsed).alias("info_path", "texts")).withColumn(
+        "texts", joined("texts", " / ")
+    )
 
 
 @query(
     "embedding_cache",
-    """SELECT doc_id, list_transform(range(4), lambda i: CAST(ascii(substr(md5(CAST(doc_id AS VARCHAR)), i + 1, 1)) AS DOUBLE))[1:3] AS embedding
+    f"""SELECT doc_id, {sql_joined("list_transform(range(4), lambda i: CAST(ascii(substr(md5(CAST(doc_id AS VARCHAR)), i + 1, 1)) AS DOUBLE))[1:3]")} AS embedding
 FROM documents""",
 )
 def embedding_cache(spark, sf):
@@ -155,7 +157,9 @@ def embedding_cache(spark, sf):
 
     docs = table(spark, sf, "documents").select("doc_id", "lang")
     caches.embedding_cache(docs.filter(F.col("lang") == "en").select("doc_id"), compute, folder, "doc_id", digits=1)
-    return caches.embedding_cache(docs.select("doc_id"), compute, folder, "doc_id", extract, digits=1).select("doc_id", "embedding")
+    return caches.embedding_cache(docs.select("doc_id"), compute, folder, "doc_id", extract, digits=1).select(
+        "doc_id", joined("embedding").alias("embedding")
+    )
 
 
 @query(

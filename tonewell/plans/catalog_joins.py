@@ -8,7 +8,7 @@ from tonewell.functions import text as X
 from tonewell.functions.hashing import uniform
 from tonewell.operators import joins, matching, symbolic
 from tonewell.plans.catalog_corpus import MANIFEST_SQL, manifest
-from tonewell.plans.registry import query, sql_u, table
+from tonewell.plans.registry import joined, query, sql_joined, sql_u, table
 from tonewell.session import cut_lineage
 
 
@@ -321,11 +321,11 @@ def chord_indices(spark, sf):
 
 @query(
     "null_chord_rows",
-    """SELECT event_id, [194 FOR x IN range(CAST(ceil(value * 0.2) AS BIGINT))] AS chords FROM events""",
+    f"""SELECT event_id, {sql_joined("[194 FOR x IN range(CAST(ceil(value * 0.2) AS BIGINT))]")} AS chords FROM events""",
 )
 def null_chord_rows(spark, sf):
     return table(spark, sf, "events").select(
-        "event_id", symbolic.null_chords(0.2, F.col("value"), 194).alias("chords")
+        "event_id", joined(symbolic.null_chords(0.2, F.col("value"), 194)).alias("chords")
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tonewell.functions import arrays as A
 from tonewell.operators import effects, signal
 from tonewell.plans.catalog_metrics import V_SQL, vectors
-from tonewell.plans.registry import query, sql_u, table
+from tonewell.plans.registry import joined, query, sql_u, table
 
 CHUNK = 16
 
@@ -126,11 +126,11 @@ def normalise_level(spark, sf):
 
 @query(
     "volume_renormalised",
-    f"""{WITH_STATS} SELECT c.vec_id AS clip_id, c.i AS t, round(e / (1e-8 + rms), 9) AS x, round(e, 9) AS back FROM cells c {JOIN_STATS}""",
+    f"""{WITH_STATS} SELECT c.vec_id AS clip_id, c.i AS t, round(e / (1e-8 + rms), 9) AS x, round(e, 6) AS back FROM cells c {JOIN_STATS}""",
 )
 def volume_renormalised(spark, sf):
     scaled, scales = signal.renormalise_volume(waves(spark, sf))
-    back = signal.to_long(signal.restore_volume(scaled, scales)).select("clip_id", "t", F.round("x", 9).alias("back"))
+    back = signal.to_long(signal.restore_volume(scaled, scales)).select("clip_id", "t", F.round("x", 6).alias("back"))
     return samples(scaled).join(back, ["clip_id", "t"])
 
 
@@ -184,15 +184,15 @@ def echo(spark, sf):
     f"""WITH n AS (SELECT * FROM (VALUES ('boost_audio', 0.5), ('duck_audio', 0.2), ('smooth', 1.0), ('echo', 0.4)) t(name, w)),
 k AS (SELECT user_id, event_id, name, row_number() OVER (PARTITION BY event_id ORDER BY {sql_u('fx:cap', 'event_id', 'name')}, name) AS r
   FROM events, n WHERE {sql_u('fx:pick', 'event_id', 'name')} < w AND name <> 'smooth')
-SELECT e.event_id, coalesce(x.names, ['identity']) AS names FROM events e LEFT JOIN (
-  SELECT event_id, list(name ORDER BY name) AS names FROM k WHERE r <= 2 GROUP BY event_id) x ON x.event_id = e.event_id""",
+SELECT e.event_id, coalesce(x.names, 'identity') AS names FROM events e LEFT JOIN (
+  SELECT event_id, string_agg(name, ',' ORDER BY name) AS names FROM k WHERE r <= 2 GROUP BY event_id) x ON x.event_id = e.event_id""",
 )
 def selected_effects(spark, sf):
     chosen = effects.select_effects(
         ["boost_audio", "duck_audio", "echo"], "fx", F.col("event_id"),
         weights={"boost_audio": 0.5, "duck_audio": 0.2, "echo": 0.4}, mode="weighted", max_length=2,
     )
-    return table(spark, sf, "events").select("event_id", chosen.alias("names"))
+    return table(spark, sf, "events").select("event_id", joined(chosen).alias("names"))
 
 
 # Mixing: a vector is mixed with the vector of the next id.

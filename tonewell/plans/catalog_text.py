@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tonewell.functions import text as X
 from tonewell.functions.hashing import uniform
 from tonewell.operators import captions, conditions
-from tonewell.plans.registry import PY_SPACE_SQL, heavy_table, query, sql_fold, sql_trim, sql_u, table
+from tonewell.plans.registry import PY_SPACE_SQL, heavy_table, joined, query, sql_fold, sql_joined, sql_trim, sql_u, table
 
 SPACE = PY_SPACE_SQL
 
@@ -23,8 +23,8 @@ def sql_keyword(value: str) -> str:
     "keyword_normalise",
     f"""SELECT doc_id, {sql_keyword("lang")} AS genre, {sql_trim("source")} AS artist,
   CASE WHEN contains({sql_keyword("text")}, ',') THEN NULL ELSE {sql_keyword("text")} END AS key,
-  nullif(list_filter(list_transform(regexp_split_to_array(text, '[,{SPACE[1:]}'), lambda v: {sql_keyword("v")}),
-      lambda v: v IS NOT NULL), []) AS keywords
+  {sql_joined(f"""nullif(list_filter(list_transform(regexp_split_to_array(text, '[,{SPACE[1:]}'), lambda v: {sql_keyword("v")}),
+      lambda v: v IS NOT NULL), [])""", " ")} AS keywords
 FROM documents""",
 )
 def keyword_normalise(spark, sf):
@@ -37,22 +37,23 @@ def keyword_normalise(spark, sf):
     )
     from tonewell.operators.corpus import normalise_attributes
 
-    return normalise_attributes(
+    cleaned = normalise_attributes(
         docs, {"genre": "keyword", "artist": "string", "key": "key", "keywords": "keyword_list"}
     )
+    return cleaned.withColumn("keywords", joined("keywords", " "))
 
 
 @query(
     "bpm_and_numbers",
     """SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS bpm,
-  TRY_CAST(event_type AS DOUBLE) AS bad_bpm, [CAST(event_id AS VARCHAR)] AS keywords FROM events""",
+  TRY_CAST(event_type AS DOUBLE) AS bad_bpm, CAST(event_id AS VARCHAR) AS keywords FROM events""",
 )
 def bpm_and_numbers(spark, sf):
     return table(spark, sf, "events").select(
         "event_id",
         X.get_bpm(F.get_json_object("props", "$.k")).alias("bpm"),
         X.get_bpm(F.col("event_type")).alias("bad_bpm"),
-        X.get_keyword_list(F.col("event_id"), "number").alias("keywords"),
+        joined(X.get_keyword_list(F.col("event_id"), "number")).alias("keywords"),
     )
 
 
@@ -68,7 +69,7 @@ uniq AS (SELECT *, list_filter(t, lambda x, i: list_position(list_transform(t, l
    FROM clean)
 SELECT doc_id,
   CASE WHEN len(w) < 8 THEN NULL WHEN len(w) > 60 THEN array_to_string(w[1:60], ' ') ELSE d END AS description,
-  CASE WHEN len(w) >= 8 THEN CASE WHEN len(u) = 0 THEN ['Unknown'] ELSE u[1:5] END END AS genre_tags,
+  {sql_joined("CASE WHEN len(w) >= 8 THEN CASE WHEN len(u) = 0 THEN ['Unknown'] ELSE u[1:5] END END", ' | ')} AS genre_tags,
   CASE WHEN len(w) >= 8 THEN lang END AS general_mood,
   CASE WHEN len(w) >= 8 THEN 'Unknown' END AS lead_instrument,
   CASE WHEN len(w) < 8 THEN 'description too short: ' || d END AS error
@@ -89,6 +90,7 @@ def caption_normalise(spark, sf):
         )
     )
     out = captions.normalise_payload(docs.select("doc_id", payload.alias("payload")), "payload")
+    out = out.withColumn("genre_tags", joined("genre_tags", " | "))
     return out.select("doc_id", "description", "genre_tags", "general_mood", "lead_instrument", "error")
 
 
@@ -179,13 +181,13 @@ def word_dropout(spark, sf):
     "hashed_tokens",
     f"""WITH t AS (SELECT conv_id, turn, list_filter(regexp_split_to_array({sql_trim("text")}, '{SPACE}+'),
    lambda w: w <> '' AND w NOT IN ('?', ':', '!', '.', ',', ';')) AS ws FROM conversations)
-SELECT conv_id, turn, list_transform(ws, lambda w: {sql_fold("sha256(w)", 64, 4096)}) AS tokens,
+SELECT conv_id, turn, {sql_joined("list_transform(ws, lambda w: " + sql_fold("sha256(w)", 64, 4096) + ")")} AS tokens,
   CAST(len(ws) AS INTEGER) AS length FROM t""",
 )
 def hashed_tokens(spark, sf):
     turns = heavy_table(spark, sf, "conversations")
     return turns.select("conv_id", "turn", X.hash_tokens(F.col("text"), 4096).alias("h")).select(
-        "conv_id", "turn", "h.tokens", "h.length"
+        "conv_id", "turn", joined("h.tokens").alias("tokens"), "h.length"
     )
 
 
@@ -419,7 +421,7 @@ def description_drop(spark, sf):
 
 @query(
     "null_symbols",
-    """SELECT event_id, [194, 194, 194] AS frame_chords, [0.0::DOUBLE, 0.0::DOUBLE] AS melody FROM events""",
+    """SELECT event_id, '194,194,194' AS frame_chords, '0.0,0.0' AS melody FROM events""",
 )
 def null_symbols(spark, sf):
     rows = table(spark, sf, "events").select(
@@ -429,14 +431,14 @@ def null_symbols(spark, sf):
     )
     return rows.select(
         "event_id",
-        conditions.nullify_chords(F.col("chords"), 194).alias("frame_chords"),
-        conditions.nullify_melody(F.col("melody")).alias("melody"),
+        joined(conditions.nullify_chords(F.col("chords"), 194)).alias("frame_chords"),
+        joined(conditions.nullify_melody(F.col("melody"))).alias("melody"),
     )
 
 
 @query(
     "collated_conditions",
-    """SELECT batch, attribute, list(value ORDER BY pos) AS values FROM (
+    """SELECT batch, attribute, string_agg(value, ' / ' ORDER BY pos) AS values FROM (
  SELECT pos // 16 AS batch, attribute, value, pos FROM (
   SELECT row_number() OVER (ORDER BY conv_id, turn) - 1 AS pos, text, role FROM conversations) t,
   LATERAL (SELECT 'text.description' AS attribute, text AS value UNION ALL SELECT 'text.genre', role))
@@ -453,7 +455,7 @@ def collated_conditions(spark, sf):
         "pos",
         F.create_map(F.lit("text.description"), F.col("text"), F.lit("text.genre"), F.col("role")).alias("flat"),
     )
-    return conditions.collate_conditions(made, "batch", "pos", "flat")
+    return conditions.collate_conditions(made, "batch", "pos", "flat").withColumn("values", joined("values", " / "))
 
 
 @query(

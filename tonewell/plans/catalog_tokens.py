@@ -8,7 +8,7 @@ from tonewell.functions import arrays as A
 from tonewell.functions.hashing import uniform
 from tonewell.operators import batches, layouts, masks
 from tonewell.plans.catalog_metrics import V_SQL, vectors
-from tonewell.plans.registry import query, sql_u, table
+from tonewell.plans.registry import heavy_table, joined, query, sql_joined, sql_u, table
 
 
 def codes(spark, sf):
@@ -359,19 +359,19 @@ def framed_arrays(spark, sf):
 
 @query(
     "fitted_arrays",
-    f"""SELECT conv_id, turn, list_transform(range(50), lambda i: x[CAST(i % len(x) AS BIGINT) + 1]) AS x FROM ({TURN_SQL})""",
+    f"""SELECT conv_id, turn, {sql_joined("list_transform(range(50), lambda i: x[CAST(i % len(x) AS BIGINT) + 1])")} AS x FROM ({TURN_SQL})""",
 )
 def fitted_arrays(spark, sf):
-    return turn_frames(spark, sf).select("conv_id", "turn", A.fit_length(F.col("x"), 50).alias("x"))
+    return turn_frames(spark, sf).select("conv_id", "turn", joined(A.fit_length(F.col("x"), 50)).alias("x"))
 
 
 @query(
     "one_hot_frames",
-    f"""SELECT conv_id, turn, list_transform(range(len(x)), lambda i: CASE WHEN i + 1 = list_position(x, list_max(x)) AND list_max(x) <> 0 THEN 1.0 ELSE 0.0 END::DOUBLE) AS x
+    f"""SELECT conv_id, turn, {sql_joined("list_transform(range(len(x)), lambda i: CASE WHEN i + 1 = list_position(x, list_max(x)) AND list_max(x) <> 0 THEN 1.0 ELSE 0.0 END::DOUBLE)")} AS x
 FROM ({TURN_SQL})""",
 )
 def one_hot_frames(spark, sf):
-    return turn_frames(spark, sf).select("conv_id", "turn", A.argmax_one_hot(F.col("x")).alias("x"))
+    return turn_frames(spark, sf).select("conv_id", "turn", joined(A.argmax_one_hot(F.col("x"))).alias("x"))
 
 
 @query(
@@ -408,23 +408,22 @@ def window_plan(spark, sf):
     return batches.window_plan(docs, F.col("n_chars"), 400, 120, F.lit(25)).drop("n_chars")
 
 
+# The words of a document are its tokens.
 @query(
     "stitched_windows",
-    """SELECT doc_id, length(text) AS tokens, CAST(length(text) AS BIGINT) * (length(text) - 1) // 2 AS place_sum,
-  CAST(list_sum(list_transform(string_split(text, ''), lambda c: ascii(c))) AS BIGINT) AS code_sum
-FROM documents WHERE length(text) > 25""",
+    """SELECT doc_id, CAST(len(w) AS BIGINT) AS tokens, CAST(len(w) AS BIGINT) * (len(w) - 1) // 2 AS place_sum,
+  CAST(list_sum(list_transform(range(len(w)), lambda i: (i + 1) * length(w[i + 1]))) AS BIGINT) AS code_sum
+FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents) WHERE len(w) > 25""",
 )
 def stitched_windows(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    plan = batches.window_plan(docs, F.length("text"), 4000, 3000, F.lit(25))
+    docs = heavy_table(spark, sf, "documents").select("doc_id", F.split("text", " ", -1).alias("w"))
+    plan = batches.window_plan(docs, F.size("w"), 400, 300, F.lit(25))
     generated = plan.select(
-        "doc_id",
-        "window",
-        F.posexplode(F.split(F.substr("text", F.col("offset") + 1, F.col("gen_len")), "")).alias("pos", "code"),
-    )
-    stitched = batches.stitch_windows(generated, plan.drop("text"), "doc_id")
+        "doc_id", "window", F.posexplode(F.slice("w", F.col("offset") + 1, F.col("gen_len"))).alias("pos", "word")
+    ).withColumn("code", F.length("word"))
+    stitched = batches.stitch_windows(generated, plan.drop("w"), "doc_id")
     return stitched.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("tokens"),
         F.sum("t").cast("bigint").alias("place_sum"),
-        F.sum(F.ascii("code")).cast("bigint").alias("code_sum"),
+        F.sum((F.col("t") + 1) * F.col("code")).cast("bigint").alias("code_sum"),
     )

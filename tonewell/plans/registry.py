@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tonewell.functions.text import PY_SPACE
 from tonewell.session import configure, spread
@@ -62,3 +63,13 @@ def sql_fold(digest: str, digits: int, modulus: int) -> str:
 def sql_trim(value: str) -> str:
     """SQL text of Python's ``str.strip``."""
     return f"regexp_replace({value}, '^{PY_SPACE_SQL}+|{PY_SPACE_SQL}+$', '', 'g')"
+
+
+def joined(values, separator: str = ",") -> Column:
+    """A list as one text, so that results compare whatever type a client gives lists."""
+    column = F.col(values) if isinstance(values, str) else values
+    return F.array_join(F.transform(column, lambda v: v.cast("string")), separator)
+
+
+def sql_joined(values: str, separator: str = ",") -> str:
+    return f"array_to_string(list_transform({values}, lambda j: CAST(j AS VARCHAR)), '{separator}')"
