@@ -14,6 +14,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+# Steps times codebooks of a layout that may be broadcast.
+MAX_LAYOUT = 4_000_000
+
+
 @dataclass(frozen=True)
 class Layout:
     """Shape of a layout; use the builders below."""
@@ -224,6 +228,11 @@ def _kept_steps(layout: Layout, valid_only: bool) -> int:
     return layout.valid_steps if valid_only else layout.steps
 
 
+def _moves(moves: DataFrame, layout: Layout) -> DataFrame:
+    """Broadcast hint for the moves of a layout of known, limited size."""
+    return F.broadcast(moves) if layout.steps * layout.n_q <= MAX_LAYOUT else moves
+
+
 def interleave(
     codes: DataFrame, layout: Layout, special: int, valid_only: bool = False
 ) -> DataFrame:
@@ -231,7 +240,7 @@ def interleave(
 
     Codes of an item are dense, so its row with t = 0 also writes the special
     tokens of the steps its codebook leaves empty: no shuffle, one broadcast of
-    the layout (timesteps * n_q rows).
+    the layout (timesteps * n_q rows) while that is small.
     """
     spark = codes.sparkSession
     steps = _kept_steps(layout, valid_only)
@@ -251,7 +260,7 @@ def interleave(
         "q", "t", F.array(F.struct(F.col("s").alias("s"), F.lit(True).alias("mask"))).alias("cells")
     )
     moves = own.unionByName(holes).groupBy("q", "t").agg(F.flatten(F.collect_list("cells")).alias("cells"))
-    rows = codes.join(F.broadcast(moves), ["q", "t"]).withColumn("cell", F.explode("cells"))
+    rows = codes.join(_moves(moves, layout), ["q", "t"]).withColumn("cell", F.explode("cells"))
     return rows.select(
         "item",
         "q",
@@ -294,7 +303,7 @@ def deinterleave(
         .select("q", F.lit(0).alias("s"), "cells")
     )
     moves = found.unionByName(lost).groupBy("q", "s").agg(F.flatten(F.collect_list("cells")).alias("cells"))
-    rows = sequence.join(F.broadcast(moves), ["q", "s"]).withColumn("cell", F.explode("cells"))
+    rows = sequence.join(_moves(moves, layout), ["q", "s"]).withColumn("cell", F.explode("cells"))
     fill = special if isinstance(special, Column) else F.lit(special)
     return rows.select(
         "item",

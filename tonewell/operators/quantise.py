@@ -18,8 +18,11 @@ from pyspark.sql import types as T
 
 from tonewell.functions.hashing import uniform
 from tonewell.operators.scans import take_smallest
+from tonewell.session import broadcast_if_small
 
 MAX_CODEBOOK = 65536
+# Rows of a long codebook table (stage, code, dimension) that may be broadcast.
+MAX_CELLS = 4_000_000
 # Distances are compared after rounding: equal ones take the lowest code.
 DIGITS = 9
 
@@ -58,7 +61,7 @@ def quantise(df: DataFrame, vector: str, book: np.ndarray, out: str = "code") ->
 
 def dequantise(codes: DataFrame, codebook: DataFrame, keys: Sequence[str] = ("code",)) -> DataFrame:
     """Code vectors by a lookup join on the code (and codebook) columns."""
-    return codes.join(F.broadcast(codebook), list(keys))
+    return codes.join(broadcast_if_small(codebook, MAX_CODEBOOK), list(keys))
 
 
 def rvq_encode(
@@ -94,7 +97,7 @@ def rvq_decode(codes: DataFrame, books: DataFrame, item: str) -> DataFrame:
 
     ``codes``: (item, q, code); ``books``: (q, code, dim, value), model-sized.
     """
-    looked_up = codes.join(F.broadcast(books), ["q", "code"])
+    looked_up = codes.join(broadcast_if_small(books, MAX_CELLS), ["q", "code"])
     return looked_up.groupBy(item, "dim").agg(F.sum("value").alias("value"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tonewell.functions import arrays as A
 from tonewell.operators.scans import row_positions, running, span_bucket
+from tonewell.session import broadcast_if_small
 
 NO_CHORD = "N"
 UNKNOWN = "UNK"
@@ -27,10 +28,13 @@ def build_vocab(chords: DataFrame) -> DataFrame:
 
 def apply_vocab(df: DataFrame, vocab: DataFrame, column: str = "chord", strict: bool = False) -> DataFrame:
     """Symbol to ``idx``; an unknown symbol takes the index of the unknown symbol,
-    or raises with ``strict``."""
+    or raises with ``strict``.
+
+    The vocabulary is read three times: give a written or checkpointed one.
+    """
     known = vocab.select(F.col("chord").alias(column), "idx")
     fallback = vocab.filter(F.col("chord") == UNKNOWN).select(F.col("idx").alias("__unk"))
-    joined = df.join(F.broadcast(known), column, "left")
+    joined = df.join(broadcast_if_small(known), column, "left")
     if strict:
         message = F.concat(F.lit("unknown symbol "), F.col(column))
         return joined.withColumn("idx", F.coalesce("idx", F.raise_error(message).cast("int")))

@@ -13,7 +13,7 @@ from tonewell.plans.catalog_corpus import MANIFEST_SQL, MD5_100, manifest
 from tonewell.plans.catalog_joins import SECONDS_SQL, seconds
 from tonewell.plans.catalog_metrics import HISTORY_SQL, V_SQL, run_history, vectors
 from tonewell.plans.catalog_signal import CHUNK, sql_wave, waves
-from tonewell.plans.catalog_vectors import K, START_SQL, _assign_sql, start_codes
+from tonewell.plans.catalog_vectors import K, START_SQL, assign_sql, start_codes
 from tonewell.plans.registry import joined, query, sql_joined, table
 from tonewell.session import configure, scratch_path
 from tonewell.sources import caches, manifests, sidecars, wav
@@ -408,7 +408,7 @@ def _online_sql(steps: int = 4) -> str:
     ]
     for k in range(steps):
         parts.append(f"v{k} AS (SELECT vec_id, x FROM v WHERE label // 3 = {k})")
-        parts.append(f"a{k} AS {_assign_sql(f'v{k}', f't{k}')}")
+        parts.append(f"a{k} AS {assign_sql(f'v{k}', f't{k}')}")
         parts.append(
             f"""n{k} AS (SELECT code, sum(n) AS n, list(s ORDER BY i) AS s FROM (SELECT a.code, c.i, CASE WHEN c.i = 0 THEN count(*) ELSE 0 END AS n, sum(c.e) AS s
    FROM a{k} a JOIN cells c ON c.vec_id = a.vec_id GROUP BY a.code, c.i) GROUP BY code)"""

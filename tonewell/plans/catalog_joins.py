@@ -364,7 +364,7 @@ w AS (SELECT segment_id, track, unnest(range(CAST(floor(seek_time / 2.0) AS INTE
    FROM seg),
 hit AS (SELECT segment_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS dim
    FROM w JOIN frames USING (track, frame))
-SELECT segment_id, dim, round(avg(CAST(v AS DOUBLE)), 6) AS v FROM hit GROUP BY segment_id, dim""",
+SELECT segment_id, CAST(dim AS INTEGER) AS dim, round(avg(CAST(v AS DOUBLE)), 6) AS v FROM hit GROUP BY segment_id, dim""",
 )
 def embedding_chunks(spark, sf):
     frames = track_frames(spark, sf).select("track", "frame", F.col("embedding").alias("vector"))

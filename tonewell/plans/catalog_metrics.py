@@ -386,7 +386,7 @@ def run_history(spark, sf):
 
 @query(
     "best_so_far",
-    f"""WITH {HISTORY_SQL} SELECT run, metric, epoch, value, min(value) OVER w AS best, value = min(value) OVER w AS is_new_best
+    f"""WITH {HISTORY_SQL} SELECT run, metric, CAST(epoch AS INTEGER) AS epoch, value, min(value) OVER w AS best, value = min(value) OVER w AS is_new_best
 FROM h WINDOW w AS (PARTITION BY run, stage, metric ORDER BY epoch ROWS UNBOUNDED PRECEDING)""",
 )
 def best_so_far(spark, sf):

@@ -19,14 +19,14 @@ book0 AS (SELECT row_number() OVER (ORDER BY {sql_u('km', 'vec_id')}, vec_id) -
 """
 
 
-def _assign_sql(source: str, book: str) -> str:
+def assign_sql(source: str, book: str) -> str:
     """Nearest code per vector of ``source`` (vec_id, x)."""
     return f"""(SELECT vec_id, arg_min(code, {{'d': round(d, 9), 'c': code}}) AS code FROM (
    SELECT s.vec_id, b.code, list_dot_product(b.x, b.x) - 2.0 * list_dot_product(s.x, b.x) AS d
    FROM {source} s, {book} b) GROUP BY vec_id)"""
 
 
-def _means_sql(assigned: str, book: str) -> str:
+def means_sql(assigned: str, book: str) -> str:
     """Next codebook: mean of the members, the old code when there is none."""
     return f"""(SELECT b.code, CASE WHEN m.x IS NULL THEN b.x ELSE m.x END AS x FROM {book} b LEFT JOIN (
    SELECT code, list(e ORDER BY i) AS x FROM (SELECT a.code, c.i, avg(c.e) AS e FROM {assigned} a
@@ -36,8 +36,8 @@ def _means_sql(assigned: str, book: str) -> str:
 def _lloyd_sql(iterations: int) -> str:
     parts = [START_SQL]
     for k in range(iterations):
-        parts.append(f"assigned{k} AS {_assign_sql('v', f'book{k}')}")
-        parts.append(f"book{k + 1} AS {_means_sql(f'assigned{k}', f'book{k}')}")
+        parts.append(f"assigned{k} AS {assign_sql('v', f'book{k}')}")
+        parts.append(f"book{k + 1} AS {means_sql(f'assigned{k}', f'book{k}')}")
     return ",\n".join(parts)
 
 
@@ -45,7 +45,7 @@ def start_codes(spark, sf) -> np.ndarray:
     return quantise.init_centroids(vectors(spark, sf), "x", "vec_id", K, "km")
 
 
-@query("vq_assign", f"WITH {START_SQL} SELECT vec_id, CAST(code AS INTEGER) AS code FROM {_assign_sql('v', 'book0')}")
+@query("vq_assign", f"WITH {START_SQL} SELECT vec_id, CAST(code AS INTEGER) AS code FROM {assign_sql('v', 'book0')}")
 def vq_assign(spark, sf):
     return quantise.quantise(vectors(spark, sf), "x", start_codes(spark, sf)).select("vec_id", "code")
 
@@ -83,7 +83,7 @@ def _rvq_sql() -> str:
     parts = [START_SQL, "r0 AS (SELECT vec_id, x FROM v)"]
     for q, factor in enumerate((1.0, 0.5, 0.25)):
         parts.append(f"b{q} AS (SELECT code, list_transform(x, lambda e: e * {factor}) AS x FROM book0)")
-        parts.append(f"a{q} AS {_assign_sql(f'r{q}', f'b{q}')}")
+        parts.append(f"a{q} AS {assign_sql(f'r{q}', f'b{q}')}")
         parts.append(
             f"""r{q + 1} AS (SELECT r.vec_id, list_transform(list_zip(r.x, b.x), lambda z: z[1] - z[2]) AS x
    FROM r{q} r JOIN a{q} a ON a.vec_id = r.vec_id JOIN b{q} b ON b.code = a.code)"""
@@ -129,7 +129,7 @@ def commitment_error(spark, sf):
 
 @query(
     "dequantised",
-    f"""WITH {START_SQL}, a AS {_assign_sql('v', 'book0')}
+    f"""WITH {START_SQL}, a AS {assign_sql('v', 'book0')}
 SELECT a.vec_id, CAST(a.code AS INTEGER) AS code, round(list_sum(list_transform(list_zip(v.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 6) AS distance
 FROM a JOIN v ON v.vec_id = a.vec_id JOIN book0 b ON b.code = a.code""",
 )
@@ -154,7 +154,7 @@ def codebook_usage(spark, sf):
 
 
 EMA_SQL = f"""
-WITH {START_SQL}, a AS {_assign_sql('v', 'book0')},
+WITH {START_SQL}, a AS {assign_sql('v', 'book0')},
 n AS (SELECT code, count(*) AS n FROM a GROUP BY code),
 s AS (SELECT a.code, c.i AS dim, sum(c.e) AS s FROM a JOIN cells c ON c.vec_id = a.vec_id GROUP BY 1, 2),
 st AS (SELECT b.code, CAST(generate_subscripts(b.x, 1) - 1 AS INTEGER) AS dim, unnest(b.x) AS e FROM book0 b),
@@ -178,7 +178,7 @@ def codebook_ema(spark, sf):
 
 @query(
     "expired_codes",
-    f"""WITH {START_SQL}, a AS {_assign_sql('v', 'book0')}, n AS (SELECT code, count(*) AS n FROM a GROUP BY code),
+    f"""WITH {START_SQL}, a AS {assign_sql('v', 'book0')}, n AS (SELECT code, count(*) AS n FROM a GROUP BY code),
 f AS (SELECT row_number() OVER (ORDER BY {sql_u('fresh', 'vec_id')}, vec_id) - 1 AS code, x FROM v QUALIFY code < {K})
 SELECT CAST(b.code AS INTEGER) AS code, coalesce(n, 0) AS n, round((CASE WHEN coalesce(n, 0) < 60 THEN f.x ELSE b.x END)[1], 6) AS first
 FROM book0 b LEFT JOIN n ON n.code = b.code JOIN f ON f.code = b.code""",
