@@ -151,3 +151,20 @@ def test_paths(spark):
     assert one(spark, ["/x/.hidden", "a/b.c.d", "/z:in.json"], X.file_stem(F.col("c")), X.absolute_path(F.col("c"), "/r")) == [
         (".hidden", "/x/.hidden"), ("b.c", "/r/a/b.c.d"), ("z:in", "/z:in.json")
     ]
+
+
+def test_small_helpers(spark):
+    from tonewell.operators import ratings
+    from tonewell.session import broadcast_if_small, spread
+
+    rows = spark.createDataFrame([("a", None), (None, "d")], "name string, description string")
+    assert rows.filter(corpus.has_music_meta()).count() == 1 and rows.filter(corpus.has_sound_meta()).count() == 1
+    assert corpus.limit_rows(rows, 0).count() == 2 and corpus.limit_rows(rows, 1).count() == 1
+    given = spark.createDataFrame([("u", 1), ("u", 2)], "user string, rating int")
+    assert [r[0] for r in ratings.raters(given).collect()] == ["u"]
+    assert "broadcast" in broadcast_if_small(spark.range(5), 5)._jdf.queryExecution().logical().toString()
+    assert "broadcast" not in broadcast_if_small(spark.range(6), 5)._jdf.queryExecution().logical().toString()
+    one = spark.range(100).coalesce(1)
+    assert spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    many = spark.range(0, 100, 1, 64)
+    assert spread(many).rdd.getNumPartitions() == 64

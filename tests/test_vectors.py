@@ -88,6 +88,12 @@ def test_frechet_equals_numpy(spark):
     assert abs(covariance.frechet_distance(vectors(spark, a), vectors(spark, a), "x", "label").first()["distance"]) < 1e-6
 
 
+def test_groups_of_one_side_have_no_distance(spark):
+    a = vectors(spark, RNG.normal(size=(20, 3)), 1).unionByName(vectors(spark, RNG.normal(size=(20, 3)), 2))
+    b = vectors(spark, RNG.normal(size=(20, 3)), 2).unionByName(vectors(spark, RNG.normal(size=(20, 3)), 3))
+    assert [r["label"] for r in covariance.frechet_distance(a, b, "x", "label").collect()] == [2]
+
+
 def test_orthogonality(spark):
     book = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(RNG.normal(size=(7, 3)))], "code int, x array<double>")
     m = np.array([r["x"] for r in book.orderBy("code").collect()])

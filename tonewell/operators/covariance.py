@@ -106,13 +106,14 @@ def frechet_distance(test: DataFrame, background: DataFrame, vector: str, by: st
     schema = T.StructType([T.StructField(by, kind), T.StructField("distance", T.DoubleType())])
     moments = embedding_mean_cov(test, vector, by).withColumn("side", F.lit(0))
     moments = moments.unionByName(embedding_mean_cov(background, vector, by).withColumn("side", F.lit(1)))
-    both = moments.groupBy(by).agg(F.count_distinct("side").alias("__sides")).filter("__sides = 2")
-    complete = moments.join(both.select(by), by, "left_semi")
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
+        # A group of one side only has no distance.
+        if rows["side"].nunique() < 2:
+            return pd.DataFrame({by: [], "distance": []})
         return pd.DataFrame({by: [rows[by].iloc[0]], "distance": [_distance(rows)]})
 
-    return complete.groupBy(by).applyInPandas(solve, schema)
+    return moments.groupBy(by).applyInPandas(solve, schema)
 
 
 def diagonal_moments(df: DataFrame, vector: str, by: str) -> DataFrame:

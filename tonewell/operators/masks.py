@@ -139,8 +139,8 @@ def lowest_probability_spans(
             high = F.when(over, mid).otherwise(s["high"])
             return F.when(going, state(low, high, mid)).otherwise(s)
 
-        # Each round halves the range, so 32 rounds are enough for any int.
-        rounds = F.sequence(F.lit(1), F.lit(32))
+        # Each round halves a range that starts below the number of positions.
+        rounds = F.sequence(F.lit(1), F.ceil(F.log2(F.size(cover) + 1)).cast("int") + 2)
         return F.aggregate(rounds, state(low0, high0, middle(low0, high0)), halve, lambda s: s["chosen"])
 
     def masked(cover: Column) -> Column:

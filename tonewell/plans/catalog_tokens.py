@@ -9,6 +9,7 @@ from tonewell.functions.hashing import uniform
 from tonewell.operators import batches, layouts, masks
 from tonewell.plans.catalog_metrics import V_SQL, vectors
 from tonewell.plans.registry import heavy_table, joined, query, sql_joined, sql_u, table
+from tonewell.session import spread
 
 
 def codes(spark, sf):
@@ -199,7 +200,7 @@ pick AS (SELECT vec_id, max_by(chosen, k) AS chosen FROM b GROUP BY vec_id)
 SELECT c.vec_id, CAST(c.i AS INTEGER) AS t, CAST(cover < chosen AS INTEGER) AS m FROM c JOIN pick USING (vec_id)""",
 )
 def lowest_probability_spans(spark, sf):
-    out = masks.lowest_probability_spans(vectors(spark, sf), "x", F.col("label") * 6, 3)
+    out = masks.lowest_probability_spans(spread(vectors(spark, sf)), "x", F.col("label") * 6, 3)
     return long_mask(out)
 
 
