@@ -174,3 +174,23 @@ def test_split_percent_bounds():
 def test_share_bucket_keeps_the_last_value(spark):
     got = spark.createDataFrame([(0.0,), (0.999,), (1.0,)], "u double").select(share_bucket(F.col("u"), 4)).collect()
     assert [r[0] for r in got] == [0, 3, 3]
+
+
+def test_a_hot_group_is_many_tasks(spark):
+    rows = spark.range(60000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 500).cast("string")).alias("g"),
+        (F.col("id") / 10.0).alias("t"),
+        F.col("id").alias("v"),
+    )
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        out = running(rows, ["g"], span_bucket(F.col("t"), 50), [F.col("t")], {"s": ("sum", F.col("v"))})
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    # A window over the whole group would put 20,000 rows into one partition.
+    assert sum(sizes) == 60000 and max(sizes) < 8000

@@ -247,11 +247,14 @@ def run_set(spark, sf):
 # Chords: an event type is a chord symbol, a user is a track --------------------------
 
 
-def chord_events(spark, sf):
-    events = table(spark, sf, "events").select(
+def raw_events(spark, sf):
+    return table(spark, sf, "events").select(
         F.col("user_id").alias("track"), seconds().alias("time"), F.col("event_type").alias("chord"), "event_id"
     )
-    return symbolic.event_positions(events, 86400.0)
+
+
+def chord_events(spark, sf):
+    return symbolic.event_positions(raw_events(spark, sf), 86400.0)
 
 
 CHORDS_SQL = f"""
@@ -297,7 +300,7 @@ FROM hit h LEFT JOIN vocab v ON coalesce(h.chord, 'N') = v.chord""",
 def chord_frames(spark, sf):
     chords = chord_events(spark, sf)
     day = F.floor(F.col("time") / 86400.0)
-    segments = chords.select(
+    segments = raw_events(spark, sf).select(
         "track",
         (F.col("track") * 100 + day + 1).alias("segment_id"),
         (day * F.lit(86400.0) + F.lit(1800.0)).alias("seek_time"),
