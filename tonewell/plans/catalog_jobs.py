@@ -241,6 +241,11 @@ def converted_corpus(spark, sf):
 # Incremental jobs ------------------------------------------------------------------
 
 
+def state_partitions(spark) -> int:
+    """One state partition per core: enough for tables that a few files hold."""
+    return spark.sparkContext.defaultParallelism
+
+
 def weekly_files(spark, rows, label, day="day", weeks=5):
     """The rows written as one append per week, oldest first, for a stream to pick up."""
     folder = scratch_path(spark, label)
@@ -269,7 +274,7 @@ def running_metrics_stream(spark, sf):
     folder = weekly_files(spark, rows, "events")
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 8).parquet(folder)
     target = scratch_path(spark, "metrics")
-    jobs.running_metrics(stream.select("metric", "value"), target, scratch_path(spark, "check"))
+    jobs.running_metrics(stream.select("metric", "value"), target, scratch_path(spark, "check"), state_partitions(spark))
     out = jobs.latest_by_batch(spark, target, "metric")
     return out.select("metric", F.round("mean", 6).alias("mean"), "weight")
 
@@ -368,7 +373,7 @@ def feature_stats_stream(spark, sf):
         changed.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
     sums = jobs.online_feature_stats(stream, "x", "vec_id", 400)
-    jobs.run_available(sums, write, scratch_path(spark, "check"), mode="update")
+    jobs.run_available(sums, write, scratch_path(spark, "check"), mode="update", partitions=state_partitions(spark))
     out = jobs.finish_feature_stats(jobs.latest_by_batch(spark, target, "dim"))
     return out.select("dim", "n", F.round("mean", 9).alias("mean"), F.round("std", 9).alias("std"))
 
@@ -393,7 +398,8 @@ def chunk_windows_stream(spark, sf):
     def write(batch, batch_id):
         batch.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
-    jobs.run_available(chunk_windows(stream, 24, 9), write, scratch_path(spark, "check"))
+    windows = chunk_windows(stream, 24, 9)
+    jobs.run_available(windows, write, scratch_path(spark, "check"), partitions=state_partitions(spark))
     out = spark.read.parquet(target)
     return out.select(
         "clip_id", "frame", F.round(A.total(F.col("values")), 9).alias("mass"), F.size("values").alias("size")

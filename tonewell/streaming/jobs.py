@@ -22,16 +22,29 @@ def stream_manifest(spark: SparkSession, folder: str, max_files: int = 100) -> D
     return spark.readStream.schema(MANIFEST_SCHEMA).option("maxFilesPerTrigger", max_files).json(folder)
 
 
-def run_available(df: DataFrame, write, checkpoint: str, mode: str = "append") -> None:
-    """Process everything that is there, then stop."""
-    query: StreamingQuery = (
-        df.writeStream.outputMode(mode)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .foreachBatch(write)
-        .start()
-    )
-    query.awaitTermination()
+def run_available(
+    df: DataFrame, write, checkpoint: str, mode: str = "append", partitions: int | None = None
+) -> None:
+    """Process everything that is there, then stop.
+
+    ``partitions`` is the number of state partitions, fixed for the life of a
+    checkpoint; without it the session's shuffle partitions count.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get("spark.sql.shuffle.partitions")
+    if partitions is not None:
+        conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        query: StreamingQuery = (
+            df.writeStream.outputMode(mode)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .foreachBatch(write)
+            .start()
+        )
+        query.awaitTermination()
+    finally:
+        conf.set("spark.sql.shuffle.partitions", before)
 
 
 def stream_enrich(raw: DataFrame, payload: str, valid: str, failed: str, checkpoint: str) -> None:
@@ -57,7 +70,7 @@ def metric_values(sums: DataFrame, metric: str = "metric") -> DataFrame:
     return sums.select(metric, (F.col("total") / F.col("weight")).alias("mean"), "weight")
 
 
-def running_metrics(pairs: DataFrame, target: str, checkpoint: str) -> None:
+def running_metrics(pairs: DataFrame, target: str, checkpoint: str, partitions: int | None = None) -> None:
     """Current means after every micro-batch, one folder per batch id.
 
     Update mode hands over the changed metrics only; the newest folder of a
@@ -67,7 +80,7 @@ def running_metrics(pairs: DataFrame, target: str, checkpoint: str) -> None:
     def write(changed: DataFrame, batch_id: int) -> None:
         metric_values(changed).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
-    run_available(metric_sums(pairs), write, checkpoint, mode="update")
+    run_available(metric_sums(pairs), write, checkpoint, mode="update", partitions=partitions)
 
 
 def latest_by_batch(spark: SparkSession, target: str, key: str) -> DataFrame:
