@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonewell.llm import maxscore, packing, warc_chunks
+from tonewell.llm import fertility, maxscore, packing, pfair, token_rollup, warc_chunks
 from tonewell.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,16 @@ def genetic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), capacity=1024)
 
 
+@query("op2_tokenizer_fertility")
+def tokenizer_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.rules(documents(spark, sf_dir))
+
+
+@query("op4_token_rollups")
+def token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_rollup.corpus_rollup(spark, documents(spark, sf_dir))
+
+
 @query(
     "op5_maxscore_search",
     """
@@ -66,3 +76,9 @@ def maxscore_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_chunks.round_trip(spark, documents(spark, sf_dir, "pages"))
+
+
+@query("op9_pfair_mixing")
+def pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = pfair.mix(spark, documents(spark, sf_dir))
+    return mixed.select("doc_id", "source", "block", "slot")
