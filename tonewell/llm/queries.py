@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonewell.llm import fertility, maxscore, packing, pfair, token_rollup, warc_chunks
+from tonewell.llm import crf_language, fertility, maxscore, packing, pfair, pu_quality, token_rollup, warc_chunks
 from tonewell.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,13 @@ def tokenizer_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.rules(documents(spark, sf_dir))
 
 
+@query("op3_pu_quality")
+def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = documents(spark, sf_dir, "labels")
+    scored = pu_quality.classify(documents(spark, sf_dir), labels)
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 @query("op4_token_rollups")
 def token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_rollup.corpus_rollup(spark, documents(spark, sf_dir))
@@ -78,6 +85,11 @@ def warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_chunks.round_trip(spark, documents(spark, sf_dir, "pages"))
 
 
+@query("op8_crf_language")
+def language_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crf_language.identify(documents(spark, sf_dir))
+
+
 @query("op9_pfair_mixing")
 def pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = pfair.mix(spark, documents(spark, sf_dir))
