@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonewell.llm import crf_language, fertility, maxscore, packing, pfair, pu_quality, token_rollup, warc_chunks
+from tonewell.llm import (
+    bbit_minhash,
+    crf_language,
+    fertility,
+    maxscore,
+    packing,
+    pfair,
+    pu_quality,
+    token_rollup,
+    warc_chunks,
+)
 from tonewell.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,6 +95,37 @@ def warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_chunks.round_trip(spark, documents(spark, sf_dir, "pages"))
 
 
+@query(
+    "op7_bbit_minhash",
+    r"""
+    WITH RECURSIVE w AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+               'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+        FROM documents),
+    sh AS (
+        SELECT DISTINCT doc_id, CASE WHEN len(words) < 5 THEN array_to_string(words, ' ')
+               ELSE array_to_string(words[i:i + 4], ' ') END AS s
+        FROM (SELECT doc_id, words, unnest(range(1, greatest(1, len(words) - 4) + 1)) AS i FROM w WHERE len(words) > 0)),
+    n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+    rare AS (
+        SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS common
+        FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+    link AS (
+        SELECT u, v FROM rare JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v
+        WHERE 100 * common >= 85 * (x.n + y.n - common)),
+    edge AS (SELECT u, v FROM link UNION ALL SELECT v, u FROM link),
+    reach(doc_id, r) AS (
+        SELECT doc_id, doc_id FROM documents
+        UNION SELECT edge.v, reach.r FROM reach JOIN edge ON edge.u = reach.doc_id AND reach.r < edge.v)
+    SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+    FROM documents d LEFT JOIN n USING (doc_id)
+    JOIN (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id) c USING (doc_id)
+    """,
+)
+def minhash_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bbit_minhash.near_duplicates(documents(spark, sf_dir))
+
+
 @query("op8_crf_language")
 def language_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crf_language.identify(documents(spark, sf_dir))
