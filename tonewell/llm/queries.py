@@ -15,6 +15,7 @@ from tonewell.llm import (
     packing,
     pfair,
     pu_quality,
+    suffix_dedup,
     token_rollup,
     warc_chunks,
 )
@@ -135,3 +136,29 @@ def language_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = pfair.mix(spark, documents(spark, sf_dir))
     return mixed.select("doc_id", "source", "block", "slot")
+
+
+@query(
+    "op10_suffix_dedup",
+    """
+    WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+    w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s
+          FROM (SELECT doc_id, h, unnest(range(0, greatest(0, length(h) // 2 - 49))) AS i FROM t)),
+    least AS (SELECT s, min(doc_id) AS m FROM w GROUP BY s HAVING min(doc_id) <> max(doc_id)),
+    hit AS (SELECT doc_id, i FROM w JOIN least USING (s) WHERE m < doc_id),
+    step AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS s FROM hit),
+    run AS (SELECT doc_id, i, sum(s) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM step),
+    span AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM run GROUP BY doc_id, r),
+    gap AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS p FROM span),
+    spans AS (
+        SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, any_value(h) AS h, max(b) AS z,
+               string_agg(substr(h, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) AS k
+        FROM gap JOIN t USING (doc_id) GROUP BY doc_id)
+    SELECT t.doc_id, length(t.h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+           coalesce(n_spans, 0) AS n_spans,
+           sha256(unhex(CASE WHEN spans.doc_id IS NULL THEN t.h ELSE k || substr(t.h, 2 * z + 1) END)) AS kept_sha256
+    FROM t LEFT JOIN spans USING (doc_id)
+    """,
+)
+def suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeats(documents(spark, sf_dir))
