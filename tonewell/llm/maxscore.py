@@ -33,7 +33,7 @@ def _matrix(rows: pd.Series, width: int) -> np.ndarray:
     return out
 
 
-def search_block(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray, k: int, probe: int = 1024):
+def search_block(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray, k: int, probe: int = 1024, dense: int = 64):
     """The k best candidates of each query in one shard: (query row, candidate row, score).
 
     A term is a dimension and the sign of the query's weight; its bound is the largest
@@ -68,7 +68,14 @@ def search_block(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndar
 
     partial = np.where(mask, q, 0) @ c.T
     partial[q_ids[:, None] == c_ids[None, :]] = -np.inf
-    qi, ci = np.nonzero(partial + (rest_base + rest_gain)[:, None] >= threshold[:, None])
+    competitive = partial >= (threshold - rest_base - rest_gain)[:, None]
+    # where many vectors are competitive, all other terms are probed at once
+    many = competitive.sum(1) * dense > len(c)
+    if many.any():
+        partial[many] += np.where(mask[many], 0, q[many]) @ c.T
+        competitive[many] = partial[many] >= threshold[many, None]
+        n_essential = np.where(many, q.shape[1], n_essential)
+    qi, ci = np.nonzero(competitive)
     score = partial[qi, ci]
     live = np.isfinite(score)
     qi, ci, score = qi[live], ci[live], score[live]
