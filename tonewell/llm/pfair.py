@@ -7,7 +7,10 @@ import heapq
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-PLAN = "mix_name string, firsts array<long>, shares array<int>, starts array<long>, periods array<long>, slots array<array<int>>"
+PLAN = (
+    "mix_name string, mix_firsts array<long>, mix_shares array<int>, mix_starts array<long>, "
+    "mix_periods array<long>, mix_slots array<array<int>>"
+)
 
 
 def shares_of(weights: list[float], period: int) -> list[int]:
@@ -96,7 +99,8 @@ def mix(
 
     Null sources are one source, a source without a weight gets the smallest one given,
     null texts have no characters, repeated rows are separate documents, an empty table
-    gives no row. All columns of ``docs`` stay; names that begin with ``mix_`` are reserved.
+    gives no row. Columns of ``docs`` stay, but those named block and slot are replaced;
+    names that begin with ``mix_`` are reserved.
     """
     name = F.concat(F.when(F.col("source").isNull(), "n").otherwise("s"), F.coalesce("source", F.lit("")))
     sized = docs.withColumns(
@@ -109,6 +113,7 @@ def mix(
     stats = sized.groupBy("mix_source").agg(F.count("*").alias("n"), F.sum("mix_size").alias("size")).collect()
     if not stats:
         return docs.withColumns({"block": F.lit(0).cast("long"), "slot": F.lit(0).cast("long")})
+    own = [F.col(f"`{c}`") for c in docs.columns if c not in ("block", "slot")]
     if weights is None:
         target = {r["mix_source"]: r["size"] ** temper for r in stats}
     else:
@@ -142,18 +147,27 @@ def mix(
 
     count = {r["mix_source"]: -(-r["size"] // block_chars) for r in stats}
     plan = spark.createDataFrame(phases(count, target, period), PLAN)
-    phase = F.size(F.filter("firsts", lambda x: x <= F.col("block")))
-    nth = F.col("block") - F.element_at("firsts", phase)
-    share = F.element_at("shares", phase)
+    phase = F.size(F.filter("mix_firsts", lambda x: x <= F.col("block")))
+    nth = F.col("block") - F.element_at("mix_firsts", phase)
+    share = F.element_at("mix_shares", phase)
     turn = F.floor(nth / share)
     slot = (
-        F.element_at("starts", phase)
-        + turn * F.element_at("periods", phase)
-        + F.element_at(F.element_at("slots", phase), (nth - turn * share + 1).cast("int"))
+        F.element_at("mix_starts", phase)
+        + turn * F.element_at("mix_periods", phase)
+        + F.element_at(F.element_at("mix_slots", phase), (nth - turn * share + 1).cast("int"))
     )
     return (
         joined.join(F.broadcast(plan), F.col("mix_source") == F.col("mix_name"))
         .withColumn("slot", slot.cast("long"))
-        .select(*docs.columns, "block", "slot")
+        .select(*own, "block", "slot")
     )
 
+
+
+def in_mix_order(spark: SparkSession, docs: DataFrame, **settings) -> DataFrame:
+    """The rows of ``docs`` in the order of the mix, in range partitions; columns stay as they are."""
+    named = docs.withColumnsRenamed({c: f"own_{c}" for c in docs.columns if c in ("block", "slot")})
+    mixed = mix(spark, named, **settings)
+    ordered = mixed.repartitionByRange(F.col("slot")).sortWithinPartitions("slot", "block", "doc_id")
+    back = {f"own_{c}": c for c in docs.columns if c in ("block", "slot")}
+    return ordered.select(*named.columns).withColumnsRenamed(back)

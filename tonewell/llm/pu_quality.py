@@ -186,6 +186,22 @@ def score_column(text: Column, model: Model | None) -> Column:
     return score(F.coalesce(text, F.lit("")))
 
 
+def fold_model(docs: DataFrame, labels: DataFrame, fold: int, folds: int) -> Model | None:
+    """The model that reads no label of the held-out fold."""
+    learn = F.coalesce(remainder(folds) != fold, F.lit(False))
+    trusted = labels.filter(learn & (F.col("quality") == 1)).select("doc_id")
+    return fit(docs.filter(learn).select("doc_id", "text"), trusted)
+
+
+def remainder(folds: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
+
+
+def accepted(docs: DataFrame, labels: DataFrame, fold: int = 1, folds: int = 3) -> DataFrame:
+    """The rows of ``docs`` that score 0.5 or more; columns stay as they are."""
+    return docs.filter(score_column(F.col("text"), fold_model(docs, labels, fold, folds)) >= 0.5)
+
+
 def classify(docs: DataFrame, labels: DataFrame, fold: int = 1, folds: int = 3) -> DataFrame:
     """``docs`` with held_out, score and predicted; labels of the held-out fold are never read.
 
@@ -196,9 +212,7 @@ def classify(docs: DataFrame, labels: DataFrame, fold: int = 1, folds: int = 3)
     Without ten positives every score is 0.5. All columns of ``docs`` stay, those named
     held_out, score and predicted are replaced.
     """
-    remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
-    learn = F.coalesce(remainder != fold, F.lit(False))
-    trusted = labels.filter(learn & (F.col("quality") == 1)).select("doc_id")
-    model = fit(docs.filter(learn).select("doc_id", "text"), trusted)
-    scored = docs.withColumns({"held_out": F.coalesce(remainder == fold, F.lit(False)), "score": score_column(F.col("text"), model)})
+    model = fold_model(docs, labels, fold, folds)
+    held_out = F.coalesce(remainder(folds) == fold, F.lit(False))
+    scored = docs.withColumns({"held_out": held_out, "score": score_column(F.col("text"), model)})
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -24,7 +24,7 @@ from tonewell.llm.fertility import mixed
 LENGTH, GRAM = 50, 20
 LEFT = LENGTH - GRAM
 WIDTH = LEFT + LENGTH
-SHARD = "shard long, doc_ids binary, named binary, ends binary, size long, text binary"
+SHARD = "shard long, doc_ids binary, named binary, ends binary, size long, text binary, others binary"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -43,37 +43,57 @@ def unpack(data: bytes, kind) -> np.ndarray:
     return np.frombuffer(pa.decompress(data[8:], decompressed_size=size, codec="zstd", asbytes=True), kind)
 
 
-def shards(docs: DataFrame, shard_bytes: int = 1 << 21) -> DataFrame:
-    """Texts of a task's rows, joined and compressed in shards of about ``shard_bytes``."""
+def shards(docs: DataFrame, shard_bytes: int = 1 << 21, others: bool = False) -> DataFrame:
+    """Texts of a task's rows, joined and compressed in shards of about ``shard_bytes``.
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, seq, ids, texts, size = TaskContext.get().partitionId(), 0, [], [], 0
+    With ``others`` a shard also holds all columns but the text of its rows, so that the
+    rows can be given back whole without a join.
+    """
+
+    def cut(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        part, seq, held, ids, texts, size = TaskContext.get().partitionId(), 0, [], [], [], 0
 
         def row():
-            named = np.array([x is not None for x in ids])
-            values = np.array([0 if x is None else x for x in ids], np.int64)
-            ends = np.cumsum([len(t) for t in texts])
             text = np.frombuffer(b"".join(texts), np.uint8)
-            return pd.DataFrame(
-                {
-                    "shard": [(part << 32) + seq], "doc_ids": [pack(values)], "named": [pack(named)],
-                    "ends": [pack(ends.astype(np.int64))], "size": [len(text)], "text": [pack(text)],
-                }
-            )
+            sink = pa.BufferOutputStream()
+            if others:
+                table = pa.Table.from_batches(held).drop_columns(["__id", "__text"])
+                with pa.ipc.new_stream(sink, table.schema) as out:
+                    out.write_table(table)
+            columns = {
+                "shard": pa.array([(part << 32) + seq], pa.int64()),
+                "doc_ids": pa.array([pack(np.array([0 if x is None else x for x in ids], np.int64))], pa.binary()),
+                "named": pa.array([pack(np.array([x is not None for x in ids]))], pa.binary()),
+                "ends": pa.array([pack(np.cumsum([len(t) for t in texts]).astype(np.int64))], pa.binary()),
+                "size": pa.array([len(text)], pa.int64()),
+                "text": pa.array([pack(text)], pa.binary()),
+                "others": pa.array([pack(np.frombuffer(sink.getvalue(), np.uint8))], pa.binary()),
+            }
+            return pa.RecordBatch.from_pydict(columns)
 
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids.append(None if pd.isna(doc_id) else int(doc_id))
-                texts.append(text.encode("utf-8", "replace"))
-                size += len(texts[-1])
+            values = pc.cast(batch.column("__text"), pa.binary()).to_pylist()
+            from_ = 0
+            for i, (doc_id, text) in enumerate(zip(batch.column("__id").to_pylist(), values, strict=True)):
+                ids.append(doc_id)
+                texts.append(text)
+                size += len(text)
                 if size >= shard_bytes or len(ids) >= 20000:
+                    held.append(batch.slice(from_, i + 1 - from_))
                     yield row()
-                    seq, ids, texts, size = seq + 1, [], [], 0
+                    from_ = i + 1
+                    seq, held, ids, texts, size = seq + 1, [], [], [], 0
+            if from_ < batch.num_rows:
+                held.append(batch.slice(from_))
         if ids:
             yield row()
 
-    text = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return text.mapInPandas(cut, SHARD)
+    kept = [F.col(f"`{c}`") for c in docs.columns if c != "text"] if others else []
+    rows = docs.select(*kept, F.col("doc_id").cast("long").alias("__id"), F.coalesce("text", F.lit("")).alias("__text"))
+    return rows.mapInArrow(cut, SHARD)
 
 
 def sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
@@ -272,12 +292,17 @@ def repeats(docs: DataFrame, shard_bytes: int = 1 << 21, part_bytes: int = 1 <<
 
 
 def without_repeats(docs: DataFrame, shard_bytes: int = 1 << 21, part_bytes: int = 1 << 23, hot: int = 4096) -> DataFrame:
-    """``doc_id, text`` after the removal; bytes of characters that were cut apart are left out."""
-    return _run(docs, shard_bytes, part_bytes, hot, texts=True)
+    """``docs`` with what ``repeats`` counts taken out of ``text``; all other columns stay.
+
+    What is left of a character that was cut apart goes as well. Null text stays null.
+    """
+    out = _run(docs, shard_bytes, part_bytes, hot, texts=True)
+    return out.withColumn("text", F.when(F.col("__null"), F.lit(None)).otherwise(F.col("text"))).drop("__null")
 
 
 def _run(docs: DataFrame, shard_bytes: int, part_bytes: int, hot: int, texts: bool) -> DataFrame:
-    table = written(shards(docs, shard_bytes), "shards")
+    given = docs.withColumn("__null", F.col("text").isNull()) if texts else docs
+    table = written(shards(given, shard_bytes, others=texts), "shards")
     total = table.agg(F.sum("size")).first()[0] or 0
     parts = max(1, math.ceil(total / part_bytes))
     shared = shared_anchors(table, parts, hot)
@@ -375,32 +400,47 @@ def _run(docs: DataFrame, shard_bytes: int, part_bytes: int, hot: int, texts: bo
         "runs",
     )
 
-    def cut(key, rows: pd.DataFrame, lists: pd.DataFrame) -> pd.DataFrame:
+    both = table.groupBy("shard").cogroup(found.groupBy("shard"))
+    if not texts:
+        return both.applyInPandas(lambda key, rows, lists: _counted(rows, lists), RESULT)
+    columns = given.columns
+
+    def whole(rows, lists):
+        import pyarrow as pa
+
         out = []
-        for row in rows.itertuples():
+        held = lists.to_pandas()
+        for row in rows.to_pandas().itertuples():
             ids, _, ends, text = _shard(row)
-            covered = _covered(lists, ids, len(text))
-            starts = np.r_[0, ends[:-1]]
-            gone = np.r_[0, np.cumsum(covered)]
-            first = covered.copy()
-            if len(first):
-                first[1:] &= ~covered[:-1]
-                begins = starts[starts < len(first)]
-                first[begins] = covered[begins]
-            spans = np.r_[0, np.cumsum(first)]
-            ids = [None if not x else int(i) for i, x in zip(ids, unpack(row.named, bool), strict=True)]
-            for doc_id, a, b in zip(ids, starts.tolist(), ends.tolist(), strict=True):
-                removed = int(gone[b] - gone[a])
-                kept = text[a:b][~covered[a:b]].tobytes() if removed else text[a:b].tobytes()
-                if texts:
-                    out.append((doc_id, kept.decode("utf-8", "ignore")))
-                else:
-                    out.append((doc_id, b - a, removed, int(spans[b] - spans[a]), sha256(kept).hexdigest()))
-        names = ["doc_id", "text"] if texts else [c.split()[0] for c in RESULT.split(", ")]
-        return pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
-
-    schema = "doc_id long, text string" if texts else RESULT
-    return table.groupBy("shard").cogroup(found.groupBy("shard")).applyInPandas(cut, schema)
+            covered = _covered(held, ids, len(text))
+            left = [text[a:b][~covered[a:b]].tobytes().decode("utf-8", "ignore") for a, b in zip(np.r_[0, ends[:-1]], ends, strict=True)]
+            table = pa.ipc.open_stream(unpack(row.others, np.uint8).tobytes()).read_all()
+            table = table.append_column("text", pa.array(left, pa.string()))
+            out.append(table.select(columns))
+        return pa.concat_tables(out) if out else pa.table({c: [] for c in columns})
+
+    return both.applyInArrow(whole, given.schema)
+
+
+def _counted(rows: pd.DataFrame, lists: pd.DataFrame) -> pd.DataFrame:
+    """What goes from each document of a shard."""
+    out = []
+    for row in rows.itertuples():
+        ids, named, ends, text = _shard(row)
+        covered = _covered(lists, ids, len(text))
+        starts = np.r_[0, ends[:-1]]
+        gone = np.r_[0, np.cumsum(covered)]
+        first = covered.copy()
+        if len(first):
+            first[1:] &= ~covered[:-1]
+            begins = starts[starts < len(first)]
+            first[begins] = covered[begins]
+        spans = np.r_[0, np.cumsum(first)]
+        for i, there, a, b in zip(ids.tolist(), named.tolist(), starts.tolist(), ends.tolist(), strict=True):
+            removed = int(gone[b] - gone[a])
+            kept = text[a:b][~covered[a:b]] if removed else text[a:b]
+            out.append((i if there else None, b - a, removed, int(spans[b] - spans[a]), sha256(kept.tobytes()).hexdigest()))
+    return pd.DataFrame(out, columns=[c.split()[0] for c in RESULT.split(", ")]).astype({"doc_id": "Int64"})
 
 
 def _single(contexts, size, start, value, doc, is_hot):
