@@ -91,7 +91,7 @@ def _train(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, ep
     m, v, step = [np.zeros_like(x) for x in w], [np.zeros_like(x) for x in w], 0
     sigmoid = lambda t: 1 / (1 + np.exp(-np.clip(t, -30, 30)))
     size = 512
-    rounds = max(1, max(len(positive), len(unlabelled)) // size)
+    rounds = max(16, max(len(positive), len(unlabelled)) // size)
     for _ in range(epochs):
         for _ in range(rounds):
             p = positive[rng.integers(0, len(positive), min(size, 4 * len(positive)))]
@@ -110,7 +110,7 @@ def _train(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, ep
                 else:  # the negative part can't be a risk: climb back out of it
                     grad = np.r_[prior * sigmoid(gp) / len(p), -sigmoid(gu) / len(u)]
             back = np.outer(grad, w[2]) * (1 - h * h)
-            grads = [x.T @ back + 1e-4 * w[0], back.sum(0), h.T @ grad + 1e-4 * w[2], np.array([grad.sum()])]
+            grads = [x.T @ back + 1e-3 * w[0], back.sum(0), h.T @ grad + 1e-3 * w[2], np.array([grad.sum()])]
             step += 1
             for k, gk in enumerate(grads):
                 m[k] = 0.9 * m[k] + 0.1 * gk
