@@ -168,18 +168,20 @@ def rules(docs: DataFrame, fallback_limit: float = 0.2) -> DataFrame:
         )
 
     # a few rows per language, whose written size lets Spark choose a broadcast
-    whole = level(3).agg(F.first("band3").alias("band3"))
     joined = (
         found.join(level(0), (F.col("band_key") == F.col("bk")) & (F.col("size_class") == F.col("sc")), "left")
         .drop("bk", "sc")
         .join(level(1).drop("sc"), F.col("band_key") == F.col("bk"), "left")
         .drop("bk")
-        .join(F.broadcast(whole), F.lit(True), "left")
     )
-    chosen = F.coalesce("band0", "band1", "band3")
+    whole = band.filter("level = 3").select(*edges).first()
     inside = F.lit(True)
     for s in SIGNALS:
-        inside = inside & F.col(s).between(chosen[f"{s}_low"], chosen[f"{s}_high"])
+        low, high = (
+            F.coalesce(F.col("band0")[f"{s}_{side}"], F.col("band1")[f"{s}_{side}"], F.lit(whole[f"{s}_{side}"] if whole else None))
+            for side in ("low", "high")
+        )
+        inside = inside & F.col(s).between(low, high)
     kept = ~F.col("base_failed") & F.coalesce(inside, F.lit(True)) & (F.col("byte_fallback_share") <= fallback_limit)
     return joined.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
