@@ -41,6 +41,9 @@ def test_keyword_lists(spark):
 def test_key_and_bpm(spark):
     assert one(spark, ["C, D", " C Minor"], X.get_musical_key(F.col("c"))) == [(None,), ("c minor",)]
     assert one(spark, ["120", " 98.5 ", "fast"], X.get_bpm(F.col("c"))) == [(120.0,), (98.5,), (None,)]
+    odd = ["120f", "120d", "1_20", "1__20", "1e2", ".5", "5.", "-3", "", "0x10", "1 2", "Infinity", "+inf"]
+    want = [None, None, 120.0, None, 100.0, 0.5, 5.0, -3.0, None, None, None, float("inf"), float("inf")]
+    assert one(spark, odd, X.get_bpm(F.col("c"))) == [(x,) for x in want]
 
 
 def test_slugify(spark):
@@ -120,10 +123,12 @@ def test_payloads(spark):
 
 
 def test_flatten_config(spark):
-    config = {"a": {"b": {"c": 1, "d": [1, 2]}, "e": True}, "f": "x", "g": None}
+    deep = {"z": {"y": {"x": {"w": {"v": {"u": {"t": {"s": "{not}"}}}}}}}}
+    config = {"a": {"b": {"c": 1, "d": [1, 2]}, "e": True}, "f": "x", "g": None, **deep}
     rows = spark.createDataFrame([(1, json.dumps(config))], "id int, config string")
     got = {r["name"]: r["value"] for r in captions.flatten_config(rows, "id", "config").collect()}
-    assert got == {"a.b.c": "1", "a.b.d": "[1,2]", "a.e": "true", "f": "x", "g": None}
+    assert got == {"a.b.c": "1", "a.b.d": "[1,2]", "a.e": "true", "f": "x", "g": None, "z.y.x.w.v.u.t.s": "{not}"}
+    assert captions.flatten_config(rows.limit(0), "id", "config").collect() == []
 
 
 def test_word_dropout_limits(spark):
@@ -155,15 +160,13 @@ def test_paths(spark):
 
 def test_small_helpers(spark):
     from tonewell.operators import ratings
-    from tonewell.session import broadcast_if_small, spread
+    from tonewell.session import spread
 
     rows = spark.createDataFrame([("a", None), (None, "d")], "name string, description string")
     assert rows.filter(corpus.has_music_meta()).count() == 1 and rows.filter(corpus.has_sound_meta()).count() == 1
     assert corpus.limit_rows(rows, 0).count() == 2 and corpus.limit_rows(rows, 1).count() == 1
     given = spark.createDataFrame([("u", 1), ("u", 2)], "user string, rating int")
     assert [r[0] for r in ratings.raters(given).collect()] == ["u"]
-    assert "broadcast" in broadcast_if_small(spark.range(5), 5)._jdf.queryExecution().logical().toString()
-    assert "broadcast" not in broadcast_if_small(spark.range(6), 5)._jdf.queryExecution().logical().toString()
     one = spark.range(100).coalesce(1)
     assert spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     many = spark.range(0, 100, 1, 64)

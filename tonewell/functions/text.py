@@ -92,8 +92,15 @@ def get_musical_key(c: Column) -> Column:
     return F.when(~word.contains(","), word)
 
 
+#: What counts as a number: digits with single underscores, a fraction, an exponent, or a name.
+_DIGITS = r"[0-9]+(?:_[0-9]+)*"
+NUMBER = rf"(?i)^[+-]?(?:(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:e[+-]?{_DIGITS})?|inf|infinity|nan)$"
+
+
 def get_bpm(c: Column) -> Column:
-    return strip(c).try_cast("double")
+    """Number of a string; null for anything else, also for a number with a type suffix."""
+    plain = strip(c)
+    return F.when(plain.rlike(NUMBER), F.replace(plain, F.lit("_"), F.lit("")).try_cast("double"))
 
 
 def normalise_text(c: Column, default: str = "Unknown") -> Column:

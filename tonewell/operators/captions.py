@@ -73,8 +73,26 @@ def split_errors(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return df.filter(F.col("error").isNull()).drop("error"), df.filter(F.col("error").isNotNull())
 
 
-def flatten_config(df: DataFrame, key: str, config: str, depth: int = 6) -> DataFrame:
-    """Nested JSON config as (key, dotted name, value); lists keep their JSON text."""
+def nesting(config: Column) -> Column:
+    """Most braces open at once in a JSON text, those inside strings left out."""
+    bare = F.regexp_replace(config, r'"(?:[^"\\]|\\.)*+"', "")
+    marks = F.split(F.regexp_replace(bare, r"[^{}]", ""), "")
+    start = F.struct(F.lit(0).alias("open"), F.lit(0).alias("most"))
+
+    def step(s, mark):
+        now = s["open"] + F.when(mark == "{", 1).when(mark == "}", -1).otherwise(0)
+        return F.struct(now.alias("open"), F.greatest(s["most"], now).alias("most"))
+
+    return F.coalesce(F.aggregate(marks, start, step)["most"], F.lit(0))
+
+
+def flatten_config(df: DataFrame, key: str, config: str) -> DataFrame:
+    """Nested JSON config as (key, dotted name, value); lists keep their JSON text.
+
+    As many levels are opened as the deepest config has; that number is all that
+    reaches the driver.
+    """
+    depth = max(1, df.agg(F.max(nesting(F.col(config)))).first()[0] or 0)
     level = df.select(key, F.lit("").alias("name"), F.parse_json(config).alias("v"))
     done = None
     for _ in range(depth):

@@ -133,13 +133,9 @@ def frechet_distance_diagonal(test: DataFrame, background: DataFrame, vector: st
     return a.join(b, [by, "dim"]).groupBy(by).agg(F.sum(term).alias("distance"))
 
 
-def feature_stats(df: DataFrame, vector: str, position: str | None = None, max_samples: int | None = None) -> DataFrame:
-    """(dim, n, mean, std) from count, sum and sum of squares; the variance is floored at 0.
-
-    With ``position`` and ``max_samples`` only the first samples are used.
-    """
-    rows = df if max_samples is None else df.filter(F.col(position) < max_samples)
-    cells = rows.select(F.posexplode(vector).alias("dim", "v")).withColumn("v", F.col("v").cast("double"))
+def feature_stats(df: DataFrame, vector: str) -> DataFrame:
+    """(dim, n, mean, std) of all rows from count, sum and sum of squares; the variance is floored at 0."""
+    cells = df.select(F.posexplode(vector).alias("dim", "v")).withColumn("v", F.col("v").cast("double"))
     sums = cells.groupBy("dim").agg(
         F.count(F.lit(1)).alias("n"), F.sum("v").alias("s1"), F.sum(F.col("v") * F.col("v")).alias("s2")
     )

@@ -1,12 +1,12 @@
 """Token choice from score tables: top-k, nucleus, guided scores, draws.
 
-One row per decoding step holds its scores as an array; rows are exploded to
-(step, token, p), so a window group has as many rows as the vocabulary.
+One row per decoding step holds its scores as an array, and every choice stays in
+that row: sorting, running masses and draws are array expressions, without a shuffle.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonewell.functions import arrays as A
@@ -17,38 +17,68 @@ from tonewell.functions.hashing import uniform
 DIGITS = 12
 
 
-def token_probabilities(df: DataFrame, step: str, logits: str, temperature: float = 1.0) -> DataFrame:
-    probs = A.softmax(A.doubles(F.col(logits)), temperature)
-    return df.select(step, F.posexplode(probs).alias("token", "p"))
+def token_probabilities(logits: Column, temperature: float = 1.0) -> Column:
+    """Array of (token, p) in token order."""
+    return F.transform(
+        A.softmax(A.doubles(logits), temperature), lambda p, i: F.struct(i.alias("token"), p.alias("p"))
+    )
 
 
-def _renormalise(df: DataFrame, step: str) -> DataFrame:
-    return df.withColumn("p", F.col("p") / F.sum("p").over(Window.partitionBy(step)))
+def _renormalise(kept: Column) -> Column:
+    mass = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x["p"])
+    return A.let(
+        kept,
+        lambda xs: A.let(
+            mass(xs),
+            lambda m: F.transform(xs, lambda x: F.struct(x["token"].alias("token"), (x["p"] / m).alias("p"))),
+        ),
+    )
 
 
-def nucleus_filter(probs: DataFrame, step: str, p: float) -> DataFrame:
+def _likely_first(probs: Column) -> Column:
+    """The tokens by falling probability, equal ones by number."""
+    keyed = F.transform(probs, lambda x: F.struct((-x["p"]).alias("o"), x["token"].alias("token"), x["p"].alias("p")))
+    return F.array_sort(keyed)
+
+
+def nucleus_filter(probs: Column, p: float) -> Column:
     """Keep tokens while the mass before them is at most p; the crossing one stays."""
-    order = Window.partitionBy(step).orderBy(F.col("p").desc(), F.col("token"))
-    before = F.sum("p").over(order) - F.col("p")
-    kept = probs.withColumn("__b", F.round(before, DIGITS)).filter(F.col("__b") <= F.lit(p)).drop("__b")
-    return _renormalise(kept, step)
+    start = F.struct(F.lit(0.0).alias("mass"), F.array().cast("array<struct<token:int,p:double>>").alias("kept"))
+
+    def step(s, x):
+        kept = F.concat(s["kept"], F.array(F.struct(x["token"].alias("token"), x["p"].alias("p"))))
+        return F.struct(
+            (s["mass"] + x["p"]).alias("mass"),
+            F.when(F.round(s["mass"], DIGITS) <= F.lit(p), kept).otherwise(s["kept"]).alias("kept"),
+        )
+
+    return _renormalise(F.aggregate(_likely_first(probs), start, step)["kept"])
 
 
-def top_k_filter(probs: DataFrame, step: str, k: int) -> DataFrame:
+def top_k_filter(probs: Column, k: int) -> Column:
     """Keep every token at least as likely as the k-th one (ties stay)."""
-    order = Window.partitionBy(step).orderBy(F.col("p").desc())
-    kept = probs.withColumn("__r", F.rank().over(order)).filter(F.col("__r") <= k).drop("__r")
-    return _renormalise(kept, step)
 
+    def cut(xs):
+        least = F.get(F.sort_array(F.transform(xs, lambda x: x["p"]), asc=False), F.least(F.lit(k), F.size(xs)) - 1)
+        return A.let(least, lambda low: F.filter(xs, lambda x: x["p"] >= low))
+
+    return _renormalise(A.let(probs, cut))
+
+
+def draw_token(probs: Column, u: Column) -> Column:
+    """The first token, by number, whose cumulative mass exceeds the draw.
 
-def draw_token(probs: DataFrame, step: str, seed) -> DataFrame:
-    """One token per step: the first one whose cumulative mass exceeds the draw."""
-    order = Window.partitionBy(step).orderBy("token")
-    placed = probs.withColumn("__c", F.sum("p").over(order))
-    u = uniform(seed, F.col(step))
-    # Rounding may leave the last sum below 1; the last token then takes the draw.
-    hit = F.min(F.when(F.col("__c") > u, F.col("token")))
-    return placed.groupBy(step).agg(F.coalesce(hit, F.max("token")).alias("token"))
+    Rounding may leave the last sum below the draw; the last token then takes it.
+    """
+    start = F.struct(F.lit(0.0).alias("mass"), F.lit(None).cast("int").alias("hit"), F.lit(None).cast("int").alias("last"))
+
+    def step(s, x):
+        mass = s["mass"] + x["p"]
+        hit = F.when(s["hit"].isNull() & (mass > u), x["token"]).otherwise(s["hit"])
+        return F.struct(mass.alias("mass"), hit.alias("hit"), x["token"].alias("last"))
+
+    by_number = F.array_sort(probs)
+    return A.let(F.aggregate(by_number, start, step), lambda s: F.coalesce(s["hit"], s["last"]))
 
 
 def categorical_draw(
@@ -60,19 +90,14 @@ def categorical_draw(
     temperature: float = 1.0,
     top_k: int = 0,
     top_p: float = 0.0,
+    out: str = "token",
 ) -> DataFrame:
     """Next token per step: greedy without sampling or temperature, else top-p, top-k, plain."""
     if not use_sampling or temperature <= 0.0:
-        return df.select(step, A.argmax(A.doubles(F.col(logits))).alias("token"))
-    probs = token_probabilities(df, step, logits, temperature)
+        return df.withColumn(out, A.argmax(A.doubles(F.col(logits))))
+    probs = token_probabilities(F.col(logits), temperature)
     if top_p > 0.0:
-        probs = nucleus_filter(probs, step, top_p)
+        probs = nucleus_filter(probs, top_p)
     elif top_k > 0:
-        probs = top_k_filter(probs, step, top_k)
-    return draw_token(probs, step, seed)
-
-
-def guided(df: DataFrame, cond: str, uncond: str, strength: float, out: str = "scores") -> DataFrame:
-    return df.withColumn(out, A.guided_scores(A.doubles(F.col(cond)), A.doubles(F.col(uncond)), strength))
-
-
+        probs = top_k_filter(probs, top_k)
+    return df.withColumn(out, draw_token(probs, uniform(seed, F.col(step))))

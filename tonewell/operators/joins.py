@@ -69,17 +69,17 @@ def attach_sidecar_with_fallback(
 
 
 def apply_paraphrase(
-    df: DataFrame, paraphrases: DataFrame, p: float, seed, info_path: str = "info_path"
+    df: DataFrame, paraphrases: DataFrame, p: float, seed, row_id: str, info_path: str = "info_path"
 ) -> DataFrame:
     """With probability p the description becomes one of the texts of its info path.
 
     ``paraphrases`` has one row (info_path, texts) per key; a missing key keeps
-    the description.
+    the description. Every row draws for itself, by its ``row_id``.
     """
     right = paraphrases.select(F.col("info_path").alias("__info"), "texts")
     joined = df.join(right, F.col(info_path) == F.col("__info"), "left")
-    chosen = X.pick_element(F.col("texts"), f"{seed}:pick", F.col(info_path))
-    use = uniform(f"{seed}:use", F.col(info_path)) < F.lit(p)
+    chosen = X.pick_element(F.col("texts"), f"{seed}:pick", F.col(row_id))
+    use = uniform(f"{seed}:use", F.col(row_id)) < F.lit(p)
     return joined.withColumn(
         "description", F.when(use & F.col("__info").isNotNull(), chosen).otherwise(F.col("description"))
     ).drop("__info", "texts")

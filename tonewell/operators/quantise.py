@@ -1,7 +1,7 @@
 """Vector and residual quantisation of embedding tables.
 
-A codebook is model-sized (codes * dimensions). It is read once, checked against
-``MAX_CODEBOOK`` and shipped to the tasks, where each Arrow batch is one matrix
+A codebook is model-sized (codes * dimensions). Wherever one meets the driver, its
+bytes are checked against ``MAX_BOOK_BYTES`` first; it is shipped to the tasks, where each Arrow batch is one matrix
 product. The vectors themselves are never shuffled to be encoded.
 """
 
@@ -18,20 +18,23 @@ from pyspark.sql import types as T
 
 from tonewell.functions.hashing import uniform
 from tonewell.operators.scans import take_smallest
-from tonewell.session import broadcast_if_small
 
-MAX_CODEBOOK = 65536
-# Rows of a long codebook table (stage, code, dimension) that may be broadcast.
-MAX_CELLS = 4_000_000
+# Bytes of a codebook, as doubles, that the driver and each task may hold.
+MAX_BOOK_BYTES = 1 << 28
 # Distances are compared after rounding: equal ones take the lowest code.
 DIGITS = 9
 
 
+def check_book(codes: int, dims: int) -> None:
+    if 8 * codes * dims > MAX_BOOK_BYTES:
+        raise ValueError(f"a codebook has at most {MAX_BOOK_BYTES} bytes, not {codes} codes of {dims} numbers")
+
+
 def codebook_matrix(codebook: DataFrame, code: str = "code", vector: str = "vector") -> np.ndarray:
-    """Codes in order as a matrix; a table that is no codebook is refused."""
-    rows = codebook.select(code, vector).limit(MAX_CODEBOOK + 1).collect()
-    if len(rows) > MAX_CODEBOOK:
-        raise ValueError(f"a codebook has at most {MAX_CODEBOOK} codes")
+    """Codes in order as a matrix; a table too large for a codebook is refused before it is read."""
+    size = codebook.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vector)).alias("d")).first()
+    check_book(size["n"], size["d"] or 0)
+    rows = codebook.select(code, vector).collect()
     rows.sort(key=lambda r: r[0])
     return np.array([r[1] for r in rows], dtype=np.float64)
 
@@ -61,7 +64,7 @@ def quantise(df: DataFrame, vector: str, book: np.ndarray, out: str = "code") ->
 
 def dequantise(codes: DataFrame, codebook: DataFrame, keys: Sequence[str] = ("code",)) -> DataFrame:
     """Code vectors by a lookup join on the code (and codebook) columns."""
-    return codes.join(broadcast_if_small(codebook, MAX_CODEBOOK), list(keys))
+    return codes.join(codebook, list(keys))
 
 
 def rvq_encode(
@@ -97,7 +100,7 @@ def rvq_decode(codes: DataFrame, books: DataFrame, item: str) -> DataFrame:
 
     ``codes``: (item, q, code); ``books``: (q, code, dim, value), model-sized.
     """
-    looked_up = codes.join(broadcast_if_small(books, MAX_CELLS), ["q", "code"])
+    looked_up = codes.join(books, ["q", "code"])
     return looked_up.groupBy(item, "dim").agg(F.sum("value").alias("value"))
 
 
@@ -109,6 +112,7 @@ def commitment_error(encoded: DataFrame) -> DataFrame:
 
 def init_centroids(df: DataFrame, vector: str, key: str, k: int, seed) -> np.ndarray:
     """k random rows; drawn with replacement when there are fewer than k rows."""
+    check_book(k, df.agg(F.max(F.size(vector))).first()[0] or 0)
     rows = take_smallest(df.select(key, vector), k, uniform(seed, F.col(key)), [F.col(key)])
     picked = rows.withColumn("__u", uniform(seed, F.col(key))).collect()
     picked.sort(key=lambda r: (r["__u"], r[key]))
@@ -147,21 +151,28 @@ def assignment_stats(df: DataFrame, vector: str, book: np.ndarray) -> DataFrame:
     return cells.groupBy("code", "dim").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
 
 
+def packed_stats(stats: DataFrame) -> DataFrame:
+    """(code, n, sums): the sums of a code as one array."""
+    ordered = F.array_sort(F.collect_list(F.struct("dim", "s")))
+    return stats.groupBy("code").agg(F.max("n").alias("n"), F.transform(ordered, lambda x: x["s"]).alias("sums"))
+
+
 def kmeans(df: DataFrame, vector: str, start: np.ndarray, iterations: int) -> tuple[np.ndarray, np.ndarray]:
     """Lloyd iterations: (means, counts of the last assignment).
 
-    Only codes * dimensions sums come back per iteration, so the plan does not
-    grow with the iterations and needs no checkpoint. An empty cluster keeps its
-    mean.
+    One packed row per code comes back in each iteration, a checked number of bytes,
+    so the plan does not grow with the iterations and needs no checkpoint. An empty
+    cluster keeps its mean.
     """
     means = np.array(start, dtype=np.float64)
+    check_book(*means.shape)
     counts = np.zeros(len(means), dtype=np.int64)
     for _ in range(iterations):
         counts = np.zeros(len(means), dtype=np.int64)
         fresh = means.copy()
-        for row in assignment_stats(df, vector, means).collect():
+        for row in packed_stats(assignment_stats(df, vector, means)).toLocalIterator():
             counts[row["code"]] = row["n"]
-            fresh[row["code"], row["dim"]] = row["s"] / row["n"]
+            fresh[row["code"]] = np.array(row["sums"]) / row["n"]
         means = fresh
     return means, counts
 
@@ -227,7 +238,7 @@ def expire_codes(
         return state
     picked = init_centroids(batch, vector, key, codes, seed)
     fresh = book_table(state.sparkSession, picked).withColumnRenamed("vector", "__fresh")
-    joined = state.join(F.broadcast(fresh), "code", "left")
+    joined = state.join(fresh, "code", "left")
     dead = F.col("cluster_size") < F.lit(threshold)
     return joined.withColumn("vector", F.when(dead, F.col("__fresh")).otherwise(F.col("vector"))).drop("__fresh")
 

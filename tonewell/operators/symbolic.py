@@ -7,23 +7,25 @@ from pyspark.sql import functions as F
 
 from tonewell.functions import arrays as A
 from tonewell.operators.scans import row_positions, running, span_bucket
-from tonewell.session import broadcast_if_small
 
 NO_CHORD = "N"
 UNKNOWN = "UNK"
 
 
 def build_vocab(chords: DataFrame) -> DataFrame:
-    """(chord, idx): dense index by first (track, pos); the unknown symbol comes last."""
+    """(chord, idx): dense index by first (track, pos); the unknown symbol comes last.
+
+    If the data holds the unknown symbol, it keeps its place in the count, and its one
+    entry takes the last index all the same.
+    """
     # Plain minima first, the pair (track, pos) only per symbol and track.
     per_track = chords.groupBy("chord", "track").agg(F.min("pos").alias("pos"))
     first = per_track.groupBy("chord").agg(F.min(F.struct("track", "pos")).alias("first"))
-    unknown = F.lit(None).cast(first.schema["first"].dataType).alias("first")
-    spark = chords.sparkSession
-    symbols = first.unionByName(spark.range(1).select(F.lit(UNKNOWN).alias("chord"), unknown))
     # One row per distinct symbol: the vocabulary, not the events.
-    order = Window.orderBy(F.col("first").asc_nulls_last())
-    return symbols.select("chord", (F.row_number().over(order) - 1).cast("int").alias("idx"))
+    order = Window.orderBy(F.col("first"))
+    placed = first.select("chord", (F.row_number().over(order) - 1).cast("int").alias("idx"))
+    last = placed.agg(F.count(F.lit(1)).cast("int").alias("idx")).select(F.lit(UNKNOWN).alias("chord"), "idx")
+    return placed.filter(~F.col("chord").eqNullSafe(UNKNOWN)).unionByName(last)
 
 
 def apply_vocab(df: DataFrame, vocab: DataFrame, column: str = "chord", strict: bool = False) -> DataFrame:
@@ -33,18 +35,12 @@ def apply_vocab(df: DataFrame, vocab: DataFrame, column: str = "chord", strict:
     The vocabulary is read three times: give a written or checkpointed one.
     """
     known = vocab.select(F.col("chord").alias(column), "idx")
-    fallback = vocab.filter(F.col("chord") == UNKNOWN).select(F.col("idx").alias("__unk"))
-    joined = df.join(broadcast_if_small(known), column, "left")
+    joined = df.join(known, column, "left")
     if strict:
         message = F.concat(F.lit("unknown symbol "), F.col(column))
         return joined.withColumn("idx", F.coalesce("idx", F.raise_error(message).cast("int")))
-    one = F.broadcast(fallback.withColumn("__one", F.lit(1)))
-    return (
-        joined.withColumn("__one", F.lit(1))
-        .join(one, "__one", "left")
-        .withColumn("idx", F.coalesce("idx", "__unk"))
-        .drop("__one", "__unk")
-    )
+    fallback = vocab.filter(F.col("chord") == UNKNOWN).agg(F.max("idx")).scalar()
+    return joined.withColumn("idx", F.coalesce("idx", fallback))
 
 
 def group_chords(chords: DataFrame, block_seconds: float = 600.0) -> DataFrame:

@@ -360,7 +360,7 @@ def vector_files(spark, sf):
 @query(
     "feature_stats_stream",
     f"""WITH {V_SQL} SELECT CAST(i AS INTEGER) AS dim, count(*) AS n, round(avg(e), 9) AS mean, round(sqrt(greatest(avg(e * e) - avg(e) * avg(e), 0)), 9) AS std
-FROM cells WHERE vec_id < 400 GROUP BY i""",
+FROM cells GROUP BY i""",
 )
 def feature_stats_stream(spark, sf):
     from tonewell.streaming import jobs
@@ -372,7 +372,7 @@ def feature_stats_stream(spark, sf):
     def write(changed, batch_id):
         changed.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
-    sums = jobs.online_feature_stats(stream, "x", "vec_id", 400)
+    sums = jobs.online_feature_stats(stream, "x")
     jobs.run_available(sums, write, scratch_path(spark, "check"), mode="update", partitions=state_partitions(spark))
     out = jobs.finish_feature_stats(jobs.latest_by_batch(spark, target, "dim"))
     return out.select("dim", "n", F.round("mean", 9).alias("mean"), F.round("std", 9).alias("std"))

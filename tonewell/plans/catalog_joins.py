@@ -65,8 +65,8 @@ def sidecar_fallback(spark, sf):
 
 @query(
     "paraphrased",
-    f"""SELECT d.doc_id, CASE WHEN b.item_id IS NOT NULL AND {sql_u('9:use', 'd.source')} < 0.5
-   THEN s[CAST(floor({sql_u('9:pick', 'd.source')} * len(s)) AS INTEGER) + 1] ELSE d.text END AS description
+    f"""SELECT d.doc_id, CASE WHEN b.item_id IS NOT NULL AND {sql_u('9:use', 'd.doc_id')} < 0.5
+   THEN s[CAST(floor({sql_u('9:pick', 'd.doc_id')} * len(s)) AS INTEGER) + 1] ELSE d.text END AS description
 FROM documents d LEFT JOIN (SELECT item_id, string_split(text, '.') AS s,
    'src' || CAST(item_id AS VARCHAR) AS k FROM benchmark) b ON b.k = d.source""",
 )
@@ -76,7 +76,7 @@ def paraphrased(spark, sf):
         F.concat(F.lit("src"), F.col("item_id").cast("string")).alias("info_path"),
         F.split("text", "\\.", -1).alias("texts"),
     )
-    return joins.apply_paraphrase(docs, texts, 0.5, 9).select("doc_id", "description")
+    return joins.apply_paraphrase(docs, texts, 0.5, 9, "doc_id").select("doc_id", "description")
 
 
 @query(

@@ -423,18 +423,21 @@ TOPP_SQL = """topp AS (SELECT vec_id, token, p / sum(p) OVER (PARTITION BY vec_i
    WHERE round(b, 12) <= 0.6)"""
 
 
-def step_probs(spark, sf):
-    return decoding.token_probabilities(vectors(spark, sf), "vec_id", "x", 0.25)
+def step_tokens(spark, sf, choose):
+    """(vec_id, token, p) of the tokens that ``choose`` keeps."""
+    probs = decoding.token_probabilities(F.col("x"), 0.25)
+    rows = vectors(spark, sf).select("vec_id", F.inline(choose(probs)))
+    return rows.withColumn("p", F.round("p", 9))
 
 
 @query("top_k_filter", f"{STEP_SQL}, {TOPK_SQL} SELECT vec_id, CAST(token AS INTEGER) AS token, round(p, 9) AS p FROM topk")
 def top_k_filter(spark, sf):
-    return decoding.top_k_filter(step_probs(spark, sf), "vec_id", 8).withColumn("p", F.round("p", 9))
+    return step_tokens(spark, sf, lambda probs: decoding.top_k_filter(probs, 8))
 
 
 @query("nucleus_filter", f"{STEP_SQL}, {TOPP_SQL} SELECT vec_id, CAST(token AS INTEGER) AS token, round(p, 9) AS p FROM topp")
 def nucleus_filter(spark, sf):
-    return decoding.nucleus_filter(step_probs(spark, sf), "vec_id", 0.6).withColumn("p", F.round("p", 9))
+    return step_tokens(spark, sf, lambda probs: decoding.nucleus_filter(probs, 0.6))
 
 
 @query(
@@ -453,13 +456,15 @@ FROM v JOIN hit_p USING (vec_id) JOIN hit_k USING (vec_id) JOIN hit USING (vec_i
 def categorical_draw(spark, sf):
     rows = vectors(spark, sf)
 
-    def drawn(name, **how):
-        return decoding.categorical_draw(rows, "vec_id", "x", "tok", **how).withColumnRenamed("token", name)
-
-    out = drawn("nucleus", temperature=0.25, top_p=0.6, top_k=3)
-    out = out.join(drawn("top_k", temperature=0.25, top_k=8), "vec_id")
-    out = out.join(drawn("plain", temperature=0.25), "vec_id")
-    return out.join(drawn("greedy", temperature=0.0), "vec_id")
+    choices = {
+        "nucleus": {"temperature": 0.25, "top_p": 0.6, "top_k": 3},
+        "top_k": {"temperature": 0.25, "top_k": 8},
+        "plain": {"temperature": 0.25},
+        "greedy": {"temperature": 0.0},
+    }
+    for name, how in choices.items():
+        rows = decoding.categorical_draw(rows, "vec_id", "x", "tok", out=name, **how)
+    return rows.select("vec_id", *choices)
 
 
 @query(

@@ -46,13 +46,13 @@ def keyword_normalise(spark, sf):
 @query(
     "bpm_and_numbers",
     """SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS bpm,
-  TRY_CAST(event_type AS DOUBLE) AS bad_bpm, CAST(event_id AS VARCHAR) AS keywords FROM events""",
+  CASE WHEN event_id % 2 = 0 THEN CAST(event_id AS DOUBLE) END AS bad_bpm, CAST(event_id AS VARCHAR) AS keywords FROM events""",
 )
 def bpm_and_numbers(spark, sf):
     return table(spark, sf, "events").select(
         "event_id",
         X.get_bpm(F.get_json_object("props", "$.k")).alias("bpm"),
-        X.get_bpm(F.col("event_type")).alias("bad_bpm"),
+        X.get_bpm(F.concat(F.col("event_id").cast("string"), F.when(F.col("event_id") % 2 == 0, "").otherwise("f"))).alias("bad_bpm"),
         joined(X.get_keyword_list(F.col("event_id"), "number")).alias("keywords"),
     )
 
@@ -275,14 +275,19 @@ def zip_paths(spark, sf):
     """SELECT event_id, name, value FROM (
   SELECT event_id, 'run.kind' AS name, event_type AS value FROM events
   UNION ALL SELECT event_id, 'run.props.k', json_extract_string(props, '$.k') FROM events
-  UNION ALL SELECT event_id, 'user', CAST(user_id AS VARCHAR) FROM events)""",
+  UNION ALL SELECT event_id, 'user', CAST(user_id AS VARCHAR) FROM events
+  UNION ALL SELECT event_id, 'l1.l2.l3.l4.l5.l6.l7.l8.l9', event_type FROM events WHERE event_id % 3 = 0)""",
 )
 def flat_config(spark, sf):
     events = table(spark, sf, "events").select(
         "event_id",
         F.concat(
             F.lit('{"run": {"kind": "'), "event_type", F.lit('", "props": '), "props",
-            F.lit('}, "user": '), F.col("user_id").cast("string"), F.lit("}"),
+            F.lit('}, "user": '), F.col("user_id").cast("string"),
+            # every third config is nine levels deep
+            F.when(F.col("event_id") % 3 == 0, F.concat(F.lit(', "l1": ' + "".join(f'{{"l{i}": ' for i in range(2, 10)) + '"'), "event_type", F.lit('"' + "}" * 8)))
+            .otherwise(F.lit("")),
+            F.lit("}"),
         ).alias("config"),
     )
     return captions.flatten_config(events, "event_id", "config")

@@ -63,14 +63,14 @@ def lloyd_step(spark, sf):
 
 @query(
     "kmeans_multi",
-    f"""WITH {_lloyd_sql(4)} SELECT CAST(b.code AS INTEGER) AS code, coalesce(n, 0) AS n, round(list_sum(list_transform(x, lambda e: e * e)), 6) AS energy
-FROM book4 b LEFT JOIN (SELECT code, count(*) AS n FROM assigned3 GROUP BY code) c ON c.code = b.code""",
+    f"""WITH {_lloyd_sql(4)} SELECT CAST(code AS INTEGER) AS code, n, CAST(i - 1 AS INTEGER) AS dim, round(e, 6) AS value
+FROM (SELECT b.code, coalesce(n, 0) AS n, unnest(x) AS e, generate_subscripts(x, 1) AS i FROM book4 b LEFT JOIN (SELECT code, count(*) AS n FROM assigned3 GROUP BY code) c ON c.code = b.code)""",
 )
 def kmeans_multi(spark, sf):
     means, counts = quantise.kmeans(vectors(spark, sf), "x", start_codes(spark, sf), 4)
     rows = [(i, int(n), [float(v) for v in m]) for i, (n, m) in enumerate(zip(counts, means))]
     out = spark.createDataFrame(rows, "code int, n bigint, vector array<double>")
-    return out.select("code", "n", F.round(A.dot(F.col("vector"), F.col("vector")), 6).alias("energy"))
+    return out.select("code", "n", F.posexplode("vector").alias("dim", "value")).withColumn("value", F.round("value", 6))
 
 
 def residual_books(spark, sf):

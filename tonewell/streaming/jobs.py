@@ -91,9 +91,9 @@ def latest_by_batch(spark: SparkSession, target: str, key: str) -> DataFrame:
     return newest.select(key, "r.*")
 
 
-def online_feature_stats(vectors: DataFrame, vector: str, position: str, max_samples: int) -> DataFrame:
-    """(dim, n, s1, s2) of the first samples, as a streaming aggregate."""
-    cells = vectors.filter(F.col(position) < max_samples).select(F.posexplode(vector).alias("dim", "v"))
+def online_feature_stats(vectors: DataFrame, vector: str) -> DataFrame:
+    """(dim, n, s1, s2) of all samples so far, as a streaming aggregate."""
+    cells = vectors.select(F.posexplode(vector).alias("dim", "v"))
     return cells.groupBy("dim").agg(
         F.count(F.lit(1)).alias("n"), F.sum("v").alias("s1"), F.sum(F.col("v") * F.col("v")).alias("s2")
     )
@@ -217,10 +217,11 @@ def online_codebook(
                 .select("code", F.posexplode("vector").alias("dim", "embed"))
                 .select("code", "dim", F.lit(0.0).alias("cluster_size"), F.col("embed").alias("embed_avg"), "embed")
             )
-        rows = state.collect()
         book = np.zeros_like(np.asarray(start, dtype=np.float64))
-        for r in rows:
-            book[r["code"], r["dim"]] = r["embed"]
+        quantise.check_book(*book.shape)
+        ordered = F.transform(F.array_sort(F.collect_list(F.struct("dim", "embed"))), lambda x: x["embed"])
+        for r in state.groupBy("code").agg(ordered.alias("vector")).toLocalIterator():
+            book[r["code"]] = r["vector"]
         stats = quantise.assignment_stats(batch, vector, book)
         moved = quantise.codebook_ema(state.drop("embed"), stats, decay, codes)
         if threshold:
@@ -228,7 +229,7 @@ def online_codebook(
             fresh = quantise.book_table(spark, quantise.init_centroids(batch, vector, key, codes, f"{seed}:{batch_id}"))
             cells = fresh.select("code", F.posexplode("vector").alias("dim", "__fresh"))
             dead = state.filter(F.col("cluster_size") < threshold).select("code").distinct().withColumn("__dead", F.lit(True))
-            moved = moved.join(F.broadcast(cells), ["code", "dim"]).join(F.broadcast(dead), "code", "left")
+            moved = moved.join(cells, ["code", "dim"]).join(dead, "code", "left")
             moved = moved.withColumn(
                 "embed", F.when(F.col("__dead") & F.lit(batch_id > 0), F.col("__fresh")).otherwise(F.col("embed"))
             ).drop("__fresh", "__dead")
