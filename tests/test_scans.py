@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tonewell.operators import corpus, sampling
-from tonewell.operators.scans import range_bucket, row_positions, running, share_bucket, span_bucket, take_smallest
+from tonewell.operators.scans import row_positions, running, share_bucket, sorted_positions, span_bucket, take_smallest
 
 
 @pytest.fixture(scope="module")
@@ -38,16 +38,29 @@ def test_positions(frame, rows):
     assert {r["id"]: r["pos"] for r in got} == expected
 
 
-def test_global_positions_by_sampled_ranges(frame, rows):
-    frame, rows = frame.dropna(subset=["g"]), [r for r in rows if r[1] is not None]
-    got = row_positions(frame, [], range_bucket(frame, ["g", "id"], 8), [F.col("g"), F.col("id")], "pos").collect()
-    expected = {r[0]: i for i, r in enumerate(sorted(rows, key=lambda r: (r[1], r[0])))}
+def test_positions_by_range(frame, rows):
+    got = sorted_positions(frame.repartition(3), [], ["g", "id"]).collect()
+    expected = {r[0]: i for i, r in enumerate(sorted(rows, key=lambda r: (r[1] is not None, r[1] or "", r[0])))}
     assert {r["id"]: r["pos"] for r in got} == expected
+    inside = {r["id"]: r["pos"] for r in sorted_positions(frame, ["g"], ["t", "id"]).collect()}
+    for group in groups(rows).values():
+        want = sorted(group, key=lambda r: (r[2] is not None, r[2] or 0, r[0]))
+        assert [inside[r[0]] for r in want] == list(range(len(group)))
 
 
-def test_range_buckets_split_a_hot_value(frame):
-    sizes = frame.groupBy(range_bucket(frame, ["g", "id"], 8).alias("b")).count().collect()
-    assert max(r["count"] for r in sizes) < 200
+def test_one_value_in_nearly_all_rows_is_many_parts(spark):
+    df = spark.range(20000).select("id", F.when(F.col("id") % 100 == 0, F.col("id")).otherwise(7).alias("v"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = sorted_positions(df.repartition(4), [], ["v"], label="hot")
+        parts = got.groupBy(F.floor(F.col("pos") / 1)).count()
+        assert parts.count() == 20000
+        seven = got.filter("v = 7").agg(F.min("pos").alias("a"), F.max("pos").alias("b")).first()
+        assert seven["b"] - seven["a"] + 1 == got.filter("v = 7").count()
+        busy = got.filter("v = 7").select(F.spark_partition_id().alias("p")).groupBy("p").count()
+        assert busy.filter("count > 2000").count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 @pytest.mark.parametrize("inclusive", [True, False])

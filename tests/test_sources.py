@@ -194,12 +194,13 @@ def test_batches(spark, tmp_path):
     path = str(tmp_path / "batches")
     rows = spark.range(30).select(F.col("id").alias("pos"), (F.col("id") * 2).alias("v"))
     caches.write_batches(rows, path, 1, 10)
-    got = caches.read_batches(spark, path, 1, rank=1, batch=4, world=2).collect()
-    assert sorted(r["pos"] for r in got) == [u * 10 + i for u in range(3) for i in range(4, 8)]
+    got = caches.read_batches(spark, path, 1).collect()
+    assert sorted((r["update"], r["item"], r["pos"]) for r in got) == [(i // 10, i % 10, i) for i in range(30)]
     with pytest.raises(ValueError):
-        caches.read_batches(spark, path, 1, rank=0, batch=6, world=2)
+        caches.read_batches(spark, path, 1, min_length=4)
+    caches.write_batches(rows.filter("pos < 10 OR pos >= 20"), path, 2, 10)
     with pytest.raises(ValueError):
-        caches.read_batches(spark, path, 1, rank=0, batch=2, world=2, min_length=4)
+        caches.read_batches(spark, path, 2)
 
 
 def test_failures_are_appended(spark, tmp_path):

@@ -6,13 +6,13 @@ from tonewell.streaming import jobs
 from tonewell.streaming.stateful import chunk_windows
 
 
-def appended(spark, rows, schema, key, parts):
-    """One file per part, oldest first."""
+def appended(spark, rows, schema, key, parts, files=2):
+    """Several files per part, oldest part first, the rows of a part in no order."""
     folder = scratch_path(spark, "stream")
     df = spark.createDataFrame(rows, schema)
     for part in parts:
-        df.filter(F.col(key) == part).coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder), df
+        df.filter(F.col(key) == part).repartition(files).write.mode("append").parquet(folder)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 3).parquet(folder), df
 
 
 def test_windows_over_chunks(spark):
@@ -24,7 +24,7 @@ def test_windows_over_chunks(spark):
         starts = list(range(0, len(x), 8))
         for i, s in enumerate(starts):
             rows.append((c, i, [float(v) for v in x[s : s + 8]], i == len(starts) - 1))
-    stream, _ = appended(spark, rows, "clip_id bigint, chunk_idx int, samples array<double>, is_last boolean", "chunk_idx", range(5))
+    stream, _ = appended(spark, rows, "clip_id bigint, chunk_idx int, samples array<double>, is_last boolean", "chunk_idx", [3, 0, 4, 2, 1])
     target = scratch_path(spark, "windows")
     jobs.run_available(
         chunk_windows(stream, 8, 4), lambda b, i: b.write.mode("overwrite").parquet(f"{target}/batch={i}"), scratch_path(spark, "c")
@@ -55,8 +55,9 @@ def test_average_state(spark):
     rows = [("hot" if i % 3 else "cold", float(i), float(rng.normal()), i // 40) for i in range(200)]
     stream, df = appended(spark, rows, "name string, t double, v double, part int", "part", range(5))
     folder = scratch_path(spark, "ema")
-    jobs.ema_state(stream, folder, scratch_path(spark, "c"), "name", "t", "v", 0.9, 16.0)
-    newest = jobs.newest_version(spark, folder)
+    jobs.ema_state(stream, folder, scratch_path(spark, "c"), "name", "t", "v", 0.9, 80.0)
+    newest = jobs.finished_ema(spark, folder, "name", "t", "v", 0.9)
+    assert spark.read.parquet(f"{folder}/late/*").count() == 0
     for unbias in (True, False):
         got = {r["name"]: r["ema"] for r in jobs.ema_value(newest, "name", 0.9, unbias).collect()}
         for name in ("hot", "cold"):

@@ -164,7 +164,9 @@ def test_small_helpers(spark):
 
     rows = spark.createDataFrame([("a", None), (None, "d")], "name string, description string")
     assert rows.filter(corpus.has_music_meta()).count() == 1 and rows.filter(corpus.has_sound_meta()).count() == 1
-    assert corpus.limit_rows(rows, 0).count() == 2 and corpus.limit_rows(rows, 1).count() == 1
+    assert corpus.limit_rows(rows, 0, ["name"]).count() == 2
+    assert corpus.limit_rows(rows, 1, ["name"]).first()["description"] == "d"
+    assert corpus.sample_with_repeat(rows.limit(0), 5, 1, "name").count() == 0
     given = spark.createDataFrame([("u", 1), ("u", 2)], "user string, rating int")
     assert [r[0] for r in ratings.raters(given).collect()] == ["u"]
     one = spark.range(100).coalesce(1)

@@ -1,4 +1,4 @@
-"""Manifest level operators: filters, splits, shards, projections, totals."""
+"""Manifest level operators: filters, splits, projections, totals."""
 
 from __future__ import annotations
 
@@ -122,9 +122,9 @@ def has_sound_meta() -> Column:
     return F.col("description").isNotNull()
 
 
-def limit_rows(df: DataFrame, n: int) -> DataFrame:
-    """First n rows; 0 keeps all."""
-    return df if n == 0 else df.limit(n)
+def limit_rows(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
+    """First n rows in the order of the columns; 0 keeps all."""
+    return df if n == 0 else df.orderBy(*order).limit(n)
 
 
 def clip_plan(df: DataFrame, position: str, default_seconds: float = 10.0) -> DataFrame:
@@ -183,10 +183,6 @@ def corpus_totals(df: DataFrame, keep: Column) -> DataFrame:
     )
 
 
-def shard(position: Column, shards: int, index: int) -> Column:
-    return position % F.lit(shards) == F.lit(index)
-
-
 def random_order(df: DataFrame, seed, key: str, buckets: int = 1024, by: Sequence[str] = ()) -> DataFrame:
     """Random position ``pos`` of each row (per group), deterministic in the seed."""
     u = uniform(seed, *[F.col(c) for c in by], F.col(key))
@@ -206,13 +202,17 @@ def random_subset(df: DataFrame, n: int, seed, key: str) -> DataFrame:
 def sample_with_repeat(df: DataFrame, n: int, seed, key: str) -> DataFrame:
     """n rows of a pool; a pool smaller than n is repeated floor(n / size) + 1 times."""
     size = df.count()
-    copies = n // size + 1 if n > size else 1
+    copies = n // size + 1 if 0 < size < n else 1
     pool = df.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
     return take_smallest(pool, n, uniform(seed, F.col(key), F.col("copy")), [F.col(key), F.col("copy")])
 
 
 def retain_latest(df: DataFrame, run: str, version: str, n: int) -> DataFrame:
-    """The last n numbered versions of each run."""
+    """The last n numbered versions of each run.
+
+    Spark cuts every run to n rows in each task before it shuffles (a group limit
+    below the window), so a run with most rows is a few rows per task.
+    """
     newest = Window.partitionBy(run).orderBy(F.col(version).desc())
     return df.withColumn("__r", F.row_number().over(newest)).filter(F.col("__r") <= n).drop("__r")
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tonewell.operators.scans import range_bucket, row_positions
+from tonewell.operators.scans import sorted_positions
 
 
 def is_prompted() -> Column:
@@ -76,7 +76,7 @@ def match_unstable(samples: DataFrame, runs: Sequence[str], value: str = "path")
     Runs are trimmed to the shortest one; a run without such samples gives none.
     """
     free = samples.filter(~is_prompted() & ~is_conditioned()).filter(F.col("run").isin(*runs))
-    placed = row_positions(free, ["run"], range_bucket(free, ["id"]), [F.col("id")], "pos")
+    placed = sorted_positions(free, ["run"], ["id"])
     packed = F.map_from_entries(F.array_sort(F.collect_list(F.struct("run", value))))
     # A position up to the shortest run is the one every run has.
     return (

@@ -162,6 +162,8 @@ def permute_files(
     permutation is ranked once and its positions give the draw numbers.
     """
     size = files.count()
+    if not size:
+        return files.select(F.lit(0).cast("bigint").alias("index"), key)
     first, last = epoch * n // size, (epoch * n + n - 1) // size
     orders = files.select(key).withColumn("perm", F.explode(F.sequence(F.lit(first), F.lit(last))))
     orders = orders.withColumn("u", uniform(f"perm:{seed}", F.col("perm"), F.col(key)))

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tonewell.session import scratch_path
+
 BUCKET = "__bucket"
 
 
@@ -152,30 +154,36 @@ def span_bucket(position: Column, width) -> Column:
     return F.floor(position / F.lit(width)).cast("bigint")
 
 
-def range_bucket(df: DataFrame, columns: Sequence[str], buckets: int | None = None) -> Column:
-    """Ordered bucket of one or more columns, from a bounded sample of their values.
+def sorted_positions(
+    df: DataFrame, by: Sequence[str], order: Sequence[str], out: str = "pos", label: str = "positions"
+) -> DataFrame:
+    """Zero-based rank inside each group in the order of plain columns, as a bigint column ``out``.
 
-    At most 32 tuples per bucket (those with the smallest hashes) reach the
-    driver; they only choose the cut points, every row stays in the result. With
-    a unique last column no bucket can get hot, whatever the first ones repeat.
+    Spark's range shuffle cuts the sorted rows in partitions, and the hash of all other
+    columns breaks ties, so one value that fills most rows is still many partitions.
+    The sorted rows are written with their place, which fixes the cuts; what is added is
+    one offset per partition and one first place per group.
     """
-    if buckets is None:
-        partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        buckets = min(max(partitions, 32), 1024)
-    picked = df.select(*columns).dropna().orderBy(F.xxhash64(*columns)).limit(buckets * 32)
-    values = sorted(
-        {tuple(row) for row in picked.collect()},
-        key=lambda t: tuple(v.encode("utf-8") if isinstance(v, str) else v for v in t),
-    )
-    step = max(1, -(-len(values) // buckets))
-    cuts = values[step::step]
-    if not cuts:
-        return F.lit(0)
-
-    def as_struct(parts) -> Column:
-        return F.struct(*[p.alias(c) for p, c in zip(parts, columns)])
-
-    types = [df.schema[c].dataType for c in columns]
-    literals = [as_struct([F.lit(v).cast(t) for v, t in zip(cut, types)]) for cut in cuts]
-    here = as_struct([F.col(c) for c in columns])
-    return F.size(F.filter(F.array(*literals), lambda c: c <= here))
+    rest = [f.name for f in df.schema.fields if isinstance(f.dataType, T.AtomicType) and f.name not in (*by, *order)]
+    tie = F.xxhash64(*rest) if rest else F.lit(0).cast("bigint")
+    keys = [*by, *order, "__tie"]
+    ranged = df.withColumn("__tie", tie).repartitionByRange(*keys).sortWithinPartitions(*keys).drop("__tie")
+    # The lower 33 bits count the rows of a partition.
+    here = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    path = scratch_path(df.sparkSession, label)
+    ranged = ranged.withColumns({"__part": F.spark_partition_id(), "__here": here})
+    ranged.write.parquet(path)
+    placed = df.sparkSession.read.schema(ranged.schema).parquet(path)
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per partition of the range shuffle.
+    offsets = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    offsets = offsets.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
+    ranked = placed.join(F.broadcast(offsets), "__part").withColumn(out, F.col("__here") + F.col("__offset"))
+    if by:
+        groups = [F.col(c).alias(f"__g{i}") for i, c in enumerate(by)]
+        firsts = ranked.groupBy(*groups).agg(F.min(out).alias("__first"))
+        match = F.lit(True)
+        for i, c in enumerate(by):
+            match = match & F.col(c).eqNullSafe(F.col(f"__g{i}"))
+        ranked = ranked.join(firsts, match).withColumn(out, F.col(out) - F.col("__first"))
+    return ranked.select(*df.columns, F.col(out).cast("bigint").alias(out))

@@ -70,10 +70,10 @@ def split_sampling_summary(spark, sf):
     "row_number() OVER (ORDER BY path) - 1 AS pos FROM manifest",
 )
 def manifest_order(spark, sf):
-    from tonewell.operators.scans import range_bucket, row_positions
+    from tonewell.operators.scans import sorted_positions
 
     rows = manifest(spark, sf).select("path", "duration", "sample_rate", "weight")
-    return row_positions(rows, [], range_bucket(rows, ["path"]), [F.col("path")])
+    return sorted_positions(rows, [], ["path"])
 
 
 @query(
@@ -151,17 +151,6 @@ def pool_with_repeat(spark, sf):
     return corpus.sample_with_repeat(pool, 500, "pool", "item_id")
 
 
-@query(
-    "shard_members",
-    f"""SELECT page_id, pos FROM (
-  SELECT page_id, row_number() OVER (ORDER BY {sql_u('shard', 'page_id')}, page_id) - 1 AS pos FROM pages)
-WHERE pos % 4 = 1""",
-)
-def shard_members(spark, sf):
-    ordered = corpus.random_order(table(spark, sf, "pages").select("page_id"), "shard", "page_id")
-    return ordered.filter(corpus.shard(F.col("pos"), 4, 1))
-
-
 @query(
     "sampling_probabilities",
     f"""WITH {MANIFEST_SQL}

@@ -163,20 +163,18 @@ def embedding_cache(spark, sf):
 
 
 @query(
-    "rank_batches",
-    """SELECT "update", item, conv_id, turn FROM (
-  SELECT conv_id, turn, pos // 16 AS "update", CAST(pos % 16 AS INTEGER) AS item FROM (
-    SELECT conv_id, turn, row_number() OVER (ORDER BY turn, conv_id) - 1 AS pos, count(*) OVER () AS n FROM conversations)
-  WHERE pos < n // 16 * 16) WHERE item >= 4 AND item < 8""",
+    "epoch_batches",
+    """SELECT pos // 16 AS "update", CAST(pos % 16 AS INTEGER) AS item, conv_id, turn FROM (
+  SELECT conv_id, turn, row_number() OVER (ORDER BY turn, conv_id) - 1 AS pos FROM conversations)""",
 )
-def rank_batches(spark, sf):
+def epoch_batches(spark, sf):
+    """Every row of an epoch, the last batch included as far as it is filled."""
+    from tonewell.operators.scans import sorted_positions
+
     folder = scratch_path(configure(spark), "batches")
     turns = table(spark, sf, "conversations").select("conv_id", "turn")
-    placed = caches.merge_ranks(turns, "turn", "conv_id")
-    whole = turns.count() // 16 * 16
-    caches.write_batches(placed.filter(F.col("pos") < whole), folder, 3, 16)
-    out = caches.read_batches(spark, folder, 3, rank=1, batch=4, world=4, min_length=2)
-    return out.select("update", "item", "conv_id", "turn")
+    caches.write_batches(sorted_positions(turns, [], ["turn", "conv_id"]), folder, 3, 16)
+    return caches.read_batches(spark, folder, 3).select("update", "item", "conv_id", "turn")
 
 
 @query(
@@ -246,20 +244,26 @@ def state_partitions(spark) -> int:
     return spark.sparkContext.defaultParallelism
 
 
-def weekly_files(spark, rows, label, day="day", weeks=5):
-    """The rows written as one append per week, oldest first, for a stream to pick up."""
-    folder = scratch_path(spark, label)
-    for week in range(weeks):
-        rows.filter(F.floor(F.col(day) / 7) == week).write.mode("append").parquet(folder)
-    return folder
+SLICES = 5
 
 
-def event_days(spark, sf):
-    events = table(spark, sf, "events")
-    return events.select(
-        F.col("event_type").alias("metric"), "value", "event_id", seconds().alias("time"),
-        (F.dayofmonth("ts") - 1).alias("day"),
+def event_slices(spark, sf):
+    """Events with the fifth of the whole time span that they fall in."""
+    events = table(spark, sf, "events").select(
+        F.col("event_type").alias("metric"), "value", "event_id", seconds().alias("time")
     )
+    span = events.agg(F.min("time").alias("low"), F.max("time").alias("high")).first()
+    low, wide = span["low"] or 0.0, max(1.0, (span["high"] or 0.0) - (span["low"] or 0.0))
+    part = F.least(F.floor((F.col("time") - low) / wide * SLICES), F.lit(SLICES - 1)).cast("int")
+    return events.withColumn("slice", part), wide
+
+
+def appended_files(spark, rows, label, by, parts, files=3):
+    """The rows written as one append per value of ``by``, each of several files in no order."""
+    folder = scratch_path(spark, label)
+    for part in range(parts):
+        rows.filter(F.col(by) == part).repartition(files).write.mode("append").parquet(folder)
+    return folder
 
 
 @query(
@@ -270,8 +274,8 @@ def running_metrics_stream(spark, sf):
     from tonewell.streaming import jobs
 
     configure(spark)
-    rows = event_days(spark, sf)
-    folder = weekly_files(spark, rows, "events")
+    rows, _ = event_slices(spark, sf)
+    folder = appended_files(spark, rows, "events", "slice", SLICES)
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 8).parquet(folder)
     target = scratch_path(spark, "metrics")
     jobs.running_metrics(stream.select("metric", "value"), target, scratch_path(spark, "check"), state_partitions(spark))
@@ -291,15 +295,13 @@ def ema_stream(spark, sf):
     from tonewell.streaming import jobs
 
     configure(spark)
-    rows = event_days(spark, sf)
-    folder = scratch_path(spark, "events")
-    for week in range(5):
-        # One file per week, so that the micro-batches come in time order.
-        rows.filter(F.floor(F.col("day") / 7) == week).coalesce(1).write.mode("append").parquet(folder)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    rows, wide = event_slices(spark, sf)
+    folder = appended_files(spark, rows, "events", "slice", SLICES)
+    # Batches of four files: rows of a slice may come in two batches.
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(folder)
     state = scratch_path(spark, "ema")
-    jobs.ema_state(stream, state, scratch_path(spark, "check"), "metric", "time", "value", 0.99, 86400.0)
-    newest = jobs.newest_version(spark, state)
+    jobs.ema_state(stream, state, scratch_path(spark, "check"), "metric", "time", "value", 0.99, 2.0 * wide / SLICES)
+    newest = jobs.finished_ema(spark, state, "metric", "time", "value", 0.99)
     unbiased = jobs.ema_value(newest, "metric", 0.99)
     plain = jobs.ema_value(newest, "metric", 0.99, unbias=False).select("metric", F.round("ema", 6).alias("plain"))
     return unbiased.withColumn("ema", F.round("ema", 6)).join(plain, "metric")
@@ -388,11 +390,13 @@ def chunk_windows_stream(spark, sf):
     from tonewell.streaming.stateful import chunk_windows
 
     configure(spark)
-    chunks = waves(spark, sf).select("clip_id", "chunk_idx", "samples", (F.col("chunk_idx") == 3).alias("is_last"))
+    wave = waves(spark, sf)
+    ends = wave.groupBy("clip_id").agg(F.max("chunk_idx").alias("top"))
+    chunks = wave.join(ends, "clip_id").select("clip_id", "chunk_idx", "samples", (F.col("chunk_idx") == F.col("top")).alias("is_last"))
     folder = scratch_path(spark, "chunks")
-    for index in range(4):
-        chunks.filter(F.col("chunk_idx") == index).coalesce(1).write.mode("append").parquet(folder)
-    stream = spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    # Chunks of a clip in any file: their number gives the order, not the batch.
+    chunks.repartition(7, F.xxhash64("clip_id", "chunk_idx")).write.parquet(folder)
+    stream = spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 2).parquet(folder)
     target = scratch_path(spark, "windows")
 
     def write(batch, batch_id):
@@ -413,7 +417,7 @@ def _online_sql(steps: int = 4) -> str:
         "t0 AS (SELECT code, 0.0::DOUBLE AS size, x AS avg, x FROM book0)",
     ]
     for k in range(steps):
-        parts.append(f"v{k} AS (SELECT vec_id, x FROM v WHERE label // 3 = {k})")
+        parts.append(f"v{k} AS (SELECT vec_id, x FROM v WHERE vec_id % {steps} = {k})")
         parts.append(f"a{k} AS {assign_sql(f'v{k}', f't{k}')}")
         parts.append(
             f"""n{k} AS (SELECT code, sum(n) AS n, list(s ORDER BY i) AS s FROM (SELECT a.code, c.i, CASE WHEN c.i = 0 THEN count(*) ELSE 0 END AS n, sum(c.e) AS s
@@ -435,11 +439,10 @@ SELECT CAST(code AS INTEGER) AS code, round(size, 6) AS cluster_size, round(list
 def online_codebook_stream(spark, sf):
     from tonewell.streaming import jobs
 
-    rows = vectors(configure(spark), sf)
-    folder = scratch_path(spark, "vectors")
-    for part in range(4):
-        rows.filter(F.floor(F.col("label") / 3) == part).coalesce(1).write.mode("append").parquet(folder)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    rows = vectors(configure(spark), sf).withColumn("step", (F.col("vec_id") % 4).cast("int"))
+    # One append of three files per step, and three files per micro-batch.
+    folder = appended_files(spark, rows, "vectors", "step", 4, files=3)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 3).parquet(folder)
     state = scratch_path(spark, "codebook")
     jobs.online_codebook(stream, "x", "vec_id", start_codes(spark, sf), state, scratch_path(spark, "check"), 0.9)
     newest = jobs.newest_version(spark, state)

@@ -216,10 +216,9 @@ FROM y JOIN ys ON ys.mix_id = y.mix_id"""
 
 def next_pairs(spark, sf):
     """Pairs of consecutive ids: the ids are the positions of a running count."""
-    from tonewell.operators.scans import range_bucket, row_positions
+    from tonewell.operators.scans import sorted_positions
 
-    rows = vectors(spark, sf).select("vec_id")
-    placed = row_positions(rows, [], range_bucket(rows, ["vec_id"]), [F.col("vec_id")])
+    placed = sorted_positions(vectors(spark, sf).select("vec_id"), [], ["vec_id"])
     nxt = placed.select(F.col("vec_id").alias("target"), (F.col("pos") - 1).alias("pos"))
     pairs = placed.withColumnRenamed("vec_id", "source").join(nxt, "pos").drop("pos")
     return pairs.withColumn("mix_id", F.concat_ws(">", F.col("source").cast("string"), F.col("target").cast("string")))

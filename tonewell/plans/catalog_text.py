@@ -450,11 +450,9 @@ def null_symbols(spark, sf):
 GROUP BY batch, attribute""",
 )
 def collated_conditions(spark, sf):
-    from tonewell.operators.scans import range_bucket, row_positions
+    from tonewell.operators.scans import sorted_positions
 
-    turns = heavy_table(spark, sf, "conversations")
-    order = ["conv_id", "turn"]
-    rows = row_positions(turns, [], range_bucket(turns, order), [F.col(c) for c in order])
+    rows = sorted_positions(table(spark, sf, "conversations"), [], ["conv_id", "turn"])
     made = rows.select(
         F.expr("pos div 16").alias("batch"),
         "pos",

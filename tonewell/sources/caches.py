@@ -62,27 +62,14 @@ def write_batches(df: DataFrame, path: str, epoch: int, total_batch: int, positi
     ordered.write.mode("overwrite").parquet(f"{path}/epoch={epoch:05d}")
 
 
-def merge_ranks(df: DataFrame, rank: str, order: str, total: str = "pos") -> DataFrame:
-    """Position over all ranks, in rank order."""
-    from tonewell.operators.scans import range_bucket, row_positions
+def read_batches(spark: SparkSession, path: str, epoch: int, min_length: int = 1) -> DataFrame:
+    """All items of all updates of one epoch.
 
-    return row_positions(df, [], range_bucket(df, [rank, order]), [F.col(rank), F.col(order)], total)
-
-
-def read_batches(
-    spark: SparkSession, path: str, epoch: int, rank: int, batch: int, world: int, min_length: int = 1
-) -> DataFrame:
-    """Items [rank * batch, (rank + 1) * batch) of every update of one epoch.
-
-    Fewer than ``min_length`` updates, or an update with fewer than batch * world
-    items, is an error. The check reads one column.
+    A gap between updates or fewer than ``min_length`` of them is an error. The check
+    reads one column.
     """
     rows = spark.read.parquet(f"{path}/epoch={epoch:05d}")
-    sizes = rows.groupBy("update").agg(F.count(F.lit(1)).alias("n"))
-    last = sizes.agg(F.count(F.lit(1)).alias("updates"), F.max("update").alias("top"), F.min("n").alias("least")).first()
-    if last["updates"] < min_length or last["top"] is None or last["top"] + 1 != last["updates"]:
-        raise ValueError(f"the cache has {last['updates']} updates, at least {min_length} in a row are needed")
-    if last["least"] < batch * world:
-        raise ValueError(f"the cache can serve at most {last['least']} items per update, {batch * world} are needed")
-    low = rank * batch
-    return rows.filter((F.col("item") >= low) & (F.col("item") < low + batch))
+    updates = rows.select("update").distinct().agg(F.count(F.lit(1)).alias("n"), F.max("update").alias("top")).first()
+    if updates["n"] < min_length or updates["top"] is None or updates["top"] + 1 != updates["n"]:
+        raise ValueError(f"the cache has {updates['n']} updates, at least {min_length} in a row are needed")
+    return rows

@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tonewell.operators import covariance, quantise
 from tonewell.operators.captions import normalise_payload
 from tonewell.operators.corpus import MANIFEST_SCHEMA
-from tonewell.operators.scans import row_positions, span_bucket
+from tonewell.operators.scans import sorted_positions
 from tonewell.sources.manifests import path_exists
 
 
@@ -110,14 +110,15 @@ def _version(folder: str, batch_id: int) -> str:
     return f"{folder}/version={batch_id:010d}"
 
 
-def ema_sums(rows: DataFrame, name: str, order: str, value: str, decay: float, block: float) -> DataFrame:
-    """(name, n, top, mass) of one batch in its order.
+def ema_sums(rows: DataFrame, name: str, order: str, value: str, decay: float) -> DataFrame:
+    """(name, n, top, mass) of some rows in their order.
 
-    With r the rank in the batch, top is the sum of decay^(n - 1 - r) * value and
-    mass the same sum of ones. Two batches merge by top = top1 * decay^n2 + top2,
-    so a hot metric is summed in parallel, not walked row by row.
+    With r the rank among them, top is the sum of decay^(n - 1 - r) * value and
+    mass the same sum of ones. Two parts merge by top = top1 * decay^n2 + top2,
+    so a hot metric is summed in parallel, not walked row by row; ranks come from a
+    range shuffle, whose parts have like numbers of rows.
     """
-    ranked = row_positions(rows, [name], span_bucket(F.col(order), block), [F.col(order), F.col(value)], "__r")
+    ranked = sorted_positions(rows.select(name, order, value), [name], [order, value], "__r")
     sizes = rows.groupBy(name).agg(F.count(F.lit(1)).alias("__n"))
     weight = F.pow(F.lit(decay), F.col("__n") - 1 - F.col("__r"))
     return (
@@ -165,20 +166,60 @@ def ema_value(state: DataFrame, name: str, decay: float, unbias: bool = True) ->
 
 
 def ema_state(
-    stream: DataFrame, folder: str, checkpoint: str, name: str, order: str, value: str, decay: float, block: float
+    stream: DataFrame, folder: str, checkpoint: str, name: str, order: str, value: str, decay: float, lateness: float
 ) -> None:
-    """Keep the average state of a stream that arrives in order, one version per micro-batch."""
+    """Keep the average state of a stream, one version per micro-batch.
+
+    The ``order`` column says what comes before what, not the batch: rows wait in the
+    version's ``open`` table until a row more than ``lateness`` ahead of them has come, and
+    are merged then, all that are due at once. A row that comes later than that is kept
+    in ``late`` and not merged.
+    """
     spark = stream.sparkSession
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        new = ema_sums(batch, name, order, value, decay, block)
         before = _version(folder, batch_id - 1)
-        state = ema_merge(spark.read.parquet(before), new, name, decay) if path_exists(spark, before) else new
-        state.write.mode("overwrite").parquet(_version(folder, batch_id))
+        rows = batch.select(name, order, value)
+        mark = None
+        if path_exists(spark, f"{before}/open"):
+            mark = spark.read.parquet(f"{before}/mark").first()["mark"]
+            late = rows.filter(F.col(order) < mark) if mark is not None else rows.limit(0)
+            late.write.mode("overwrite").parquet(f"{folder}/late/{batch_id:010d}")
+            rows = rows.filter(F.col(order) >= mark) if mark is not None else rows
+            rows = rows.unionByName(spark.read.parquet(f"{before}/open"))
+        top = rows.agg(F.max(order)).first()[0]
+        if top is not None:
+            mark = max(x for x in (mark, top - lateness) if x is not None)
+        due = rows.filter(F.col(order) < mark) if mark is not None else rows.limit(0)
+        state = _merged(spark, f"{before}/state", ema_sums(due, name, order, value, decay), name, decay)
+        now = _version(folder, batch_id)
+        state.write.mode("overwrite").parquet(f"{now}/state")
+        spark.createDataFrame([(mark,)], "mark double").write.mode("overwrite").parquet(f"{now}/mark")
+        still = rows.filter(F.col(order) >= mark) if mark is not None else rows
+        still.write.mode("overwrite").parquet(f"{now}/open")
 
     run_available(stream, write, checkpoint)
 
 
+def _merged(spark: SparkSession, path: str, new: DataFrame, name: str, decay: float) -> DataFrame:
+    return ema_merge(spark.read.parquet(path), new, name, decay) if path_exists(spark, path) else new
+
+
+def finished_ema(spark: SparkSession, folder: str, name: str, order: str, value: str, decay: float) -> DataFrame:
+    """State with all rows that still wait, for a stream that has ended."""
+    names = [x for x in _names(spark, folder) if x.startswith("version=")]
+    last = f"{folder}/{max(names)}"
+    rest = ema_sums(spark.read.parquet(f"{last}/open"), name, order, value, decay)
+    return ema_merge(spark.read.parquet(f"{last}/state"), rest, name, decay)
+
+
+def _names(spark: SparkSession, folder: str) -> list[str]:
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    return [x.getPath().getName() for x in found]
+
+
 def newest_version(spark: SparkSession, folder: str) -> DataFrame:
     """State after the last micro-batch."""
     versions = spark.read.option("basePath", folder).parquet(f"{folder}/version=*")

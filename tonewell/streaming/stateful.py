@@ -15,9 +15,10 @@ STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateSto
 class ChunkWindows(StatefulProcessor):
     """Emit the full windows of a clip and carry its tail to the next chunk.
 
-    State per clip: the samples behind the last emitted window start and the
-    number of the next window. The last chunk, or ``timeout_ms`` without a new
-    one, flushes the rest as one window completed by zeros.
+    State per clip: the samples behind the last emitted window start, the numbers of
+    the next window and the next chunk, and the chunks that came before their turn.
+    The last chunk, or ``timeout_ms`` without a new one, flushes the rest as one
+    window completed by zeros.
     """
 
     def __init__(self, kernel: int, stride: int, timeout_ms: int | None = None):
@@ -25,7 +26,8 @@ class ChunkWindows(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("tail", "tail array<double>, next bigint")
+        self.state = handle.getValueState("tail", "tail array<double>, next bigint, chunk bigint, last bigint")
+        self.waiting = handle.getMapState("waiting", "chunk bigint", "samples array<double>")
 
     def _rows(self, clip, first: int, windows: list) -> pd.DataFrame:
         return pd.DataFrame(
@@ -42,30 +44,38 @@ class ChunkWindows(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         clip = key[0]
-        kept = self.state.get() if self.state.exists() else ([], 0)
-        tail, following = np.asarray(kept[0], dtype=np.float64), int(kept[1])
-        # The chunks of one clip inside one micro-batch, a few by the trigger size.
-        chunks = pd.concat(list(rows)).sort_values("chunk_idx")
-        buffer = np.concatenate([tail, *[np.asarray(s, dtype=np.float64) for s in chunks["samples"]]])
-        count = max(0, (len(buffer) - self.kernel) // self.stride + 1)
-        windows = [buffer[i * self.stride : i * self.stride + self.kernel] for i in range(count)]
-        if windows:
-            yield self._rows(clip, following, windows)
-        tail, following = buffer[count * self.stride :], following + count
-        if bool(chunks["is_last"].any()):
+        kept = self.state.get() if self.state.exists() else ([], 0, 0, -1)
+        tail, following, chunk, last = np.asarray(kept[0], dtype=np.float64), int(kept[1]), int(kept[2]), int(kept[3])
+        for batch in rows:
+            for index, samples, is_last in zip(batch["chunk_idx"], batch["samples"], batch["is_last"], strict=True):
+                last = int(index) if is_last else last
+                if index >= chunk:
+                    self.waiting.updateValue((int(index),), ([float(v) for v in samples],))
+            # All chunks whose turn has come, one at a time.
+            while self.waiting.containsKey((chunk,)):
+                buffer = np.concatenate([tail, np.asarray(self.waiting.getValue((chunk,))[0], dtype=np.float64)])
+                self.waiting.removeKey((chunk,))
+                chunk += 1
+                count = max(0, (len(buffer) - self.kernel) // self.stride + 1)
+                windows = [buffer[i * self.stride : i * self.stride + self.kernel] for i in range(count)]
+                if windows:
+                    yield self._rows(clip, following, windows)
+                tail, following = buffer[count * self.stride :], following + count
+        if 0 <= last < chunk:
             yield from self._flush(clip, tail, following)
             self.state.clear()
         else:
-            self.state.update(([float(v) for v in tail], following))
+            self.state.update(([float(v) for v in tail], following, chunk, last))
             if self.timeout_ms is not None:
                 now = timerValues.getCurrentProcessingTimeInMs()
                 self.handle.registerTimer(now + self.timeout_ms)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.state.exists():
-            tail, following = self.state.get()
+            tail, following, *_ = self.state.get()
             yield from self._flush(key[0], np.asarray(tail, dtype=np.float64), int(following))
             self.state.clear()
+            self.waiting.clear()
 
     def close(self) -> None:
         pass
@@ -76,7 +86,7 @@ def chunk_windows(
 ) -> DataFrame:
     """(clip_id, frame, values) of a stream of (clip_id, chunk_idx, samples, is_last).
 
-    Chunks of a clip arrive in order over the micro-batches.
+    Chunks of a clip are numbered from 0 and may arrive in any order and batch.
     """
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_PROVIDER)
     mode = "ProcessingTime" if timeout_ms is not None else "None"
