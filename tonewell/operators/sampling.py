@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tonewell.functions.hashing import bucket_of, uniform
 from tonewell.operators.scans import row_positions, running, share_bucket
+from tonewell.session import written
 
 
 def sampling_score(on_weight: bool, on_duration: bool) -> Column:
@@ -20,16 +21,16 @@ def sampling_score(on_weight: bool, on_duration: bool) -> Column:
 
 
 def sampling_weights(df: DataFrame, on_weight: bool, on_duration: bool) -> DataFrame:
-    """Column ``probability``: the score over the total of all scores."""
+    """Columns ``score`` and ``probability``, the score over the total of all scores."""
     scored = df.withColumn("score", sampling_score(on_weight, on_duration))
-    total = scored.agg(F.sum("score").alias("__total"))
-    # One aggregate row, attached through a constant key.
-    return (
-        scored.withColumn("__one", F.lit(1))
-        .join(F.broadcast(total.withColumn("__one", F.lit(1))), "__one")
-        .withColumn("probability", F.col("score") / F.col("__total"))
-        .drop("__one", "__total")
-    )
+    return sampling_probabilities(scored, {"probability": (on_weight, on_duration)})
+
+
+def sampling_probabilities(df: DataFrame, wanted: dict[str, tuple[bool, bool]]) -> DataFrame:
+    """A column for each name in ``wanted``: (on_weight, on_duration). All totals come from one aggregate."""
+    scores = {name: sampling_score(*flags) for name, flags in wanted.items()}
+    totals = df.agg(F.struct(*[F.sum(score).alias(name) for name, score in scores.items()])).scalar()
+    return df.withColumns({name: score / totals[name] for name, score in scores.items()})
 
 
 def _bucketed(df: DataFrame, key: str, score: str, buckets: int) -> DataFrame:
@@ -60,10 +61,14 @@ def sampling_cdf(df: DataFrame, key: str, score: str, buckets: int = 1024) -> Da
     earlier buckets, one row per bucket.
     """
     rows = _bucketed(df, key, score, buckets)
+    return _cdf(rows, _bucket_spans(rows, score), key, score)
+
+
+def _cdf(rows: DataFrame, spans: DataFrame, key: str, score: str) -> DataFrame:
     inside = Window.partitionBy("bucket").orderBy(key)
     local = rows.withColumn("__local", F.sum(score).over(inside))
     return (
-        local.join(F.broadcast(_bucket_spans(rows, score).drop("total")), "bucket")
+        local.join(F.broadcast(spans.drop("total")), "bucket")
         .withColumn("high", F.col("bucket_low") + F.col("__local"))
         .withColumn("low", F.col("high") - F.col(score))
         .drop("__local")
@@ -98,9 +103,10 @@ def sample_files(
     """
     scored = files.select(key, *[c for c in ("weight", "duration") if c in files.columns])
     scored = scored.withColumn("score", sampling_score(on_weight, on_duration))
-    cdf = sampling_cdf(scored, key, "score", buckets)
-
-    places = _bucket_spans(_bucketed(scored, key, "score", buckets), "score")
+    # The manifest is read once; its scores and the bucket spans serve several times.
+    rows = written(_bucketed(scored.select(key, "score"), key, "score", buckets), "scores")
+    places = written(_bucket_spans(rows, "score"), "spans")
+    cdf = _cdf(rows, places, key, "score")
     slot = [
         F.floor(edge / F.col("total") * F.lit(buckets))
         for edge in (F.col("bucket_low"), F.col("bucket_low") + F.col("bucket_weight"))

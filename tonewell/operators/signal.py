@@ -19,6 +19,7 @@ from tonewell.functions.arrays import let
 from tonewell.functions.hashing import normal, uniform, uniform_int
 from tonewell.operators.joins import random_pairs
 from tonewell.operators.scans import row_positions, running, share_bucket, span_bucket
+from tonewell.session import written
 
 KEYS = ("clip_id", "channel")
 EPS32 = 1.1920928955078125e-07
@@ -66,7 +67,11 @@ def _map(signal: DataFrame, body: Callable[[Column], Column]) -> DataFrame:
 
 
 def _scaled(signal: DataFrame, factors: DataFrame, factor: Column, *by: str) -> DataFrame:
-    """Multiply every sample by a clip-level factor."""
+    """Multiply every sample by a clip-level factor.
+
+    Factors from the statistics of ``signal`` make it run twice. Before a chain of such
+    steps, or after an expensive one, give a signal that is ``written``.
+    """
     keys = list(by or ("clip_id",))
     joined = signal.join(factors.select(*keys, factor.alias("__f")), keys)
     return joined.withColumn("samples", A.scale(F.col("samples"), F.col("__f"))).drop("__f")
@@ -75,36 +80,26 @@ def _scaled(signal: DataFrame, factors: DataFrame, factor: Column, *by: str) ->
 def with_halo(signal: DataFrame, ahead: int, chunk: int, behind: int = 0) -> DataFrame:
     """Columns ``before`` and ``after``: the neighbour samples of each chunk.
 
-    One shuffle: a chunk sends the needed head or tail to the chunks around it,
-    as many as the halo spans.
+    One scan and one shuffle: a chunk sends the needed head or tail to the chunks
+    around it, as many as the halo spans.
     """
-    parts = [signal.select(*KEYS, "chunk_idx", "start_frame", F.lit(0).alias("__off"), "samples")]
+    def piece(to: Column, start: Column, off: int, samples: Column) -> Column:
+        return F.struct(
+            to.cast("bigint").alias("chunk_idx"), start.cast("bigint").alias("start_frame"),
+            F.lit(off).alias("__off"), samples.alias("samples"),
+        )
+
+    here, none, size = F.col("chunk_idx"), F.lit(None), F.size("samples")
+    pieces = [piece(here, F.col("start_frame"), 0, F.col("samples"))]
     for j in range(1, -(-ahead // chunk) + 1):
         need = min(chunk, ahead - (j - 1) * chunk)
-        parts.append(
-            signal.select(
-                *KEYS,
-                (F.col("chunk_idx") - j).alias("chunk_idx"),
-                F.lit(None).cast("bigint").alias("start_frame"),
-                F.lit(j).alias("__off"),
-                F.slice("samples", 1, need).alias("samples"),
-            )
-        )
+        pieces.append(piece(here - j, none, j, F.slice("samples", 1, need)))
     for j in range(1, -(-behind // chunk) + 1):
         need = min(chunk, behind - (j - 1) * chunk)
-        size = F.size("samples")
-        parts.append(
-            signal.select(
-                *KEYS,
-                (F.col("chunk_idx") + j).alias("chunk_idx"),
-                F.lit(None).cast("bigint").alias("start_frame"),
-                F.lit(-j).alias("__off"),
-                F.slice("samples", F.greatest(size - F.lit(need - 1), F.lit(1)), F.lit(need)).alias("samples"),
-            )
-        )
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
+        tail = F.slice("samples", F.greatest(size - F.lit(need - 1), F.lit(1)), F.lit(need))
+        pieces.append(piece(here + j, none, -j, tail))
+    kind = signal.schema["chunk_idx"].dataType
+    rows = signal.select(*KEYS, F.inline(F.array(*pieces))).withColumn("chunk_idx", F.col("chunk_idx").cast(kind))
     # A list holds the chunk itself and its few neighbours.
     gathered = rows.groupBy(*KEYS, "chunk_idx").agg(
         F.max("start_frame").alias("start_frame"),
@@ -326,16 +321,13 @@ def echo(signal: DataFrame, volume: float, delay: int, chunk: int) -> DataFrame:
         )
 
     wet = haloed.withColumn("samples", let(F.concat("samples", "after"), overlay)).drop("after", "before")
+    wet = written(wet, "echo")  # read twice: for the peak, and to scale it
     before = clip_stats(signal).select("clip_id", F.col("peak").alias("__in"))
     after = clip_stats(wet).select("clip_id", F.col("peak").alias("__out"))
     factors = before.join(after, "clip_id")
     return _scaled(wet, factors, F.coalesce(F.try_divide(F.col("__in"), F.col("__out")), F.lit(1.0)))
 
 
-def temporal_blur(values: Column, width: int) -> Column:
-    return A.blur_blocks(values, width)
-
-
 # Mixing ------------------------------------------------------------------------------
 
 
@@ -364,7 +356,7 @@ def snr_mix(
     level = uniform_int(-35, -16, f"{seed}:level", key)
 
     # One pass over the signal gives the length and the statistics of every clip.
-    whole = clip_stats(signal).select("clip_id", "n", "top", "energy")
+    whole = written(clip_stats(signal).select("clip_id", "n", "top", "energy"), "clips")
 
     def named(prefix: str, column: str) -> DataFrame:
         return whole.select(
@@ -405,7 +397,7 @@ def snr_mix(
     dst_rms = F.sqrt(F.coalesce("__energy", "dst_energy") / F.col("src_n"))
     plan = plan.withColumns({"__a": gain(F.col("src_top"), src_rms), "__g": gain(dst_top, dst_rms)})
     ratio = F.col("__a") * src_rms / F.pow(F.lit(10.0), F.col("__snr") / 20.0) / (F.col("__g") * dst_rms + F.lit(EPS32))
-    plan = plan.withColumn("__b", F.col("__g") * ratio)
+    plan = written(plan.withColumn("__b", F.col("__g") * ratio), "plan")
 
     source = chunks_of(
         plan.select("mix_id", F.col("source").alias("clip_id"), "src_n", "__a", "__b", "__level"), F.col("src_n")
@@ -455,6 +447,7 @@ def snr_mix(
         "__level",
     )
     # Final level, then the check for clipping, both from one pass of statistics.
+    mix = written(mix, "mix")
     stats = clip_stats(mix, "clip_id", "__level")
     rms = F.sqrt(F.col("energy") / F.col("n"))
     scale = F.pow(F.lit(10.0), F.col("__level") / 20.0) / (rms + F.lit(EPS32))

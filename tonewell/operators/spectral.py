@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tonewell.functions import arrays as A
 from tonewell.operators.signal import EPS32, KEYS, with_halo
+from tonewell.session import written
 
 FRAME_KEYS = [*KEYS, "frame"]
 # Window values held in memory before a task transforms and hands them on.
@@ -205,34 +206,51 @@ def _agg(df: DataFrame, by: Sequence[str], *columns: Column) -> DataFrame:
     return df.groupBy(*by).agg(*columns) if by else df.agg(*columns)
 
 
-def spectral_convergence(pairs: DataFrame, by: Sequence[str] = (), eps: float = EPS32) -> DataFrame:
-    """Norm of the difference over the norm of the reference."""
-    gap = A.squared_distance(F.col("est"), F.col("ref"))
-    ref = A.dot(F.col("ref"), F.col("ref"))
-    sums = _agg(pairs, by, F.sum(gap).alias("__g"), F.sum(ref).alias("__r"))
-    return sums.select(*by, (F.sqrt("__g") / (F.sqrt("__r") + F.lit(eps))).alias("convergence"))
+def _convergence(eps: float = EPS32) -> Column:
+    gap, ref = A.squared_distance(F.col("est"), F.col("ref")), A.dot(F.col("ref"), F.col("ref"))
+    return F.sqrt(F.sum(gap)) / (F.sqrt(F.sum(ref)) + F.lit(eps))
 
 
-def _mean_of(pairs: DataFrame, by: Sequence[str], term, name: str) -> DataFrame:
+def _mean_of(term) -> Column:
     """Mean over all values of all frames of a per-value term."""
-    total = A.total(F.zip_with("est", "ref", term))
-    return _agg(pairs, by, (F.sum(total) / F.sum(F.size("est"))).alias(name))
+    return F.sum(A.total(F.zip_with("est", "ref", term))) / F.sum(F.size("est"))
+
+
+def _log_l1(eps: float = EPS32) -> Column:
+    return _mean_of(lambda e, r: F.abs(F.log(F.lit(eps) + r) - F.log(F.lit(eps) + e)))
+
+
+def _log_mse(floor_level: float) -> Column:
+    def term(e, r):
+        gap = F.log10(e + F.lit(floor_level)) - F.log10(r + F.lit(floor_level))
+        return gap * gap
+
+    return _mean_of(term)
+
+
+def spectral_convergence(pairs: DataFrame, by: Sequence[str] = (), eps: float = EPS32) -> DataFrame:
+    """Norm of the difference over the norm of the reference."""
+    return _agg(pairs, by, _convergence(eps).alias("convergence"))
 
 
 def log_magnitude_l1(pairs: DataFrame, by: Sequence[str] = (), eps: float = EPS32) -> DataFrame:
-    return _mean_of(
-        pairs, by, lambda e, r: F.abs(F.log(F.lit(eps) + r) - F.log(F.lit(eps) + e)), "log_l1"
-    )
+    return _agg(pairs, by, _log_l1(eps).alias("log_l1"))
 
 
 def frame_l1(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    return _mean_of(pairs, by, lambda e, r: F.abs(e - r), "l1")
+    return _agg(pairs, by, _mean_of(lambda e, r: F.abs(e - r)).alias("l1"))
 
 
 def frame_mse(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    return _mean_of(pairs, by, lambda e, r: (e - r) * (e - r), "mse")
+    return _agg(pairs, by, _mean_of(lambda e, r: (e - r) * (e - r)).alias("mse"))
+
 
+def _settled(estimate: DataFrame, reference: DataFrame, times: int) -> tuple[DataFrame, DataFrame]:
+    """Both signals, written if more than one scale reads them."""
+    return (estimate, reference) if times < 2 else (written(estimate, "estimate"), written(reference, "reference"))
 
+
+# Default sizes and factors of the losses are those of the published metric definitions.
 def multi_resolution_stft(
     estimate: DataFrame,
     reference: DataFrame,
@@ -247,15 +265,16 @@ def multi_resolution_stft(
     """Weighted means over the resolutions of convergence and log magnitude distance.
 
     ``chunks`` gives the chunk size of the signals per resolution (a multiple of
-    its hop); ``rechunk(signal, size)`` changes it where they differ.
+    its hop); ``rechunk(signal, size)`` changes it where they differ. A resolution
+    makes its frames once, for both terms.
     """
+    estimate, reference = _settled(estimate, reference, len(n_ffts))
     parts = None
-    for level, (n_fft, hop, win, chunk) in enumerate(zip(n_ffts, hops, wins, chunks)):
+    for n_fft, hop, win, chunk in zip(n_ffts, hops, wins, chunks):
         est = rechunk(estimate, chunk) if rechunk else estimate
         ref = rechunk(reference, chunk) if rechunk else reference
         pairs = pair_frames(stft_frames(est, chunk, n_fft, hop, win), stft_frames(ref, chunk, n_fft, hop, win))
-        pairs = pairs.withColumn("resolution", F.lit(level))
-        row = spectral_convergence(pairs, ["resolution"]).join(log_magnitude_l1(pairs, ["resolution"]), "resolution")
+        row = pairs.agg(_convergence().alias("convergence"), _log_l1().alias("log_l1"))
         parts = row if parts is None else parts.unionByName(row)
     return parts.agg(
         F.avg("convergence").alias("convergence"), F.avg("log_l1").alias("log_l1")
@@ -304,19 +323,13 @@ def multi_scale_mel(
     alpha is sqrt(2^i - 1), or 1. ``normalised`` divides by the sum of the weights.
     """
     weights = {i: float(np.sqrt(2**i - 1)) if alphas else 1.0 for i in range(range_start, range_end)}
+    estimate, reference = _settled(estimate, reference, len(weights))
     parts = None
     for i, alpha in weights.items():
         size = dict(n_fft=2**i, hop=2**i // 4, n_mels=n_mels, sample_rate=sample_rate, log=False)
         pairs = pair_frames(mel_frames(estimate, chunk, **size), mel_frames(reference, chunk, **size))
-        logged = pairs.withColumns(
-            {
-                c: F.transform(c, lambda v: F.log10(v + F.lit(floor_level)))
-                for c in ("est", "ref")
-            }
-        )
-        one = F.lit(1).alias("__one")
-        row = frame_l1(pairs).select("*", one).join(frame_mse(logged).select("*", one), "__one")
-        row = row.select(F.lit(i).alias("scale"), (F.col("l1") + F.lit(alpha) * F.col("mse")).alias("loss"))
+        l1 = _mean_of(lambda e, r: F.abs(e - r))
+        row = pairs.agg((l1 + F.lit(alpha) * _log_mse(floor_level)).alias("loss"))
         parts = row if parts is None else parts.unionByName(row)
     total = sum(weights.values()) + len(weights) if normalised else 1.0
     return parts.agg((F.sum("loss") / F.lit(total)).alias("loss"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,15 +14,13 @@ NO_CHORD = "N"
 UNKNOWN = "UNK"
 
 
-def build_vocab(chords: DataFrame) -> DataFrame:
-    """(chord, idx): dense index by first (track, pos); the unknown symbol comes last.
+def build_vocab(chords: DataFrame, order: Sequence[str] = ("pos",)) -> DataFrame:
+    """(chord, idx): dense index by first (track, *order); the unknown symbol comes last.
 
     If the data holds the unknown symbol, it keeps its place in the count, and its one
     entry takes the last index all the same.
     """
-    # Plain minima first, the pair (track, pos) only per symbol and track.
-    per_track = chords.groupBy("chord", "track").agg(F.min("pos").alias("pos"))
-    first = per_track.groupBy("chord").agg(F.min(F.struct("track", "pos")).alias("first"))
+    first = chords.groupBy("chord").agg(F.min(F.struct("track", *order)).alias("first"))
     # One row per distinct symbol: the vocabulary, not the events.
     order = Window.orderBy(F.col("first"))
     placed = first.select("chord", (F.row_number().over(order) - 1).cast("int").alias("idx"))

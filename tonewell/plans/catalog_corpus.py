@@ -162,14 +162,9 @@ FROM manifest""",
 )
 def sampling_probabilities(spark, sf):
     rows = manifest(spark, sf).select("path", "duration", "weight")
-    for name, flags in {
-        "p_both": (True, True),
-        "p_duration": (False, True),
-        "p_weight": (True, False),
-        "p_uniform": (False, False),
-    }.items():
-        rows = sampling.sampling_weights(rows, *flags).withColumn(name, F.round("probability", 9))
-    return rows.select("path", "p_both", "p_duration", "p_weight", "p_uniform")
+    wanted = {"p_both": (True, True), "p_duration": (False, True), "p_weight": (True, False), "p_uniform": (False, False)}
+    rows = sampling.sampling_probabilities(rows, wanted)
+    return rows.select("path", *[F.round(name, 9).alias(name) for name in wanted])
 
 
 BUCKET_SQL = f"CAST(floor({sql_u('bucket', 'path')} * 256) AS INTEGER)"

@@ -9,7 +9,7 @@ from tonewell.functions.hashing import uniform
 from tonewell.operators import joins, matching, symbolic
 from tonewell.plans.catalog_corpus import MANIFEST_SQL, manifest
 from tonewell.plans.registry import joined, query, sql_joined, sql_u, table
-from tonewell.session import cut_lineage
+from tonewell.session import written
 
 
 def seconds(column: str = "ts"):
@@ -268,7 +268,7 @@ vocab AS (SELECT chord, CAST(row_number() OVER (ORDER BY f) - 1 AS INTEGER) AS i
 
 @query("chord_vocab", f"WITH {CHORDS_SQL} SELECT chord, idx FROM vocab")
 def chord_vocab(spark, sf):
-    return symbolic.build_vocab(chord_events(spark, sf))
+    return symbolic.build_vocab(raw_events(spark, sf), ("time", "event_id"))
 
 
 @query(
@@ -298,7 +298,8 @@ SELECT segment_id, frame, coalesce(h.chord, 'N') AS chord,
 FROM hit h LEFT JOIN vocab v ON coalesce(h.chord, 'N') = v.chord""",
 )
 def chord_frames(spark, sf):
-    chords = chord_events(spark, sf)
+    # The events' numbers order those of one time as their list positions do.
+    chords = raw_events(spark, sf).withColumn("pos", F.col("event_id"))
     day = F.floor(F.col("time") / 86400.0)
     segments = raw_events(spark, sf).select(
         "track",
@@ -306,7 +307,7 @@ def chord_frames(spark, sf):
         (day * F.lit(86400.0) + F.lit(1800.0)).alias("seek_time"),
     ).distinct()
     return symbolic.frame_chords(
-        segments, chords, cut_lineage(symbolic.build_vocab(chords)), 1.0 / 3600.0, 86400.0, bucket_seconds=86400.0
+        segments, chords, written(symbolic.build_vocab(chords, ("time", "event_id")), "vocab"), 1.0 / 3600.0, 86400.0, bucket_seconds=86400.0
     )
 
 
@@ -317,8 +318,8 @@ SELECT event_id, coalesce(s.idx, (SELECT idx FROM vocab WHERE chord = 'UNK')) AS
 FROM chords c LEFT JOIN small s ON c.chord = s.chord""",
 )
 def chord_indices(spark, sf):
-    chords = chord_events(spark, sf)
-    vocab = cut_lineage(symbolic.build_vocab(chords)).filter(F.col("chord") != "error")
+    chords = raw_events(spark, sf)
+    vocab = written(symbolic.build_vocab(chords, ("time", "event_id")), "vocab").filter(F.col("chord") != "error")
     return symbolic.apply_vocab(chords.select("event_id", "chord"), vocab).select("event_id", "idx")
 
 
