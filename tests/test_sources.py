@@ -148,8 +148,9 @@ def test_scan_and_read(spark, tmp_path):
 def test_written_pcm_reads_back(spark, tmp_path):
     x = spark.createDataFrame([("c", 0, 0, 0, [0.5, -2.0]), ("c", 0, 1, 2, [0.25])], "clip_id string, channel int, chunk_idx int, start_frame bigint, samples array<double>")
     out = str(tmp_path / "pcm")
-    wav.write_pcm(x, out, 8000, "clip")
-    back = wav.decode(spark.read.parquet(out), 10).first()
+    made = wav.write_pcm(x, out, 8000, "clip").first()
+    assert (made["clip_id"], made["path"], made["bytes"]) == ("c", f"{out}/c.wav", 44 + 6)
+    back = wav.read_signal(spark, out, 10 / 8000, 8000).first()
     assert back["sample_rate"] == 8000
     limit = round(10 ** (-1 / 20) * 2**15) / 2**15
     assert back["samples"] == [0.5, -limit, 0.25]
@@ -208,3 +209,31 @@ def test_failures_are_appended(spark, tmp_path):
     for i in range(2):
         manifests.write_failures(spark.createDataFrame([(f"a{i}", "bad"), ("ok", None)], "source_file string, error string"), path)
     assert sorted(r["source_file"] for r in spark.read.json(path).collect()) == ["a0", "a1"]
+
+
+def test_long_heads_and_slices(spark, tmp_path, monkeypatch):
+    """A data chunk behind a long list chunk, and a signal read in several slices."""
+    codes = np.random.default_rng(1).integers(-9000, 9000, (5000, 2))
+    plain = wav._encode(codes, 16000)
+    listed = plain[:36] + b"LIST" + (200_000).to_bytes(4, "little") + b"x" * 200_000 + plain[36:]
+    (tmp_path / "long.wav").write_bytes(listed)
+    monkeypatch.setattr(wav, "MAX_VALUES", 8 * 700)
+    head = wav.head_of(str(tmp_path / "long.wav"), len(listed))
+    assert head["channels"] == 2 and head["size"] == 20000
+    assert wav._peak(str(tmp_path / "long.wav"), head) == np.abs(codes).max() / 2**15
+    part = {"seek_time": 100 / 16000, "duration": 4950 / 16000, "pad": True}
+    rows = list(wav._ranged(str(tmp_path / "long.wav"), len(listed), part, 64))
+    left = np.concatenate([r[4] for r in rows if r[1] == 1])
+    assert np.allclose(left, np.r_[codes[100:, 1] / 2**15, np.zeros(50)]) and len(left) == 4950
+    assert [r[3] for r in rows if r[1] == 0] == list(range(0, 4950, 64))
+
+
+def test_stereo_files_are_streamed(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    clips = {c: rng.integers(-9000, 9000, (n, 2)) for c, n in (("a", 50), ("b", 7), ("c", 33))}
+    rows = [(c, ch, i, x[i * 8 : i * 8 + 8, ch].tolist()) for c, x in clips.items() for i in range(-(-len(x) // 8)) for ch in range(2)]
+    df = spark.createDataFrame(rows, "clip_id string, channel int, chunk_idx int, samples array<int>").repartition(5)
+    assert wav.write_wav_files(df, str(tmp_path / "w"), 8000).count() == 3
+    for c, x in clips.items():
+        head = wav.pcm_layout(content := (tmp_path / "w" / f"{c}.wav").read_bytes())
+        assert np.array_equal(wav._samples(content, head) * 2**15, x)

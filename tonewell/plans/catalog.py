@@ -5,6 +5,7 @@ from tonewell.plans import (  # noqa: F401
     catalog_jobs,
     catalog_joins,
     catalog_metrics,
+    catalog_readers,
     catalog_signal,
     catalog_text,
     catalog_tokens,

@@ -1,7 +1,8 @@
 """PCM WAV files: corpus scan, chunked reading, encoding.
 
-A file is one row of Spark's binary source; decoding makes bounded chunk rows.
-Other codecs need a metadata table made elsewhere.
+A scan reads the head of a file, a segment its own bytes, and a written file is
+streamed chunk by chunk. Only ``decode`` takes a file as one row of Spark's binary
+source. Other codecs need a metadata table made elsewhere.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonewell.operators.corpus import MANIFEST_SCHEMA, sort_manifest
+from tonewell.session import written
+from tonewell.sources.files import read_range, replace_file
 from tonewell.sources.sidecars import file_path
 
 # Fixed value: suffixes of audio files, compared in lower case.
@@ -28,8 +31,16 @@ SIGNAL_SCHEMA = (
 )
 
 
-def pcm_layout(content: bytes) -> dict:
-    """Rate, channels, sample width and data range of a PCM WAV file."""
+#: Bytes of a file that a scan reads at first; the data chunk nearly always begins there.
+HEAD_BYTES = 1 << 16
+
+
+def pcm_layout(content: bytes, length: int | None = None) -> dict:
+    """Rate, channels, sample width and data range of a PCM WAV file.
+
+    ``content`` may be the head of a file of ``length`` bytes.
+    """
+    length = len(content) if length is None else length
     if content[:4] != b"RIFF" or content[8:12] != b"WAVE":
         raise ValueError("not a RIFF WAVE file")
     at, found = 12, {}
@@ -41,7 +52,7 @@ def pcm_layout(content: bytes) -> dict:
                 raise ValueError(f"unsupported WAV coding {code} with {bits} bits")
             found.update(channels=channels, rate=rate, block=block, bits=bits)
         elif name == b"data":
-            found.update(first=at + 8, size=min(size, len(content) - at - 8))
+            found.update(first=at + 8, size=min(size, length - at - 8))
             break
         at += 8 + size + size % 2
     if "block" not in found or "first" not in found:
@@ -59,33 +70,53 @@ def list_audio(spark: SparkSession, root: str, extensions: Sequence[str] = EXTEN
     return files.filter(wanted).withColumn("path", file_path())
 
 
+def head_of(path: str, length: int) -> dict:
+    """Layout of a file from its head, read further only where other chunks stand before the data."""
+    size = HEAD_BYTES
+    while True:
+        try:
+            return pcm_layout(read_range(path, 0, min(size, length)), length)
+        except (ValueError, struct.error):
+            if size >= length:
+                raise
+            size *= 8
+
+
+def _peak(path: str, head: dict) -> float:
+    """Largest absolute sample, read in slices."""
+    step, top = MAX_VALUES // 8 * head["block"], 0.0
+    for at in range(0, head["size"], step):
+        part = read_range(path, head["first"] + at, min(step, head["size"] - at))
+        data = _samples(part, {**head, "first": 0, "size": len(part)})
+        top = max(top, float(np.abs(data).max()) if data.size else 0.0)
+    return top
+
+
 def scan_corpus(
     spark: SparkSession, root: str, extensions: Sequence[str] = EXTENSIONS, minimal: bool = True
 ) -> tuple[DataFrame, DataFrame]:
     """(sorted manifest, failures): duration and rate of every readable file.
 
-    Without ``minimal`` the peak amplitude is read too. A bad file goes to the
-    failures and does not stop the scan.
+    Spark lists the files, a task reads the heads of its own. Without ``minimal`` the peak
+    amplitude is read too, in slices. A bad file goes to the failures and does not
+    stop the scan. Files are probed once; both results read what was written.
     """
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for path, content in zip(batch["path"], batch["content"]):
+            for path, length in zip(batch["path"], batch["length"]):
                 try:
-                    head = pcm_layout(content)
-                    peak = None
-                    if not minimal:
-                        data = _samples(content, head)
-                        peak = float(np.abs(data).max()) if data.size else 0.0
+                    head = head_of(path, int(length))
+                    peak = None if minimal else _peak(path, head)
                     rows.append((path, head["size"] / head["block"] / head["rate"], head["rate"], peak, None))
                 except Exception as exc:
                     rows.append((path, None, None, None, str(exc)))
             yield pd.DataFrame(rows, columns=["path", "duration", "sample_rate", "amplitude", "error"])
 
-    files = list_audio(spark, root, extensions).select("path", "content")
-    probed = files.mapInPandas(
-        probe, "path string, duration double, sample_rate int, amplitude double, error string"
+    files = list_audio(spark, root, extensions).select("path", "length")
+    probed = written(
+        files.mapInPandas(probe, "path string, duration double, sample_rate int, amplitude double, error string"), "scan"
     )
     good = probed.filter(F.col("error").isNull()).select(
         "path", "duration", "sample_rate", "amplitude",
@@ -155,21 +186,77 @@ def _chunks(row, chunk: int) -> Iterator[tuple]:
 def read_signal(
     spark: SparkSession, root: str, chunk_seconds: float, sample_rate: int, segments: DataFrame | None = None
 ) -> DataFrame:
-    """Signal chunks of all WAV files, or of the (path, seek_time, duration) segments only."""
-    files = list_audio(spark, root, (".wav",)).select("path", "content")
-    if segments is not None:
-        files = files.join(segments, "path")
-    return decode(files.withColumnRenamed("path", "clip_id"), int(chunk_seconds * sample_rate))
+    """Signal chunks of all WAV files, or of the (path, seek_time, duration) segments only.
+
+    The segments of a file are gathered to its name, a list as long as the file has
+    segments; the task that holds the name reads the bytes of each segment, in slices.
+    No content is shuffled. ``clip_id`` is the path, ``start_frame`` counts from the
+    segment's start, and ``segment`` is its place among the file's segments by time.
+    """
+    chunk = int(chunk_seconds * sample_rate)
+    files = list_audio(spark, root, (".wav",)).select("path", "length")
+    whole = F.array(F.struct(F.lit(0.0).alias("seek_time"), F.lit(-1.0).alias("duration"), F.lit(False).alias("pad")))
+    if segments is None:
+        plan = files.withColumn("parts", whole)
+    else:
+        pad = F.col("pad") if "pad" in segments.columns else F.lit(False)
+        times = [F.col(c).cast("double").alias(c) for c in ("seek_time", "duration")]
+        part = F.struct(*times, pad.alias("pad"))
+        lists = segments.groupBy("path").agg(F.array_sort(F.collect_list(part)).alias("parts"))
+        plan = files.join(lists, "path")
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, held = [], 0
+        for batch in batches:
+            for path, length, parts in zip(batch["path"], batch["length"], batch["parts"]):
+                for number, part in enumerate(parts):
+                    for made in _ranged(path, int(length), part, chunk):
+                        rows.append((*made, number))
+                        held += 0 if made[4] is None else len(made[4])
+                        if held > MAX_VALUES:
+                            yield pd.DataFrame(rows, columns=[*SIGNAL_COLUMNS, "segment"])
+                            rows, held = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=[*SIGNAL_COLUMNS, "segment"])
+
+    return plan.mapInPandas(read, f"{SIGNAL_SCHEMA}, segment int")
+
+
+def _ranged(path: str, length: int, part, chunk: int) -> Iterator[tuple]:
+    """Chunk rows of one segment of a file, with ``pad`` filled up by zeros, or its error row."""
+    seek, duration, pad = part["seek_time"], part["duration"], part["pad"]
+    try:
+        head = head_of(path, length)
+        frames = head["size"] // head["block"]
+        first = min(frames, int(seek * head["rate"])) if seek > 0 else 0
+        there = frames - first
+        wanted = int(duration * head["rate"]) if duration > 0 else there
+        wanted = wanted if pad else min(there, wanted)
+        slices = max(1, MAX_VALUES // 8 // chunk) * chunk
+        for at in range(0, wanted, slices):
+            count = min(slices, wanted - at)
+            held = max(0, min(count, there - at))
+            raw = read_range(path, head["first"] + (first + at) * head["block"], held * head["block"])
+            data = np.pad(_samples(raw, {**head, "first": 0, "size": len(raw)}), ((0, count - held), (0, 0)))
+            for start in range(0, len(data), chunk):
+                for c in range(data.shape[1]):
+                    part = np.ascontiguousarray(data[start : start + chunk, c])
+                    yield (path, c, (at + start) // chunk, at + start, part, head["rate"], None)
+    except Exception as exc:
+        yield (path, None, None, None, None, None, str(exc))
+
+
+def _header(frames: int, channels: int, rate: int) -> bytes:
+    size = frames * channels * 2
+    return struct.pack(
+        "<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + size, b"WAVE", b"fmt ", 16, 1, channels, rate,
+        rate * 2 * channels, 2 * channels, 16, b"data", size,
+    )
 
 
 def _encode(codes: np.ndarray, rate: int) -> bytes:
     """16-bit WAV file of (frames, channels) codes."""
-    data, channels = codes.astype("<i2").tobytes(), codes.shape[1]
-    head = struct.pack(
-        "<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + len(data), b"WAVE", b"fmt ", 16, 1, channels, rate,
-        rate * 2 * channels, 2 * channels, 16, b"data", len(data),
-    )
-    return head + data
+    return _header(len(codes), codes.shape[1], rate) + codes.astype("<i2").tobytes()
 
 
 def _pcm_codes(samples: np.ndarray) -> np.ndarray:
@@ -237,8 +324,48 @@ def wav_bytes(signal: DataFrame, sample_rate: int) -> DataFrame:
     return rows.groupBy("clip_id").applyInPandas(encode, f"clip_id {kind}, content binary")
 
 
-def write_pcm(signal: DataFrame, path: str, sample_rate: int, strategy: str = "peak") -> None:
-    """Normalise, convert to 16 bits and write the WAV bytes; a failed write leaves no output."""
+def write_wav_files(signal: DataFrame, folder: str, sample_rate: int) -> DataFrame:
+    """One 16-bit file ``<clip_id>.wav`` per clip of integer chunks; (clip_id, path, bytes).
+
+    A clip's chunks come to its task in order and go to the file as they come, so a clip
+    is never in memory as a whole. Its size is known before, for the header.
+    """
+    sizes = signal.groupBy("clip_id").agg(
+        F.sum(F.when(F.col("channel") == 0, F.size("samples")).otherwise(0)).alias("__frames"),
+        (F.max("channel") + 1).alias("__channels"),
+    )
+    rows = signal.select("clip_id", "channel", "chunk_idx", "samples").join(sizes, "clip_id")
+    ordered = rows.repartition("clip_id").sortWithinPartitions("clip_id", "chunk_idx", "channel")
+    kind = signal.schema["clip_id"].dataType.simpleString()
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        chunks = (row for batch in batches for row in batch.itertuples(index=False, name=None))
+        row = next(chunks, None)
+        while row is not None:
+            clip, frames, channels = row[0], int(row[4]), int(row[5])
+
+            def pieces(row=row, clip=clip, frames=frames, channels=channels):
+                yield _header(frames, channels, sample_rate)
+                tracks = []
+                while row is not None and row[0] == clip:
+                    tracks.append(np.asarray(row[3]))
+                    if len(tracks) == channels:
+                        yield np.stack(tracks, axis=1).astype("<i2").tobytes()
+                        tracks = []
+                    row = next(chunks, None)
+                following.append(row)
+
+            following: list = []
+            path = f"{folder}/{clip}.wav"
+            size = replace_file(path, pieces())
+            yield pd.DataFrame({"clip_id": [clip], "path": [path], "bytes": [size]})
+            row = following[0]
+
+    return written(ordered.mapInPandas(write, f"clip_id {kind}, path string, bytes long"), "wav-files")
+
+
+def write_pcm(signal: DataFrame, folder: str, sample_rate: int, strategy: str = "peak") -> DataFrame:
+    """Normalise, convert to 16 bits and write one WAV file per clip; (clip_id, path, bytes)."""
     from tonewell.operators import signal as S
 
     ready = {
@@ -247,4 +374,4 @@ def write_pcm(signal: DataFrame, path: str, sample_rate: int, strategy: str = "p
         "rms": S.normalise_rms,
         "none": S.identity,
     }[strategy](signal)
-    wav_bytes(S.i16_pcm(ready), sample_rate).write.mode("overwrite").parquet(path)
+    return write_wav_files(S.i16_pcm(ready), folder, sample_rate)
