@@ -1,4 +1,5 @@
 import gzip
+import hashlib
 import json
 import os
 import struct
@@ -237,3 +238,15 @@ def test_stereo_files_are_streamed(spark, tmp_path):
     for c, x in clips.items():
         head = wav.pcm_layout(content := (tmp_path / "w" / f"{c}.wav").read_bytes())
         assert np.array_equal(wav._samples(content, head) * 2**15, x)
+
+
+def test_digests_of_clips(spark):
+    rng = np.random.default_rng(3)
+    clips = {c: rng.normal(size=(n, ch)).astype(np.float32) for c, n, ch in (("a", 50, 2), ("b", 7, 1), ("c", 33, 2))}
+    rows = [
+        (c, ch, i, x[i * 8 : i * 8 + 8, ch].astype(float).tolist())
+        for c, x in clips.items() for i in range(-(-len(x) // 8)) for ch in range(x.shape[1])
+    ]
+    df = spark.createDataFrame(rows, "clip_id string, channel int, chunk_idx int, samples array<double>").repartition(3)
+    want = {c: hashlib.sha1(x.sum(1, dtype=np.float32).tobytes()).hexdigest() for c, x in clips.items()}
+    assert {r["clip_id"]: r["digest"] for r in wav.clip_digests(df).collect()} == want

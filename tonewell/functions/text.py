@@ -207,6 +207,11 @@ def slugify(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(kept, f"[{blank}-]+", "-"), "^[-_]+|[-_]+$", "")
 
 
+def reference_id(digest: Column, sample: Column, reuse: bool) -> Column:
+    """Identifier of a prompt or reference: that of the sample, or the digest of its own samples."""
+    return F.when(digest.isNotNull(), sample if reuse else digest)
+
+
 @F.pandas_udf(T.StringType())
 def sorted_json(maps: pd.Series) -> pd.Series:
     """JSON text of a string map, keys sorted, ``", "`` and ``": "`` separators, ASCII escapes."""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tonewell.functions.hashing import uniform
 from tonewell.operators import signal as S
 
-# Effects take the chunk table and keyword parameters.
+# The names of the effects. Effects take the chunk table and keyword parameters.
 EFFECTS: dict[str, Callable[..., DataFrame]] = {
     "boost_audio": S.boost,
     "duck_audio": S.duck,
@@ -32,6 +32,23 @@ def available_effects(params: dict[str, dict] | None = None) -> dict[str, Callab
     return {name: bound(name) for name in EFFECTS}
 
 
+def effect_variants(
+    signal: DataFrame, chosen: DataFrame, effects: dict[str, Callable[[DataFrame], DataFrame]]
+) -> DataFrame:
+    """The signal under every effect chosen for its clip: chunk rows with the column ``effect``.
+
+    ``chosen``: (clip_id, names). An effect runs over its own clips only, so the work
+    follows the number of choices.
+    """
+    wanted = chosen.select("clip_id", F.explode("names").alias("effect"))
+    parts = None
+    for name, effect in effects.items():
+        own = signal.join(wanted.filter(F.col("effect") == name).select("clip_id"), "clip_id", "left_semi")
+        made = effect(own).withColumn("effect", F.lit(name))
+        parts = made if parts is None else parts.unionByName(made)
+    return parts
+
+
 def select_effects(
     names: Sequence[str],
     seed,

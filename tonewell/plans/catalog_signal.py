@@ -195,23 +195,66 @@ def selected_effects(spark, sf):
     return table(spark, sf, "events").select("event_id", joined(chosen).alias("names"))
 
 
+@query(
+    "effect_variants",
+    f"""WITH {V_SQL},
+k AS (SELECT vec_id, 'boost_audio' AS effect, 1.2 AS f FROM v WHERE {sql_u('fx:pick', 'vec_id', "'boost_audio'")} < 0.5
+  UNION ALL SELECT vec_id, 'duck_audio', 0.8 FROM v WHERE {sql_u('fx:pick', 'vec_id', "'duck_audio'")} < 0.4),
+e AS (SELECT * FROM k UNION ALL SELECT vec_id, 'identity', 1.0 FROM v WHERE vec_id NOT IN (SELECT vec_id FROM k))
+SELECT effect, c.vec_id AS clip_id, c.i AS t, round(c.e * f, 9) AS x FROM cells c JOIN e ON e.vec_id = c.vec_id""",
+)
+def effect_variants(spark, sf):
+    """Every clip under the effects drawn for it."""
+    wave = waves(spark, sf)
+    names = effects.select_effects(
+        ["boost_audio", "duck_audio"], "fx", F.col("clip_id"), weights={"boost_audio": 0.5, "duck_audio": 0.4}, mode="weighted"
+    )
+    chosen = wave.select("clip_id").distinct().withColumn("names", names)
+    known = effects.available_effects()
+    made = effects.effect_variants(wave, chosen, {n: known[n] for n in ("boost_audio", "duck_audio", "identity")})
+    rows = made.select("effect", "clip_id", "start_frame", F.posexplode("samples").alias("i", "x"))
+    return rows.select("effect", "clip_id", (F.col("start_frame") + F.col("i")).alias("t"), F.round("x", 9).alias("x"))
+
+
+@query("reference_ids")
+def reference_ids(spark, sf):
+    """Ids of prompts by their own samples, and reused from the sample."""
+    from tonewell.functions import text as X
+    from tonewell.sources import wav
+
+    found = wav.clip_digests(waves(spark, sf))
+    name = F.concat(F.lit("s"), F.col("clip_id").cast("string"))
+    return found.select(
+        "clip_id", X.reference_id(F.col("digest"), name, False).alias("own"), X.reference_id(F.col("digest"), name, True).alias("reused")
+    )
+
+
 # Mixing: a vector is mixed with the vector of the next id.
 EPS = "1.1920928955078125e-07"
-MIX_SQL = f"""
-WITH {V_SQL}, ids AS (SELECT vec_id AS source, lead(vec_id) OVER (ORDER BY vec_id) AS target FROM v),
-pr AS (SELECT source || '>' || target AS mix_id, source, target,
-   floor({sql_u('snr:snr', "source || '>' || target")} * 10) - 5 AS snr,
-   floor({sql_u('snr:level', "source || '>' || target")} * 20) - 35 AS lvl,
-   CAST(floor({sql_u('snr:start', "source || '>' || target")} * 33) AS BIGINT) AS st FROM ids WHERE target IS NOT NULL),
+# Samples of the mixes in ``pr`` (mix_id, source, target, snr, lvl, st).
+MIXED_SQL = f"""
 cs AS (SELECT vec_id, max(e) AS top, sqrt(avg(e * e)) AS rms FROM cells GROUP BY vec_id),
 g AS (SELECT vec_id, 1.0 / (abs(top) + {EPS}) * power(10, -25 / 20.0) / (rms / (abs(top) + {EPS}) + {EPS}) AS g, rms FROM cs),
 gp AS (SELECT pr.*, a.g AS a, b.g * (a.g * a.rms / power(10, snr / 20.0) / (b.g * b.rms + {EPS})) AS b
   FROM pr JOIN g a ON a.vec_id = source JOIN g b ON b.vec_id = target),
 y AS (SELECT mix_id, lvl, x.i, a * x.e + b * coalesce(n.e, 0) AS y FROM gp JOIN cells x ON x.vec_id = source
   LEFT JOIN cells n ON n.vec_id = target AND n.i = x.i - st),
-ys AS (SELECT mix_id, max(y) AS top, max(abs(y)) AS peak, power(10, max(lvl) / 20.0) / (sqrt(avg(y * y)) + {EPS}) AS s FROM y GROUP BY mix_id)
-SELECT y.mix_id AS clip_id, y.i AS t, round(y * CASE WHEN peak * s > 0.99 THEN s / (abs(top * s) / (0.99 - {EPS})) ELSE s END, 6) AS x
-FROM y JOIN ys ON ys.mix_id = y.mix_id"""
+ys AS (SELECT mix_id, max(y) AS top, max(abs(y)) AS peak, power(10, max(lvl) / 20.0) / (sqrt(avg(y * y)) + {EPS}) AS s FROM y GROUP BY mix_id),
+mixed AS (SELECT y.mix_id, y.i AS t, round(y * CASE WHEN peak * s > 0.99 THEN s / (abs(top * s) / (0.99 - {EPS})) ELSE s END, 6) AS x
+  FROM y JOIN ys ON ys.mix_id = y.mix_id)"""
+
+
+def drawn_sql(seed, key):
+    """SNR, level and start of a mix."""
+    return f"""floor({sql_u(f'{seed}:snr', key)} * 10) - 5 AS snr, floor({sql_u(f'{seed}:level', key)} * 20) - 35 AS lvl,
+   CAST(floor({sql_u(f'{seed}:start', key)} * 33) AS BIGINT) AS st"""
+
+
+MIX_SQL = f"""
+WITH {V_SQL}, ids AS (SELECT vec_id AS source, lead(vec_id) OVER (ORDER BY vec_id) AS target FROM v),
+pr AS (SELECT source || '>' || target AS mix_id, source, target, {drawn_sql('snr', "source || '>' || target")} FROM ids WHERE target IS NOT NULL),
+{MIXED_SQL}
+SELECT mix_id AS clip_id, t, x FROM mixed"""
 
 
 def next_pairs(spark, sf):
@@ -232,20 +275,23 @@ def snr_mix(spark, sf):
 
 @query(
     "mixed_batches",
-    f"""WITH s AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY {sql_u('mb:source', 'label', 'vec_id')}, vec_id) - 1 AS rank,
+    f"""WITH {V_SQL}, s AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY {sql_u('mb:source', 'label', 'vec_id')}, vec_id) - 1 AS rank,
    count(*) OVER (PARTITION BY label) AS n FROM embeddings),
-t AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY {sql_u('mb:target', 'label', 'vec_id')}, vec_id) - 1 AS rank FROM embeddings)
-SELECT s.label, CASE WHEN {sql_u('mb:mix', 's.label')} < 0.5 THEN s.vec_id || '+' || t.vec_id ELSE CAST(s.vec_id AS VARCHAR) END AS clip_id,
-  CASE WHEN {sql_u('mb:mix', 's.label')} < 0.5 AND s.vec_id <> t.vec_id THEN 'd' || s.vec_id || ' d' || t.vec_id ELSE 'd' || s.vec_id END AS description,
-  64 AS n FROM s JOIN t ON t.label = s.label AND t.rank = s.rank WHERE s.rank < floor(s.n * 0.5)""",
+t AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY {sql_u('mb:target', 'label', 'vec_id')}, vec_id) - 1 AS rank FROM embeddings),
+pairs AS (SELECT s.label, s.vec_id AS source, t.vec_id AS target, {sql_u('mb:mix', 's.label')} < 0.5 AS mixing
+   FROM s JOIN t ON t.label = s.label AND t.rank = s.rank WHERE s.rank < floor(s.n * 0.5)),
+pr AS (SELECT label, source || '+' || target AS mix_id, source, target, {drawn_sql('mb', 'label')} FROM pairs WHERE mixing),
+{MIXED_SQL}
+SELECT pr.label, pr.mix_id AS clip_id, CASE WHEN source <> target THEN 'd' || source || ' d' || target ELSE 'd' || source END AS description, t, x
+FROM pr JOIN mixed USING (mix_id)
+UNION ALL SELECT p.label, CAST(source AS VARCHAR), 'd' || source, c.i, round(c.e, 6) FROM pairs p JOIN cells c ON c.vec_id = p.source WHERE NOT mixing""",
 )
 def mixed_batches(spark, sf):
     items = vectors(spark, sf).select(
         "label", F.col("vec_id").alias("clip_id"), F.concat(F.lit("d"), F.col("vec_id").cast("string")).alias("description")
     )
     wave, texts = signal.mix_samples(waves(spark, sf), items, "label", CHUNK, "mb", 0.5, 0.5, -5, 5, 0.5)
-    sizes = wave.groupBy("clip_id").agg(F.sum(F.size("samples")).cast("int").alias("n"))
-    return texts.join(sizes, "clip_id").select("label", "clip_id", "description", "n")
+    return texts.join(samples(wave, 6), "clip_id").select("label", "clip_id", "description", "t", "x")
 
 
 @query(

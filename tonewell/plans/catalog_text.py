@@ -426,13 +426,15 @@ def description_drop(spark, sf):
 
 @query(
     "null_symbols",
-    """SELECT event_id, '194,194,194' AS frame_chords, '0.0,0.0' AS melody FROM events""",
+    """SELECT event_id, array_to_string(list_transform(range(1 + event_id % 5), lambda i: '194'), ',') AS frame_chords,
+  array_to_string(list_transform(range(1 + user_id % 3), lambda i: '0.0'), ',') AS melody FROM events""",
 )
 def null_symbols(spark, sf):
     rows = table(spark, sf, "events").select(
         "event_id",
-        F.array(F.col("user_id"), F.col("event_id"), F.length("event_type")).cast("array<int>").alias("chords"),
-        F.array("value", F.lit(1.0)).alias("melody"),
+        # As long as the row says, so that the null symbols must follow the data.
+        F.transform(F.sequence(F.lit(0), (F.col("event_id") % 5).cast("int")), lambda i: i + F.length("event_type")).alias("chords"),
+        F.transform(F.sequence(F.lit(0), (F.col("user_id") % 3).cast("int")), lambda i: F.col("value") + i).alias("melody"),
     )
     return rows.select(
         "event_id",

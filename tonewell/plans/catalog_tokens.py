@@ -387,6 +387,27 @@ def resized_frames(spark, sf):
     return vectors(spark, sf).select("vec_id", F.posexplode(out).alias("i", "x"))
 
 
+@query(
+    "melody_frames",
+    f"""WITH {V_SQL}, k AS (SELECT vec_id, x[13:62] AS x, CAST(unnest(range(30)) AS INTEGER) AS i FROM v),
+p AS (SELECT *, greatest((i + 0.5) / 0.5 - 0.5, 0.0) AS pos FROM k),
+f AS (SELECT *, least(CAST(floor(pos) AS INTEGER), 49) AS lo FROM p),
+s AS (SELECT vec_id // 12 AS track, vec_id % 12 AS bin, i AS frame,
+   CASE WHEN i < 25 THEN x[lo + 1] * (1.0 - (pos - lo)) + x[least(lo + 1, 49) + 1] * (pos - lo) ELSE 0.0 END AS value FROM f)
+SELECT track, frame, arg_max(bin, (value, -bin)) AS bin, CAST(max(value) <> 0 AS INTEGER) AS hot FROM s GROUP BY track, frame""",
+)
+def melody_frames(spark, sf):
+    """Melody of a track from the salience of its twelve bins: segment, resize, one-hot."""
+    from tonewell.operators import symbolic
+
+    bins = vectors(spark, sf).select(
+        F.expr("vec_id div 12").alias("track"), (F.col("vec_id") % 12).alias("bin"),
+        symbolic.segment_salience(F.col("x"), F.lit(0.125), 100.0, 50.0, 0.5, 30).alias("values"),
+    )
+    long = bins.select("track", "bin", F.posexplode("values").alias("frame", "value"))
+    return symbolic.melody_one_hot(long, ["track"])
+
+
 @query(
     "blurred_frames",
     f"""WITH {V_SQL}, ext AS (SELECT vec_id, i, e FROM cells UNION ALL SELECT vec_id, 126 - i, e FROM cells WHERE i >= 57 AND i <= 62),

@@ -10,6 +10,7 @@ from tonewell.functions import text as X
 from tonewell.operators.joins import stem_path
 from tonewell.operators.ratings import explode_ratings
 
+# Field names of the sidecars.
 MUSIC_SCHEMA = (
     "title string, artist string, key string, bpm string, genre string, moods array<string>, "
     "keywords array<string>, description string, name string, instrument string, "

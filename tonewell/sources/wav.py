@@ -7,6 +7,7 @@ source. Other codecs need a metadata table made elsewhere.
 
 from __future__ import annotations
 
+import hashlib
 import struct
 from collections.abc import Iterator, Sequence
 
@@ -364,6 +365,38 @@ def write_wav_files(signal: DataFrame, folder: str, sample_rate: int) -> DataFra
     return written(ordered.mapInPandas(write, f"clip_id {kind}, path string, bytes long"), "wav-files")
 
 
+def clip_digests(signal: DataFrame) -> DataFrame:
+    """(clip_id, digest): sha1 over the clip's mono sum as 32-bit floats.
+
+    This is the identifier of a prompt or reference without an identifier of its own.
+    Chunks are hashed as they come, in order.
+    """
+    rows = signal.select("clip_id", "channel", "chunk_idx", "samples")
+    ordered = rows.repartition("clip_id").sortWithinPartitions("clip_id", "chunk_idx", "channel")
+    kind = signal.schema["clip_id"].dataType.simpleString()
+
+    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        clip, state, at, held = None, None, None, None
+        for batch in batches:
+            done = []
+            for name, _, chunk, samples in batch.itertuples(index=False, name=None):
+                if state is None or name != clip or chunk != at:
+                    if held is not None:
+                        state.update(held.tobytes())
+                    if state is None or name != clip:
+                        if state is not None:
+                            done.append((clip, state.hexdigest()))
+                        clip, state = name, hashlib.sha1()
+                    at, held = chunk, np.zeros(len(samples), np.float32)
+                held = held + np.asarray(samples, np.float32)
+            yield pd.DataFrame(done, columns=["clip_id", "digest"])
+        if state is not None:
+            state.update(held.tobytes())
+            yield pd.DataFrame([(clip, state.hexdigest())], columns=["clip_id", "digest"])
+
+    return ordered.mapInPandas(digest, f"clip_id {kind}, digest string")
+
+
 def write_pcm(signal: DataFrame, folder: str, sample_rate: int, strategy: str = "peak") -> DataFrame:
     """Normalise, convert to 16 bits and write one WAV file per clip; (clip_id, path, bytes)."""
     from tonewell.operators import signal as S
