@@ -9,6 +9,7 @@ from tonewell.plans import (  # noqa: F401
     catalog_signal,
     catalog_text,
     catalog_tokens,
+    catalog_training,
     catalog_vectors,
 )
 from tonewell.plans.registry import ORACLES, QUERIES
