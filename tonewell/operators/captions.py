@@ -11,11 +11,15 @@ from tonewell.functions.arrays import let
 REQUIRED = X.PROMPT_FIELDS
 
 
-def normalise_payload(df: DataFrame, payload: str) -> DataFrame:
+def normalise_payload(
+    df: DataFrame, payload: str, max_tags: int = 5, max_words: int = 60, min_words: int = 8, cut: str | None = None
+) -> DataFrame:
     """Parse and clean one JSON caption per row.
 
     Adds the eight caption fields and ``error``; a rejected row keeps its other
-    columns, has null caption fields and the reason in ``error``.
+    columns, has null caption fields and the reason in ``error``. A caption has at most
+    ``max_tags`` tags and ``max_words`` words; the boolean column named by ``cut`` tells
+    which rows lost some.
     """
     parsed = F.from_json(F.col(payload), "map<string,string>")
     rows = df.withColumn("__m", parsed)
@@ -29,11 +33,11 @@ def normalise_payload(df: DataFrame, payload: str) -> DataFrame:
     tags = F.filter(F.transform(raw_tags, lambda t: X.strip(t)), lambda t: F.length(t) > 0)
 
     def first_seen(values):
-        """The first five tags whose lower-case form has not come before, in order."""
+        """The first tags whose lower-case form has not come before, in order."""
         return let(
             F.transform(values, F.lower),
             lambda keys: F.transform(
-                F.slice(F.array_distinct(keys), 1, 5), lambda k: F.element_at(values, F.array_position(keys, k).cast("int"))
+                F.slice(F.array_distinct(keys), 1, max_tags), lambda k: F.element_at(values, F.array_position(keys, k).cast("int"))
             ),
         )
 
@@ -49,22 +53,26 @@ def normalise_payload(df: DataFrame, payload: str) -> DataFrame:
             ~F.coalesce(field["genre_tags"].startswith("["), F.lit(False)),
             F.lit("genre_tags must be a list"),
         )
-        .when(F.size(words) < 8, F.concat(F.lit("description too short: "), F.col("__text")))
+        .when(F.size(words) < min_words, F.concat(F.lit("description too short: "), F.col("__text")))
     )
     rows = rows.withColumn("error", error)
     good = F.col("error").isNull()
-    cut = let(
+    short = let(
         words,
-        lambda ws: F.when(F.size(ws) > 60, F.array_join(F.slice(ws, 1, 60), " ")).otherwise(F.col("__text")),
+        lambda ws: F.when(F.size(ws) > max_words, F.array_join(F.slice(ws, 1, max_words), " ")).otherwise(F.col("__text")),
     )
+    kinds = F.size(F.array_distinct(F.transform(tags, F.lower)))
+    lost = good & ((F.size(words) > max_words) | (kinds > max_tags))
     columns = {
         name: F.when(good, X.normalise_text(field[name]))
         for name in REQUIRED
         if name not in ("description", "genre_tags")
     }
-    columns["description"] = F.when(good, cut)
+    columns["description"] = F.when(good, short)
     named = let(distinct, lambda d: F.when(F.size(d) > 0, d).otherwise(F.array(F.lit("Unknown"))))
     columns["genre_tags"] = F.when(good, named)
+    if cut is not None:
+        columns[cut] = F.coalesce(lost, F.lit(False))
     return rows.withColumns(columns).drop("__m", "__text")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from tonewell.functions import text as X
 from tonewell.functions.hashing import md5_mod, uniform
-from tonewell.operators.scans import row_positions, share_bucket, take_smallest
+from tonewell.operators.scans import bucket_count, row_positions, share_bucket, take_smallest
 
 # Fixed value: order of the manifest fields, which is also their sort order.
 MANIFEST_SCHEMA = T.StructType(
@@ -183,13 +183,13 @@ def corpus_totals(df: DataFrame, keep: Column) -> DataFrame:
     )
 
 
-def random_order(df: DataFrame, seed, key: str, buckets: int = 1024, by: Sequence[str] = ()) -> DataFrame:
+def random_order(df: DataFrame, seed, key: str, by: Sequence[str] = ()) -> DataFrame:
     """Random position ``pos`` of each row (per group), deterministic in the seed."""
     u = uniform(seed, *[F.col(c) for c in by], F.col(key))
     return row_positions(
         df.withColumn("__u", u),
         by,
-        share_bucket(F.col("__u"), buckets),
+        share_bucket(F.col("__u"), bucket_count(df)),
         [F.col("__u"), F.col(key)],
     ).drop("__u")
 

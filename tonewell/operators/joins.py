@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tonewell.functions import arrays as A
 from tonewell.functions import text as X
 from tonewell.functions.hashing import uniform
-from tonewell.operators.scans import row_positions, share_bucket
+from tonewell.operators.scans import bucket_count, row_positions, share_bucket
 
 
 def stem_path(c: Column) -> Column:
@@ -89,10 +89,6 @@ def cache_misses(keys: DataFrame, cache: DataFrame, on: Sequence[str]) -> DataFr
     return keys.join(cache.select(*on).distinct(), list(on), "left_anti")
 
 
-def merge_cache(hits: DataFrame, computed: DataFrame) -> DataFrame:
-    return hits.unionByName(computed)
-
-
 def resume(todo: DataFrame, done: DataFrame, on: str) -> DataFrame:
     """Items without a finished mark."""
     return todo.join(done.select(on).distinct(), on, "left_anti")
@@ -207,7 +203,7 @@ def random_pairs(
         u = uniform(f"{seed}:{side}", F.col(batch), F.col(item))
         rows = df.select(batch, item, *payload).withColumn("__u", u)
         placed = row_positions(
-            rows, [batch], share_bucket(F.col("__u"), 64), [F.col("__u"), F.col(item)], "rank"
+            rows, [batch], share_bucket(F.col("__u"), bucket_count(df)), [F.col("__u"), F.col(item)], "rank"
         )
         return placed.select(
             batch, "rank", *[F.col(c).alias(f"{side}_{c}") for c in (item, *payload)]

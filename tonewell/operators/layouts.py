@@ -215,7 +215,7 @@ def check_layout(layout: DataFrame) -> DataFrame:
         .filter(F.col("n") > 1)
         .select("s", "q", F.lit("several times in one step").alias("problem"))
     )
-    order = Window.partitionBy("q").orderBy("s")
+    order = Window.partitionBy("q").orderBy("s", "t")
     backwards = (
         layout.withColumn("__before", F.lag("t").over(order))
         .filter(F.col("t") < F.col("__before"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tonewell.functions.hashing import bucket_of, uniform
-from tonewell.operators.scans import row_positions, running, share_bucket
+from tonewell.operators.scans import bucket_count, row_positions, running, share_bucket
 from tonewell.session import written
 
 
@@ -91,7 +91,7 @@ def sample_files(
     on_weight: bool = True,
     on_duration: bool = True,
     buckets: int = 256,
-    cells: int = 64,
+    cells: int | None = None,
 ) -> DataFrame:
     """n draws with replacement, in proportion to the scores: (index, key).
 
@@ -99,8 +99,10 @@ def sample_files(
     their hash bucket through a table of at most ``buckets`` + ``cells`` rows,
     and inside the bucket the last interval start before them. A bucket is cut
     in ``cells`` position cells, so that a file with a large weight spreads its
-    draws over tasks, and a bucket of many light files stays small by hashing.
+    draws over tasks, and a bucket of many light files stays small by hashing. The draws
+    depend on ``buckets``, so a larger manifest that wants more of them says so.
     """
+    cells = cells or bucket_count(files)
     scored = files.select(key, *[c for c in ("weight", "duration") if c in files.columns])
     scored = scored.withColumn("score", sampling_score(on_weight, on_duration))
     # The manifest is read once; its scores and the bucket spans serve several times.
@@ -159,7 +161,7 @@ def sample_files(
 
 
 def permute_files(
-    files: DataFrame, n: int, key: str = "path", epoch: int = 0, seed: int = 0, buckets: int = 1024
+    files: DataFrame, n: int, key: str = "path", epoch: int = 0, seed: int = 0
 ) -> DataFrame:
     """Draws without replacement that go on across epochs: (index, key).
 
@@ -174,7 +176,7 @@ def permute_files(
     orders = files.select(key).withColumn("perm", F.explode(F.sequence(F.lit(first), F.lit(last))))
     orders = orders.withColumn("u", uniform(f"perm:{seed}", F.col("perm"), F.col(key)))
     ranked = row_positions(
-        orders, ["perm"], share_bucket(F.col("u"), buckets), [F.col("u"), F.col(key)], "rel"
+        orders, ["perm"], share_bucket(F.col("u"), bucket_count(files)), [F.col("u"), F.col(key)], "rel"
     )
     index = F.col("perm").cast("bigint") * size + F.col("rel") - F.lit(epoch * n)
     return ranked.select(index.alias("index"), key).filter((F.col("index") >= 0) & (F.col("index") < n))

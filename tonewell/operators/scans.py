@@ -124,12 +124,20 @@ def running(
     return result.drop(*drop)
 
 
-def take_smallest(df: DataFrame, n: int, u: Column, ties: Sequence[Column], buckets: int = 1024) -> DataFrame:
+def bucket_count(df: DataFrame) -> int:
+    """Ordered buckets of a scan: several for each shuffle partition, so they grow with the cluster set up for the data."""
+    return max(64, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def take_smallest(
+    df: DataFrame, n: int, u: Column, ties: Sequence[Column], buckets: int | None = None
+) -> DataFrame:
     """The n rows with the smallest u in [0, 1), whatever the size of n.
 
     Counts per u-bucket tell where the n-th row falls, so only the rows up to
     that bucket are shuffled and no task ever holds all n of them.
     """
+    buckets = buckets or bucket_count(df)
     rows = df.withColumn("__u", u).withColumn(BUCKET, share_bucket(F.col("__u"), buckets))
     earlier = Window.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     # One row per bucket, so at most ``buckets`` rows here.

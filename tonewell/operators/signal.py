@@ -18,7 +18,7 @@ from tonewell.functions import text as X
 from tonewell.functions.arrays import let
 from tonewell.functions.hashing import normal, uniform, uniform_int
 from tonewell.operators.joins import random_pairs
-from tonewell.operators.scans import row_positions, running, share_bucket, span_bucket
+from tonewell.operators.scans import bucket_count, row_positions, running, share_bucket, span_bucket
 from tonewell.session import written
 
 KEYS = ("clip_id", "channel")
@@ -489,7 +489,7 @@ def mix_samples(
 
     u = uniform(f"{seed}:source", F.col(batch), F.col("clip_id"))
     placed = row_positions(
-        items.withColumn("__u", u), [batch], share_bucket(F.col("__u"), 16), [F.col("__u"), F.col("clip_id")], "__rank"
+        items.withColumn("__u", u), [batch], share_bucket(F.col("__u"), bucket_count(items)), [F.col("__u"), F.col("clip_id")], "__rank"
     )
     sizes = items.groupBy(batch).agg(F.floor(F.count(F.lit(1)) * F.lit(mix_p)).alias("__k"))
     kept = placed.join(sizes, batch).filter((F.col("__rank") < F.col("__k")) & ~mixing)

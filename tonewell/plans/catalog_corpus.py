@@ -151,6 +151,24 @@ def pool_with_repeat(spark, sf):
     return corpus.sample_with_repeat(pool, 500, "pool", "item_id")
 
 
+@query("limited_rows", "SELECT doc_id, lang FROM documents ORDER BY lang, doc_id LIMIT 100")
+def limited_rows(spark, sf):
+    return corpus.limit_rows(table(spark, sf, "documents").select("doc_id", "lang"), 100, ["lang", "doc_id"])
+
+
+@query(
+    "rows_with_meta",
+    """SELECT d.doc_id, l.quality IS NOT NULL AS music, d.n_chars > 500 AS sound FROM documents d LEFT JOIN labels l USING (doc_id)""",
+)
+def rows_with_meta(spark, sf):
+    docs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
+    rows = docs.select(
+        "doc_id", F.when(F.col("quality").isNotNull(), F.col("source")).alias("name"),
+        F.when(F.col("n_chars") > 500, F.col("lang")).alias("description"),
+    )
+    return rows.select("doc_id", corpus.has_music_meta().alias("music"), corpus.has_sound_meta().alias("sound"))
+
+
 @query(
     "sampling_probabilities",
     f"""WITH {MANIFEST_SQL}

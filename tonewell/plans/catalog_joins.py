@@ -88,7 +88,7 @@ def cache_merge(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id")
     cache = table(spark, sf, "labels").select("doc_id", F.lit("hit").alias("origin"))
     missed = joins.cache_misses(docs, cache, ["doc_id"]).withColumn("origin", F.lit("new"))
-    return joins.merge_cache(docs.join(cache, "doc_id"), missed)
+    return docs.join(cache, "doc_id").unionByName(missed)
 
 
 @query(

@@ -109,6 +109,33 @@ def layout_lookup(spark, sf):
     )
 
 
+@query(
+    "layout_checks",
+    """SELECT s, CAST(q AS INTEGER) AS q, problem FROM (
+  SELECT s, q, 'several times in one step' AS problem FROM (SELECT turn // 2 AS s, conv_id AS q FROM conversations) GROUP BY s, q HAVING count(*) > 1
+  UNION ALL SELECT s, q, 'time goes back' FROM (
+    SELECT length(text) AS s, conv_id AS q, turn AS t, lag(turn) OVER (PARTITION BY conv_id ORDER BY length(text), turn) AS b FROM conversations) WHERE t < b)""",
+)
+def layout_checks(spark, sf):
+    """Conversations as layouts: pairs of turns share a step, and steps by length don't follow the turns."""
+    turns = table(spark, sf, "conversations").select(F.col("conv_id").cast("int").alias("q"), F.col("turn").alias("t"), F.length("text").alias("n"))
+    paired = layouts.check_layout(turns.select(F.expr("t div 2").cast("int").alias("s"), "t", "q"))
+    sized = layouts.check_layout(turns.select(F.col("n").alias("s"), "t", "q"))
+    return paired.filter("problem LIKE 'several%'").unionByName(sized.filter("problem LIKE 'time%'"))
+
+
+@query(
+    "layout_steps",
+    """SELECT vec_id, label + 2 * q AS s, label AS t, q FROM embeddings, (SELECT CAST(unnest(range(4)) AS INTEGER) AS q)""",
+)
+def layout_steps(spark, sf):
+    """The steps that hold a time of a delayed layout, as long as the labels need."""
+    rows = table(spark, sf, "embeddings").select("vec_id", "label")
+    top = rows.agg(F.max("label")).first()[0] or 0
+    cells = layouts.layout_table(spark, layouts.delayed(4, top + 1, [0, 2, 4, 6]))
+    return rows.join(cells, F.col("label") == F.col("t")).select("vec_id", (F.col("s") - 1).alias("s"), "t", "q")
+
+
 @query(
     "invalid_tokens",
     f"""WITH {CODES_SQL} SELECT item, q, t, CASE WHEN t < n THEN code ELSE 1024 END AS code, CAST(t < n AS INTEGER) AS mask

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonewell.operators.joins import cache_misses, merge_cache
+from tonewell.operators.joins import cache_misses
+from tonewell.session import written
 from tonewell.sources.manifests import path_exists
 
 
@@ -26,20 +27,22 @@ def embedding_cache(
     (key, embedding); ``extract`` cuts the wanted part out of the full embeddings.
     """
     spark = keys.sparkSession
-    signed = keys.withColumn("sig", F.sha1(F.col(key).cast("string"))).withColumn(
-        "prefix", F.substring("sig", 1, digits)
-    )
+    # The folder names are text; as a value "07" must not become 7.
+    prefix = F.concat(F.lit("p"), F.substring("sig", 1, digits))
+    signed = keys.withColumn("sig", F.sha1(F.col(key).cast("string"))).withColumn("prefix", prefix)
     wanted = signed.select(key, "sig", "prefix").dropDuplicates([key])
     if path_exists(spark, path):
-        stored = spark.read.option("recursiveFileLookup", "true").parquet(path)
-        missing = cache_misses(wanted, stored, ["sig"])
+        # The prefix is a join key, so that only the folders of the wanted keys are read.
+        missing = cache_misses(wanted, spark.read.parquet(path), ["prefix", "sig"])
     else:
         missing = wanted
+    missing = written(missing, "missing")  # read to compute and to join
     fresh = missing.join(compute(missing.select(key)), key)
-    # One task per prefix and folder, not one small file per task and folder.
-    fresh.repartition("prefix").write.mode("append").partitionBy("prefix").parquet(path)
-    stored = spark.read.option("recursiveFileLookup", "true").parquet(path)
-    found = signed.drop("prefix").join(stored.drop(key), "sig").drop("sig")
+    # As many tasks as there are shuffle partitions, each with the files of few folders.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    salt = F.pmod(F.xxhash64("sig"), F.lit(max(1, parts // 16**digits)))
+    fresh.repartition(parts, "prefix", salt).write.mode("append").partitionBy("prefix").parquet(path)
+    found = signed.join(spark.read.parquet(path).drop(key), ["prefix", "sig"]).drop("sig", "prefix")
     return extract(found) if extract else found
 
 
