@@ -91,17 +91,18 @@ def rating_files(spark, sf):
 @query(
     "history_files",
     f"""WITH {HISTORY_SQL} SELECT run, CAST(epoch AS INTEGER) AS epoch, stage, metric, value FROM h
-UNION ALL SELECT run, CAST(i AS INTEGER), NULL, 'epoch', CAST(i AS DOUBLE) FROM (SELECT DISTINCT run FROM h), (SELECT unnest(range(1, 32)) AS i)""",
+UNION ALL SELECT run, CAST(i AS INTEGER), NULL, 'epoch', CAST(i AS DOUBLE) FROM (SELECT DISTINCT run FROM h), (SELECT unnest(range(1, (SELECT max(epoch) + 1 FROM h))) AS i)""",
 )
 def history_files(spark, sf):
     """One JSON list per run with an object per day, days without events included."""
     rows = run_history(spark, sf)
+    last = rows.agg(F.max("epoch")).first()[0] or 1
     stages = rows.groupBy("run", "epoch", "stage").agg(
         F.map_from_entries(F.collect_list(F.struct("metric", "value"))).alias("m")
     )
-    # A day has at most two stages, a run 31 days.
+    # A day has at most two stages, a run a row per day.
     days = stages.groupBy("run", "epoch").agg(F.map_from_entries(F.collect_list(F.struct("stage", "m"))).alias("d"))
-    every = rows.select("run").distinct().withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(31))))
+    every = rows.select("run").distinct().withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(last))))
     texts = every.join(days, ["run", "epoch"], "left").select(
         "run",
         "epoch",

@@ -369,7 +369,7 @@ def mos(spark, sf):
 
 # Histories: a user is a run, a day an epoch, an event type a metric.
 HISTORY_SQL = f"""
-h AS (SELECT CAST(user_id AS VARCHAR) AS run, day(ts) AS epoch, CASE WHEN event_type = 'click' THEN 'valid' ELSE 'train' END AS stage,
+h AS (SELECT CAST(user_id AS VARCHAR) AS run, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) + 1 AS epoch, CASE WHEN event_type = 'click' THEN 'valid' ELSE 'train' END AS stage,
   CASE WHEN event_type = 'view' THEN 'duration' ELSE event_type END AS metric, max(value) AS value FROM events GROUP BY ALL)
 """
 
@@ -378,7 +378,7 @@ def run_history(spark, sf):
     events = table(spark, sf, "events")
     return events.groupBy(
         F.col("user_id").cast("string").alias("run"),
-        F.dayofmonth("ts").alias("epoch"),
+        (F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")) + 1).alias("epoch"),
         F.when(F.col("event_type") == "click", "valid").otherwise("train").alias("stage"),
         F.when(F.col("event_type") == "view", "duration").otherwise(F.col("event_type")).alias("metric"),
     ).agg(F.max("value").alias("value"))

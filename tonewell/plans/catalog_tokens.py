@@ -102,8 +102,9 @@ def deinterleave_scores(spark, sf):
     """SELECT CAST(l_orderkey AS BIGINT) AS l_orderkey, l_linenumber, CAST(1 + l_quantity + 2 * (l_linenumber - 1) AS INTEGER) AS s FROM lineitem""",
 )
 def layout_lookup(spark, sf):
-    layout = layouts.delayed(7, 51, [0, 2, 4, 6, 8, 10, 12])
     lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    top = lines.agg(F.max("l_linenumber").alias("q"), F.max("l_quantity").alias("t")).first()
+    layout = layouts.delayed(top["q"] or 1, int(top["t"] or 0) + 1, [2 * q for q in range(top["q"] or 1)])
     return lines.select(
         "l_orderkey", "l_linenumber", layout.step(F.col("l_quantity").cast("int"), F.col("l_linenumber") - 1).alias("s")
     )

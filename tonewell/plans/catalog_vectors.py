@@ -143,14 +143,15 @@ def dequantised(spark, sf):
 @query(
     "codebook_usage",
     """WITH c AS (SELECT l_linenumber AS q, CAST(l_quantity AS INTEGER) AS code, count(*) AS n FROM lineitem GROUP BY 1, 2),
-e AS (SELECT q, CAST(unnest(range(64)) AS INTEGER) AS code FROM (SELECT DISTINCT q FROM c))
+e AS (SELECT q, CAST(unnest(range((SELECT max(code) + 1 FROM c))) AS INTEGER) AS code FROM (SELECT DISTINCT q FROM c))
 SELECT e.q, e.code, coalesce(n, 0) AS n FROM e LEFT JOIN c ON c.q = e.q AND c.code = e.code""",
 )
 def codebook_usage(spark, sf):
     codes = table(spark, sf, "lineitem").select(
         F.col("l_linenumber").alias("q"), F.col("l_quantity").cast("int").alias("code")
     )
-    return quantise.codebook_usage(codes, 64)
+    bins = (codes.agg(F.max("code")).first()[0] or 0) + 1
+    return quantise.codebook_usage(codes, bins)
 
 
 EMA_SQL = f"""
