@@ -147,8 +147,9 @@ def fit(docs: DataFrame, trusted: DataFrame, positives: int = 6000, unlabelled:
     unit = lambda salt: F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1 << 30)) / float(1 << 30)
     ids = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).dropna().distinct()
     n_p, n_u = ids.count(), rows.count()
-    drawn = ids.filter(unit(seed) < positives / max(1, n_p)).withColumn("trusted", F.lit(True))
-    sample = rows.join(drawn, "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
+    # at most twice the parameter, so small enough for every task; the texts stay where they are
+    drawn = ids.filter(unit(seed) < positives / max(1, n_p)).limit(2 * positives).withColumn("trusted", F.lit(True))
+    sample = rows.join(F.broadcast(drawn), "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
     sample = sample.withColumn("drawn", unit(seed + 1) < unlabelled / max(1, n_u)).filter("trusted OR drawn")
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
