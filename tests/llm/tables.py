@@ -38,6 +38,7 @@ def rows():
         (None, None, None, None),
         (17, base, "en", "a"),
         (17, base, "en", "a"),
+        ((1 << 62) + 1, "a large id " * 30, "en", "a"),
     ]
     return [(i, t, lang, s, None if t is None else len(t), 0.0, 1, 2, 3, 4) for i, t, lang, s in texts]
 

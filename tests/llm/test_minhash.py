@@ -102,13 +102,45 @@ def test_estimate_is_corrected_for_chance(spark):
         assert abs(mean - share) < 0.05
 
 
-def test_blocks_compare_every_two_components(spark):
-    rng = np.random.default_rng(1)
-    bits = rng.integers(-(1 << 62), 1 << 62, 12).tolist()
-    rows = [(1, i, i % 3, bits) for i in range(25)] + [(2, i, 0, bits) for i in range(25)]
-    df = spark.createDataFrame(rows, "bucket long, rep long, component long, low_bits array<long>")
-    got = {tuple(r) for r in mh.open_pairs(df, 0.85, block=4).collect()}
-    assert got == {(a, b) for a in range(25) for b in range(a + 1, 25) if a % 3 != b % 3}
+def test_every_two_components_of_a_bucket_meet(spark):
+    """Small blocks, one large component: links are found across all cells, and connect what they should."""
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    family = mh.hash_family()
+    rows, sets = [], {}
+    for i in range(60):
+        s = mh.shingle_sets([" ".join(edited(base, rng, rng.randint(0, 4)))])[0]
+        values = mh.minima(s, family)
+        sets[i] = s
+        # buckets made by hand: all classes share the first band
+        bands = [1, *(1000 * (i + 1) + j for j in range(mh.BANDS - 1))]
+        rows.append((1, i, 100 if i % 3 else i, bands, mh.packed(values).view(np.int64).tolist(), s.tobytes()))
+    df = spark.createDataFrame(rows, "bucket long, rep long, component long, bands array<long>, low_bits array<long>, shingles binary")
+    component = {r[1]: r[2] for r in rows}
+    link = {(a, b) for a in sets for b in sets if a < b and mh.similar(sets[a], sets[b], 85) and component[a] != component[b]}
+    still = {r["rep"] for r in mh.open_members(df.drop("shingles"), 85, block=7).collect()}
+    assert {x for pair in link for x in pair} <= still
+    got = {tuple(sorted(r)) for r in mh.open_links(df, 85, block=7).collect()}
+    assert got <= link
+
+    def merged(pairs):
+        root = {c: c for c in component.values()}
+        for _ in range(100):
+            for a, b in pairs:
+                x, y = component[a], component[b]
+                root[x] = root[y] = min(root[x], root[y])
+        return root
+
+    assert merged(got) == merged(link)
+
+
+def test_a_pair_belongs_to_its_first_common_band(spark):
+    bits = [0] * 12
+    shingles = np.arange(10, dtype=np.uint64).tobytes()
+    rows = [(bucket, rep, rep, [5, 6, *(100 * rep + j for j in range(mh.BANDS - 2))], bits, shingles) for bucket in (5, 6) for rep in (1, 2)]
+    df = spark.createDataFrame(rows, "bucket long, rep long, component long, bands array<long>, low_bits array<long>, shingles binary")
+    assert {tuple(r) for r in mh.open_members(df.drop("shingles"), 85).collect()} == {(5, 1), (5, 2)}
+    assert mh.open_links(df, 85).count() == 1
 
 
 def test_components(spark):

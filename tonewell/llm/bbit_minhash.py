@@ -11,12 +11,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tonewell.llm.common import components, written
+from tonewell.llm.common import Scratch, components, id_text, long_ids, written
 from tonewell.llm.fertility import mixed
 
 BANDS, ROWS, BITS = 32, 6, 4
 HASHES = BANDS * ROWS
 SKETCH = "doc_id long, n_shingles long, set_key binary, bands array<long>, low_bits array<long>"
+#: Bands of the first round, whose buckets link most copies before any others are opened.
+LEAD = 8
 #: Standard deviations below the threshold at which an estimate still counts as a candidate.
 MARGIN = 6.0
 
@@ -94,10 +96,10 @@ def sketches(docs: DataFrame) -> DataFrame:
                 key = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                 rows.append((len(s), key, band_keys(values).view(np.int64), packed(values).view(np.int64)))
             out = pd.DataFrame(rows, columns=["n_shingles", "set_key", "bands", "low_bits"])
-            out.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy())
+            out.insert(0, "doc_id", long_ids(batch["doc_id"]))
             yield out
 
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    text = docs.select(id_text(), F.coalesce("text", F.lit("")).alias("text"))
     return text.mapInPandas(sketch, SKETCH)
 
 
@@ -128,18 +130,22 @@ def competitive(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFram
     return both.filter(estimate(F.col("bu"), F.col("bv")) >= cut(threshold)).select("u", "v")
 
 
-def linked(pairs: DataFrame, texts: DataFrame, threshold: int, spread: int = 256) -> DataFrame:
+def linked(pairs: DataFrame, docs: DataFrame, threshold: int, spread: int = 256) -> DataFrame:
     """Pairs ``(u, v)`` of ``pairs`` with 100 * intersection >= threshold * union of their whole sets.
 
-    Partners of a common ``u`` are cut in parts of about ``spread``, each with a copy of
-    u's text, and parts are dealt into groups of bounded size.
+    Only the texts of the pairs leave ``docs``. Partners of a common ``u`` are cut in parts
+    of about ``spread``, each with a copy of u's text, and parts are dealt into groups of
+    bounded size.
     """
+    scratch = Scratch(docs.sparkSession)
     count = pairs.groupBy("u").agg(F.ceil(F.count("*") / F.lit(spread)).alias("parts"))
-    pairs = written(
-        pairs.join(count, "u").withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts"))).drop("parts"), "pairs"
+    pairs = scratch.write(
+        "pairs", pairs.join(count, "u").withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts"))).drop("parts")
     )
     groups = max(1, math.ceil(pairs.count() / spread))
     group = F.pmod(F.xxhash64("u", "part"), F.lit(groups)).alias("g")
+    nodes = pairs.select("u").union(pairs.select("v")).toDF("id").distinct()
+    texts = scratch.write("texts", texts_of(docs, nodes.hint("merge")))
     text = lambda c: texts.select(F.col("id").alias(c), "text")
     one = pairs.select("u", "part").distinct().join(text("u"), "u").select(group, "u", F.lit(None).cast("long").alias("v"), "text")
     many = pairs.join(text("v"), "v").select(group, "u", "v", "text")
@@ -156,103 +162,184 @@ def linked(pairs: DataFrame, texts: DataFrame, threshold: int, spread: int = 256
                     continue
                 if at != u:
                     raise ValueError("a partner came without its centre")
-                common = len(np.intersect1d(first, s, assume_unique=True))
-                if 100 * common >= threshold * (len(first) + len(s) - common):
+                if similar(first, s, threshold):
                     out.append((u, int(v)))
         return pd.DataFrame(out, columns=["u", "v"])
 
-    return one.union(many).groupBy("g").applyInPandas(verify, "u long, v long")
+    links = written(one.union(many).groupBy("g").applyInPandas(verify, "u long, v long"), "links")
+    scratch.drop("pairs", "texts")
+    return links
 
 
-def open_pairs(members: DataFrame, threshold: float, block: int = 512) -> DataFrame:
-    """Competitive pairs of different components in the buckets of ``members`` (bucket, rep, component, low_bits).
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``(id, text)`` of the documents in ``ids``, one row per id."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    return rows.join(ids, "id", "left_semi").dropDuplicates(["id"])
 
-    A bucket is cut in blocks; every two blocks meet in a group of their own, where the
-    packed bits are compared. Only pairs over the cut leave it, those inside a component
-    never do.
+
+def similar(a: np.ndarray, b: np.ndarray, threshold: int) -> bool:
+    if 100 * min(len(a), len(b)) < threshold * max(len(a), len(b)):
+        return False
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * common >= threshold * (len(a) + len(b) - common)
+
+
+def dealt(members: DataFrame, block: int) -> DataFrame:
+    """``members`` (bucket, rep, component, ...) in groups ``g`` of cells (bucket, i, a) of bounded size.
+
+    Two components meet only through members outside the bucket's largest one. Blocks of
+    those (``left``) meet blocks of all members, so a large component is never compared
+    with itself, and every two members of different components share a cell.
     """
-    least = cut(threshold)
-    count = members.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
-    rows = members.join(count, "bucket").withColumn("b", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns(
-        {"lo": F.least("b", "other"), "hi": F.greatest("b", "other")}
-    )
+    sizes = members.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("top"))
+    blocks = lambda n: F.greatest(F.ceil(n / F.lit(block)), F.lit(1)).cast("int")
+    largest = largest.select("bucket", "main", blocks(F.col("n")).alias("nb"), blocks(F.col("n") - F.col("top")).alias("mb"))
+    rows = members.join(largest, "bucket").withColumn("minor", F.col("component") != F.col("main"))
+    to = lambda n: F.sequence(F.lit(0), n - 1)
+    place = lambda n, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), n).cast("int")
+    right = F.transform(to(F.col("mb")), lambda i: F.struct(i.alias("i"), place(F.col("nb"), 1).alias("a"), F.lit(False).alias("left")))
+    left = F.transform(to(F.col("nb")), lambda a: F.struct(place(F.col("mb"), 2).alias("i"), a.alias("a"), F.lit(True).alias("left")))
+    cells = F.when(F.col("minor"), F.concat(right, left)).otherwise(right)
     n = members.count()
-    g = F.pmod(F.xxhash64("bucket", "lo", "hi"), F.lit(max(1, math.ceil(n / (4 * block)))))
+    group = F.pmod(F.xxhash64("bucket", "i", "a"), F.lit(max(1, math.ceil(n / (4 * block)))))
+    return rows.select(*members.columns, "minor", F.inline(cells)).withColumn("g", group)
+
+
+def _cells(batch: pd.DataFrame, least: float) -> Iterator[tuple]:
+    """Each cell of a group with its competitive pairs: rows of the cell, positions of both sides.
+
+    A pair belongs to the first band in which it collides, so it is met in one bucket only.
+    """
+    for (bucket, _, _), rows in batch.groupby(["bucket", "i", "a"], sort=False):
+        bits = np.stack(list(rows["low_bits"])).view(np.uint64)
+        bands = np.stack(list(rows["bands"]))
+        comp, rep = rows["component"].to_numpy(), rows["rep"].to_numpy()
+        minor, left = rows["minor"].to_numpy(bool), rows["left"].to_numpy(bool)
+        right = np.flatnonzero(~left)
+        pairs = []
+        for i in np.flatnonzero(left):
+            js = right[(comp[right] != comp[i]) & (~minor[right] | (rep[right] > rep[i]))]
+            if not len(js):
+                continue
+            d = bits[js] ^ bits[i]
+            d |= d >> np.uint64(2)
+            d |= d >> np.uint64(1)
+            apart = np.bitwise_count(d & np.uint64(0x1111111111111111)).sum(1)
+            js = js[(1 - apart / HASHES - 2.0**-BITS) / (1 - 2.0**-BITS) >= least]
+            if len(js):
+                same = bands[js] == bands[i]
+                js = js[bands[i][same.argmax(1)] == bucket]
+                pairs += [(i, j) for j in js.tolist()]
+        if pairs:
+            yield rows, pairs
+
+
+def open_members(members: DataFrame, threshold: int, block: int = 512) -> DataFrame:
+    """``(bucket, rep)`` of the members that have a competitive partner in another component."""
 
     def compare(batch: pd.DataFrame) -> pd.DataFrame:
+        found = [
+            pd.DataFrame({"bucket": rows["bucket"].iloc[0], "rep": np.unique(rows["rep"].to_numpy()[np.unique(pairs)])})
+            for rows, pairs in _cells(batch, cut(threshold / 100))
+        ]
+        return pd.concat(found) if found else pd.DataFrame({"bucket": [], "rep": []}).astype("int64")
+
+    return dealt(members, block).groupBy("g").applyInPandas(compare, "bucket long, rep long").distinct()
+
+
+def open_links(members: DataFrame, threshold: int, block: int = 512) -> DataFrame:
+    """Links ``(u, v)`` between components among ``members``, which hold their whole ``shingles``.
+
+    Inside a cell a pair that verified links connect already is not looked at, so a cell
+    gives fewer links than it has members.
+    """
+
+    def verify(batch: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for (_, lo, hi), rows in batch.groupby(["bucket", "lo", "hi"], sort=False):
-            bits = np.stack(list(rows["low_bits"])).view(np.uint64)
-            comp, rep, b = rows["component"].to_numpy(), rows["rep"].to_numpy(), rows["b"].to_numpy()
-            for i in range(len(rows)):
-                js = np.flatnonzero((comp != comp[i]) & (rep > rep[i]) & ((b != b[i]) if lo != hi else True))
-                if not len(js):
-                    continue
-                d = bits[js] ^ bits[i]
-                d |= d >> np.uint64(2)
-                d |= d >> np.uint64(1)
-                apart = np.bitwise_count(d & np.uint64(0x1111111111111111)).sum(1)
-                j = (1 - apart / HASHES - 2.0**-BITS) / (1 - 2.0**-BITS)
-                out += [(rep[i], x) for x in rep[js[j >= least]].tolist()]
+        for rows, pairs in _cells(batch, cut(threshold / 100)):
+            rep, root = rows["rep"].to_numpy(), {c: c for c in rows["component"].tolist()}
+            comp, sets = rows["component"].tolist(), {}
+
+            def find(c, root=root):
+                while root[c] != c:
+                    root[c] = c = root[root[c]]
+                return c
+
+            def shingles(i, rows=rows, sets=sets):
+                if i not in sets:
+                    sets[i] = np.frombuffer(rows["shingles"].iloc[i], np.uint64)
+                return sets[i]
+
+            for i, j in pairs:
+                x, y = find(comp[i]), find(comp[j])
+                if x != y and similar(shingles(i), shingles(j), threshold):
+                    root[x] = y
+                    out.append((rep[i], rep[j]))
         return pd.DataFrame(out, columns=["u", "v"]).astype("int64")
 
-    found = rows.withColumn("g", g).drop("blocks", "other").groupBy("g").applyInPandas(compare, "u long, v long")
-    return found.distinct()
+    return dealt(members, block).groupBy("g").applyInPandas(verify, "u long, v long")
+
+
+def whole_sets(texts: DataFrame) -> DataFrame:
+    """``(id, shingles)``: the set of each text as packed 64-bit numbers."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = shingle_sets([t or "" for t in batch["text"]])
+            yield pd.DataFrame({"id": batch["id"], "shingles": [s.tobytes() for s in sets]})
+
+    return texts.mapInPandas(pack, "id long, shingles binary")
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 85) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row of ``docs`` (doc_id, text).
 
     Equal shingle sets are one class, so copies are never expanded. The classes' band
-    keys form buckets. Every class of a bucket is first compared with the bucket's
-    smallest class, a star rather than all pairs; linked classes become components.
-    Where a bucket still holds several components, their classes are compared with
-    each other as well, by packed bits and then on full sets, so no link between
-    classes that share a bucket is lost. Two sets at the threshold share no bucket
-    with a probability below one in three million.
+    keys form buckets. In the first ``LEAD`` bands every class of a bucket is compared with
+    the bucket's smallest class, a star rather than all pairs; linked classes become
+    components. Where a bucket of any band still holds several components, their classes
+    are compared with each other, by packed bits and then on full sets, until links
+    connect them; no link between classes that share a bucket is lost. Two sets at the
+    threshold share no bucket with a probability below one in three million.
 
     Null and empty texts have no shingles and are linked with nothing. Rows that share
     a doc_id are one document for links. A null doc_id takes no part: its component is
     null and it is kept. An empty table gives no row; other columns are ignored.
     """
-    sketch = written(sketches(docs), "sketches")
+    scratch = Scratch(docs.sparkSession)
+    sketch = scratch.write("sketches", sketches(docs))
     named = sketch.filter("set_key IS NOT NULL AND doc_id IS NOT NULL")
-    reps = written(
+    reps = scratch.write(
+        "classes",
         named.groupBy("set_key").agg(
             F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("low_bits").alias("low_bits")
         ),
-        "classes",
-    )
-    keyed = reps.select("rep", F.explode("bands").alias("bucket"))
-    centre = keyed.groupBy("bucket").agg(F.min("rep").alias("u"), F.max("rep").alias("top")).filter("u <> top").drop("top")
-    shared = written(keyed.join(centre, "bucket").select("bucket", "u", F.col("rep").alias("v")), "buckets")
-
-    nodes = shared.select(F.col("v").alias("id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(nodes, "id", "left_semi")
-    texts = written(texts.dropDuplicates(["id"]), "candidates")
-
-    star = shared.filter("u <> v").select("u", "v").distinct()
-    links = written(linked(competitive(star, reps, threshold / 100), texts, threshold), "links")
-    groups = components(links)
-
-    where = shared.join(groups, F.col("v") == F.col("id"), "left").select(
-        "bucket", F.col("v").alias("rep"), F.coalesce("component", "v").alias("component")
     )
-    where = written(where, "grouped")
+    lead = reps.select("rep", F.explode(F.slice("bands", 1, LEAD)).alias("bucket"))
+    centre = lead.groupBy("bucket").agg(F.min("rep").alias("u"), F.max("rep").alias("top")).filter("u <> top")
+    star = lead.join(centre, "bucket").filter("u <> rep").select("u", F.col("rep").alias("v")).distinct()
+    links = linked(competitive(star, reps, threshold / 100), docs, threshold)
+    group = components(links).select(F.col("id").alias("rep"), "component")
+
+    keyed = reps.join(group, "rep", "left").select("rep", F.coalesce("component", "rep").alias("component"), "bands")
+    keyed = scratch.write("keyed", keyed).select("rep", "component", F.explode("bands").alias("bucket"))
     several = (
-        where.groupBy("bucket")
-        .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"))
-        .filter("low <> high AND n > 2")  # of two, the star has compared them
+        keyed.groupBy("bucket")
+        .agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        .filter("low <> high")
         .select("bucket")
     )
-    members = where.join(several, "bucket").join(reps.select("rep", "low_bits"), "rep")
-    pairs = written(open_pairs(members, threshold / 100), "open")
-    pairs = pairs.join(star, ["u", "v"], "left_anti")
-    more = written(linked(pairs, texts, threshold), "links")
+    members = scratch.write("members", keyed.join(several, "bucket"))
+    signed = members.join(reps.select("rep", "bands", "low_bits"), "rep")
+    still = scratch.write("open", open_members(signed, threshold))
+    # few classes: their written size lets Spark choose a broadcast, so that no text moves
+    ids = scratch.write("ids", still.select(F.col("rep").alias("id")).distinct())
+    sets = whole_sets(texts_of(docs, ids)).withColumnRenamed("id", "rep")
+    more = scratch.write("more", open_links(signed.join(still, ["bucket", "rep"]).join(sets, "rep"), threshold))
+    scratch.drop("keyed", "members", "open", "ids")
     if not more.isEmpty():
-        groups = components(links.union(more))
-    group = groups.select(F.col("id").alias("rep"), "component")
+        group = components(links.union(more)).select(F.col("id").alias("rep"), "component")
 
     found = reps.select("set_key", "rep").join(group, "rep", "left")
     found = found.select(F.col("set_key").alias("key"), F.coalesce("component", "rep").alias("component"))
@@ -267,5 +354,5 @@ def without_copies(docs: DataFrame, threshold: int = 85) -> DataFrame:
     """``docs`` with one document of each group of near duplicates; columns stay as they are."""
     found = near_duplicates(docs, threshold).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
     named = docs.filter(F.col("doc_id").isNotNull())
-    once = named.join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    once = named.join(found.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
     return once.union(docs.filter(F.col("doc_id").isNull()))

@@ -40,6 +40,36 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def id_text(name: str = "doc_id"):
+    """An integer id as text: pandas would make a batch of ids with a null into floats."""
+    return F.col(name).cast("long").cast("string").alias(name)
+
+
+def long_ids(values):
+    """Ids from ``id_text`` as nullable integers."""
+    import pandas as pd
+
+    return pd.array([None if x is None or x is pd.NA else int(x) for x in values], dtype="Int64")
+
+
+class Scratch:
+    """Intermediate tables of one operator, each dropped when what was made of it is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def write(self, name: str, df: DataFrame) -> DataFrame:
+        self.paths[name] = scratch_path(self.spark, name)
+        df.write.parquet(self.paths[name])
+        return self.spark.read.schema(df.schema).parquet(self.paths[name])
+
+    def drop(self, *names: str) -> None:
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for name in names:
+            path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
+            path.getFileSystem(conf).delete(path, True)
+
+
 def union_find_step(pairs: DataFrame) -> DataFrame:
     """One round of large-star / small-star on ``(u, v)`` rows; see ``components``."""
     both = pairs.select("u", "v").union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -65,11 +95,10 @@ def components(pairs: DataFrame, label: str = "components") -> DataFrame:
     Alternating large-star and small-star rounds; only counts and two sums reach the
     driver. Each round is written, so lineage does not grow with the rounds.
     """
-    edges = written(
-        pairs.filter("u <> v")
-        .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        .distinct(),
-        label,
+    scratch, turn = Scratch(pairs.sparkSession), 0
+    edges = scratch.write(
+        f"{label}-0",
+        pairs.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(),
     )
     state = None
     while True:
@@ -81,7 +110,9 @@ def components(pairs: DataFrame, label: str = "components") -> DataFrame:
         if now == state or not now["n"]:
             break
         state = now
-        edges = written(union_find_step(edges), label)
+        edges = scratch.write(f"{label}-{turn + 1}", union_find_step(edges))
+        scratch.drop(f"{label}-{turn}")
+        turn += 1
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).distinct()
 
 
