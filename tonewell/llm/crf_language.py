@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tonewell.llm.common import id_text, long_ids
 from tonewell.llm.fertility import mixed
 
 #: Runs of letters; marks, digits and symbols separate them.
@@ -223,7 +224,7 @@ def predict(docs: DataFrame, field: Field | None) -> DataFrame:
                     preds[i] = field.labels[best[i]]
                     scores[i] = float(min(1.0, mass[i, best[i]] / total[i]))
             yield pd.DataFrame(
-                {"doc_id": batch["doc_id"].astype("Int64"), "held_out": batch["held_out"], "lang_pred": preds, "score": scores}
+                {"doc_id": long_ids(batch["doc_id"]), "held_out": batch["held_out"], "lang_pred": preds, "score": scores}
             )
 
     return docs.mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double")
@@ -242,9 +243,10 @@ def label_words(docs: DataFrame, field: Field) -> DataFrame:
                 edges = [0, *(np.flatnonzero(np.diff(best)) + 1).tolist(), len(words)] if words else []
                 for a, b in zip(edges, edges[1:], strict=False):
                     rows.append((batch["doc_id"].iloc[i], a, b - a, field.labels[best[a]]))
-            yield pd.DataFrame(rows, columns=["doc_id", "first_word", "n_words", "lang"])
+            out = pd.DataFrame(rows, columns=["doc_id", "first_word", "n_words", "lang"])
+            yield out.assign(doc_id=long_ids(out["doc_id"]))
 
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    text = docs.select(id_text(), F.coalesce("text", F.lit("")).alias("text"))
     return text.mapInPandas(run, "doc_id long, first_word long, n_words long, lang string")
 
 
@@ -260,7 +262,7 @@ def identify(docs: DataFrame, fold: int = 2, folds: int = 4) -> DataFrame:
     remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
     field = fit(docs.filter(F.coalesce(remainder != fold, F.lit(False))))
     rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
+        id_text(),
         F.coalesce(remainder == fold, F.lit(False)).alias("held_out"),
         F.coalesce("text", F.lit("")).alias("text"),
     )

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tonewell.llm.common import WORD, Tokenizers, written
+from tonewell.llm.common import WORD, Tokenizers, id_text, long_ids, written
 
 MEASURES = (
     "doc_id long, band_key string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
@@ -113,10 +113,10 @@ def measures(docs: DataFrame) -> DataFrame:
                 )
             out = pd.DataFrame(rows, columns=[c.split()[0] for c in MEASURES.split(", ")])
             out["n_repeat_words"] = repeated_words(lists)
-            yield out.astype({"doc_id": "Int64"})
+            yield out.assign(doc_id=long_ids(batch["doc_id"]))
 
     text = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
+        id_text(),
         F.lower("lang").alias("lang"),
         F.coalesce("text", F.lit("")).alias("text"),
     )

@@ -12,12 +12,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonewell.llm.common import Tokenizers, written
+from tonewell.llm.common import Tokenizers, id_text, written
 
 #: Closing id of a document.
 END_ID = 2
-PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, salt long"
-PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, salt long, bin int, offset long, fill long"
+PIECE = "doc_id string, piece int, start long, length long, ids_crc32 long, salt long"
+PLACED = "doc_id string, piece int, start long, length long, ids_crc32 long, salt long, bin int, offset long, fill long"
 ELITE = "pool long, island int, place int, bins int, fitness double, genes binary"
 
 
@@ -40,11 +40,9 @@ def token_pieces(docs: DataFrame, capacity: int = 1024) -> DataFrame:
                     salt = zlib.crc32(f"{part} {seen}".encode())
                     rows.append((doc_id, piece, a, b - a, zlib.crc32(ids[a:b].tobytes()), salt))
                     seen += 1
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "salt"]).astype(
-                {"doc_id": "Int64"}
-            )
+            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "salt"])
 
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    text = docs.select(id_text(), F.coalesce("text", F.lit("")).alias("text"))
     return text.mapInPandas(pieces, PIECE)
 
 
@@ -258,7 +256,7 @@ def pack(
     rest = pack_level(
         first.filter(~done).drop("bin", "offset", "fill", "pool"), capacity, pool_rows, islands, epochs, seed + 1, "rest"
     )
-    ident = ("doc_id", "piece", "start", "length", "ids_crc32")
+    ident = (F.col("doc_id").cast("long").alias("doc_id"), "piece", "start", "length", "ids_crc32")
     step = F.lit(2 * pool_rows * 64).cast("long")
 
     def numbered(df: DataFrame, level: int) -> DataFrame:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonewell.llm.common import Tokenizers, written
+from tonewell.llm.common import Tokenizers, id_text, long_ids, written
 from tonewell.session import scratch_path
 
 KEYS = ("source", "lang", "tokenizer_version")
@@ -34,13 +34,12 @@ def count_tokens(docs: DataFrame) -> DataFrame:
                     encode = tok.ranks(file).encode_ordinary
                     revised = len(encode("\n".join(once))) if len(once) < len(lines) else None
                     rows.append((doc_id, source, lang, text_key, version, len(encode(text)), revised))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in COUNTS.split(", ")]).astype(
-                {"doc_id": "Int64", "tokens": "Int64", "revised_tokens": "Int64"}
-            )
+            out = pd.DataFrame(rows, columns=[c.split()[0] for c in COUNTS.split(", ")])
+            yield out.assign(doc_id=long_ids(out["doc_id"])).astype({"tokens": "Int64", "revised_tokens": "Int64"})
 
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", F.sha2(text, 256).alias("text_key"), text.alias("text")
+        id_text(), "source", "lang", F.sha2(text, 256).alias("text_key"), text.alias("text")
     )
     return rows.mapInPandas(count, COUNTS)
 

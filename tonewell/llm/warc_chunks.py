@@ -97,7 +97,8 @@ def write_archives(rows: DataFrame, folder: str, slice_bytes: int = 1 << 20) ->
                     records += 1
         yield pd.DataFrame({"archive": [name], "records": [records], "archive_bytes": [size]})
 
-    return written(rows.mapInPandas(write, ARCHIVE), "manifest")
+    named = rows.withColumns({c: F.col(c).cast("string") for c in ("__key", "__refers")})
+    return written(named.mapInPandas(write, ARCHIVE), "manifest")
 
 
 class Unpacked:
