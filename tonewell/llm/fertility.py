@@ -18,6 +18,8 @@ MEASURES = (
 )
 SYMBOLS = r"[#*$%&|<>]"
 SIGNALS = ("chars_per_token", "token_entropy")
+#: Values that clean text may always have, whatever the corpus at hand is like.
+NATURAL = {"chars_per_token": 6.0, "token_entropy": 1.0}
 #: First and last code points of the scripts told apart; letters beside them count as "other".
 SCRIPTS = (
     ("latin", 0x41, 0x24F), ("greek", 0x370, 0x3FF), ("cyrillic", 0x400, 0x52F), ("hebrew", 0x590, 0x5FF),
@@ -123,11 +125,12 @@ def measures(docs: DataFrame) -> DataFrame:
     return text.mapInPandas(measure, MEASURES)
 
 
-def bands(measured: DataFrame, reach: float = 3.0, least: int = 200) -> DataFrame:
+def bands(measured: DataFrame, reach: float = 2.5, least: int = 200, natural=NATURAL) -> DataFrame:
     """``(band_key, size_class, low and high of each signal)`` from all rows given.
 
     A band is the quartiles widened by ``reach`` interquartile distances, at least 5 %
-    of the median. Texts of a language (or script) are compared with those of like
+    of the median; an upper edge is never below ``natural``, what the vocabularies reach on
+    clean text of whole words. Texts of a language (or script) are compared with those of like
     length; groups below ``least`` rows are left out, and the wider group serves: the
     language at any length, then all texts.
     """
@@ -141,7 +144,8 @@ def bands(measured: DataFrame, reach: float = 3.0, least: int = 200) -> DataFram
     def edge(signal: str, side: int) -> Column:
         q = F.col(signal)
         spread = F.greatest(q[2] - q[0], 0.05 * q[1] / reach)
-        return (q[2] + reach * spread if side else q[0] - reach * spread).alias(f"{signal}_{'high' if side else 'low'}")
+        low, high = q[0] - reach * spread, F.greatest(q[2] + reach * spread, F.lit(natural[signal]))
+        return high.alias(f"{signal}_high") if side else low.alias(f"{signal}_low")
 
     return rolled.select("band_key", "size_class", "level", *[edge(s, side) for s in SIGNALS for side in (0, 1)])
 
