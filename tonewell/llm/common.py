@@ -13,14 +13,15 @@ from tonewell.session import configure, scratch_path
 
 #: ASCII white space that separates words; every other code point belongs to a word.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows of an Arrow batch of texts. A batch is what a Python worker holds at a time.
-TEXT_BATCH = 500
+#: Rows and bytes of an Arrow batch of texts. A batch is what a Python worker holds at a time.
+TEXT_BATCH, BATCH_BYTES = 500, 16 << 20
 
 
 def text_session(spark: SparkSession) -> SparkSession:
     """Session settings of jobs that send texts to Python workers."""
     configure(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 
