@@ -18,22 +18,25 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonewell.llm.common import written
+from tonewell.llm.common import long_ids, written
 from tonewell.llm.fertility import mixed
 
 LENGTH, GRAM = 50, 20
 LEFT = LENGTH - GRAM
 WIDTH = LEFT + LENGTH
 SHARD = "shard long, doc_ids binary, named binary, ends binary, size long, text binary, others binary"
+FRAGMENT = (
+    "part long, shard long, numbers binary, starts binary, docs binary, contexts binary, sizes binary, lefts binary"
+)
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def pack(array: np.ndarray) -> bytes:
+def pack(array: np.ndarray, level: int = 9) -> bytes:
     import pyarrow as pa
 
     raw = np.ascontiguousarray(array).tobytes()
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=level).compress(raw, asbytes=True)
 
 
 def unpack(data: bytes, kind) -> np.ndarray:
@@ -43,6 +46,16 @@ def unpack(data: bytes, kind) -> np.ndarray:
     return np.frombuffer(pa.decompress(data[8:], decompressed_size=size, codec="zstd", asbytes=True), kind)
 
 
+def place_of(hashes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Part of the hash range of each hash, and 32 bits of its place in the part.
+
+    A part holds some hundred thousand anchors, so about one in ten thousand agrees with
+    another by chance, which costs a needless comparison of contexts.
+    """
+    part = hashes % np.uint64(parts)
+    return part.astype(np.int64), (hashes // np.uint64(parts)).astype(np.uint32)
+
+
 def shards(docs: DataFrame, shard_bytes: int = 1 << 21, others: bool = False) -> DataFrame:
     """Texts of a task's rows, joined and compressed in shards of about ``shard_bytes``.
 
@@ -105,8 +118,25 @@ def sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(x[: len(x) - (width - span)], x[width - span :]) if width > span else x
 
 
-def anchors(text: np.ndarray, ends: np.ndarray, named: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the grams that are smallest in some string of ``LENGTH`` bytes of one document."""
+def anchors(
+    text: np.ndarray, ends: np.ndarray, named: np.ndarray, slice_bytes: int = 1 << 18
+) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the grams that are smallest in some string of ``LENGTH`` bytes of one document.
+
+    Documents go through in slices, so that only the places of a whole shard are held.
+    """
+    cuts = np.unique(np.searchsorted(ends, np.arange(slice_bytes, len(text) + slice_bytes, slice_bytes), "right"))
+    places, hashes, at = [np.empty(0, np.int64)], [np.empty(0, np.uint64)], 0
+    for end in [*cuts[(cuts > 0) & (cuts < len(ends))].tolist(), len(ends)]:
+        first, last = (int(ends[at - 1]) if at else 0), int(ends[end - 1])
+        place, value = _anchors(text[first:last], ends[at:end] - first, named[at:end])
+        places.append(place + first)
+        hashes.append(value)
+        at = end
+    return np.concatenate(places), np.concatenate(hashes)
+
+
+def _anchors(text: np.ndarray, ends: np.ndarray, named: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(text) - GRAM + 1
     if len(text) < LENGTH:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
@@ -143,7 +173,7 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
     key = np.zeros(n, np.int64)
     for j in range(known):
         key = (key << 9) | tail[j : j + n]
-    order = np.argsort(key, kind="stable").astype(np.int32)
+    order = np.argsort(key).astype(np.int32)
     key = key[order]
     head = np.r_[True, key[1:] != key[:-1]]
     del key, tail
@@ -157,7 +187,7 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
         group = rank[members]
         behind = rank[np.minimum(members.astype(np.int64) + known, n)]
         key = (group.astype(np.int64) << 32) | behind
-        turn = np.argsort(key, kind="stable")
+        turn = np.argsort(key)
         key, members = key[turn], members[turn]
         order[unsorted] = members
         head = np.r_[True, key[1:] != key[:-1]]
@@ -219,7 +249,7 @@ def _shard(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 
 
 def shared_anchors(table: DataFrame, parts: int, hot: int) -> DataFrame:
-    """``shard, hashes, hot``: the anchors of each shard that another shard holds as well, sorted.
+    """``part, shard, places, hot``: the anchors of each shard that another shard holds as well, sorted.
 
     A shard sends each of its anchors once, in one packed list for every part of the hash
     range; the lists of a part are merged, and what two shards hold goes back to them.
@@ -231,39 +261,38 @@ def shared_anchors(table: DataFrame, parts: int, hot: int) -> DataFrame:
             rows = []
             for row in batch.itertuples():
                 _, named, ends, text = _shard(row)
-                found = np.unique(anchors(text, ends, named)[1])
-                part = (found % np.uint64(parts)).astype(np.int64)
-                found = found[np.argsort(part, kind="stable")]
-                cuts = np.searchsorted(np.sort(part), np.arange(parts + 1))
-                rows += [
-                    (p, row.shard, found[a:b].tobytes()) for p, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a
-                ]
-            yield pd.DataFrame(rows, columns=["part", "shard", "hashes"])
+                part, place = place_of(anchors(text, ends, named)[1], parts)
+                order = np.lexsort((place, part))
+                part, place = part[order], place[order]
+                cuts = np.searchsorted(part, np.arange(parts + 1))
+                for p in np.flatnonzero(np.diff(cuts)):
+                    own = np.unique(place[cuts[p] : cuts[p + 1]])
+                    rows.append((int(p), row.shard, own.tobytes()))
+            yield pd.DataFrame(rows, columns=["part", "shard", "places"])
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
-        lists = [np.frombuffer(x, np.uint64) for x in group["hashes"]]
+        lists = [np.frombuffer(x, np.uint32) for x in group["places"]]
         every, counts = np.unique(np.concatenate(lists), return_counts=True)
         several, often = every[counts > 1], counts[counts > 1] > hot
         rows = []
-        for shard, own in zip(group["shard"], lists, strict=True):
+        for part, shard, own in zip(group["part"], group["shard"], lists, strict=True):
             at = np.minimum(np.searchsorted(several, own), max(0, len(several) - 1))  # binary search in the merged list
             hit = several[at] == own if len(several) else np.zeros(len(own), bool)
             if hit.any():
-                rows.append((shard, own[hit].tobytes(), often[at[hit]].tobytes()))
-        return pd.DataFrame(rows, columns=["shard", "hashes", "hot"])
+                rows.append((part, shard, own[hit].tobytes(), often[at[hit]].tobytes()))
+        return pd.DataFrame(rows, columns=["part", "shard", "places", "hot"])
 
-    sent = table.mapInPandas(send, "part long, shard long, hashes binary")
-    return sent.groupBy("part").applyInPandas(merge, "shard long, hashes binary, hot binary")
+    sent = table.select("shard", "doc_ids", "named", "ends", "text").mapInPandas(send, "part long, shard long, places binary")
+    return sent.groupBy("part").applyInPandas(merge, "part long, shard long, places binary, hot binary")
 
 
 def contexts_of(text, starts, ends, place, doc) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bytes around each place, inside its document: the bytes, how many, and how many of them lie before it."""
     left = np.minimum(place - starts[doc], LEFT)
     size = left + np.minimum(ends[doc] - place, LENGTH)
-    column = np.arange(WIDTH)
-    at = np.minimum((place - left)[:, None] + column[None, :], len(text) - 1)
-    out = text[at]
-    out[column[None, :] >= size[:, None]] = 0
+    padded = np.concatenate([text, np.zeros(WIDTH, np.uint8)])
+    out = np.lib.stride_tricks.sliding_window_view(padded, WIDTH)[place - left]
+    out[np.arange(WIDTH)[None, :] >= size[:, None]] = 0
     return out, size, left
 
 
@@ -310,96 +339,16 @@ def _run(docs: DataFrame, shard_bytes: int, part_bytes: int, hot: int, texts: bo
     def send(key, rows: pd.DataFrame, lists: pd.DataFrame) -> pd.DataFrame:
         out = []
         for row in rows.itertuples():
-            ids, named, ends, text = _shard(row)
-            place, value = anchors(text, ends, named)
-            starts = np.r_[0, ends[:-1]]
-            doc = np.searchsorted(ends, place, side="right")
-            across = np.concatenate([np.frombuffer(x, np.uint64) for x in lists["hashes"]] or [np.empty(0, np.uint64)])
-            often = np.concatenate([np.frombuffer(x, bool) for x in lists["hot"]] or [np.empty(0, bool)])
-            turn = np.argsort(across)
-            across, often = across[turn], often[turn]
-            # anchors that two documents of this shard hold
-            by = np.lexsort((ids[doc], value))
-            v, d = value[by], ids[doc][by]
-            inside = np.unique(v[1:][(v[1:] == v[:-1]) & (d[1:] != d[:-1])])
-            at = np.minimum(np.searchsorted(across, value), max(0, len(across) - 1))
-            outside = across[at] == value if len(across) else np.zeros(len(value), bool)
-            is_hot = outside & often[at] if len(across) else outside
-            keep = outside | np.isin(value, inside)
-            place, value, doc, is_hot = place[keep], value[keep], doc[keep], is_hot[keep]
-            if not len(place):
-                continue
-            contexts, size, left = contexts_of(text, starts, ends, place, doc)
-            start = place - left
-            if is_hot.any():
-                contexts, size, start, value, doc = _single(contexts, size, start, value, doc, is_hot)
-            name = row_hash(contexts, size) ^ mixed(value)
-            names, one, which = np.unique(name, return_index=True, return_inverse=True)
-            low = np.full(len(names), np.iinfo(np.int64).max)
-            high = np.full(len(names), np.iinfo(np.int64).min)
-            np.minimum.at(low, which, ids[doc])
-            np.maximum.at(high, which, ids[doc])
-            # occurrences, in the order of the shard's contexts
-            out.append((-1, row.shard, pack(which.astype(np.int32)), pack(start), pack(doc.astype(np.int32)), b"", b""))
-            part = (value[one] % np.uint64(parts)).astype(np.int64)
-            turn = np.argsort(part, kind="stable")
-            cuts = np.searchsorted(part[turn], np.arange(parts + 1))
-            for p in np.flatnonzero(np.diff(cuts)):
-                own = turn[cuts[p] : cuts[p + 1]]
-                out.append(
-                    (
-                        int(p), row.shard, pack(own.astype(np.int32)), pack(low[own]), pack(high[own]),
-                        pack(contexts[one[own]]), pack(size[one[own]].astype(np.int16)),
-                    )
-                )
-        return pd.DataFrame(out, columns=["part", "shard", "a", "b", "c", "contexts", "sizes"])
-
-    fragment = "part long, shard long, a binary, b binary, c binary, contexts binary, sizes binary"
-    sent = written(
-        table.groupBy("shard").cogroup(shared.groupBy("shard")).applyInPandas(send, fragment), "contexts"
-    )
+            out += _fragments(row, lists, parts)
+        return pd.DataFrame(out, columns=[c.split()[0] for c in FRAGMENT.split(", ")])
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        contexts = np.concatenate([unpack(x, np.uint8).reshape(-1, WIDTH) for x in group["contexts"]])
-        size = np.concatenate([unpack(x, np.int16) for x in group["sizes"]]).astype(np.int64)
-        number = np.concatenate([unpack(x, np.int32) for x in group["a"]])
-        low = np.concatenate([unpack(x, np.int64) for x in group["b"]])
-        high = np.concatenate([unpack(x, np.int64) for x in group["c"]])
-        owner = np.repeat(np.arange(len(group)), [len(unpack(x, np.int32)) for x in group["a"]])
-        _, one, which = np.unique(row_hash(contexts, size), return_index=True, return_inverse=True)
-        doc = np.full(len(one), np.iinfo(np.int64).max)
-        np.minimum.at(doc, which, low)
-        holder = smallest_holders(contexts[one], size[one], doc)[which]
-        # runs of strings with one holder, where some document of the shard is larger than it
-        windows = np.maximum(size - LENGTH + 1, 0)
-        valid = (np.arange(LEFT + 1)[None, :] < windows[:, None]) & (holder < high[:, None])
-        change = np.ones(valid.shape, bool)
-        change[:, 1:] = (holder[:, 1:] != holder[:, :-1]) | (valid[:, 1:] != valid[:, :-1])
-        r, begin = np.nonzero(change)
-        nxt = np.r_[begin[1:], 0]
-        end = np.where(np.r_[r[1:] == r[:-1], False], nxt, LEFT + 1)
-        use = valid[r, begin]
-        r, begin, end = r[use], begin[use], end[use]
-        rows = []
-        cuts = np.searchsorted(owner[r], np.arange(len(group) + 1))
-        for i, shard in enumerate(group["shard"]):
-            s = slice(cuts[i], cuts[i + 1])
-            if s.stop > s.start:
-                rows.append((shard, pack(number[r[s]]), pack(begin[s].astype(np.int8)), pack(end[s].astype(np.int8)), pack(holder[r[s], begin[s]])))
-        return pd.DataFrame(rows, columns=["shard", "number", "begin", "finish", "holder"])
-
-    runs = (
-        sent.filter("part >= 0")
-        .groupBy("part")
-        .applyInPandas(compare, "shard long, number binary, begin binary, finish binary, holder binary")
-    )
-    found = written(
-        runs.select("shard", F.lit(0).alias("kind"), "number", "begin", "finish", "holder").union(
-            sent.filter("part < 0").select("shard", F.lit(1).alias("kind"), "a", "b", "c", F.lit(b""))
-        ),
-        "runs",
-    )
+        return pd.DataFrame(_ranges(group), columns=["shard", "begin", "finish"])
 
+    plain = table.select("shard", "doc_ids", "named", "ends", "text")
+    sent = plain.groupBy("shard").cogroup(shared.groupBy("shard")).applyInPandas(send, FRAGMENT)
+    found = sent.groupBy("part").applyInPandas(compare, "shard long, begin binary, finish binary")
+    found = written(found, "ranges")
     both = table.groupBy("shard").cogroup(found.groupBy("shard"))
     if not texts:
         return both.applyInPandas(lambda key, rows, lists: _counted(rows, lists), RESULT)
@@ -411,8 +360,8 @@ def _run(docs: DataFrame, shard_bytes: int, part_bytes: int, hot: int, texts: bo
         out = []
         held = lists.to_pandas()
         for row in rows.to_pandas().itertuples():
-            ids, _, ends, text = _shard(row)
-            covered = _covered(held, ids, len(text))
+            _, _, ends, text = _shard(row)
+            covered = _covered(held, len(text))
             left = [text[a:b][~covered[a:b]].tobytes().decode("utf-8", "ignore") for a, b in zip(np.r_[0, ends[:-1]], ends, strict=True)]
             table = pa.ipc.open_stream(unpack(row.others, np.uint8).tobytes()).read_all()
             table = table.append_column("text", pa.array(left, pa.string()))
@@ -422,12 +371,116 @@ def _run(docs: DataFrame, shard_bytes: int, part_bytes: int, hot: int, texts: bo
     return both.applyInArrow(whole, given.schema)
 
 
+def _fragments(row, lists: pd.DataFrame, parts: int) -> list[tuple]:
+    """Contexts of a shard's shared anchors with their occurrences, a row for every part of the hash range."""
+    ids, named, ends, text = _shard(row)
+    place, value = anchors(text, ends, named)
+    part, spot = place_of(value, parts)
+    key = (part.astype(np.uint64) << np.uint64(32)) | spot
+    starts = np.r_[0, ends[:-1]]
+    doc = np.searchsorted(ends, place, side="right")
+    across, often = [np.empty(0, np.uint64)], [np.empty(0, bool)]
+    for p, spots, hot in zip(lists["part"], lists["places"], lists["hot"], strict=True):
+        across.append((np.uint64(p) << np.uint64(32)) | np.frombuffer(spots, np.uint32).astype(np.uint64))
+        often.append(np.frombuffer(hot, bool))
+    across, often = np.concatenate(across), np.concatenate(often)
+    turn = np.argsort(across)
+    across, often = across[turn], often[turn]
+    # anchors that two documents of this shard hold
+    by = np.lexsort((ids[doc], key))
+    v, d = key[by], ids[doc][by]
+    inside = np.unique(v[1:][(v[1:] == v[:-1]) & (d[1:] != d[:-1])])
+    at = np.minimum(np.searchsorted(across, key), max(0, len(across) - 1))
+    outside = across[at] == key if len(across) else np.zeros(len(key), bool)
+    is_hot = outside & often[at] if len(across) else outside
+    keep = outside | np.isin(key, inside)
+    place, value, doc, is_hot = place[keep], value[keep], doc[keep], is_hot[keep]
+    if not len(place):
+        return []
+    contexts, size, left = contexts_of(text, starts, ends, place, doc)
+    start = place - left
+    if is_hot.any():
+        contexts, size, left, start, value, doc = _single(contexts, size, left, start, value, doc, is_hot)
+    _, one, which = np.unique(row_hash(contexts, size) ^ mixed(value), return_index=True, return_inverse=True)
+    part = place_of(value[one], parts)[0]
+    turn = np.argsort(part, kind="stable")
+    one, part = one[turn], part[turn]
+    number = np.empty(len(turn), np.int64)
+    number[turn] = np.arange(len(turn))
+    which = number[which]
+    order = np.argsort(which, kind="stable")
+    which, start, doc = which[order], start[order], doc[order]
+    cuts = np.searchsorted(part, np.arange(parts + 1))
+    out = []
+    for p in np.flatnonzero(np.diff(cuts)):
+        a, b = int(cuts[p]), int(cuts[p + 1])
+        x, y = np.searchsorted(which, [a, b])
+        own = one[a:b]
+        out.append(
+            (
+                int(p), row.shard, pack((which[x:y] - a).astype(np.int32)), pack(start[x:y].astype(np.uint32)),
+                pack(ids[doc[x:y]]), pack(contexts[own]), pack(size[own].astype(np.int8)), pack(left[own].astype(np.int8)),
+            )
+        )
+    return out
+
+
+def _ranges(group: pd.DataFrame, slice_rows: int = 1 << 16) -> list[tuple]:
+    """Byte ranges of each shard that a string of a smaller document covers, from one part's contexts."""
+    lists = [unpack(x, np.uint8).reshape(-1, WIDTH) for x in group["contexts"]]
+    first = np.cumsum([0, *map(len, lists)])
+    contexts = np.concatenate(lists)
+    size = np.concatenate([unpack(x, np.int8) for x in group["sizes"]]).astype(np.int64)
+    left = np.concatenate([unpack(x, np.int8) for x in group["lefts"]]).astype(np.int64)
+    numbers = [unpack(x, np.int32) for x in group["numbers"]]
+    owner = np.repeat(np.arange(len(group)), [len(x) for x in numbers])
+    context = np.concatenate(numbers).astype(np.int64) + first[owner]
+    start = np.concatenate([unpack(x, np.uint32) for x in group["starts"]]).astype(np.int64)
+    doc = np.concatenate([unpack(x, np.int64) for x in group["docs"]])
+
+    _, one, which = np.unique(row_hash(contexts, size), return_index=True, return_inverse=True)
+    least = np.full(len(one), np.iinfo(np.int64).max)
+    np.minimum.at(least, which[context], doc)
+    contexts, size, left = contexts[one], size[one], left[one]
+    # only where an anchor stands in different contexts can strings differ in what holds them
+    _, anchor, spread = np.unique(_grams(contexts, left), return_inverse=True, return_counts=True)
+    several = np.flatnonzero(spread[anchor] > 1)
+    holder = smallest_holders(contexts[several], size[several], least[several]) if len(several) else None
+    row_of = np.full(len(one), -1, np.int64)
+    row_of[several] = np.arange(len(several))
+
+    context = which[context]
+    found = [np.empty((3, 0), np.int64)]
+    for at in range(0, len(context), slice_rows):
+        part = slice(at, at + slice_rows)
+        c, d = context[part], doc[part]
+        low = np.broadcast_to(least[c][:, None], (len(c), LEFT + 1))
+        if holder is not None:
+            low = np.where((row_of[c] >= 0)[:, None], holder[row_of[c]], low)
+        hit = np.zeros((len(c), LEFT + 3), np.int8)  # with an empty column on both sides
+        hit[:, 1:-1] = (np.arange(LEFT + 1)[None, :] < (size[c] - LENGTH + 1)[:, None]) & (low < d[:, None])
+        edge = np.diff(hit, axis=1)
+        r, begin = np.nonzero(edge == 1)
+        _, end = np.nonzero(edge == -1)
+        s = start[part][r]
+        found.append(np.stack([owner[part][r], s + begin, s + end - 1 + LENGTH]))
+    owners, begin, end = np.concatenate(found, axis=1)
+    order = np.argsort(owners, kind="stable")
+    owners, begin, end = owners[order], begin[order], end[order]
+    cuts = np.searchsorted(owners, np.arange(len(group) + 1))
+    return [
+        (shard, pack(begin[a:b]), pack(end[a:b]))
+        for shard, a, b in zip(group["shard"], cuts, cuts[1:], strict=False)
+        if b > a
+    ]
+
+
 def _counted(rows: pd.DataFrame, lists: pd.DataFrame) -> pd.DataFrame:
     """What goes from each document of a shard."""
-    out = []
+    out, names = [], []
     for row in rows.itertuples():
         ids, named, ends, text = _shard(row)
-        covered = _covered(lists, ids, len(text))
+        covered = _covered(lists, len(text))
         starts = np.r_[0, ends[:-1]]
         gone = np.r_[0, np.cumsum(covered)]
         first = covered.copy()
@@ -439,45 +492,42 @@ def _counted(rows: pd.DataFrame, lists: pd.DataFrame) -> pd.DataFrame:
         for i, there, a, b in zip(ids.tolist(), named.tolist(), starts.tolist(), ends.tolist(), strict=True):
             removed = int(gone[b] - gone[a])
             kept = text[a:b][~covered[a:b]] if removed else text[a:b]
-            out.append((i if there else None, b - a, removed, int(spans[b] - spans[a]), sha256(kept.tobytes()).hexdigest()))
-    return pd.DataFrame(out, columns=[c.split()[0] for c in RESULT.split(", ")]).astype({"doc_id": "Int64"})
+            names.append(i if there else None)
+            out.append((b - a, removed, int(spans[b] - spans[a]), sha256(kept.tobytes()).hexdigest()))
+    made = pd.DataFrame(out, columns=[c.split()[0] for c in RESULT.split(", ")[1:]])
+    made.insert(0, "doc_id", long_ids(names))
+    return made
+
+
+def _grams(contexts: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Hash of the anchor in each context; a context that is one string counts as its own anchor."""
+    grams = np.zeros((len(contexts), WIDTH), np.uint8)
+    windows = np.lib.stride_tricks.sliding_window_view(contexts, GRAM, axis=1)
+    grams[:, :GRAM] = windows[np.arange(len(contexts)), np.maximum(left, 0)]
+    return np.where(left >= 0, row_hash(grams, np.full(len(contexts), GRAM)), row_hash(contexts, left.astype(np.uint64)))
 
 
-def _single(contexts, size, start, value, doc, is_hot):
+def _single(contexts, size, left, start, value, doc, is_hot):
     """Contexts of hot anchors as their single strings, each dealt by its own hash."""
     calm = ~is_hot
     r, o = np.nonzero((np.arange(LEFT + 1)[None, :] < (size - LENGTH + 1)[:, None]) & is_hot[:, None])
     strings = np.zeros((len(r), WIDTH), np.uint8)
-    strings[:, :LENGTH] = contexts[r[:, None], o[:, None] + np.arange(LENGTH)[None, :]]
+    strings[:, :LENGTH] = np.lib.stride_tricks.sliding_window_view(contexts, LENGTH, axis=1)[r, o]
     length = np.full(len(r), LENGTH, size.dtype)
     return (
         np.concatenate([contexts[calm], strings]),
         np.concatenate([size[calm], length]),
+        np.concatenate([left[calm], np.full(len(r), -1, left.dtype)]),
         np.concatenate([start[calm], start[r] + o]),
         np.concatenate([value[calm], row_hash(strings, length)]),
         np.concatenate([doc[calm], doc[r]]),
     )
 
 
-def _covered(lists: pd.DataFrame, ids: np.ndarray, size: int) -> np.ndarray:
-    """Bytes of a shard that some string held by a smaller document covers."""
+def _covered(lists: pd.DataFrame, size: int) -> np.ndarray:
+    """Bytes of a shard in some of its ranges."""
     edge = np.zeros(size + 1, np.int32)
-    seen, held = lists[lists["kind"] == 1], lists[lists["kind"] == 0]
-    if len(seen) and len(held):
-        which = unpack(seen["number"].iloc[0], np.int32)
-        start, doc = unpack(seen["begin"].iloc[0], np.int64), unpack(seen["finish"].iloc[0], np.int32)
-        number = np.concatenate([unpack(x, np.int32) for x in held["number"]])
-        begin = np.concatenate([unpack(x, np.int8) for x in held["begin"]]).astype(np.int64)
-        end = np.concatenate([unpack(x, np.int8) for x in held["finish"]]).astype(np.int64)
-        holder = np.concatenate([unpack(x, np.int64) for x in held["holder"]])
-        order = np.argsort(number, kind="stable")
-        number, begin, end, holder = number[order], begin[order], end[order], holder[order]
-        a, b = np.searchsorted(number, which, "left"), np.searchsorted(number, which, "right")
-        n = b - a
-        occurrence = np.repeat(np.arange(len(which)), n)
-        run = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)
-        use = holder[run] < ids[doc[occurrence]]
-        occurrence, run = occurrence[use], run[use]
-        np.add.at(edge, start[occurrence] + begin[run], 1)
-        np.add.at(edge, start[occurrence] + end[run] - 1 + LENGTH, -1)
+    for begin, end in zip(lists["begin"], lists["finish"], strict=True):
+        np.add.at(edge, unpack(begin, np.int64), 1)
+        np.add.at(edge, unpack(end, np.int64), -1)
     return np.cumsum(edge[:-1]) > 0
