@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tonewell.functions import text as X
 from tonewell.functions.hashing import sha256_mod, uniform
 from tonewell.operators import corpus, sampling
-from tonewell.plans.registry import query, sql_fold, sql_trim, sql_u, table
+from tonewell.plans.registry import query, sql_fold, sql_u, table
 
 
 def manifest(spark, sf):

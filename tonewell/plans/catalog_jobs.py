@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from tonewell.functions import arrays as A
 from tonewell.operators import captions, signal
 from tonewell.plans.catalog_corpus import MANIFEST_SQL, MD5_100, manifest
-from tonewell.plans.catalog_joins import SECONDS_SQL, seconds
+from tonewell.plans.catalog_joins import seconds
 from tonewell.plans.catalog_metrics import HISTORY_SQL, V_SQL, run_history, vectors
-from tonewell.plans.catalog_signal import CHUNK, sql_wave, waves
+from tonewell.plans.catalog_signal import CHUNK, waves
 from tonewell.plans.catalog_vectors import K, START_SQL, assign_sql, start_codes
 from tonewell.plans.registry import joined, query, sql_joined, table
 from tonewell.session import configure, scratch_path

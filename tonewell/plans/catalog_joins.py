@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tonewell.functions import text as X
-from tonewell.functions.hashing import uniform
 from tonewell.operators import joins, matching, symbolic
-from tonewell.plans.catalog_corpus import MANIFEST_SQL, manifest
+from tonewell.plans.catalog_corpus import manifest
 from tonewell.plans.registry import joined, query, sql_joined, sql_u, table
 from tonewell.session import written
 

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from tonewell.functions import arrays as A
 from tonewell.operators import decoding, detection, history, metrics, ratings
-from tonewell.plans.catalog_joins import SECONDS_SQL, seconds
 from tonewell.plans.registry import query, sql_u, table
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tonewell.functions import text as X
-from tonewell.functions.hashing import uniform
 from tonewell.operators import captions, conditions
 from tonewell.plans.registry import PY_SPACE_SQL, heavy_table, joined, query, sql_fold, sql_joined, sql_trim, sql_u, table
 

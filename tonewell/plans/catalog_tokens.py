@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tonewell.functions import arrays as A
-from tonewell.functions.hashing import uniform
 from tonewell.operators import batches, layouts, masks
 from tonewell.plans.catalog_metrics import V_SQL, vectors
 from tonewell.plans.registry import heavy_table, joined, query, sql_joined, sql_u, table
