@@ -1,4 +1,7 @@
+import random
 from collections import defaultdict
+from fractions import Fraction
+from itertools import islice
 
 import numpy as np
 import pytest
@@ -74,3 +77,42 @@ def test_order_settings_and_empty(spark):
     assert only.count() == len(tables.rows())
     assert pfair.mix(spark, tables.empty(spark)).collect() == []
     assert pfair.in_mix_order(spark, tables.empty(spark)).collect() == []
+
+
+@pytest.mark.parametrize(
+    "weights", [[0.6, 0.25, 0.1, 0.05], [0.9, 0.1], [1 / 3, 2 / 3], [0.001, 0.999], [0.5, *[0.01] * 50], [1e-9, 3.0, 0.7]]
+)
+def test_no_source_is_a_block_off_its_weight(weights):
+    exact = [Fraction(w) / sum(map(Fraction, weights)) for w in weights]
+    whole = pfair.whole_weights(weights)
+    assert [Fraction(w, sum(whole)) for w in whole] == exact
+    for t, (_, done, _) in enumerate(islice(pfair.turns([10**9] * len(weights), whole), 20000)):
+        assert all(abs(n - w * t) < 1 for n, w in zip(done, exact, strict=True))
+
+
+def test_slots_from_any_state(spark):
+    blocks, weights = {"a": 400, "b": 37, "c": 1, "d": 130, "e": 20}, {"a": 1.0, "b": 3.0, "c": 0.5, "d": 0.1, "e": 0.0}
+    once = [tuple(r) for r in pfair.slots_of(spark, blocks, weights).orderBy("mix_slot").collect()]
+    assert [tuple(r) for r in pfair.slots_of(spark, blocks, weights, 7).orderBy("mix_slot").collect()] == once
+    assert [t for _, _, t in once] == list(range(sum(blocks.values())))
+    assert all([i for n, i, _ in once if n == s] == list(range(blocks[s])) for s in blocks)
+    assert {n for n, _, _ in once[-20:]} == {"e"}  # no weight: after all others
+    with pytest.raises(ValueError):
+        pfair.whole_weights([1.0, -1.0])
+
+
+def test_mix_keeps_to_the_weights_beyond_a_period(spark):
+    rng, weights = random.Random(3), {"a": 0.6, "b": 0.25, "c": 0.1, "d": 0.05}
+    rows = [(i, "x" * 9, rng.choices(list(weights), weights.values())[0]) for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = pfair.mix(spark, docs, weights=weights, block_chars=10).select("source", "slot").collect()
+    order = [r["source"] for r in sorted(out, key=lambda r: r["slot"])]
+    assert len(order) == 6000 and len({r["slot"] for r in out}) == 6000
+    total, left = sum(map(Fraction, weights.values())), {s: order.count(s) for s in weights}
+    done = dict.fromkeys(weights, 0)
+    for t, s in enumerate(order, 1):
+        done[s] += 1
+        assert all(abs(done[x] - Fraction(w) / total * t) < 1 for x, w in weights.items())
+        if done[s] == left[s]:  # from here on the others share its weight
+            break
+    assert t > 2000

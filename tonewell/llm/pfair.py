@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 import heapq
+import math
+from collections.abc import Iterator
+from fractions import Fraction
+from itertools import islice
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-PLAN = (
-    "mix_name string, mix_firsts array<long>, mix_shares array<int>, mix_starts array<long>, "
-    "mix_periods array<long>, mix_slots array<array<int>>"
-)
-
 
 def shares_of(weights: list[float], period: int) -> list[int]:
-    """Whole blocks per period in proportion to the weights, at least one each, by largest remainder."""
+    """Whole blocks per period in proportion to the weights, at least one each, by largest remainder.
+
+    Only for a pattern that repeats: ``mix`` takes the weights as they are.
+    """
     total = sum(weights)
     exact = [w / total * (period - len(weights)) for w in weights]
     shares = [1 + int(x) for x in exact]
@@ -24,35 +27,95 @@ def shares_of(weights: list[float], period: int) -> list[int]:
     return shares
 
 
-def edf_pattern(shares: list[int]) -> list[int]:
-    """The source of each slot of a period of ``sum(shares)`` slots.
+def earliest(weights: list[int], done: list[int]) -> Iterator[int]:
+    """The source of each slot of an endless phase, once ``done`` blocks of each source have had theirs.
 
-    Block i of a source with n blocks in a period of D slots is released at
-    floor(i D / n) and due at ceil((i + 1) D / n). The earliest deadline among the
-    released blocks goes first. The windows of a source overlap by at most a slot and
-    the weights add up to one, so every deadline holds and no source is ever a whole
-    block away from its share.
+    With w the source's exact part of all weights, block i is released at floor(i / w) and
+    due at ceil((i + 1) / w). The earliest deadline among the released blocks goes first.
+    The parts add up to one, so every slot has a released block and every deadline holds:
+    after t slots a source has more than w t - 1 and less than w t + 1 blocks, however
+    large t is.
     """
-    period = sum(shares)
-    coming = [(0, s, 0) for s in range(len(shares)) if shares[s]]
+    total, t = sum(weights), sum(done)
+    coming = [(done[s] * total // w, s, done[s]) for s, w in enumerate(weights) if w]
     heapq.heapify(coming)
-    ready, out = [], []
-    for t in range(period):
+    ready = []
+    while True:
         while coming and coming[0][0] <= t:
             _, s, i = heapq.heappop(coming)
-            heapq.heappush(ready, (-(-(i + 1) * period // shares[s]), s, i))
+            heapq.heappush(ready, (-(-(i + 1) * total // weights[s]), s, i))
         _, s, i = heapq.heappop(ready)
-        out.append(s)
-        if i + 1 < shares[s]:
-            heapq.heappush(coming, ((i + 1) * period // shares[s], s, i + 1))
-    return out
+        yield s
+        heapq.heappush(coming, ((i + 1) * total // weights[s], s, i + 1))
+        t += 1
+
+
+def edf_pattern(shares: list[int]) -> list[int]:
+    """The source of each slot of a period of ``sum(shares)`` slots, with ``shares`` blocks of each."""
+    return list(islice(earliest(shares, [0] * len(shares)), sum(shares)))
+
+
+def whole_weights(weights: list[float]) -> list[int]:
+    """Integers in exactly the ratio of the weights."""
+    if any(not 0 <= w < math.inf for w in weights):
+        raise ValueError("a weight is negative or not finite")
+    exact = [Fraction(w) for w in weights]
+    unit = math.lcm(*(x.denominator for x in exact))
+    return [int(x * unit) for x in exact]
+
+
+def turns(
+    blocks: list[int], weights: list[int], begun: list[int] | None = None, done: list[int] | None = None
+) -> Iterator[tuple[list[int], list[int], int]]:
+    """``(begun, done, source)`` of every slot: blocks done when the phase began and by now, and who is next.
+
+    A phase ends when the first of its sources has no block left; then the weights of
+    the others are scaled to one. Sources of weight zero come after all others. The two
+    lists are the whole state: given back, they go on from that slot.
+    """
+    done = list(done or [0] * len(blocks))
+    begun = list(begun or done)
+    while active := [s for s in range(len(blocks)) if done[s] < blocks[s]]:
+        active = [s for s in active if weights[s]] or active
+        parts = [weights[s] for s in active]
+        for i in earliest(parts if any(parts) else [1] * len(parts), [done[s] - begun[s] for s in active]):
+            s = active[i]
+            yield begun, done, s
+            done[s] += 1
+            if done[s] == blocks[s]:
+                break
+        begun = list(done)
+
+
+def slots_of(spark: SparkSession, blocks: dict[str, int], weights: dict[str, float], every: int = 1 << 16) -> DataFrame:
+    """``(mix_name, mix_block, mix_slot)`` of every block.
+
+    The driver goes through the slots once and keeps the state before every ``every``-th;
+    tasks go on from there and make the rows.
+    """
+    names = sorted(blocks)
+    sizes, exact = [blocks[s] for s in names], whole_weights([weights[s] for s in names])
+    states = [
+        (t, list(begun), list(done)) for t, (begun, done, _) in enumerate(turns(sizes, exact)) if t % every == 0
+    ]
+
+    def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for first, begun, done in zip(batch["first"], batch["begun"], batch["done"], strict=True):
+                coming = islice(turns(sizes, exact, begun.tolist(), done.tolist()), every)
+                rows = [(names[s], now[s], first + j) for j, (_, now, s) in enumerate(coming)]
+                yield pd.DataFrame(rows, columns=["mix_name", "mix_block", "mix_slot"])
+
+    chunks = spark.createDataFrame(states, "first long, begun array<long>, done array<long>")
+    return chunks.mapInPandas(expand, "mix_name string, mix_block long, mix_slot long")
 
 
 def phases(blocks: dict[str, int], weights: dict[str, float], period: int) -> list[tuple]:
-    """Rows of ``PLAN``: for each source its first block, share, start slot and slots in every phase.
+    """For each source its first block, share, start slot, period and slots in every phase.
 
     A phase repeats one period's pattern until the first of its sources has no block
     left; then the weights of the others are scaled to one and the next phase begins.
+    Shares are rounded to the period; ``mix`` takes ``turns``, which follow the weights.
     """
     names = sorted(blocks)
     left = dict(blocks)
@@ -82,7 +145,6 @@ def mix(
     weights: dict[str | None, float] | None = None,
     temper: float = 0.7,
     block_chars: int = 1 << 16,
-    period: int = 256,
     bucket_rows: int = 4096,
 ) -> DataFrame:
     """``docs`` with ``block`` (of its source) and ``slot`` (of the mix); slots order the stream.
@@ -91,13 +153,15 @@ def mix(
     size to the power ``temper``, which favours small sources. Documents of a source
     stand in hashed order and are cut into blocks of ``block_chars`` characters; one
     that is longer takes as many blocks as it fills. No document is dropped or
-    repeated: once a source has run out, the others share its weight.
+    repeated: once a source has run out, the others share its weight. Until then, the
+    blocks of every source differ by less than one from its exact weight times the slots.
 
     A source is cut in buckets of about ``bucket_rows``, so that running sizes are windows
     of bounded groups however large the source is. Only one row per source reaches the
-    driver; the plan built there holds at most four slots per pair of sources.
+    driver, which counts through the slots once; see ``slots_of``.
 
     Null sources are one source, a source without a weight gets the smallest one given,
+    sources of weight zero come last, a negative weight is an error,
     null texts have no characters, repeated rows are separate documents, an empty table
     gives no row. Columns of ``docs`` stay, but those named block and slot are replaced;
     names that begin with ``mix_`` are reserved.
@@ -146,24 +210,14 @@ def mix(
     joined = joined.withColumn("block", block)
 
     count = {r["mix_source"]: -(-r["size"] // block_chars) for r in stats}
-    plan = spark.createDataFrame(phases(count, target, period), PLAN)
-    phase = F.size(F.filter("mix_firsts", lambda x: x <= F.col("block")))
-    nth = F.col("block") - F.element_at("mix_firsts", phase)
-    share = F.element_at("mix_shares", phase)
-    turn = F.floor(nth / share)
-    slot = (
-        F.element_at("mix_starts", phase)
-        + turn * F.element_at("mix_periods", phase)
-        + F.element_at(F.element_at("mix_slots", phase), (nth - turn * share + 1).cast("int"))
-    )
+    slots = slots_of(spark, count, target)
     return (
-        joined.join(F.broadcast(plan), F.col("mix_source") == F.col("mix_name"))
-        .withColumn("slot", slot.cast("long"))
+        joined.join(slots, (F.col("mix_source") == F.col("mix_name")) & (F.col("block") == F.col("mix_block")))
+        .withColumn("slot", F.col("mix_slot"))
         .select(*own, "block", "slot")
     )
 
 
-
 def in_mix_order(spark: SparkSession, docs: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs`` in the order of the mix, in range partitions; columns stay as they are."""
     named = docs.withColumnsRenamed({c: f"own_{c}" for c in docs.columns if c in ("block", "slot")})
