@@ -53,6 +53,23 @@ def test_bands_reject_what_cuts_unlike_its_language(spark):
     assert not kept[2000]  # falls back to bytes
 
 
+def test_byte_pieces_are_compared_inside_the_language(spark):
+    """A script that the vocabulary cuts into bytes is no fault of its texts; bytes in Latin text are."""
+    rng = random.Random(5)
+    common = "the of and to in that is was for it with as his on be at by had not are but from or have an they".split()
+    amharic = "ሰላም ለሁሉም ሰው ነው ዛሬ ጥሩ ቀን ውሃ ቤት መጽሐፍ ልጅ እናት አባት ሀገር ከተማ መንገድ ትምህርት ሥራ ምግብ ጊዜ".split()
+    rows = [(i, " ".join(rng.choices(common, k=100)), "en") for i in range(300)]
+    rows += [(1000 + i, " ".join(rng.choices(amharic, k=60)), "am") for i in range(300)]
+    rows += [(2000 + i, " ".join(rng.choices(common, k=100) + ["ሰላም"]) + " ነ", "en") for i in range(5)]
+    rows += [(3000 + i, " ".join(rng.sample(rng.choices(common, k=100) + ["𓀀𓁐"] * 2, 102)), "en") for i in range(5)]
+    found = {r["doc_id"]: r for r in fertility.rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    kept = {i: r["kept"] for i, r in found.items()}
+    assert min(found[i]["byte_fallback_share"] for i in range(1000, 1300)) > 0.2
+    assert sum(kept[i] for i in range(300)) >= 297 and sum(kept[i] for i in range(1000, 1300)) >= 290
+    assert all(0.05 < found[i]["byte_fallback_share"] < 0.2 for i in [*range(2000, 2005), *range(3000, 3005)])
+    assert not any(kept[i] for i in [*range(2000, 2005), *range(3000, 3005)])
+
+
 def test_fallback_share_is_that_of_the_pieces():
     tok = Tokenizers()
     share = fertility.FallbackShare(tok)

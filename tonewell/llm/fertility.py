@@ -17,9 +17,9 @@ MEASURES = (
     "n_repeat_words long, n_tokens long, chars_per_token double, byte_fallback_share double, token_entropy double"
 )
 SYMBOLS = r"[#*$%&|<>]"
-SIGNALS = ("chars_per_token", "token_entropy")
+SIGNALS = ("chars_per_token", "token_entropy", "byte_fallback_share")
 #: Values that clean text may always have, whatever the corpus at hand is like.
-NATURAL = {"chars_per_token": 6.0, "token_entropy": 1.0}
+NATURAL = {"chars_per_token": 6.0, "token_entropy": 1.0, "byte_fallback_share": 0.05}
 #: First and last code points of the scripts told apart; letters beside them count as "other".
 SCRIPTS = (
     ("latin", 0x41, 0x24F), ("greek", 0x370, 0x3FF), ("cyrillic", 0x400, 0x52F), ("hebrew", 0x590, 0x5FF),
@@ -145,18 +145,20 @@ def bands(measured: DataFrame, reach: float = 2.5, least: int = 200, natural=NAT
         q = F.col(signal)
         spread = F.greatest(q[2] - q[0], 0.05 * q[1] / reach)
         low, high = q[0] - reach * spread, F.greatest(q[2] + reach * spread, F.lit(natural[signal]))
+        if signal == "byte_fallback_share":
+            low = F.lit(0.0)  # fewer byte pieces than usual are no fault
         return high.alias(f"{signal}_high") if side else low.alias(f"{signal}_low")
 
     return rolled.select("band_key", "size_class", "level", *[edge(s, side) for s in SIGNALS for side in (0, 1)])
 
 
-def rules(docs: DataFrame, fallback_limit: float = 0.2) -> DataFrame:
+def rules(docs: DataFrame) -> DataFrame:
     """Base counts, fertility measures and the verdict of every row of ``docs`` (doc_id, text, lang).
 
     Base: too few words, or too many inside repeated windows. Then the text must lie
     inside the bands of its language (its script where lang is null or blank) for
-    characters per token and token entropy, and byte pieces may make up at most
-    ``fallback_limit``. Bands come from all texts that pass the base. Null text is
+    characters per token, token entropy and the share of byte pieces (which may always
+    be 5 %). Bands come from all texts that pass the base. Null text is
     empty and fails the base. Repeated rows are judged once each; an empty table gives
     no row; other columns are ignored.
     """
@@ -186,7 +188,7 @@ def rules(docs: DataFrame, fallback_limit: float = 0.2) -> DataFrame:
             for side in ("low", "high")
         )
         inside = inside & F.col(s).between(low, high)
-    kept = ~F.col("base_failed") & F.coalesce(inside, F.lit(True)) & (F.col("byte_fallback_share") <= fallback_limit)
+    kept = ~F.col("base_failed") & F.coalesce(inside, F.lit(True))
     return joined.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         kept.alias("kept"), "band_key", "n_tokens", "chars_per_token", "byte_fallback_share", "token_entropy",
