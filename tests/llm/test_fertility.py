@@ -70,6 +70,25 @@ def test_byte_pieces_are_compared_inside_the_language(spark):
     assert not any(kept[i] for i in [*range(2000, 2005), *range(3000, 3005)])
 
 
+def test_small_groups_have_bands_of_their_own(spark):
+    """Neither judged by the dominant language nor by another script, and no step at some number of rows."""
+    rng = random.Random(6)
+    common = "the of and to in that is was for it with as his on be at by had not are but from or have an they".split()
+    russian = "и в не на что он с как это по но они мы все она так его за был от меня еще нет о из ему".split()
+    german = "Geschwindigkeitsbegrenzung Verantwortung Wissenschaftler Gesellschaft Entwicklung Nachbarschaft Erinnerung".split()
+    base = [(i, " ".join(rng.choices(common, k=100)), "en") for i in range(600)]
+    base += [(1000 + i, " ".join(rng.choices(russian, k=60)), "ru") for i in range(12)]
+    base += [(1100 + i, " ".join(rng.choices(russian, k=60)), None) for i in range(2)]
+    cut = [(3000 + i, " ".join("".join(rng.choices("xqzjkvwäü", k=6)) for _ in range(60)), "de") for i in range(3)]
+    for n in (150, 197, 198):
+        clean = [(2000 + i, " ".join(rng.choices(german, k=60)), "de") for i in range(n)]
+        df = spark.createDataFrame(base + clean + cut, "doc_id long, text string, lang string")
+        kept = {r["doc_id"]: r["kept"] for r in fertility.rules(df).collect()}
+        assert all(kept[i] for i in [*range(1000, 1012), 1100, 1101])
+        assert sum(kept[2000 + i] for i in range(n)) >= 0.98 * n
+        assert not any(kept[3000 + i] for i in range(3))
+
+
 def test_fallback_share_is_that_of_the_pieces():
     tok = Tokenizers()
     share = fertility.FallbackShare(tok)
@@ -90,3 +109,11 @@ def test_scripts():
     assert fertility.script_of("где это") == "cyrillic"
     assert fertility.script_of("漢字漢字") == "han"
     assert fertility.script_of("123 !?") == "none"
+
+
+def test_more_scripts():
+    assert fertility.script_of("தமிழ் மொழி") == "tamil"
+    assert fertility.script_of("ሰላም") == "ethiopic"
+    assert fertility.script_of("𓀀𓁐𓂀") == "page 130"
+    assert fertility.script_of("ab где 漢字") == "other"
+    assert fertility.script_of("") == "none"
