@@ -89,6 +89,20 @@ def test_small_groups_have_bands_of_their_own(spark):
         assert not any(kept[3000 + i] for i in range(3))
 
 
+def test_upper_edges_reject(spark):
+    """Whole long words under a script of few characters a token, and a text of ever new tokens."""
+    rng = random.Random(7)
+    chars, words = "的一是不了人我在有他这为之大来以个中上们", "information government development international".split()
+    rows = [(i, " ".join("".join(rng.choices(chars, k=4)) for _ in range(60)), "zh") for i in range(400)]
+    rows += [(1000 + i, " ".join(rng.choices(words, k=130)), "zh") for i in range(5)]
+    vocabulary = [f"{a}{b}" for a in "bcdfghjklmnprstvw" for b in ("at", "in", "on", "er", "all", "ill", "est", "ock")]
+    rows += [(2000 + i, " ".join(rng.choices(vocabulary[:12], k=100)), "en") for i in range(400)]
+    rows += [(3000 + i, " ".join(rng.sample(vocabulary, 100)), "en") for i in range(5)]
+    kept = {r["doc_id"]: r["kept"] for r in fertility.rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert sum(kept[i] for i in range(400)) >= 396 and sum(kept[2000 + i] for i in range(400)) >= 396
+    assert not any(kept[1000 + i] or kept[3000 + i] for i in range(5))
+
+
 def test_fallback_share_is_that_of_the_pieces():
     tok = Tokenizers()
     share = fertility.FallbackShare(tok)

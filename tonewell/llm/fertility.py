@@ -18,8 +18,8 @@ MEASURES = (
 )
 SYMBOLS = r"[#*$%&|<>]"
 SIGNALS = ("chars_per_token", "token_entropy", "byte_fallback_share")
-#: Values that clean text may always have, whatever the corpus at hand is like.
-NATURAL = {"chars_per_token": 6.0, "token_entropy": 1.0, "byte_fallback_share": 0.05}
+#: Share of byte pieces that a text of any language may have.
+FALLBACK_FLOOR = 0.05
 #: Texts that a script counts for beside one of its languages, and a language beside one of its length classes.
 SCRIPT_COUNTS, LANGUAGE_COUNTS = 20, 200
 #: First and last code points of the scripts told apart; other letters go by their 256 code points.
@@ -151,12 +151,12 @@ def measures(docs: DataFrame) -> DataFrame:
     return text.mapInPandas(measure, MEASURES)
 
 
-def bands(measured: DataFrame, reach: float = 2.5, natural=NATURAL) -> DataFrame:
+def bands(measured: DataFrame, reach: float = 2.5) -> DataFrame:
     """``(band_key, size_class, script, level, n, low and high of each signal)`` from all rows given.
 
     A band is the quartiles widened by ``reach`` interquartile distances, at least 5 %
-    of the median; an upper edge is never below ``natural``, what the vocabularies reach on
-    clean text of whole words. Level 0 is a language and length class, level 1 the language,
+    of the median, on both sides and from the group's own texts only; the share of byte
+    pieces has an upper edge alone, at least ``FALLBACK_FLOOR``. Level 0 is a language and length class, level 1 the language,
     level 2 a script in any language; level 3 names what stands together and its edges serve
     nothing. Quartiles of n texts are uncertain, so that 12 / sqrt(n) distances, some three
     standard errors, come on top for a language and a script. Every group has a band,
@@ -173,9 +173,9 @@ def bands(measured: DataFrame, reach: float = 2.5, natural=NATURAL) -> DataFrame
     def edge(signal: str, side: int) -> Column:
         q = F.col(signal)
         spread = F.greatest(reach_n * (q[2] - q[0]), 0.05 * q[1])
-        low, high = q[0] - spread, F.greatest(q[2] + spread, F.lit(natural[signal]))
+        low, high = q[0] - spread, q[2] + spread
         if signal == "byte_fallback_share":
-            low = F.lit(0.0)  # fewer byte pieces than usual are no fault
+            low, high = F.lit(0.0), F.greatest(high, F.lit(FALLBACK_FLOOR))
         return high.alias(f"{signal}_high") if side else low.alias(f"{signal}_low")
 
     return rolled.select(*keys, level.alias("level"), "n", *[edge(s, side) for s in SIGNALS for side in (0, 1)])
