@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,10 +13,13 @@ from tonewell.llm import (
     crf_language,
     fertility,
     maxscore,
+    multi_index,
     packing,
+    periodic_runs,
     pfair,
     pu_quality,
     suffix_dedup,
+    token_alignment,
     token_rollup,
     warc_chunks,
 )
@@ -162,3 +166,96 @@ def pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeats(documents(spark, sf_dir))
+
+
+@query("op11_token_alignment")
+def aligned_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.alignments(documents(spark, sf_dir))
+
+
+def planted_tail(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """Words of every tenth document (by the checksum of its id) repeat a stretch from some word on; a null id leaves them."""
+    h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if h % 10 or not words:
+        return words
+    a = (h // 10) % len(words)
+    p = 1 + (len(words) - a) // (3 + (h // 10) % 8)
+    tail = words[a : a + p]
+    return words[:a] + (tail * ((len(words) - a) // len(tail) + 1))[: len(words) - a]
+
+
+@query(
+    "op12_periodic_runs",
+    r"""
+    WITH d AS (
+        SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+               -- crc32 of the decimal id: eight steps of the reflected polynomial after each character
+               xor(list_reduce(list_prepend(4294967295, flatten(list_transform(
+                       string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [256 + ascii(c), 0, 0, 0, 0, 0, 0, 0, 0]))),
+                   lambda crc, x: CASE WHEN x > 0 THEN xor(crc, x - 256)
+                                       WHEN crc % 2 = 1 THEN xor(crc >> 1, 3988292384) ELSE crc >> 1 END),
+                   4294967295) AS h
+        FROM documents),
+    p AS (
+        SELECT doc_id, w, len(w) AS n, h, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a, 3 + (h // 10) % 8 AS parts
+        FROM d),
+    t AS (
+        SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0
+               THEN list_transform(range(0, n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % (1 + (n - a) // parts) + 1] END)
+               ELSE w END AS w
+        FROM p),
+    -- a run shares five words at least with itself one period on
+    g AS (
+        SELECT doc_id, n, i, array_to_string(w[i + 1:i + 5], ' ') AS s
+        FROM (SELECT doc_id, n, w, unnest(range(0, greatest(0, n - 4))) AS i FROM t)),
+    m AS (
+        SELECT x.doc_id, x.i, y.i - x.i AS q FROM g x JOIN g y ON x.doc_id = y.doc_id AND x.s = y.s
+        WHERE y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+    isle AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM m),
+    stretch AS (SELECT doc_id, q, min(i) AS start, count(*) + q + 4 AS length FROM isle GROUP BY doc_id, q, k),
+    run AS (
+        SELECT doc_id, start, length, min(q) AS period FROM stretch
+        WHERE length >= 6 AND length >= 4 * q GROUP BY doc_id, start, length),
+    best AS (
+        SELECT doc_id, count(*) AS n_runs,
+               string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS runs
+        FROM run GROUP BY doc_id),
+    longest AS (
+        -- lengths and periods are small enough for doubles to tell different ratios apart
+        SELECT doc_id, start, length, period FROM run
+        QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length / period DESC, start, period) = 1),
+    dropped AS (
+        SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM run),
+    word AS (SELECT doc_id, unnest(w) AS x, unnest(range(0, n)) AS i FROM t WHERE n > 0),
+    kept AS (
+        SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS kept FROM word ANTI JOIN dropped USING (doc_id, i) GROUP BY doc_id)
+    SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period,
+           CAST(1000 * length // period AS BIGINT) AS exponent_milli,
+           sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+    FROM documents LEFT JOIN best USING (doc_id) LEFT JOIN longest USING (doc_id) LEFT JOIN kept USING (doc_id)
+    """,
+)
+def runs_of_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(periodic_runs.runs(documents(spark, sf_dir), planted_tail))
+
+
+@query(
+    "op13_multi_index",
+    """
+    WITH RECURSIVE v AS (
+        SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+          AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    link AS (
+        SELECT a.vec_id AS u, b.vec_id AS v FROM v a, v b
+        WHERE a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
+    reach(vec_id, r) AS (
+        SELECT vec_id, vec_id FROM embeddings
+        UNION SELECT link.v, reach.r FROM reach JOIN link ON link.u = reach.vec_id AND reach.r < link.v)
+    SELECT e.vec_id, coalesce(n, 0) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+    FROM embeddings e LEFT JOIN (SELECT u, count(*) AS n FROM link GROUP BY u) k ON k.u = e.vec_id
+    JOIN (SELECT vec_id, min(r) AS component_id FROM reach GROUP BY vec_id) c ON c.vec_id = e.vec_id
+    """,
+)
+def near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.near_duplicates(documents(spark, sf_dir, "embeddings"))
