@@ -22,9 +22,10 @@ STRETCH, KNOWN_STRETCHES = re.compile(r" +[^ ]*"), 200_000
 #: Distinct pairs of one message about a chunk.
 PART = 16_384
 DOCUMENT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_overlaps long, groups_sha256 string"
-#: A row per document (``pairs`` null) and one per chunk, which numbers its distinct pairs.
-CHUNKS = f"chunk string, documents array<struct<{DOCUMENT.replace(' long', ': long').replace(' string', ': string')}>>, " + (
-    "ends array<long>, places binary, pairs array<struct<a: int, b: int, n: long>>"
+#: A row per chunk, which numbers its distinct pairs: where each document's links end, and the pair of each link.
+#: Ids are text, as pandas would make those next to a null into floats.
+CHUNKS = f"chunk string, documents array<struct<{DOCUMENT.replace('doc_id long', 'doc_id string')}>>, " + (
+    "ends array<long>, places binary, pairs array<struct<a int, b int, n long>>"
 )
 
 
@@ -222,7 +223,7 @@ class Chunk:
         pairs, place, n = np.unique(np.concatenate([p for _, p in self.links]), return_inverse=True, return_counts=True)
         return {
             "chunk": uuid.uuid4().hex,
-            "documents": [dict(zip(names, (None if r[0] is pd.NA else int(r[0]), *r[1:]), strict=True)) for r in self.rows],
+            "documents": [dict(zip(names, (None if r[0] is pd.NA else str(r[0]), *r[1:]), strict=True)) for r in self.rows],
             "ends": np.cumsum(np.bincount(text, minlength=len(self.rows))),
             "places": place.astype(np.int32).tobytes(),
             "pairs": [
