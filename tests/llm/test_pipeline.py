@@ -25,7 +25,7 @@ def test_stages_one_by_one(spark, data, tmp_path):
 
     before, after = kept["near_dedup"]
     rows = [(r["doc_id"], r["text"]) for r in before.collect()]
-    assert sorted(r["doc_id"] for r in after.collect()) == [i for i, _, _, k in sorted(test_minhash.brute(rows)) if k]
+    assert sorted(r["doc_id"] for r in after.collect()) == [i for i, _, _, k in sorted(test_minhash.brute(rows, 80)) if k]
 
     before, after = kept["repeat_removal"]
     want = {r[0]: r[5].decode("utf-8", "ignore") for r in test_suffix.brute([(r["doc_id"], r["text"]) for r in before.collect()])}

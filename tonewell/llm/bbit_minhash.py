@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from tonewell.llm.common import Scratch, components, id_text, long_ids, written
 from tonewell.llm.fertility import mixed
+from tonewell.operators.scans import sorted_positions
 
 BANDS, ROWS, BITS = 32, 6, 4
-HASHES = BANDS * ROWS
 SKETCH = "doc_id long, n_shingles long, set_key binary, bands array<long>, low_bits array<long>"
 #: Bands of the first round, whose buckets link most copies before any others are opened.
 LEAD = 8
@@ -41,7 +41,7 @@ def shingle_sets(texts: list[str], width: int = 5) -> list[np.ndarray]:
     ends = np.cumsum(sizes)
     left = np.repeat(ends, sizes) - np.arange(total)
     key = np.zeros(total, np.uint64)
-    for j in range(width):
+    for j in range(min(width, total)):
         reach = np.where(left > j, np.r_[value[j:], np.zeros(j, np.uint64)], np.uint64(0))
         key += reach * (mixed(np.array([j + 1], np.uint64))[0] | np.uint64(1))
     key = mixed(key + np.minimum(left, width).astype(np.uint64))
@@ -52,15 +52,15 @@ def shingle_sets(texts: list[str], width: int = 5) -> list[np.ndarray]:
     return out
 
 
-def hash_family(seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(seed)
-    return rng.integers(0, 1 << 63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, HASHES, np.uint64)
+def hash_family(bands: int = BANDS, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    rng, n = np.random.default_rng(seed), bands * ROWS
+    return rng.integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, n, np.uint64)
 
 
 def minima(shingles: np.ndarray, family) -> np.ndarray:
     """Smallest value of every hash over the set, in slices that stay in the cache."""
     odd, flip = family
-    out = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
+    out = np.full(len(odd), np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(shingles), 1024):
         part = shingles[at : at + 1024]
         product = (part[None, :] ^ flip[:, None]) * odd[:, None]
@@ -75,17 +75,18 @@ def packed(values: np.ndarray) -> np.ndarray:
 
 
 def band_keys(values: np.ndarray) -> np.ndarray:
-    mix = np.zeros(BANDS, np.uint64)
+    rows = values.reshape(-1, ROWS)
+    mix = np.zeros(len(rows), np.uint64)
     for j in range(ROWS):
-        mix = mixed(mix * np.uint64(0x100000001B3) + values.reshape(BANDS, ROWS)[:, j])
-    return mixed(mix + np.arange(BANDS, dtype=np.uint64))
+        mix = mixed(mix * np.uint64(0x100000001B3) + rows[:, j])
+    return mixed(mix + np.arange(len(rows), dtype=np.uint64))
 
 
-def sketches(docs: DataFrame) -> DataFrame:
+def sketches(docs: DataFrame, bands: int = BANDS) -> DataFrame:
     """A row per document: set size, a digest of the set, band keys, packed low bits."""
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        family = hash_family()
+        family = hash_family(bands)
         for batch in batches:
             rows = []
             for s in shingle_sets(batch["text"].tolist()):
@@ -103,7 +104,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     return text.mapInPandas(sketch, SKETCH)
 
 
-def estimate(a: Column, b: Column) -> Column:
+def estimate(a: Column, b: Column, hashes: int = BANDS * ROWS) -> Column:
     """Similarity from packed low bits: matches beyond those that chance gives."""
     ones = F.lit(0x1111111111111111)
 
@@ -114,20 +115,20 @@ def estimate(a: Column, b: Column) -> Column:
 
     apart = F.aggregate(F.zip_with(a, b, differing), F.lit(0), lambda s, x: s + x)
     chance = 2.0**-BITS
-    return (1 - apart / HASHES - chance) / (1 - chance)
+    return (1 - apart / hashes - chance) / (1 - chance)
 
 
-def cut(threshold: float) -> float:
+def cut(threshold: float, hashes: int = BANDS * ROWS) -> float:
     chance = 2.0**-BITS
     p = threshold + (1 - threshold) * chance
-    return threshold - MARGIN * math.sqrt(p * (1 - p) / HASHES) / (1 - chance)
+    return threshold - MARGIN * math.sqrt(p * (1 - p) / hashes) / (1 - chance)
 
 
-def competitive(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
+def competitive(pairs: DataFrame, reps: DataFrame, threshold: float, hashes: int) -> DataFrame:
     """Pairs ``(u, v)`` whose estimate can't be told from ``threshold`` or above."""
     bits = lambda c, name: reps.select(F.col("rep").alias(c), F.col("low_bits").alias(name))
     both = pairs.join(bits("v", "bv"), "v").join(bits("u", "bu"), "u")
-    return both.filter(estimate(F.col("bu"), F.col("bv")) >= cut(threshold)).select("u", "v")
+    return both.filter(estimate(F.col("bu"), F.col("bv"), hashes) >= cut(threshold, hashes)).select("u", "v")
 
 
 def linked(pairs: DataFrame, docs: DataFrame, threshold: int, spread: int = 256) -> DataFrame:
@@ -206,7 +207,7 @@ def dealt(members: DataFrame, block: int) -> DataFrame:
     return rows.select(*members.columns, "minor", F.inline(cells)).withColumn("g", group)
 
 
-def _cells(batch: pd.DataFrame, least: float) -> Iterator[tuple]:
+def _cells(batch: pd.DataFrame, threshold: float) -> Iterator[tuple]:
     """Each cell of a group with its competitive pairs: rows of the cell, positions of both sides.
 
     A pair belongs to the first band in which it collides, so it is met in one bucket only.
@@ -214,6 +215,8 @@ def _cells(batch: pd.DataFrame, least: float) -> Iterator[tuple]:
     for (bucket, _, _), rows in batch.groupby(["bucket", "i", "a"], sort=False):
         bits = np.stack(list(rows["low_bits"])).view(np.uint64)
         bands = np.stack(list(rows["bands"]))
+        hashes = bands.shape[1] * ROWS
+        least = cut(threshold, hashes)
         comp, rep = rows["component"].to_numpy(), rows["rep"].to_numpy()
         minor, left = rows["minor"].to_numpy(bool), rows["left"].to_numpy(bool)
         right = np.flatnonzero(~left)
@@ -226,7 +229,7 @@ def _cells(batch: pd.DataFrame, least: float) -> Iterator[tuple]:
             d |= d >> np.uint64(2)
             d |= d >> np.uint64(1)
             apart = np.bitwise_count(d & np.uint64(0x1111111111111111)).sum(1)
-            js = js[(1 - apart / HASHES - 2.0**-BITS) / (1 - 2.0**-BITS) >= least]
+            js = js[(1 - apart / hashes - 2.0**-BITS) / (1 - 2.0**-BITS) >= least]
             if len(js):
                 same = bands[js] == bands[i]
                 js = js[bands[i][same.argmax(1)] == bucket]
@@ -241,7 +244,7 @@ def open_members(members: DataFrame, threshold: int, block: int = 512) -> DataFr
     def compare(batch: pd.DataFrame) -> pd.DataFrame:
         found = [
             pd.DataFrame({"bucket": rows["bucket"].iloc[0], "rep": np.unique(rows["rep"].to_numpy()[np.unique(pairs)])})
-            for rows, pairs in _cells(batch, cut(threshold / 100))
+            for rows, pairs in _cells(batch, threshold / 100)
         ]
         return pd.concat(found) if found else pd.DataFrame({"bucket": [], "rep": []}).astype("int64")
 
@@ -257,7 +260,7 @@ def open_links(members: DataFrame, threshold: int, block: int = 512) -> DataFram
 
     def verify(batch: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for rows, pairs in _cells(batch, cut(threshold / 100)):
+        for rows, pairs in _cells(batch, threshold / 100):
             rep, root = rows["rep"].to_numpy(), {c: c for c in rows["component"].tolist()}
             comp, sets = rows["component"].tolist(), {}
 
@@ -292,7 +295,7 @@ def whole_sets(texts: DataFrame) -> DataFrame:
     return texts.mapInPandas(pack, "id long, shingles binary")
 
 
-def near_duplicates(docs: DataFrame, threshold: int = 85) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: int = 85, bands: int = BANDS) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row of ``docs`` (doc_id, text).
 
     Equal shingle sets are one class, so copies are never expanded. The classes' band
@@ -301,14 +304,16 @@ def near_duplicates(docs: DataFrame, threshold: int = 85) -> DataFrame:
     components. Where a bucket of any band still holds several components, their classes
     are compared with each other, by packed bits and then on full sets, until links
     connect them; no link between classes that share a bucket is lost. Two sets at the
-    threshold share no bucket with a probability below one in three million.
+    threshold share no bucket with a probability below one in three million, for 85 and
+    32 ``bands`` (for 80 it takes 48 of them, and the probability is one in two million).
+    Whole texts count, however long; those of a pair are held by one task.
 
     Null and empty texts have no shingles and are linked with nothing. Rows that share
     a doc_id are one document for links. A null doc_id takes no part: its component is
     null and it is kept. An empty table gives no row; other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession)
-    sketch = scratch.write("sketches", sketches(docs))
+    sketch = scratch.write("sketches", sketches(docs, bands))
     named = sketch.filter("set_key IS NOT NULL AND doc_id IS NOT NULL")
     reps = scratch.write(
         "classes",
@@ -319,7 +324,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 85) -> DataFrame:
     lead = reps.select("rep", F.explode(F.slice("bands", 1, LEAD)).alias("bucket"))
     centre = lead.groupBy("bucket").agg(F.min("rep").alias("u"), F.max("rep").alias("top")).filter("u <> top")
     star = lead.join(centre, "bucket").filter("u <> rep").select("u", F.col("rep").alias("v")).distinct()
-    links = linked(competitive(star, reps, threshold / 100), docs, threshold)
+    links = linked(competitive(star, reps, threshold / 100, bands * ROWS), docs, threshold)
     group = components(links).select(F.col("id").alias("rep"), "component")
 
     keyed = reps.join(group, "rep", "left").select("rep", F.coalesce("component", "rep").alias("component"), "bands")
@@ -350,9 +355,20 @@ def near_duplicates(docs: DataFrame, threshold: int = 85) -> DataFrame:
     )
 
 
-def without_copies(docs: DataFrame, threshold: int = 85) -> DataFrame:
-    """``docs`` with one document of each group of near duplicates; columns stay as they are."""
-    found = near_duplicates(docs, threshold).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+def without_copies(docs: DataFrame, threshold: int = 85, bands: int = BANDS) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates, that of the smallest doc_id; columns stay as they are.
+
+    Rows that share a doc_id are documents of their own here, so that no text goes but for
+    one that stays: equal ones leave a single row, others stay apart. Null, blank and
+    empty texts and rows with a null doc_id all stay.
+    """
     named = docs.filter(F.col("doc_id").isNotNull())
-    once = named.join(found.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    name = next(n for n in (f"row_{i}" for i in range(len(docs.columns) + 1)) if n not in docs.columns)
+    if named.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        numbered = named.withColumn(name, F.col("doc_id").cast("long"))
+    else:  # rows get numbers in the order of their ids
+        numbered = sorted_positions(named, [], ["doc_id"], name, "numbered")
+    found = near_duplicates(numbered.select(F.col(name).alias("doc_id"), "text"), threshold, bands)
+    kept = found.filter("kept").select(F.col("doc_id").alias(name))
+    once = numbered.join(kept.hint("merge"), name, "left_semi").select(*docs.columns)
     return once.union(docs.filter(F.col("doc_id").isNull()))

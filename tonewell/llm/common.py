@@ -166,6 +166,21 @@ class Tokenizers:
 
         return self._get(file, make)
 
+    def ranked(self, file: str, text: str) -> list[int]:
+        """Ids of a rank file; a text with endless runs is split by a pattern engine that needs no stack for them."""
+        ranks = self.ranks(file)
+        if not self.LONG_RUN.search(text):
+            return ranks.encode_ordinary(text)
+
+        def splitter():
+            import public_tokenizers
+            import regex
+
+            return regex.compile(public_tokenizers.PATTERN)
+
+        parts = self._get("split", splitter).findall(text)
+        return [i for part in parts for i in ranks._encode_single_piece(part)]
+
     def byte_bpe(self, text: str) -> list[int]:
         """Ids of byte_bpe_50k.json.
 

@@ -55,7 +55,7 @@ def repeated_words(lists: list[list[str]], window: int = 8) -> np.ndarray:
     left = np.repeat(np.cumsum(sizes), sizes) - np.arange(total)  # words to the end of the list
     key = mixed(doc.astype(np.uint64) << np.uint64(32))
     value = mixed(codes)
-    for j in range(window):
+    for j in range(min(window, total)):
         key[: total - j] += value[j:] * mixed(np.array([j + 1], np.uint64))[0]
     at = np.flatnonzero(left >= window)
     _, inverse, counts = np.unique(key[at], return_inverse=True, return_counts=True)
@@ -145,7 +145,7 @@ def measures(docs: DataFrame) -> DataFrame:
 
     text = docs.select(
         id_text(),
-        F.lower("lang").alias("lang"),
+        F.lower(F.trim("lang")).alias("lang"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
     return text.mapInPandas(measure, MEASURES)
@@ -220,8 +220,10 @@ def rules(docs: DataFrame) -> DataFrame:
     inside the bands of its language (its script where lang is null or blank) for
     characters per token, token entropy and the share of byte pieces (which may always
     be 5 %). Bands come from all texts of the same language or script that pass the base;
-    see ``bands`` and ``reached``. Null text is empty and fails the base. Repeated rows are
-    judged once each; an empty table gives no row; other columns are ignored.
+    see ``bands`` and ``reached``. Null text is empty and fails the base. Whole texts are
+    measured, however long; runs of thousands of like characters take the vocabulary
+    file's own library. Repeated rows are judged once each; an empty table gives no row;
+    other columns are ignored.
     """
     size_class = F.floor(F.log2(F.col("n_tokens") + 1)).cast("int")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))

@@ -31,9 +31,8 @@ def count_tokens(docs: DataFrame) -> DataFrame:
                 lines = text.split("\n")
                 once = list(dict.fromkeys(lines))
                 for version, file in VERSIONS.items():
-                    encode = tok.ranks(file).encode_ordinary
-                    revised = len(encode("\n".join(once))) if len(once) < len(lines) else None
-                    rows.append((doc_id, source, lang, text_key, version, len(encode(text)), revised))
+                    revised = len(tok.ranked(file, "\n".join(once))) if len(once) < len(lines) else None
+                    rows.append((doc_id, source, lang, text_key, version, len(tok.ranked(file, text)), revised))
             out = pd.DataFrame(rows, columns=[c.split()[0] for c in COUNTS.split(", ")])
             yield out.assign(doc_id=long_ids(out["doc_id"])).astype({"tokens": "Int64", "revised_tokens": "Int64"})
 
@@ -121,8 +120,8 @@ def corpus_rollup(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     Batch 0 inserts every row of ``docs`` under every tokenizer version, batch 1 deletes
     copies (equal texts, the smallest doc_id stays), batch 2 revises the counts of the
-    texts that repeat lines. Batch 1 arrives twice and counts once. Null text is an
-    empty text, null source and language are groups of their own, rows that repeat the
+    texts that repeat lines. Batch 1 arrives twice and counts once. Whole texts count,
+    however long, runs of over a million like characters too. Null text is an empty text, null source and language are groups of their own, rows that repeat the
     smallest doc_id all stay. An empty table gives no row.
     """
     counts = written(count_tokens(docs), "tokens")
