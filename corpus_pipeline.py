@@ -15,8 +15,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group of near duplicates stays."""
-    return bbit_minhash.without_copies(docs)
+    """The smallest doc_id of each group of near duplicates (four fifths of their shingles or more) stays."""
+    return bbit_minhash.without_copies(docs, threshold=80, bands=48)
 
 
 def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
