@@ -158,26 +158,64 @@ def test_written_pcm_reads_back(spark, tmp_path):
 
 
 def test_conversion_resumes(spark, tmp_path):
-    root = str(tmp_path / "in")
+    root, out = str(tmp_path / "in"), str(tmp_path / "out")
     for name, channels in (("a", 1), ("b", 3), ("c", 2)):
         wave_file(f"{root}/{name}.wav", np.full((20, channels), 100))
-    files = wav.list_audio(spark, root).select("path", "content").withColumn(
+    write(tmp_path / "in" / "d.wav", "x")
+    files = wav.list_audio(spark, root).select("path").withColumn(
         "channels", F.when(F.col("path").endswith("b.wav"), 3).when(F.col("path").endswith("c.wav"), 2).otherwise(1)
     ).withColumn("sidecar", F.lit("{}"))
-    broken = files.limit(1).withColumn("path", F.lit(f"{root}/d.wav")).withColumn("content", F.lit(b"x"))
     outside = files.limit(1).withColumn("path", F.lit("/else/e.wav"))
-    everything = files.unionByName(broken).unionByName(outside)
     target, done, failed = (str(tmp_path / n) for n in ("target", "done", "failed"))
     for _ in range(2):
-        convert_corpus(everything, root, "/out", target, done, failures=failed)
+        convert_corpus(files.unionByName(outside), root, out, target, done, failures=failed)
     rows = converted_files(spark, target).collect()
-    assert sorted(r["out_path"] for r in rows) == ["/out/a.wav", "/out/b.wav", "/out/c.wav"]
-    assert all(r["sidecar"] == "{}" for r in rows)
-    assert {r["out_path"][-5]: wav.pcm_layout(bytes(r["content"]))["channels"] for r in rows} == {"a": 1, "b": 2, "c": 2}
+    assert sorted(r["out_path"] for r in rows) == [f"{out}/{n}.wav" for n in "abc"]
+    assert all(r["sidecar"] == "{}" and r["bytes"] == os.path.getsize(r["out_path"]) for r in rows)
+    made = {n: (tmp_path / "out" / f"{n}.wav").read_bytes() for n in "abc"}
+    assert {n: wav.pcm_layout(c)["channels"] for n, c in made.items()} == {"a": 1, "b": 2, "c": 2}
+    assert sorted(os.listdir(out)) == ["a.wav", "b.wav", "c.wav"]
     assert spark.read.parquet(done).count() == 3
     assert {r["path"] for r in spark.read.json(failed).collect()} == {f"{root}/d.wav", "/else/e.wav"}
 
 
+def test_conversion_in_slices(spark, tmp_path, monkeypatch):
+    """Whole files from slices: 32 bits with and without overflow, means, copies, too few channels."""
+    monkeypatch.setattr(wav, "MAX_VALUES", 8 * 100)
+    rng = np.random.default_rng(4)
+
+    def converted(codes, bits, wanted):
+        raw = codes.astype("<i4" if bits == 32 else "<i2")
+        block = bits // 8 * codes.shape[1]
+        head = struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + raw.nbytes, b"WAVE", b"fmt ", 16, 1, codes.shape[1], 8000, 8000 * block, block, bits, b"data", raw.nbytes)
+        path = tmp_path / f"{bits}-{wanted}-{codes.shape}.wav"
+        path.write_bytes(head + raw.tobytes())
+        with wav.Ranges(str(path)) as source:
+            out = b"".join(wav._converted(source, wanted))
+        layout = wav.pcm_layout(out)
+        assert len(out) == 44 + layout["size"] and layout["rate"] == 8000
+        return np.rint(wav._samples(out, layout) * 2**15).astype(int)
+
+    small = rng.integers(-9000, 9000, (1234, 2))
+    assert np.array_equal(converted(small, 16, 2), small)
+    assert np.array_equal(converted(small, 16, None), small)
+    assert np.array_equal(converted(small, 16, 1)[:, 0], np.rint(small.mean(1)))
+    mono = small[:, :1]
+    assert np.array_equal(converted(mono, 16, 2), np.repeat(mono, 2, 1))
+    wide = rng.integers(-(2**30), 2**30, (1234, 3))
+    assert np.array_equal(converted(wide, 32, 2), np.rint(wide[:, :2] / 2**16).astype(int))
+    wide[700, 1] = 2**31 - 1
+    assert np.array_equal(converted(wide, 32, 2), np.rint(wide[:, :2] / 2**31 * (2**15 - 1)).astype(int))
+    with pytest.raises(ValueError, match="fewer channels"):
+        converted(small, 16, 3)
+
+
+def test_header_of_more_than_4_gb():
+    head = wav._header(2**31, 1, 8000)
+    layout = wav.pcm_layout(head, len(head) + 2**32)
+    assert layout["size"] == 2**32 and layout["first"] == len(head)
+
+
 def test_cache_computes_only_misses(spark, tmp_path):
     path, asked = str(tmp_path / "cache"), []
 

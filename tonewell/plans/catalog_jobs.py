@@ -215,7 +215,7 @@ FROM cells c, (SELECT unnest(range(2)) AS ch) WHERE label <> 3""",
 )
 def converted_corpus(spark, sf):
     """Three-channel clips to stereo; the clips of one label are already done."""
-    from tonewell.plans.convert import convert_corpus, converted_files
+    from tonewell.plans.convert import convert_corpus
 
     configure(spark)
     mono = waves(spark, sf)
@@ -224,17 +224,17 @@ def converted_corpus(spark, sf):
         three = three.unionByName(
             mono.withColumn("channel", F.lit(channel)).withColumn("samples", A.scale(F.col("samples"), factor))
         )
-    files = wav.wav_bytes(signal.i16_pcm(three), 16000)
-    named = vectors(spark, sf).select(
-        "vec_id", "label", F.concat_ws("/", F.lit("/in"), F.col("label").cast("string"), F.concat(F.col("vec_id").cast("string"), F.lit(".wav"))).alias("path")
-    )
-    corpus = files.join(named, files.clip_id == named.vec_id).select("path", "content", "label", F.lit(3).alias("channels"))
-    done = scratch_path(spark, "done")
-    out = scratch_path(spark, "converted")
-    corpus.filter(F.col("label") == 3).select(F.regexp_replace("path", "^/in/", "/out/").alias("out_path")).write.parquet(done)
-    convert_corpus(corpus.drop("label"), "/in", "/out", out, done)
-    back = converted_files(spark, out).select(F.col("out_path").alias("clip_id"), "content")
-    return signal.to_long(wav.decode(back, CHUNK)).select(F.col("clip_id").alias("out_path"), "channel", "t", "x")
+    labels = vectors(spark, sf).select("vec_id", F.col("label").cast("string").alias("label"))
+    clips = signal.i16_pcm(three).join(labels, F.col("clip_id") == F.col("vec_id"))
+    folder, out = scratch_path(spark, "unconverted"), scratch_path(spark, "converted")
+    wav.write_wav_files(clips.withColumn("clip_id", F.concat_ws("/", "label", F.col("vec_id").cast("string"))), folder, 16000)
+    corpus = wav.list_audio(spark, folder).select("path", F.lit(3).alias("channels"))
+    done, target = scratch_path(spark, "done"), scratch_path(spark, "conversions")
+    finished = corpus.filter(F.col("path").startswith(f"{folder}/3/"))
+    finished.select(F.regexp_replace("path", f"^{folder}/", f"{out}/").alias("out_path")).write.parquet(done)
+    convert_corpus(corpus, folder, out, target, done)
+    rows = signal.to_long(wav.read_signal(spark, out, CHUNK / 16000, 16000))
+    return rows.select(F.regexp_replace("clip_id", f"^{out}/", "/out/").alias("out_path"), "channel", "t", "x")
 
 
 # Incremental jobs ------------------------------------------------------------------

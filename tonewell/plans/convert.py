@@ -21,14 +21,14 @@ def convert_corpus(
     channels: int | None = None,
     failures: str | None = None,
 ) -> None:
-    """Convert the files that have no finished mark and mark them.
-
-    ``corpus``: (path, content, channels), other columns (a copied sidecar for
-    instance) are kept next to the result. A file is converted where it was read,
-    without any shuffle of its content. One pass writes results and failed rows
-    to ``target`` (partition ``failed``); marks go to ``done``, the failed paths of
-    this run to ``failures``. A failed file does not stop the run and is tried
-    again by the next one.
+    """Convert the files that have no finished mark to ``out_root`` and mark them.
+
+    ``corpus``: (path, channels), and ``member`` for members of archives; other columns (a
+    copied sidecar for instance) are kept next to the result. A task streams a file from
+    its place to its new one, so no content is ever a row and none is shuffled. One pass
+    writes a row per file to ``target`` (partition ``failed``); marks go to ``done``, the
+    failed paths of this run to ``failures``. A failed file does not stop the run and is
+    tried again by the next one.
     """
     spark = corpus.sparkSession
     run = f"run-{uuid.uuid4().hex}"
@@ -46,5 +46,5 @@ def convert_corpus(
 
 
 def converted_files(spark, target: str) -> DataFrame:
-    """(out_path, content, kept columns) of all converted files."""
+    """(out_path, bytes, kept columns) of all converted files."""
     return spark.read.parquet(target).filter("failed = 0").drop("failed", "run", "error", "path", "out_channels")

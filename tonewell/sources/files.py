@@ -27,24 +27,51 @@ def store_of(path: str):
 def replace_file(path: str, pieces: Iterator[bytes]) -> int:
     """Write a file under a name of this attempt and move it to its own; returns its bytes.
 
-    A task that is lost halfway leaves no file under ``path``, a repeated one the same file.
+    A task that is lost halfway leaves no file under ``path``, a repeated one the same file;
+    pieces that fail leave none at all.
     """
     fs, place = store_of(path)
     fs.create_dir(place.rsplit("/", 1)[0], recursive=True)
     folder, name = place.rsplit("/", 1)
     made = f"{folder}/_attempt-{TaskContext.get().taskAttemptId()}-{name}"
     size = 0
-    with fs.open_output_stream(made, compression=None) as out:
-        for piece in pieces:
-            size += out.write(piece)
+    try:
+        with fs.open_output_stream(made, compression=None) as out:
+            for piece in pieces:
+                size += out.write(piece)
+    except Exception:
+        fs.delete_file(made)
+        raise
     fs.move(made, place)
     return size
 
 
+class Ranges:
+    """A file of a store, read by byte ranges; ``size`` is its length."""
+
+    def __init__(self, path: str):
+        fs, place = store_of(path)
+        self.source = fs.open_input_file(place)
+        self.size = self.source.size()
+
+    def read(self, first: int, size: int) -> bytes:
+        """At most ``size`` bytes from ``first`` on; fewer at the end, none behind it."""
+        there = min(size, max(0, self.size - first))
+        return self.source.read_at(there, first) if there > 0 else b""
+
+    def close(self) -> None:
+        self.source.close()
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+
 def read_range(path: str, first: int, size: int) -> bytes:
-    fs, place = store_of(path)
-    with fs.open_input_file(place) as source:
-        return source.read_at(min(size, max(0, source.size() - first)), first) if first < source.size() else b""
+    with Ranges(path) as source:
+        return source.read(first, size)
 
 
 def write_files(rows: DataFrame) -> int:

@@ -44,10 +44,18 @@ def whole_files(spark: SparkSession, root: str, pattern: str = "*.json") -> Data
     )
 
 
-def read_sidecars(spark: SparkSession, root: str, schema: str = MUSIC_SCHEMA) -> DataFrame:
-    """Sidecar fields with the key ``stem``; the raw text stays in ``raw`` for key checks."""
-    files = whole_files(spark, root).filter(~F.col("path").endswith(".source.json"))
-    return files.select(
+def read_sidecars(
+    spark: SparkSession, root: str, schema: str = MUSIC_SCHEMA, archived: DataFrame | None = None
+) -> DataFrame:
+    """Sidecar fields with the key ``stem``; the raw text stays in ``raw`` for key checks.
+
+    ``archived``: (path, value) of members of archives (``archives.read_members``), whose
+    stem is ``archive.zip:inner`` without the suffix.
+    """
+    files = whole_files(spark, root)
+    if archived is not None:
+        files = files.unionByName(archived.select("path", "value").filter(F.col("value").isNotNull()))
+    return files.filter(~F.col("path").endswith(".source.json")).select(
         stem_path(F.col("path")).alias("stem"),
         F.from_json("value", T.StructType.fromDDL(schema)).alias("s"),
         F.col("value").alias("raw"),

@@ -1,8 +1,8 @@
-"""PCM WAV files: corpus scan, chunked reading, encoding.
+"""Audio files and members of archives: corpus scan; PCM WAV: chunked reading, conversion, encoding.
 
-A scan reads the head of a file, a segment its own bytes, and a written file is
-streamed chunk by chunk. Only ``decode`` takes a file as one row of Spark's binary
-source. Other codecs need a metadata table made elsewhere.
+A scan reads the head of a file of any of its formats, a segment its own bytes, and a
+written or converted file is streamed slice by slice. Only ``decode`` takes a file as one
+row of Spark's binary source. Samples are read from PCM WAV alone.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import struct
 from collections.abc import Iterator, Sequence
+from contextlib import nullcontext
 
 import numpy as np
 import pandas as pd
@@ -18,7 +19,9 @@ from pyspark.sql import functions as F
 
 from tonewell.operators.corpus import MANIFEST_SCHEMA, sort_manifest
 from tonewell.session import written
-from tonewell.sources.files import read_range, replace_file
+from tonewell.sources import heads
+from tonewell.sources.archives import MEMBER, list_members, open_source
+from tonewell.sources.files import Ranges, replace_file
 from tonewell.sources.sidecars import file_path
 
 # Fixed value: suffixes of audio files, compared in lower case.
@@ -32,37 +35,22 @@ SIGNAL_SCHEMA = (
 )
 
 
-#: Bytes of a file that a scan reads at first; the data chunk nearly always begins there.
-HEAD_BYTES = 1 << 16
-
-
 def pcm_layout(content: bytes, length: int | None = None) -> dict:
     """Rate, channels, sample width and data range of a PCM WAV file.
 
     ``content`` may be the head of a file of ``length`` bytes.
     """
-    length = len(content) if length is None else length
-    if content[:4] != b"RIFF" or content[8:12] != b"WAVE":
-        raise ValueError("not a RIFF WAVE file")
-    at, found = 12, {}
-    while at + 8 <= len(content):
-        name, size = content[at : at + 4], struct.unpack("<I", content[at + 4 : at + 8])[0]
-        if name == b"fmt ":
-            code, channels, rate, _, block, bits = struct.unpack("<HHIIHH", content[at + 8 : at + 24])
-            if code not in (1, 0xFFFE) or bits not in (16, 32):
-                raise ValueError(f"unsupported WAV coding {code} with {bits} bits")
-            found.update(channels=channels, rate=rate, block=block, bits=bits)
-        elif name == b"data":
-            found.update(first=at + 8, size=min(size, length - at - 8))
-            break
-        at += 8 + size + size % 2
-    if "block" not in found or "first" not in found:
-        raise ValueError("WAV file without format or data")
-    return found
+    return _checked(heads.wave_layout(content, len(content) if length is None else length))
+
+
+def _checked(layout: dict) -> dict:
+    if layout["coding"] != 1 or layout["bits"] not in (16, 32):
+        raise ValueError(f"unsupported WAV coding {layout['coding']} with {layout['bits']} bits")
+    return layout
 
 
 def list_audio(spark: SparkSession, root: str, extensions: Sequence[str] = EXTENSIONS) -> DataFrame:
-    """Files below ``root`` with an audio suffix in any case."""
+    """Files below ``root`` with an audio suffix in any case. Spark lists no empty files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     lowered = F.lower("path")
     wanted = F.lit(False)
@@ -71,51 +59,83 @@ def list_audio(spark: SparkSession, root: str, extensions: Sequence[str] = EXTEN
     return files.filter(wanted).withColumn("path", file_path())
 
 
-def head_of(path: str, length: int) -> dict:
-    """Layout of a file from its head, read further only where other chunks stand before the data."""
-    size = HEAD_BYTES
-    while True:
-        try:
-            return pcm_layout(read_range(path, 0, min(size, length)), length)
-        except (ValueError, struct.error):
-            if size >= length:
-                raise
-            size *= 8
+def audio_files(spark: SparkSession, root: str, extensions: Sequence[str] = EXTENSIONS) -> DataFrame:
+    """``(path, length, member, error)`` of the audio files below ``root`` and inside its archives."""
+    files = list_audio(spark, root, extensions).select("path", "length")
+    plain = files.withColumns({"member": F.lit(None).cast(MEMBER), "error": F.lit(None).cast("string")})
+    return plain.unionByName(dealt(list_members(spark, root, extensions)))
+
 
+def dealt(files: DataFrame) -> DataFrame:
+    """File names over all shuffle partitions: rows are small here, what tasks read for them is not.
+
+    The number is given, as Spark would join partitions of few bytes to a single task.
+    """
+    return files.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path")
 
-def _peak(path: str, head: dict) -> float:
+
+def _opened(source):
+    """A source as it is, or the file at a path; to be used in ``with``."""
+    return Ranges(source) if isinstance(source, str) else nullcontext(source)
+
+
+def head_of(source, length: int) -> dict:
+    """Layout of a PCM WAV file from its head, read further only where other chunks stand before the data."""
+    size = heads.HEAD_BYTES
+    with _opened(source) as ranges:
+        while True:
+            try:
+                return pcm_layout(ranges.read(0, min(size, length)), length)
+            except (ValueError, struct.error):
+                if size >= length:
+                    raise
+                size *= 8
+
+
+def _peak(source, head: dict) -> float:
     """Largest absolute sample, read in slices."""
-    step, top = MAX_VALUES // 8 * head["block"], 0.0
-    for at in range(0, head["size"], step):
-        part = read_range(path, head["first"] + at, min(step, head["size"] - at))
-        data = _samples(part, {**head, "first": 0, "size": len(part)})
-        top = max(top, float(np.abs(data).max()) if data.size else 0.0)
+    top = 0.0
+    with _opened(source) as ranges:
+        for data in _slices(ranges, head):
+            top = max(top, float(np.abs(data).max()) if data.size else 0.0)
     return top
 
 
+def _slices(ranges, head: dict) -> Iterator[np.ndarray]:
+    """The samples of a file in (frames, channels) slices of bounded size."""
+    step = max(1, MAX_VALUES // 8 // head["channels"]) * head["block"]
+    for at in range(0, head["size"] // head["block"] * head["block"], step):
+        part = ranges.read(head["first"] + at, min(step, head["size"] - at))
+        yield _samples(part, {**head, "first": 0, "size": len(part)})
+
+
 def scan_corpus(
     spark: SparkSession, root: str, extensions: Sequence[str] = EXTENSIONS, minimal: bool = True
 ) -> tuple[DataFrame, DataFrame]:
-    """(sorted manifest, failures): duration and rate of every readable file.
+    """(sorted manifest, failures): duration and rate of every readable file, in folders and in ZIP archives.
 
-    Spark lists the files, a task reads the heads of its own. Without ``minimal`` the peak
-    amplitude is read too, in slices. A bad file goes to the failures and does not
-    stop the scan. Files are probed once; both results read what was written.
+    Spark lists the files, a task reads the heads of its own; a member of an archive is
+    named ``archive.zip:inner``. Without ``minimal`` the peak amplitude is read too, in
+    slices, from PCM WAV; other formats have none. A bad file goes to the failures and
+    does not stop the scan. Files are probed once; both results read what was written.
     """
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for path, length in zip(batch["path"], batch["length"]):
+            for path, member, error in zip(batch["path"], batch["member"], batch["error"], strict=True):
                 try:
-                    head = head_of(path, int(length))
-                    peak = None if minimal else _peak(path, head)
-                    rows.append((path, head["size"] / head["block"] / head["rate"], head["rate"], peak, None))
+                    if error is not None:
+                        raise ValueError(error)
+                    with open_source(path, member) as source:
+                        head = heads.probe(source)
+                        peak = None if minimal or head.layout is None else _peak(source, head.layout)
+                    rows.append((path, head.duration, head.rate, peak, None))
                 except Exception as exc:
                     rows.append((path, None, None, None, str(exc)))
             yield pd.DataFrame(rows, columns=["path", "duration", "sample_rate", "amplitude", "error"])
 
-    files = list_audio(spark, root, extensions).select("path", "length")
+    files = audio_files(spark, root, extensions).select("path", "member", "error")
     probed = written(
         files.mapInPandas(probe, "path string, duration double, sample_rate int, amplitude double, error string"), "scan"
     )
@@ -189,13 +209,16 @@ def read_signal(
 ) -> DataFrame:
     """Signal chunks of all WAV files, or of the (path, seek_time, duration) segments only.
 
+    A path may name a member of an archive below ``root``, ``archive.zip:inner.wav``; the
+    segments of a packed member are read in one pass.
+
     The segments of a file are gathered to its name, a list as long as the file has
     segments; the task that holds the name reads the bytes of each segment, in slices.
     No content is shuffled. ``clip_id`` is the path, ``start_frame`` counts from the
     segment's start, and ``segment`` is its place among the file's segments by time.
     """
     chunk = int(chunk_seconds * sample_rate)
-    files = list_audio(spark, root, (".wav",)).select("path", "length")
+    files = audio_files(spark, root, (".wav",))
     whole = F.array(F.struct(F.lit(0.0).alias("seek_time"), F.lit(-1.0).alias("duration"), F.lit(False).alias("pad")))
     if segments is None:
         plan = files.withColumn("parts", whole)
@@ -204,51 +227,72 @@ def read_signal(
         times = [F.col(c).cast("double").alias(c) for c in ("seek_time", "duration")]
         part = F.struct(*times, pad.alias("pad"))
         lists = segments.groupBy("path").agg(F.array_sort(F.collect_list(part)).alias("parts"))
-        plan = files.join(lists, "path")
+        plan = dealt(files.join(lists, "path"))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows, held = [], 0
         for batch in batches:
-            for path, length, parts in zip(batch["path"], batch["length"], batch["parts"]):
-                for number, part in enumerate(parts):
-                    for made in _ranged(path, int(length), part, chunk):
-                        rows.append((*made, number))
-                        held += 0 if made[4] is None else len(made[4])
-                        if held > MAX_VALUES:
-                            yield pd.DataFrame(rows, columns=[*SIGNAL_COLUMNS, "segment"])
-                            rows, held = [], 0
+            for path, member, error, parts in zip(batch["path"], batch["member"], batch["error"], batch["parts"]):
+                for made in _read_parts(path, member, error, parts, chunk):
+                    rows.append(made)
+                    held += 0 if made[4] is None else len(made[4])
+                    if held > MAX_VALUES:
+                        yield pd.DataFrame(rows, columns=[*SIGNAL_COLUMNS, "segment"])
+                        rows, held = [], 0
         if rows:
             yield pd.DataFrame(rows, columns=[*SIGNAL_COLUMNS, "segment"])
 
     return plan.mapInPandas(read, f"{SIGNAL_SCHEMA}, segment int")
 
 
-def _ranged(path: str, length: int, part, chunk: int) -> Iterator[tuple]:
+def _read_parts(path: str, member, error: str | None, parts, chunk: int) -> Iterator[tuple]:
+    """Chunk rows of the segments of a file, which is opened once; ``segment`` comes last."""
+    try:
+        if error is not None:
+            raise ValueError(error)
+        opened = open_source(path, member)
+    except Exception as exc:
+        yield from ((path, None, None, None, None, None, str(exc), number) for number in range(len(parts)))
+        return
+    with opened as source:
+        for number, part in enumerate(parts):
+            for made in _ranged(path, source.size, part, chunk, source):
+                yield (*made, number)
+
+
+def _ranged(path: str, length: int, part, chunk: int, source=None) -> Iterator[tuple]:
     """Chunk rows of one segment of a file, with ``pad`` filled up by zeros, or its error row."""
     seek, duration, pad = part["seek_time"], part["duration"], part["pad"]
     try:
-        head = head_of(path, length)
-        frames = head["size"] // head["block"]
-        first = min(frames, int(seek * head["rate"])) if seek > 0 else 0
-        there = frames - first
-        wanted = int(duration * head["rate"]) if duration > 0 else there
-        wanted = wanted if pad else min(there, wanted)
-        slices = max(1, MAX_VALUES // 8 // chunk) * chunk
-        for at in range(0, wanted, slices):
-            count = min(slices, wanted - at)
-            held = max(0, min(count, there - at))
-            raw = read_range(path, head["first"] + (first + at) * head["block"], held * head["block"])
-            data = np.pad(_samples(raw, {**head, "first": 0, "size": len(raw)}), ((0, count - held), (0, 0)))
-            for start in range(0, len(data), chunk):
-                for c in range(data.shape[1]):
-                    part = np.ascontiguousarray(data[start : start + chunk, c])
-                    yield (path, c, (at + start) // chunk, at + start, part, head["rate"], None)
+        with _opened(path if source is None else source) as ranges:
+            head = head_of(ranges, length)
+            frames = head["size"] // head["block"]
+            first = min(frames, int(seek * head["rate"])) if seek > 0 else 0
+            there = frames - first
+            wanted = int(duration * head["rate"]) if duration > 0 else there
+            wanted = wanted if pad else min(there, wanted)
+            slices = max(1, MAX_VALUES // 8 // chunk) * chunk
+            for at in range(0, wanted, slices):
+                count = min(slices, wanted - at)
+                held = max(0, min(count, there - at))
+                raw = ranges.read(head["first"] + (first + at) * head["block"], held * head["block"])
+                data = np.pad(_samples(raw, {**head, "first": 0, "size": len(raw)}), ((0, count - held), (0, 0)))
+                for start in range(0, len(data), chunk):
+                    for c in range(data.shape[1]):
+                        part = np.ascontiguousarray(data[start : start + chunk, c])
+                        yield (path, c, (at + start) // chunk, at + start, part, head["rate"], None)
     except Exception as exc:
         yield (path, None, None, None, None, None, str(exc))
 
 
 def _header(frames: int, channels: int, rate: int) -> bytes:
+    """Head of a 16-bit WAV file; one of more than 4 GB has its sizes in a chunk of 64-bit numbers."""
     size = frames * channels * 2
+    if size + 36 > 0xFFFFFFFF:
+        return struct.pack(
+            "<4sI4s4sIQQQI4sIHHIIHH4sI", b"RF64", 0xFFFFFFFF, b"WAVE", b"ds64", 28, 72 + size, size, frames, 0,
+            b"fmt ", 16, 1, channels, rate, rate * 2 * channels, 2 * channels, 16, b"data", 0xFFFFFFFF,
+        )
     return struct.pack(
         "<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + size, b"WAVE", b"fmt ", 16, 1, channels, rate,
         rate * 2 * channels, 2 * channels, 16, b"data", size,
@@ -260,13 +304,6 @@ def _encode(codes: np.ndarray, rate: int) -> bytes:
     return _header(len(codes), codes.shape[1], rate) + codes.astype("<i2").tobytes()
 
 
-def _pcm_codes(samples: np.ndarray) -> np.ndarray:
-    """Clamped samples as 16-bit codes; a file that would overflow uses the factor 2^15 - 1."""
-    samples = np.clip(samples, -1.0, 1.0)
-    codes = np.rint(samples * 2.0**15)
-    return np.rint(samples * (2.0**15 - 1)) if codes.size and codes.max() >= 2**15 else codes
-
-
 def _with_channels(samples: np.ndarray, wanted: int) -> np.ndarray:
     """Same count, mean to mono, copies of mono, or the first channels."""
     have = samples.shape[1]
@@ -279,32 +316,57 @@ def _with_channels(samples: np.ndarray, wanted: int) -> np.ndarray:
     return samples[:, :wanted]
 
 
+def _converted(source, out_channels: int | None) -> Iterator[bytes]:
+    """A PCM WAV file as a 16-bit one with other channels, slice by slice.
+
+    Whether the file would overflow is known before: 16-bit samples never do, others are
+    read once more.
+    """
+    head = head_of(source, source.size)
+    wanted = min(2, head["channels"]) if out_channels is None else out_channels
+    factor = 2.0**15
+    if head["bits"] > 16:
+        for data in _slices(source, head):
+            codes = np.rint(np.clip(_with_channels(data, wanted), -1.0, 1.0) * 2.0**15)
+            if codes.size and codes.max() >= 2**15:
+                factor = 2.0**15 - 1
+                break
+    yield _header(head["size"] // head["block"], wanted, head["rate"])
+    for data in _slices(source, head):
+        yield np.rint(np.clip(_with_channels(data, wanted), -1.0, 1.0) * factor).astype("<i2").tobytes()
+
+
 def convert_files(files: DataFrame) -> DataFrame:
-    """Re-encode (content, out_channels) rows in place; ``error`` tells why a row failed.
+    """Convert each file (path, out_path, out_channels, reason) to ``out_path``; ``bytes`` written, or ``error``.
 
-    A non-null ``reason`` is an error found before. Other columns stay.
+    A task reads a file in slices and writes them as they come, so files may be of any
+    size; the finished one takes its name in one step, and a repeated task writes the
+    same one. ``out_channels`` null keeps one or two channels. A non-null ``reason`` is
+    an error found before. A column ``member`` names a member of an archive. Other columns stay.
     """
-    kept = [c for c in files.columns if c not in ("content", "reason")]
+    kept = [c for c in files.columns if c not in ("reason", "member")]
     schema = ", ".join(f"`{c}` {files.schema[c].dataType.simpleString()}" for c in kept)
+    inside = "member" in files.columns
 
-    def one(content, wanted, reason):
+    def one(path, out_path, wanted, reason, member):
         try:
             if reason is not None:
                 raise ValueError(reason)
-            head = pcm_layout(content)
-            samples = _with_channels(_samples(content, head), int(wanted))
-            return _encode(_pcm_codes(samples), head["rate"]), None
+            with open_source(path, member) as source:
+                return replace_file(out_path, _converted(source, None if pd.isna(wanted) else int(wanted))), None
         except Exception as exc:
             return None, str(exc)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            made = [one(*row) for row in zip(batch["content"], batch["out_channels"], batch["reason"])]
+            members = batch["member"] if inside else [None] * len(batch)
+            columns = (batch[c] for c in ("path", "out_path", "out_channels", "reason"))
+            made = [one(*row) for row in zip(*columns, members, strict=True)]
             out = batch[kept].copy()
-            out["content"], out["error"] = [m[0] for m in made], [m[1] for m in made]
+            out["bytes"], out["error"] = pd.array([m[0] for m in made], "Int64"), [m[1] for m in made]
             yield out
 
-    return files.mapInPandas(run, f"{schema}, content binary, error string")
+    return files.mapInPandas(run, f"{schema}, bytes bigint, error string")
 
 
 def wav_bytes(signal: DataFrame, sample_rate: int) -> DataFrame:
