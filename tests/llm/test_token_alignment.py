@@ -115,10 +115,17 @@ def test_chunks_and_batches_do_not_matter(spark, data, monkeypatch):
     assert together == [ta.align([t], segment)[0][0] for t in texts]
 
 
-def test_pieces_are_those_of_whole_texts(vocabularies, data, spark):
-    segment, model = ta.Segmenters(), vocabularies[1]
-    texts = [r["text"] for r in documents(spark, data).collect()] + [t for _, t in ODD if t]
-    assert all(segment.pieces(t) == model.encode(t) for t in texts if t)
+def test_ids_are_those_of_the_libraries(vocabularies, data, spark):
+    """Of texts cut together, and none where the bytes differ."""
+    segment = ta.Segmenters()
+    rng = random.Random(8)
+    alphabet = list("ab  \n\t,.'s1é漢\u3000\xa0\u2028\x1c\x85<|>") + [" the", "'ll", "  ", " \n"]
+    texts = [r["text"] for r in documents(spark, data).collect()] + [t for _, t in ODD]
+    texts += ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 40))) for _ in range(3000)]
+    (one, n_one), (two, n_two) = segment(texts)
+    want = [spans(t, vocabularies) for t in texts]
+    assert one.tolist() == [x[2] for w in want for x in w[0]] and n_one.tolist() == [len(w[0]) for w in want]
+    assert two.tolist() == [x[2] for w in want for x in w[1]] and n_two.tolist() == [len(w[1]) for w in want]
 
 
 def test_long_runs(spark):

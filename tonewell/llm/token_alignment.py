@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from itertools import chain
 
@@ -16,9 +16,7 @@ from pyspark.sql import functions as F
 from tonewell.llm.common import Scratch, Tokenizers, id_text, long_ids
 
 #: Bytes of text whose tokens are merged at a time, and whose links are written as one chunk; a longer text is one alone.
-SLICE_BYTES, CHUNK_BYTES = 1 << 20, 8 << 20
-#: A blank or more and what follows up to the next one, and how many of them a worker remembers.
-STRETCH, KNOWN_STRETCHES = re.compile(r" +[^ ]*"), 200_000
+SLICE_BYTES, CHUNK_BYTES = 1 << 19, 2 << 20
 #: Distinct pairs of one message about a chunk.
 PART = 16_384
 DOCUMENT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_overlaps long, groups_sha256 string"
@@ -55,9 +53,6 @@ class Segmenters:
         self.sizes = [np.array([len(x) for x in side], np.int64) for side in sides]
         self.bytes = [np.frombuffer(b"".join(side), np.uint8) for side in sides]
         self.first = [np.cumsum(size) - size for size in self.sizes]
-        # no piece goes on over a blank: stretches from blank to blank are cut alike alone and in a text
-        self.split = not any("▁" in model.id_to_piece(i).lstrip("▁") for i in range(model.get_piece_size()))
-        self.known: dict[str, list[int]] = {}
         # an id with what stands behind it: A inside and at the end of a group, B likewise
         marked = [[f"{i}{mark}" for i in range(len(side))] for side, marks in zip(sides, (",|", ",;"), strict=True) for mark in marks]
         self.shown = np.array([x for ids in marked for x in ids], object)
@@ -69,60 +64,41 @@ class Segmenters:
         end = np.cumsum(size)
         return self.bytes[side][np.arange(end[-1] if len(end) else 0) + np.repeat(self.first[side][ids] - end + size, size)]
 
-    def pieces(self, text: str) -> list[int]:
-        """B's ids; stretches of a blank and what follows it are cut once and then looked up."""
-        model, known = self.tok.pieces("piece_bpe_32k.model"), self.known
-        if not self.split or "▁" in text:
-            return model.encode(text, num_threads=1)
-        if len(known) > KNOWN_STRETCHES:
-            known.clear()
-        out: list[int] = []
-        for stretch in STRETCH.findall(" " + text):
-            ids = known.get(stretch)
-            if ids is None:
-                ids = model.encode(stretch[1:], num_threads=1) if len(stretch) > 1 else [model.piece_to_id("▁")]
-                if len(stretch) < 100:
-                    known[stretch] = ids
-            out += ids
-        return out
-
-    def __call__(self, texts: list[str | None]) -> list[tuple[list[int], list[int]]]:
-        """Ids of both sides of each text; none where either side's bytes aren't a blank and the text."""
+    def __call__(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Per side (ids of all texts, number of each text's); none of a text whose bytes either side doesn't give back."""
         there = [i for i, t in enumerate(texts) if t]
-        a = [self.tok.byte_bpe(" " + texts[i]) for i in there]
-        b = [self.pieces(texts[i]) for i in there]
+        cut = [
+            [self.tok.byte_bpe(" " + texts[i]) for i in there],
+            self.tok.pieces("piece_bpe_32k.model").encode([texts[i] for i in there], num_threads=1) if there else [],
+        ]
         raw = [b" " + texts[i].encode("utf-8", "replace") for i in there]
-        out: list[tuple[list[int], list[int]]] = [([], [])] * len(texts)
         whole = np.frombuffer(b"".join(raw), np.uint8)
         ends = np.cumsum([len(x) for x in raw], dtype=np.int64)
-        good = np.ones(len(there), bool)
-        for side, ids in enumerate((a, b)):
-            flat, count = flattened(ids)
+        good, sides = np.ones(len(there), bool), []
+        for side, ids in enumerate(cut):
+            count = np.array([len(x) for x in ids], np.int64)
+            flat = np.fromiter(chain.from_iterable(ids), np.int64, int(count.sum()))
             got = np.cumsum(np.r_[0, self.sizes[side][flat]])[np.cumsum(count)]
             joined = self.joined(side, flat)
-            if np.array_equal(got, ends) and np.array_equal(joined, whole):
-                continue
-            starts = np.r_[0, got[:-1]]
-            for i, (x, y) in enumerate(zip(starts.tolist(), got.tolist(), strict=True)):
-                good[i] &= joined[x:y].tobytes() == raw[i]
-        for i, x, y, fits in zip(there, a, b, good.tolist(), strict=True):
-            if fits:
-                out[i] = (x, y)
+            if not (np.array_equal(got, ends) and np.array_equal(joined, whole)):
+                starts = np.r_[0, got[:-1]]
+                for i, (x, y) in enumerate(zip(starts.tolist(), got.tolist(), strict=True)):
+                    good[i] &= joined[x:y].tobytes() == raw[i]
+            sides.append((flat, count))
+        out = []
+        for flat, count in sides:
+            full = np.zeros(len(texts), np.int64)
+            full[there] = np.where(good, count, 0)
+            out.append((flat[np.repeat(good, count)], full))
         return out
 
 
-def flattened(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    count = np.array([len(x) for x in ids], np.int64)
-    return np.fromiter(chain.from_iterable(ids), np.int64, int(count.sum())), count
-
-
-def tokens(ids: list[list[int]], sizes: np.ndarray) -> pd.DataFrame:
+def tokens(flat: np.ndarray, count: np.ndarray, sizes: np.ndarray) -> pd.DataFrame:
     """``(document, id, place, start, end)`` of consecutive texts' tokens; bytes are numbered through all texts."""
-    flat, count = flattened(ids)
     end = np.cumsum(sizes[flat])
     return pd.DataFrame(
         {
-            "document": np.repeat(np.arange(len(ids)), count),
+            "document": np.repeat(np.arange(len(count)), count),
             "id": flat,
             "place": np.arange(len(flat)),
             "start": end - sizes[flat],
@@ -174,7 +150,7 @@ def align(texts: list[str | None], segment: Segmenters):
     Returns (list of (n_a, n_b, n_groups, n_links, n_overlaps, digest), text, A id, B id of the links).
     """
     cut = segment(texts)
-    a, b = (tokens([c[side] for c in cut], segment.sizes[side]) for side in (0, 1))
+    a, b = (tokens(*cut[side], segment.sizes[side]) for side in (0, 1))
     if not len(a):
         return [(0, 0, 0, 0, 0, "")] * len(texts), *(np.empty(0, np.int64),) * 3
     i, j = overlaps(a, b)
@@ -185,10 +161,10 @@ def align(texts: list[str | None], segment: Segmenters):
     linked = document[i]
     links = np.bincount(linked, minlength=len(texts)).tolist()
     shown, at, rows = shown_groups(a, b, i, j, segment), 0, []
-    for (x, y), n, more in zip(cut, links, overlapping, strict=True):
-        part = "".join(shown[at : at + len(x) + len(y)].tolist())[:-1]
-        at += len(x) + len(y)
-        rows.append((len(x), len(y), n, n, more, hashlib.sha256(part.encode()).hexdigest() if x else ""))
+    for x, y, n, more in zip(cut[0][1].tolist(), cut[1][1].tolist(), links, overlapping, strict=True):
+        part = "".join(shown[at : at + x + y].tolist())[:-1]
+        at += x + y
+        rows.append((x, y, n, n, more, hashlib.sha256(part.encode()).hexdigest() if x else ""))
     return rows, linked, a["id"].to_numpy()[i], b["id"].to_numpy()[j]
 
 
@@ -225,7 +201,7 @@ class Chunk:
             "chunk": uuid.uuid4().hex,
             "documents": [dict(zip(names, (None if r[0] is pd.NA else str(r[0]), *r[1:]), strict=True)) for r in self.rows],
             "ends": np.cumsum(np.bincount(text, minlength=len(self.rows))),
-            "places": place.astype(np.int32).tobytes(),
+            "places": zlib.compress(place.astype(np.int32).tobytes(), 1),
             "pairs": [
                 {"a": x, "b": y, "n": z}
                 for x, y, z in zip((pairs >> 32).tolist(), (pairs & 0xFFFFFFFF).tolist(), n.tolist(), strict=True)
@@ -292,7 +268,7 @@ def alignments(docs: DataFrame) -> DataFrame:
     def finish(chunk: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         out = []
         for _, row in chunk.iterrows():
-            place = np.frombuffer(row["places"], np.int32)
+            place = np.frombuffer(zlib.decompress(row["places"]), np.int32)
             count, best = np.zeros(place.max(initial=-1) + 1, np.int64), np.zeros(place.max(initial=-1) + 1, np.int64)
             for at, n, is_best in zip(answers["places"], answers["counts"], answers["bests"], strict=True):
                 count[at], best[at] = n, is_best
