@@ -54,10 +54,13 @@ def test_average_state(spark):
     rng = np.random.default_rng(1)
     rows = [("hot" if i % 3 else "cold", float(i), float(rng.normal()), i // 40) for i in range(200)]
     stream, df = appended(spark, rows, "name string, t double, v double, part int", "part", range(5))
-    folder = scratch_path(spark, "ema")
-    jobs.ema_state(stream, folder, scratch_path(spark, "c"), "name", "t", "v", 0.9, 80.0)
-    newest = jobs.finished_ema(spark, folder, "name", "t", "v", 0.9)
-    assert spark.read.parquet(f"{folder}/late/*").count() == 0
+    folder, check = scratch_path(spark, "ema"), scratch_path(spark, "c")
+    assert jobs.ema_state(stream, folder, check, "name", "t", "v", 0.9, 80.0, width=15.0, partitions=2) == 0
+    newest = jobs.finished_ema(spark, folder, check, "name", 0.9)
+    # blocks that are over have left the state, the others wait in it
+    closed = {r["block"] for r in spark.read.parquet(folder).collect()}
+    waiting = {r["block"] for r in jobs.waiting_sums(spark, check, "name", 0.9).collect()}
+    assert closed and waiting and max(closed) < min(waiting) and closed | waiting == set(range(14))
     for unbias in (True, False):
         got = {r["name"]: r["ema"] for r in jobs.ema_value(newest, "name", 0.9, unbias).collect()}
         for name in ("hot", "cold"):
@@ -65,6 +68,25 @@ def test_average_state(spark):
             assert abs(got[name] - expected) < 1e-9
 
 
+def test_average_goes_on_and_counts_late_rows(spark):
+    """A second run takes up the state; ties stand by value; a row behind the watermark is counted, not merged."""
+    folder, check = scratch_path(spark, "ema"), scratch_path(spark, "c")
+    source = scratch_path(spark, "stream")
+    first = [("a", float(t % 20), float(t), 0) for t in range(30)] + [("a", None, 1.0, 0), ("a", 1.0, None, 0)]
+    second = [("a", 2.0, 99.0, 1), ("a", 30.0, -1.0, 1), ("b", 31.0, 5.0, 1)]
+    for rows in (first, second):
+        df = spark.createDataFrame(rows, "name string, t double, v double, part int")
+        df.write.mode("append").parquet(source)
+        stream = spark.readStream.schema(df.schema).parquet(source)
+        late = jobs.ema_state(stream, folder, check, "name", "t", "v", 0.9, 5.0, width=4.0, partitions=2)
+        assert late == (0 if rows is first else 1)
+    kept = sorted((t, v) for n, t, v, _ in first + second[1:] if n == "a" and t is not None and v is not None)
+    newest = jobs.finished_ema(spark, folder, check, "name", 0.9)
+    got = {r["name"]: (r["n"], r["ema"]) for r in jobs.ema_value(newest, "name", 0.9).collect()}
+    assert got["b"] == (1, 5.0) and got["a"][0] == len(kept)
+    assert abs(got["a"][1] - walked([v for _, v in kept], 0.9, True)) < 1e-9
+
+
 def test_second_run_adds_nothing(spark):
     rows = [("a", 1.0, 0), ("b", 2.0, 1), ("a", 3.0, 1)]
     stream, _ = appended(spark, rows, "metric string, value double, part int", "part", range(2))

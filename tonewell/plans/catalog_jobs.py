@@ -300,9 +300,9 @@ def ema_stream(spark, sf):
     folder = appended_files(spark, rows, "events", "slice", SLICES)
     # Batches of four files: rows of a slice may come in two batches.
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(folder)
-    state = scratch_path(spark, "ema")
-    jobs.ema_state(stream, state, scratch_path(spark, "check"), "metric", "time", "value", 0.99, 2.0 * wide / SLICES)
-    newest = jobs.finished_ema(spark, state, "metric", "time", "value", 0.99)
+    state, check = scratch_path(spark, "ema"), scratch_path(spark, "check")
+    jobs.ema_state(stream, state, check, "metric", "time", "value", 0.99, 2.0 * wide / SLICES, partitions=state_partitions(spark))
+    newest = jobs.finished_ema(spark, state, check, "metric", 0.99)
     unbiased = jobs.ema_value(newest, "metric", 0.99)
     plain = jobs.ema_value(newest, "metric", 0.99, unbias=False).select("metric", F.round("ema", 6).alias("plain"))
     return unbiased.withColumn("ema", F.round("ema", 6)).join(plain, "metric")

@@ -6,15 +6,17 @@ failure replaces its own output and nothing is counted twice.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tonewell.operators import covariance, quantise
 from tonewell.operators.captions import normalise_payload
 from tonewell.operators.corpus import MANIFEST_SCHEMA
-from tonewell.operators.scans import sorted_positions
 from tonewell.sources.manifests import path_exists
+from tonewell.streaming.stateful import PARTS, faded_blocks, faded_sums
 
 
 def stream_manifest(spark: SparkSession, folder: str, max_files: int = 100) -> DataFrame:
@@ -24,8 +26,8 @@ def stream_manifest(spark: SparkSession, folder: str, max_files: int = 100) -> D
 
 def run_available(
     df: DataFrame, write, checkpoint: str, mode: str = "append", partitions: int | None = None
-) -> None:
-    """Process everything that is there, then stop.
+) -> StreamingQuery:
+    """Process everything that is there, then stop; the ended query tells its progress.
 
     ``partitions`` is the number of state partitions, fixed for the life of a
     checkpoint; without it the session's shuffle partitions count.
@@ -43,6 +45,7 @@ def run_available(
             .start()
         )
         query.awaitTermination()
+        return query
     finally:
         conf.set("spark.sql.shuffle.partitions", before)
 
@@ -110,44 +113,19 @@ def _version(folder: str, batch_id: int) -> str:
     return f"{folder}/version={batch_id:010d}"
 
 
-def ema_sums(rows: DataFrame, name: str, order: str, value: str, decay: float) -> DataFrame:
-    """(name, n, top, mass) of some rows in their order.
+def ema_merge(parts: DataFrame, name: str, decay: float) -> DataFrame:
+    """(name, n, top, mass, first) of the parts (name, block, n, top, mass, first), in the order of their blocks.
 
-    With r the rank among them, top is the sum of decay^(n - 1 - r) * value and
-    mass the same sum of ones. Two parts merge by top = top1 * decay^n2 + top2,
-    so a hot metric is summed in parallel, not walked row by row; ranks come from a
-    range shuffle, whose parts have like numbers of rows.
+    Two parts merge by top = top1 * decay^n2 + top2. There is one part per metric and
+    block of time, however many rows a block has.
     """
-    ranked = sorted_positions(rows.select(name, order, value), [name], [order, value], "__r")
-    sizes = rows.groupBy(name).agg(F.count(F.lit(1)).alias("__n"))
-    weight = F.pow(F.lit(decay), F.col("__n") - 1 - F.col("__r"))
-    return (
-        ranked.join(sizes, name)
-        .groupBy(name)
-        .agg(
-            F.max("__n").alias("n"),
-            F.sum(weight * F.col(value)).alias("top"),
-            F.sum(weight).alias("mass"),
-            F.min_by(value, F.col("__r")).alias("first"),
-        )
-    )
-
-
-def ema_merge(old: DataFrame, new: DataFrame, name: str, decay: float) -> DataFrame:
-    """State after both batches, the older one first."""
-    o, s = old.alias("o"), new.alias("s")
-    joined = o.join(s, name, "full_outer")
-    fade = F.pow(F.lit(decay), F.coalesce("s.n", F.lit(0)))
-
-    def both(column: str):
-        return F.coalesce(F.col(f"o.{column}"), F.lit(0.0)) * fade + F.coalesce(F.col(f"s.{column}"), F.lit(0.0))
-
-    return joined.select(
-        name,
-        (F.coalesce("o.n", F.lit(0)) + F.coalesce("s.n", F.lit(0))).alias("n"),
-        both("top").alias("top"),
-        both("mass").alias("mass"),
-        F.coalesce("o.first", "s.first").alias("first"),
+    after = Window.partitionBy(name).orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
+    fade = F.pow(F.lit(decay), F.coalesce(F.sum("n").over(after), F.lit(0)))
+    return parts.withColumn("__fade", fade).groupBy(name).agg(
+        F.sum("n").alias("n"),
+        F.sum(F.col("top") * F.col("__fade")).alias("top"),
+        F.sum(F.col("mass") * F.col("__fade")).alias("mass"),
+        F.min_by("first", "block").alias("first"),
     )
 
 
@@ -166,51 +144,53 @@ def ema_value(state: DataFrame, name: str, decay: float, unbias: bool = True) ->
 
 
 def ema_state(
-    stream: DataFrame, folder: str, checkpoint: str, name: str, order: str, value: str, decay: float, lateness: float
-) -> None:
-    """Keep the average state of a stream, one version per micro-batch.
-
-    The ``order`` column says what comes before what, not the batch: rows wait in the
-    version's ``open`` table until a row more than ``lateness`` ahead of them has come, and
-    are merged then, all that are due at once. A row that comes later than that is kept
-    in ``late`` and not merged.
+    stream: DataFrame,
+    folder: str,
+    checkpoint: str,
+    name: str,
+    order: str,
+    value: str,
+    decay: float,
+    lateness: float,
+    width: float | None = None,
+    partitions: int | None = None,
+) -> int:
+    """Keep the average of a stream by event time; returns how many rows came too late.
+
+    The ``order`` column (seconds) says what comes before what, not the batch: rows wait
+    in the keyed state, by metric and block of ``width`` seconds, until a row more than
+    ``lateness`` behind the block's end has come. A finished block is one row appended to
+    ``folder``; nothing that waits is written again, and each batch has a folder of its
+    own, which a repeated batch replaces. A row that comes later than ``lateness`` is not
+    merged; Spark counts such rows (the last hundred batches of a run are looked at).
     """
-    spark = stream.sparkSession
+    blocks = faded_blocks(stream, name, order, value, decay, lateness, width or max(lateness, 1e-3))
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        before = _version(folder, batch_id - 1)
-        rows = batch.select(name, order, value)
-        mark = None
-        if path_exists(spark, f"{before}/open"):
-            mark = spark.read.parquet(f"{before}/mark").first()["mark"]
-            late = rows.filter(F.col(order) < mark) if mark is not None else rows.limit(0)
-            late.write.mode("overwrite").parquet(f"{folder}/late/{batch_id:010d}")
-            rows = rows.filter(F.col(order) >= mark) if mark is not None else rows
-            rows = rows.unionByName(spark.read.parquet(f"{before}/open"))
-        top = rows.agg(F.max(order)).first()[0]
-        if top is not None:
-            mark = max(x for x in (mark, top - lateness) if x is not None)
-        due = rows.filter(F.col(order) < mark) if mark is not None else rows.limit(0)
-        state = _merged(spark, f"{before}/state", ema_sums(due, name, order, value, decay), name, decay)
-        now = _version(folder, batch_id)
-        state.write.mode("overwrite").parquet(f"{now}/state")
-        spark.createDataFrame([(mark,)], "mark double").write.mode("overwrite").parquet(f"{now}/mark")
-        still = rows.filter(F.col(order) >= mark) if mark is not None else rows
-        still.write.mode("overwrite").parquet(f"{now}/open")
+        batch.coalesce(1).write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+
+    query = run_available(blocks, write, checkpoint, partitions=partitions)
+    return sum(int(op.numRowsDroppedByWatermark) for p in query.recentProgress for op in p.stateOperators)
 
-    run_available(stream, write, checkpoint)
 
+def waiting_sums(spark: SparkSession, checkpoint: str, name: str, decay: float) -> DataFrame:
+    """Sums of the blocks that are still open, read from the stream's own state."""
+    rows = spark.read.format("statestore").option("stateVarName", "rows").load(checkpoint)
+    cells = rows.select(f"key.{name}", "key.block", "list_element.times", "list_element.samples")
+    kind = cells.schema[name].dataType.simpleString()
 
-def _merged(spark: SparkSession, path: str, new: DataFrame, name: str, decay: float) -> DataFrame:
-    return ema_merge(spark.read.parquet(path), new, name, decay) if path_exists(spark, path) else new
+    def total(block: pd.DataFrame) -> pd.DataFrame:
+        sums = faded_sums(np.concatenate(list(block["times"])), np.concatenate(list(block["samples"])), decay)
+        columns = [name, "block", "n", "top", "mass", "first"]
+        return pd.DataFrame([(block[name].iloc[0], block["block"].iloc[0], *sums)], columns=columns)
 
+    return cells.groupBy(name, "block").applyInPandas(total, f"{name} {kind}, block bigint, {PARTS}")
 
-def finished_ema(spark: SparkSession, folder: str, name: str, order: str, value: str, decay: float) -> DataFrame:
+
+def finished_ema(spark: SparkSession, folder: str, checkpoint: str, name: str, decay: float) -> DataFrame:
     """State with all rows that still wait, for a stream that has ended."""
-    names = [x for x in _names(spark, folder) if x.startswith("version=")]
-    last = f"{folder}/{max(names)}"
-    rest = ema_sums(spark.read.parquet(f"{last}/open"), name, order, value, decay)
-    return ema_merge(spark.read.parquet(f"{last}/state"), rest, name, decay)
+    done = spark.read.parquet(folder).drop("batch")
+    return ema_merge(done.unionByName(waiting_sums(spark, checkpoint, name, decay)), name, decay)
 
 
 def _names(spark: SparkSession, folder: str) -> list[str]:
@@ -221,10 +201,8 @@ def _names(spark: SparkSession, folder: str) -> list[str]:
 
 
 def newest_version(spark: SparkSession, folder: str) -> DataFrame:
-    """State after the last micro-batch."""
-    versions = spark.read.option("basePath", folder).parquet(f"{folder}/version=*")
-    top = versions.agg(F.max("version")).first()[0]
-    return versions.filter(F.col("version") == top).drop("version")
+    """State after the last micro-batch; the folders' names tell which one that is."""
+    return spark.read.parquet(f"{folder}/{max(x for x in _names(spark, folder) if x.startswith('version='))}")
 
 
 def online_codebook(
@@ -243,8 +221,6 @@ def online_codebook(
     A batch is assigned to the current codes, codes below the threshold take
     random batch vectors, then the averages move. The state is model-sized.
     """
-    import numpy as np
-
     spark = stream.sparkSession
     codes = len(start)
 

@@ -1,4 +1,4 @@
-"""Sliding windows over signals that arrive chunk by chunk."""
+"""Keyed state of streams: sliding windows over chunks, moving averages by event time."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -96,3 +97,72 @@ def chunk_windows(
         outputMode="Append",
         timeMode=mode,
     )
+
+
+PARTS = "n bigint, top double, mass double, first double"
+#: Seconds added to the order of a row: a watermark begins at zero, and what is not beyond it is late.
+SHIFT = 10**9
+
+
+def faded_sums(times: np.ndarray, values: np.ndarray, decay: float) -> tuple[int, float, float, float]:
+    """(n, top, mass, first) of rows in order of time, then value.
+
+    With r the place of a row, top is the sum of decay^(n - 1 - r) * value and mass the
+    same sum of ones.
+    """
+    values = values[np.lexsort((values, times))]
+    weight = decay ** np.arange(len(values) - 1, -1, -1, dtype=np.float64)
+    return len(values), float(weight @ values), float(weight.sum()), float(values[0])
+
+
+class FadedBlocks(StatefulProcessor):
+    """Sums of one block of event time of one metric, handed on when the watermark has passed it.
+
+    State per block: its rows as they come, one list entry per micro-batch. Entries are
+    only added; a timer at the end of the block sums them up and removes them.
+    """
+
+    def __init__(self, width: float, decay: float, name: str):
+        self.width, self.decay, self.name = width, decay, name
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.rows = handle.getListState("rows", "times array<double>, samples array<double>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        self.rows.appendList([(batch["time"].tolist(), batch["value"].tolist()) for batch in rows])
+        self.handle.registerTimer(int(np.ceil(((key[1] + 1) * self.width + SHIFT) * 1000)))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        kept = [(np.asarray(t, np.float64), np.asarray(v, np.float64)) for t, v in self.rows.get()]
+        self.rows.clear()
+        if kept:
+            sums = faded_sums(*(np.concatenate(side) for side in zip(*kept, strict=True)), self.decay)
+            columns = [self.name, "block", "n", "top", "mass", "first"]
+            yield pd.DataFrame([(key[0], key[1], *sums)], columns=columns)
+
+    def close(self) -> None:
+        pass
+
+
+def faded_blocks(stream: DataFrame, name: str, order: str, value: str, decay: float, lateness: float, width: float) -> DataFrame:
+    """(name, block, n, top, mass, first) of each block of ``width`` seconds of ``order`` that is over.
+
+    A block is over when a row more than ``lateness`` seconds behind its end has come. The
+    blocks of a metric are keys of their own, so a hot metric is not one task. ``order``
+    counts from any date, with seconds above -10^9.
+    """
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_PROVIDER)
+    kind = stream.schema[name].dataType.simpleString()
+    time = F.col(order).cast("double")
+    rows = stream.filter(F.col(value).isNotNull() & time.isNotNull()).select(
+        name, time.alias("time"), F.col(value).cast("double").alias("value"), F.floor(time / F.lit(width)).alias("block"),
+        F.timestamp_micros(((time + SHIFT) * 1_000_000).cast("bigint")).alias("at"),
+    )
+    return rows.withWatermark("at", f"{round(lateness * 1000)} milliseconds").groupBy(name, "block").transformWithStateInPandas(
+        statefulProcessor=FadedBlocks(width, decay, name),
+        outputStructType=f"{name} {kind}, block bigint, {PARTS}",
+        outputMode="Append",
+        timeMode="EventTime",
+    )
