@@ -131,6 +131,22 @@ def test_flatten_config(spark):
     assert captions.flatten_config(rows.limit(0), "id", "config").collect() == []
 
 
+def test_configs_of_any_depth_and_broken_ones(spark):
+    """Two hundred levels in the same plan; what is no JSON object is a row that says so."""
+    deep = '{"a": ' * 200 + '"x"' + "}" * 200
+    broken = ['{"a": 1', "[1]", "text", "", '{"a": tru}', '{"a": [1, }', '{"a" 1}', '{"a": 1} x', '{"a": "\\q"}', "{'a': 1}"]
+    rows = [(0, deep), (1, '{"a": 1, "b": {"a": [1, {"c": null}], "d": {}}, "a": 2, "": {"": {"e": 1.50}}, "n": null}'), (2, None), (3, "{}")]
+    rows += [(10 + i, t) for i, t in enumerate(broken)]
+    df = spark.createDataFrame(rows, "id int, config string")
+    got = [tuple(r) for r in captions.flatten_config(df, "id", "config").collect()]
+    assert [r for r in got if r[0] == 0] == [(0, ".".join("a" * 200), "x", None)]
+    assert {r[1]: r[2] for r in got if r[0] == 1} == {"a": "2", "b.a": '[1,{"c":null}]', "e": "1.5", "n": None}
+    assert not [r for r in got if r[0] in (2, 3)]
+    errors = {r[0]: r for r in got if r[3] is not None}
+    assert set(errors) == {10 + i for i in range(len(broken))} and all(r[1] is None and r[2] is None for r in errors.values())
+
+
+
 def test_word_dropout_limits(spark):
     assert one(spark, ["a b  c"], X.word_dropout(F.col("c"), 0.0, 1), X.word_dropout(F.col("c"), 1.0, 1)) == [("a b  c", "")]
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tonewell.functions import text as X
 from tonewell.functions.arrays import let
+from tonewell.sources.json_stream import leaves
 
 REQUIRED = X.PROMPT_FIELDS
 
@@ -81,44 +83,26 @@ def split_errors(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return df.filter(F.col("error").isNull()).drop("error"), df.filter(F.col("error").isNotNull())
 
 
-def nesting(config: Column) -> Column:
-    """Most braces open at once in a JSON text, those inside strings left out."""
-    bare = F.regexp_replace(config, r'"(?:[^"\\]|\\.)*+"', "")
-    marks = F.split(F.regexp_replace(bare, r"[^{}]", ""), "")
-    start = F.struct(F.lit(0).alias("open"), F.lit(0).alias("most"))
-
-    def step(s, mark):
-        now = s["open"] + F.when(mark == "{", 1).when(mark == "}", -1).otherwise(0)
-        return F.struct(now.alias("open"), F.greatest(s["most"], now).alias("most"))
-
-    return F.coalesce(F.aggregate(marks, start, step)["most"], F.lit(0))
-
-
 def flatten_config(df: DataFrame, key: str, config: str) -> DataFrame:
-    """Nested JSON config as (key, dotted name, value); lists keep their JSON text.
+    """Nested JSON config as (key, dotted name, value, error); lists keep their JSON text.
 
-    As many levels are opened as the deepest config has; that number is all that
-    reaches the driver.
+    Objects of any depth are walked in one pass over the row's text, in one plan. The last
+    of equal names counts. A row that is no JSON object is one row with ``error``, a null
+    one gives no row.
     """
-    depth = max(1, df.agg(F.max(nesting(F.col(config)))).first()[0] or 0)
-    level = df.select(key, F.lit("").alias("name"), F.parse_json(config).alias("v"))
-    done = None
-    for _ in range(depth):
-        entries = level.select(
-            key, "name", F.explode(F.col("v").cast("map<string,variant>")).alias("k", "v")
-        ).select(
-            key,
-            F.when(F.col("name") == "", F.col("k")).otherwise(F.concat("name", F.lit("."), "k")).alias("name"),
-            "v",
-            F.schema_of_variant("v").startswith("OBJECT").alias("nested"),
-        )
-        leaves = entries.filter(~F.col("nested")).select(
-            key,
-            "name",
-            F.when(F.schema_of_variant("v").startswith("ARRAY"), F.to_json("v"))
-            .otherwise(F.try_variant_get("v", "$", "string"))
-            .alias("value"),
-        )
-        done = leaves if done is None else done.unionByName(leaves)
-        level = entries.filter("nested").drop("nested", "k")
-    return done
+
+    @F.pandas_udf("array<struct<name: string, raw: string, error: string>>")
+    def walk(configs: pd.Series) -> pd.Series:
+        rows = []
+        for text in configs:
+            try:
+                found = leaves(text) if text is not None else {}
+                rows.append([{"name": name, "raw": raw, "error": None} for name, raw in found.items()])
+            except (ValueError, RecursionError) as exc:
+                rows.append([{"name": None, "raw": None, "error": str(exc) or "nested too deep"}])
+        return pd.Series(rows, dtype=object)
+
+    rows = df.select(key, F.inline(walk(config)))
+    v = F.try_parse_json("raw")
+    text = F.when(F.schema_of_variant(v).startswith("ARRAY"), F.to_json(v)).otherwise(F.try_variant_get(v, "$", "string"))
+    return rows.select(key, "name", text.alias("value"), "error")

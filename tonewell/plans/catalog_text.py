@@ -289,7 +289,7 @@ def flat_config(spark, sf):
             F.lit("}"),
         ).alias("config"),
     )
-    return captions.flatten_config(events, "event_id", "config")
+    return captions.flatten_config(events, "event_id", "config").drop("error")
 
 
 @query(

@@ -16,8 +16,7 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from tonewell.sources.files import Ranges
-from tonewell.sources.sidecars import file_path
+from tonewell.sources.files import Ranges, file_path
 
 # Fixed values of the format: signatures, lengths and layouts of its records.
 END, END_SIZE = b"PK\x05\x06", 22

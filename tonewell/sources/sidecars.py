@@ -9,6 +9,8 @@ from pyspark.sql import types as T
 from tonewell.functions import text as X
 from tonewell.operators.joins import stem_path
 from tonewell.operators.ratings import explode_ratings
+from tonewell.sources.files import file_path
+from tonewell.sources.json_stream import json_entries
 
 # Field names of the sidecars.
 MUSIC_SCHEMA = (
@@ -29,11 +31,6 @@ RATING_SCHEMA = (
 STAGES = ("train", "valid", "evaluate", "generate")
 
 
-def file_path() -> Column:
-    """Path of the read file, without the local scheme."""
-    return F.regexp_replace(F.col("_metadata.file_path"), "^file:(//)?", "")
-
-
 def whole_files(spark: SparkSession, root: str, pattern: str = "*.json") -> DataFrame:
     """(path, value) with the whole text of each matching file, found recursively."""
     return (
@@ -84,17 +81,24 @@ def read_chords(spark: SparkSession, path: str) -> DataFrame:
     named after their track."""
     if path.endswith(".parquet"):
         return spark.read.parquet(path).select("track", "pos", "time", "chord")
-    files = whole_files(spark, path, "*.json")
-    events = F.from_json("value", T.ArrayType(T.ArrayType(T.StringType())))
-    return files.select(X.track_name(F.col("path")).alias("track"), F.posexplode(events).alias("pos", "e")).select(
-        "track", "pos", F.col("e")[1].cast("double").alias("time"), F.col("e")[0].alias("chord")
-    )
+    event = F.from_json("value", T.ArrayType(T.StringType()))
+    rows = _whole(json_entries(spark, path, "*.json"))
+    events = rows.select(X.track_name(F.col("path")).alias("track"), F.col("pos").cast("int").alias("pos"), event.alias("e"))
+    return events.select("track", "pos", F.col("e")[1].cast("double").alias("time"), F.col("e")[0].alias("chord"))
+
+
+def _whole(entries: DataFrame) -> DataFrame:
+    """Entries of whole files; one that is no JSON or breaks off ends the job with its name."""
+    broken = F.raise_error(F.concat(F.lit("bad JSON file "), "path", F.lit(": "), "error")).cast("string")
+    return entries.withColumn("path", F.when(F.col("error").isNull(), F.col("path")).otherwise(broken)).drop("error")
 
 
 def read_paraphrases(spark: SparkSession, path: str) -> DataFrame:
-    """(info_path, texts) of a JSON object, plain or gzip."""
-    parsed = F.from_json("value", T.MapType(T.StringType(), T.ArrayType(T.StringType())))
-    return spark.read.text(path, wholetext=True).select(F.explode(parsed).alias("info_path", "texts"))
+    """(info_path, texts) of JSON objects, plain or gzip, of any size: entries are read one by one."""
+    texts = F.from_json("value", T.ArrayType(T.StringType()))
+    rows = _whole(json_entries(spark, path, "*"))
+    # the path is looked at so that a broken file is not left out
+    return rows.filter(F.col("path").isNotNull()).select(F.col("key").alias("info_path"), texts.alias("texts"))
 
 
 def read_ratings(spark: SparkSession, root: str, multi_line: bool = True) -> DataFrame:
@@ -115,10 +119,13 @@ def history_rows(df: DataFrame, run: str, history: str) -> DataFrame:
     under the known stages and only numbers count; the top-level ``epoch``
     becomes a metric without a stage.
     """
-    epochs = df.select(
-        run, F.posexplode(F.parse_json(history).cast("array<variant>")).alias("i", "row")
-    ).filter(F.schema_of_variant("row").startswith("OBJECT"))
-    parts = epochs.select(
+    return epoch_rows(df.select(run, F.posexplode(F.parse_json(history).cast("array<variant>")).alias("i", "row")), run)
+
+
+def epoch_rows(epochs: DataFrame, run: str) -> DataFrame:
+    """The same of (run, i, row): one variant per epoch."""
+    parts = epochs.filter(F.schema_of_variant("row").startswith("OBJECT"))
+    parts = parts.select(
         run, (F.col("i") + 1).alias("epoch"), F.explode(F.col("row").cast("map<string,variant>")).alias("stage", "v")
     ).withColumn("kind", F.schema_of_variant("v"))
 
@@ -142,10 +149,10 @@ def history_rows(df: DataFrame, run: str, history: str) -> DataFrame:
 
 
 def read_history(spark: SparkSession, root: str, pattern: str = "history.json") -> DataFrame:
-    """Histories of all runs below ``root``; the run is the folder name."""
-    files = whole_files(spark, root, pattern)
-    named = files.select(F.element_at(F.split("path", "/"), -2).alias("run"), "value")
-    return history_rows(named, "run", "value")
+    """Histories of all runs below ``root``; the run is the folder name. Epochs are read one by one."""
+    rows = _whole(json_entries(spark, root, pattern))
+    run = F.element_at(F.split("path", "/"), -2).alias("run")
+    return epoch_rows(rows.select(run, F.col("pos").cast("int").alias("i"), F.parse_json("value").alias("row")), "run")
 
 
 def read_prompts(spark: SparkSession, path: str) -> DataFrame:

@@ -21,8 +21,7 @@ from tonewell.operators.corpus import MANIFEST_SCHEMA, sort_manifest
 from tonewell.session import written
 from tonewell.sources import heads
 from tonewell.sources.archives import MEMBER, list_members, open_source
-from tonewell.sources.files import Ranges, replace_file
-from tonewell.sources.sidecars import file_path
+from tonewell.sources.files import Ranges, file_path, replace_file
 
 # Fixed value: suffixes of audio files, compared in lower case.
 EXTENSIONS = (".wav", ".mp3", ".flac", ".ogg", ".m4a")
