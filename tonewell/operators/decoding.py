@@ -43,16 +43,18 @@ def _likely_first(probs: Column) -> Column:
 
 def nucleus_filter(probs: Column, p: float) -> Column:
     """Keep tokens while the mass before them is at most p; the crossing one stays."""
-    start = F.struct(F.lit(0.0).alias("mass"), F.array().cast("array<struct<token:int,p:double>>").alias("kept"))
+    start = F.struct(F.lit(0.0).alias("mass"), F.lit(0).alias("kept"))
 
     def step(s, x):
-        kept = F.concat(s["kept"], F.array(F.struct(x["token"].alias("token"), x["p"].alias("p"))))
-        return F.struct(
-            (s["mass"] + x["p"]).alias("mass"),
-            F.when(F.round(s["mass"], DIGITS) <= F.lit(p), kept).otherwise(s["kept"]).alias("kept"),
-        )
+        inside = F.round(s["mass"], DIGITS) <= F.lit(p)
+        return F.struct((s["mass"] + x["p"]).alias("mass"), (s["kept"] + inside.cast("int")).alias("kept"))
 
-    return _renormalise(F.aggregate(_likely_first(probs), start, step)["kept"])
+    def cut(xs):
+        # masses only grow, so the kept tokens are the first ones
+        return A.let(F.aggregate(xs, start, step)["kept"], lambda n: F.slice(xs, 1, n))
+
+    plain = lambda x: F.struct(x["token"].alias("token"), x["p"].alias("p"))
+    return _renormalise(F.transform(A.let(_likely_first(probs), cut), plain))
 
 
 def top_k_filter(probs: Column, k: int) -> Column:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonewell.functions import arrays as A
-from tonewell.operators.scans import row_positions, running, span_bucket
+from tonewell.operators.scans import row_positions, running, sorted_positions, span_bucket
 
 NO_CHORD = "N"
 UNKNOWN = "UNK"
@@ -20,10 +20,10 @@ def build_vocab(chords: DataFrame, order: Sequence[str] = ("pos",)) -> DataFrame
     If the data holds the unknown symbol, it keeps its place in the count, and its one
     entry takes the last index all the same.
     """
-    first = chords.groupBy("chord").agg(F.min(F.struct("track", *order)).alias("first"))
-    # One row per distinct symbol: the vocabulary, not the events.
-    order = Window.orderBy(F.col("first"))
-    placed = first.select("chord", (F.row_number().over(order) - 1).cast("int").alias("idx"))
+    names = [f"__{i}" for i in range(1 + len(order))]
+    places = F.struct(*[F.col(c).alias(n) for c, n in zip(("track", *order), names, strict=True)])
+    first = chords.groupBy("chord").agg(F.min(places).alias("first")).select("chord", "first.*")
+    placed = sorted_positions(first, [], names, "idx", "vocabulary").select("chord", F.col("idx").cast("int").alias("idx"))
     last = placed.agg(F.count(F.lit(1)).cast("int").alias("idx")).select(F.lit(UNKNOWN).alias("chord"), "idx")
     return placed.filter(~F.col("chord").eqNullSafe(UNKNOWN)).unionByName(last)
 
@@ -43,14 +43,19 @@ def apply_vocab(df: DataFrame, vocab: DataFrame, column: str = "chord", strict:
     return joined.withColumn("idx", F.coalesce("idx", fallback))
 
 
-def group_chords(chords: DataFrame, block_seconds: float = 600.0) -> DataFrame:
-    """Ordered (time, chord) lists per track, one row per block of time.
+def group_chords(chords: DataFrame, block_seconds: float = 600.0, block_rows: int = 100_000) -> DataFrame:
+    """Ordered (time, chord) lists per track, one row per block of time and ``part`` of it.
 
-    A block bounds the list, so a very long track never ends up in one row.
+    A part has at most ``block_rows`` events, so neither a very long track nor a very
+    dense one ever ends up in one row.
     """
     blocked = chords.withColumn("block", span_bucket(F.col("time"), block_seconds))
+    # a block is cut in slices of time to number its events, so that no task holds it all
+    slice_of = span_bucket(F.col("time"), block_seconds / 64)
+    ranked = row_positions(blocked, ["track", "block"], slice_of, [F.col("time"), F.col("pos")], "__place")
+    parts = ranked.withColumn("part", F.floor(F.col("__place") / block_rows))
     events = F.array_sort(F.collect_list(F.struct("time", "pos", "chord")))
-    return blocked.groupBy("track", "block").agg(
+    return parts.groupBy("track", "block", "part").agg(
         F.transform(events, lambda e: F.struct(e["time"].alias("time"), e["chord"].alias("chord"))).alias("events")
     )
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tonewell.functions import arrays as A
 from tonewell.operators import captions, signal
+from tonewell.operators import metric_states as M
 from tonewell.plans.catalog_corpus import MANIFEST_SQL, MD5_100, manifest
 from tonewell.plans.catalog_joins import seconds
 from tonewell.plans.catalog_metrics import HISTORY_SQL, V_SQL, run_history, vectors
@@ -284,6 +285,62 @@ def running_metrics_stream(spark, sf):
     return out.select("metric", F.round("mean", 6).alias("mean"), "weight")
 
 
+METRIC_SQL = """WITH e AS (SELECT event_type AS kind, value, user_id, value / 500 AS p, (1 + user_id % 7) / 10.0 AS t FROM events),
+k AS (SELECT *, t * (ln(t) - ln(p + 1e-6)) + (1 - t) * (ln(1 - t) - ln(1 - p + 1e-6)) AS pq,
+  CASE WHEN p > 0 THEN p * (ln(p) - ln(t + 1e-6)) ELSE 0 END + CASE WHEN p < 1 THEN (1 - p) * (ln(1 - p) - ln(1 - t + 1e-6)) ELSE 0 END AS qp FROM e)
+SELECT kind, round(avg(pq), 6) AS kld, round(avg(qp), 6) AS kld_qp, round(avg(value), 6) AS value_mean, round(stddev_pop(value), 4) AS value_std,
+  min(value) AS span_low, max(value) AS span_high, round(avg(CASE WHEN value > 250 THEN 1.0 ELSE 0.0 END), 6) AS loud,
+  round(sum(value * (user_id % 3)) / sum(user_id % 3), 6) AS weighted FROM k GROUP BY kind"""
+METRIC_COLUMNS = ("kld", "kld_qp", "value_mean", "value_std", "span_low", "span_high", "loud", "weighted")
+
+
+def event_metrics():
+    """Six unlike metrics of events, as settings would name them."""
+    p, t = F.col("value") / 500, (1 + F.col("user_id") % 7) / 10
+    return [
+        M.metric("divergence", "kld", F.array(p, 1 - p), F.array(t, 1 - t)),
+        M.metric("deviation", "value", "value"),
+        M.metric("extent", "span", "value"),
+        M.metric("share", "loud", F.col("value") > 250),
+        M.metric("mean", "weighted", F.col("value"), F.col("user_id") % 3),
+        M.metric("distinct", "users", "user_id"),
+    ]
+
+
+def finished_metrics(states, metrics):
+    rounded = {c: F.round(c, 4 if c == "value_std" else 6) for c in METRIC_COLUMNS if not c.startswith("span")}
+    return M.compute(states, metrics, ["kind"]).withColumns(rounded).select("kind", *METRIC_COLUMNS)
+
+
+@query("metric_states", METRIC_SQL)
+def metric_states(spark, sf):
+    """States of three parts of the table, kept and merged."""
+    metrics, folder = event_metrics(), scratch_path(configure(spark), "states")
+    events = table(spark, sf, "events").withColumn("kind", F.col("event_type"))
+    parts = M.update(events.withColumn("part", F.col("event_id") % 3), metrics, ["kind", "part"])
+    parts.write.parquet(folder)
+    return finished_metrics(M.merge(spark.read.parquet(folder), metrics, ["kind"]), metrics)
+
+
+@query("metric_states_stream", METRIC_SQL)
+def metric_states_stream(spark, sf):
+    """The same states as a stream's aggregate, newest state of each kind."""
+    from tonewell.streaming import jobs
+
+    configure(spark)
+    metrics = event_metrics()
+    events = table(spark, sf, "events").select(F.col("event_type").alias("kind"), "value", "user_id", (F.col("event_id") % 3).alias("slice"))
+    folder = appended_files(spark, events, "events", "slice", 3)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 4).parquet(folder)
+    target = scratch_path(spark, "states")
+
+    def write(changed, batch_id):
+        changed.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+
+    jobs.run_available(M.update(stream, metrics, ["kind"]), write, scratch_path(spark, "check"), "update", state_partitions(spark))
+    return finished_metrics(jobs.latest_by_batch(spark, target, "kind"), metrics)
+
+
 @query(
     "ema_stream",
     f"""WITH r AS (SELECT event_type AS metric, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, value) - 1 AS i,

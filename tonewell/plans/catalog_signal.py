@@ -216,7 +216,17 @@ def effect_variants(spark, sf):
     return rows.select("effect", "clip_id", (F.col("start_frame") + F.col("i")).alias("t"), F.round("x", 9).alias("x"))
 
 
-@query("reference_ids")
+# The bits of a 32-bit float from its sign, exponent and fraction, lowest byte first.
+@query(
+    "reference_ids",
+    f"""WITH {V_SQL}, p AS (SELECT vec_id, i, e, abs(e) AS a, CAST(floor(log2(nullif(abs(e), 0))) AS BIGINT) AS x FROM cells),
+q AS (SELECT vec_id, i, e, a, x + CASE WHEN a / pow(2, x) >= 2 THEN 1 WHEN a / pow(2, x) < 1 THEN -1 ELSE 0 END AS x FROM p),
+b AS (SELECT vec_id, i, CASE WHEN a = 0 THEN 0 ELSE (CASE WHEN e < 0 THEN 2147483648 ELSE 0 END) + (x + 127) * 8388608
+  + CAST(round((a / pow(2, x) - 1) * 8388608) AS BIGINT) END AS n FROM q),
+h AS (SELECT vec_id, sha1(unhex(string_agg(printf('%02x%02x%02x%02x', n % 256, (n // 256) % 256, (n // 65536) % 256, n // 16777216), '' ORDER BY i))) AS own
+  FROM b GROUP BY vec_id)
+SELECT vec_id AS clip_id, own, 's' || CAST(vec_id AS VARCHAR) AS reused FROM h""",
+)
 def reference_ids(spark, sf):
     """Ids of prompts by their own samples, and reused from the sample."""
     from tonewell.functions import text as X
