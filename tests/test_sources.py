@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tonewell.operators import joins, signal
 from tonewell.plans.convert import convert_corpus, converted_files
 from tonewell.sources import caches, manifests, sidecars, wav
+from tonewell.sources.resources import embed_with
 
 
 def write(path, text):
@@ -230,6 +231,39 @@ def test_cache_computes_only_misses(spark, tmp_path):
     assert asked == [["a", "bb"], ["ccc"]] and got == {"bb": [2.0], "ccc": [3.0]}
 
 
+def test_resources_are_opened_once_per_worker(spark, tmp_path):
+    """Several tasks and calls, one opening per worker process; bad keys are rows, also alone in a batch."""
+    log = str(tmp_path / "opened")
+
+    class Costly:
+        def __init__(self):
+            with open(log, "a") as f:
+                f.write(f"{os.getpid()}\n")
+
+        def vectors(self, keys):
+            if "bad" in keys:
+                raise KeyError("bad")
+            return [[float(len(k)), float(os.getpid())] for k in keys]
+
+    compute = embed_with(Costly, lambda r, keys: r.vectors(keys), batch_rows=4)
+    keys = spark.createDataFrame([(f"k{'x' * (i % 5)}{i}",) for i in range(60)] + [("bad",)], "path string").repartition(6)
+    path, failed = str(tmp_path / "cache"), str(tmp_path / "failed")
+    for _ in range(2):
+        got = {r["path"]: r["embedding"] for r in caches.embedding_cache(keys, compute, path, failures=failed).collect()}
+        assert len(got) == 60 and all(v[0] == len(k) for k, v in got.items())
+    with open(log) as f:
+        opened = f.read().split()
+    assert len(opened) == len(set(opened)) and {str(int(v[1])) for v in got.values()} <= set(opened)
+    # the bad key is not kept, so both calls tried it
+    assert [(r["source_file"], r["error"]) for r in spark.read.json(failed).collect()] == [("bad", "KeyError: 'bad'")] * 2
+
+
+def test_short_answers_are_failures(spark):
+    compute = embed_with(dict, lambda r, keys: [[1.0]] if len(keys) == 1 and keys[0] != "b" else [], batch_rows=3)
+    rows = compute(spark.createDataFrame([("a",), ("b",), ("c",)], "path string").coalesce(1)).collect()
+    assert [(r["path"], r["embedding"], r["error"] is None) for r in rows] == [("a", [1.0], True), ("b", None, False), ("c", [1.0], True)]
+
+
 def test_batches(spark, tmp_path):
     path = str(tmp_path / "batches")
     rows = spark.range(30).select(F.col("id").alias("pos"), (F.col("id") * 2).alias("v"))

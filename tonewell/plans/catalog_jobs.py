@@ -18,6 +18,7 @@ from tonewell.plans.catalog_vectors import K, START_SQL, assign_sql, start_codes
 from tonewell.plans.registry import joined, query, sql_joined, table
 from tonewell.session import configure, scratch_path
 from tonewell.sources import caches, manifests, sidecars, wav
+from tonewell.sources.resources import embed_with
 
 
 @query(
@@ -164,6 +165,41 @@ def embedding_cache(spark, sf):
     )
 
 
+class Digits:
+    """What a worker opens: it counts how often that happened in its process."""
+
+    def __init__(self):
+        import os
+        import sys
+
+        counts = sys.modules["tonewell_worker_resources"].__dict__.setdefault("counts", {})
+        counts["digits"] = counts.get("digits", 0) + 1
+        self.opened, self.worker = counts["digits"], os.getpid()
+
+    def vectors(self, keys):
+        import hashlib
+
+        if any(k % 10 == 3 for k in keys):
+            raise ValueError("no vector for these keys")
+        return [[*map(float, hashlib.md5(str(k).encode()).hexdigest()[:3].encode()), float(self.opened)] for k in keys]
+
+
+@query(
+    "worker_embeddings",
+    f"""SELECT doc_id, {sql_joined("list_transform(range(3), lambda i: CAST(ascii(substr(md5(CAST(doc_id AS VARCHAR)), i + 1, 1)) AS DOUBLE))")} || ',1.0' AS embedding, FALSE AS failed
+FROM documents WHERE doc_id % 10 <> 3 UNION ALL SELECT doc_id, NULL, TRUE FROM documents WHERE doc_id % 10 = 3""",
+)
+def worker_embeddings(spark, sf):
+    """Vectors by a resource that every worker opens once; keys that fail are rows of their own."""
+    folder, failed = scratch_path(configure(spark), "vectors"), scratch_path(spark, "failures")
+    keys = table(spark, sf, "documents").select("doc_id")
+    compute = embed_with(Digits, lambda digits, ids: digits.vectors(ids), "doc_id", 16)
+    good = caches.embedding_cache(keys, compute, folder, "doc_id", digits=1, failures=failed)
+    bad = spark.read.schema("source_file string, error string").json(failed)
+    rows = good.select("doc_id", joined("embedding").alias("embedding"), F.lit(False).alias("failed"))
+    return rows.union(bad.select(F.col("source_file").cast("bigint"), F.lit(None).cast("string"), F.lit(True)))
+
+
 @query(
     "epoch_batches",
     """SELECT pos // 16 AS "update", CAST(pos % 16 AS INTEGER) AS item, conv_id, turn FROM (

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tonewell.operators.joins import cache_misses
 from tonewell.session import written
-from tonewell.sources.manifests import path_exists
+from tonewell.sources.manifests import path_exists, write_failures
 
 
 def embedding_cache(
@@ -19,12 +19,16 @@ def embedding_cache(
     key: str = "path",
     extract: Callable[[DataFrame], DataFrame] | None = None,
     digits: int = 2,
+    failures: str | None = None,
 ) -> DataFrame:
     """Embedding per key, read from the cache or computed, stored and read back.
 
     The cache is a Parquet table (key, sig, embedding) partitioned by the first
     ``digits`` hex digits of sha1(key), an even split whatever the keys are. ``compute`` maps the missing keys to
-    (key, embedding); ``extract`` cuts the wanted part out of the full embeddings.
+    (key, embedding); ``extract`` cuts the wanted part out of the full embeddings. Where
+    ``compute`` also gives ``error`` (``resources.embed_with`` does), the keys that failed are
+    left out of the cache, so that the next call tries them again, and out of the result;
+    they are appended to the JSON table ``failures``.
     """
     spark = keys.sparkSession
     # The folder names are text; as a value "07" must not become 7.
@@ -37,7 +41,13 @@ def embedding_cache(
     else:
         missing = wanted
     missing = written(missing, "missing")  # read to compute and to join
-    fresh = missing.join(compute(missing.select(key)), key)
+    computed = compute(missing.select(key))
+    if "error" in computed.columns:
+        computed = written(computed, "computed")
+        if failures is not None:
+            write_failures(computed.select(F.col(key).cast("string").alias("source_file"), "error"), failures)
+        computed = computed.filter(F.col("error").isNull()).drop("error")
+    fresh = missing.join(computed, key)
     # As many tasks as there are shuffle partitions, each with the files of few folders.
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     salt = F.pmod(F.xxhash64("sig"), F.lit(max(1, parts // 16**digits)))
