@@ -159,8 +159,9 @@ def embedding_cache(spark, sf):
         return rows.withColumn("embedding", F.slice("embedding", 1, 3))
 
     docs = table(spark, sf, "documents").select("doc_id", "lang")
-    caches.embedding_cache(docs.filter(F.col("lang") == "en").select("doc_id"), compute, folder, "doc_id", digits=1)
-    return caches.embedding_cache(docs.select("doc_id"), compute, folder, "doc_id", extract, digits=1).select(
+    caches.embedding_cache(docs.filter(F.col("lang") == "en").select("doc_id"), compute, folder, "doc_id", file_rows=200)
+    caches.compact_cache(spark, folder, file_rows=300)
+    return caches.embedding_cache(docs.select("doc_id"), compute, folder, "doc_id", extract, file_rows=200).select(
         "doc_id", joined("embedding").alias("embedding")
     )
 
@@ -194,7 +195,7 @@ def worker_embeddings(spark, sf):
     folder, failed = scratch_path(configure(spark), "vectors"), scratch_path(spark, "failures")
     keys = table(spark, sf, "documents").select("doc_id")
     compute = embed_with(Digits, lambda digits, ids: digits.vectors(ids), "doc_id", 16)
-    good = caches.embedding_cache(keys, compute, folder, "doc_id", digits=1, failures=failed)
+    good = caches.embedding_cache(keys, compute, folder, "doc_id", failures=failed)
     bad = spark.read.schema("source_file string, error string").json(failed)
     rows = good.select("doc_id", joined("embedding").alias("embedding"), F.lit(False).alias("failed"))
     return rows.union(bad.select(F.col("source_file").cast("bigint"), F.lit(None).cast("string"), F.lit(True)))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tonewell.operators.joins import cache_misses
 from tonewell.session import written
-from tonewell.sources.manifests import path_exists, write_failures
+from tonewell.sources.cache_index import SignedFiles
+from tonewell.sources.manifests import write_failures
 
 
 def embedding_cache(
@@ -18,28 +19,25 @@ def embedding_cache(
     path: str,
     key: str = "path",
     extract: Callable[[DataFrame], DataFrame] | None = None,
-    digits: int = 2,
+    file_rows: int = 1_000_000,
     failures: str | None = None,
 ) -> DataFrame:
     """Embedding per key, read from the cache or computed, stored and read back.
 
-    The cache is a Parquet table (key, sig, embedding) partitioned by the first
-    ``digits`` hex digits of sha1(key), an even split whatever the keys are. ``compute`` maps the missing keys to
+    The cache is a ``SignedFiles`` table (key, sig, embedding) by sha1(key): a call opens
+    only the files that its index names for the asked keys; ``compact_cache`` joins the
+    files of many calls. ``compute`` maps the missing keys to
     (key, embedding); ``extract`` cuts the wanted part out of the full embeddings. Where
     ``compute`` also gives ``error`` (``resources.embed_with`` does), the keys that failed are
     left out of the cache, so that the next call tries them again, and out of the result;
     they are appended to the JSON table ``failures``.
     """
     spark = keys.sparkSession
-    # The folder names are text; as a value "07" must not become 7.
-    prefix = F.concat(F.lit("p"), F.substring("sig", 1, digits))
-    signed = keys.withColumn("sig", F.sha1(F.col(key).cast("string"))).withColumn("prefix", prefix)
-    wanted = signed.select(key, "sig", "prefix").dropDuplicates([key])
-    if path_exists(spark, path):
-        # The prefix is a join key, so that only the folders of the wanted keys are read.
-        missing = cache_misses(wanted, spark.read.parquet(path), ["prefix", "sig"])
-    else:
-        missing = wanted
+    signed = keys.withColumn("sig", F.sha1(F.col(key).cast("string")))
+    wanted = written(signed.select(key, "sig").dropDuplicates(["sig"]), "wanted")
+    cache = SignedFiles(spark, path, file_rows)
+    files = cache.files_with(wanted)
+    missing = cache_misses(wanted, cache.read(files), ["sig"]) if files else wanted
     missing = written(missing, "missing")  # read to compute and to join
     computed = compute(missing.select(key))
     if "error" in computed.columns:
@@ -47,15 +45,20 @@ def embedding_cache(
         if failures is not None:
             write_failures(computed.select(F.col(key).cast("string").alias("source_file"), "error"), failures)
         computed = computed.filter(F.col("error").isNull()).drop("error")
-    fresh = missing.join(computed, key)
-    # As many tasks as there are shuffle partitions, each with the files of few folders.
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    salt = F.pmod(F.xxhash64("sig"), F.lit(max(1, parts // 16**digits)))
-    fresh.repartition(parts, "prefix", salt).write.mode("append").partitionBy("prefix").parquet(path)
-    found = signed.join(spark.read.parquet(path).drop(key), ["prefix", "sig"]).drop("sig", "prefix")
+    fresh = written(missing.join(computed, key), "fresh")
+    if not fresh.isEmpty():
+        cache.append(fresh)
+    kept = fresh.unionByName(cache.read(files).select(*fresh.columns)) if files else fresh
+    # the cache may hold an entry twice, where two calls ran side by side
+    found = signed.join(kept.drop(key).join(wanted.select("sig"), "sig", "left_semi").dropDuplicates(["sig"]), "sig").drop("sig")
     return extract(found) if extract else found
 
 
+def compact_cache(spark: SparkSession, path: str, file_rows: int = 1_000_000) -> None:
+    """Join the files of all calls so far into sorted ones; the next call reads those."""
+    SignedFiles(spark, path, file_rows).compact()
+
+
 def split_hits(keys: DataFrame, cache: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
     """(cached rows, missing keys)."""
     return keys.join(cache, on), cache_misses(keys, cache, on)
