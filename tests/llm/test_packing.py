@@ -84,3 +84,38 @@ def test_crossover_keeps_items():
     for _ in range(20):
         child = packing.mutate(packing.cross(a, b, sizes, 100, rng), sizes, 100, rng)
         assert (child >= 0).all() and np.bincount(child, sizes).max() <= 100
+
+
+def test_the_order_of_the_files_stays(spark, tmp_path):
+    """Sequences by their turn: up to any of them, each source has about what the files held up to there."""
+    rows = [(i, " ".join(tables.words(i, 10 + i * 7 % 40)), "ab"[i % 3 == 0] if i < 1500 else "c") for i in range(2400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs.repartitionByRange(6, "doc_id").sortWithinPartitions("doc_id").write.parquet(str(tmp_path / "d"))
+    out = packing.pack(spark.read.parquet(str(tmp_path / "d")), capacity=256, pool_rows=100, in_order=True).collect()
+    n, tokens = check(out, [(i, t) for i, t, _ in rows], 256)
+    assert n <= 1.03 * tokens / 256 + 2
+    turns = {r["sequence_id"]: r["sequence_turn"] for r in out}
+    assert len(turns) == len({(r["sequence_id"], r["sequence_turn"]) for r in out})
+    size = {i: 0 for i, _, _ in rows}
+    for r in out:
+        size[r["doc_id"]] += r["length"]
+    source = {i: s for i, _, s in rows}
+    stream = sorted(out, key=lambda r: (r["sequence_turn"], r["sequence_id"], r["offset"]))
+    have, at, place = defaultdict(int), 0, iter(sorted(size))
+    want = defaultdict(int)
+    worst = 0
+    for r in stream:
+        have[source[r["doc_id"]]] += r["length"]
+        at += r["length"]
+        while sum(want.values()) < at:
+            i = next(place)
+            want[source[i]] += size[i]
+        worst = max(worst, *(abs(have[s] - want[s]) for s in "abc"))
+    # a pool is about 100 documents of some 70 tokens
+    assert worst <= 1.5 * 100 * tokens / len(rows)
+
+
+def test_rows_without_files_are_packed_all_the_same(spark):
+    out = packing.pack(tables.docs(spark), capacity=64, pool_rows=8, in_order=True)
+    assert "sequence_turn" not in out.columns
+    check(out.collect(), [r[:2] for r in tables.rows()], 64)

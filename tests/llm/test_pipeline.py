@@ -1,4 +1,7 @@
+from pyspark.sql import functions as F
+
 from tests.llm import tables, test_minhash, test_packing, test_suffix
+from tonewell.llm import pfair
 from tonewell.llm.common import documents, text_session
 
 import corpus_pipeline
@@ -37,6 +40,13 @@ def test_stages_one_by_one(spark, data, tmp_path):
 
     before, after = kept["best_fit_packing"]
     test_packing.check(after.collect(), [(r["doc_id"], r["text"]) for r in before.collect()], 1024)
+    # the stream of sequences follows the mix: whose files are in its order
+    files = before.select("doc_id", F.col("_metadata.file_name").alias("f"), F.col("_metadata.row_index").alias("i"))
+    order = [r["doc_id"] for r in files.orderBy("f", "i").collect()]
+    slots = {r["doc_id"]: r["slot"] for r in pfair.mix(spark, before).collect()}
+    assert [slots[i] for i in order] == sorted(slots.values())
+    turns = {(r["doc_id"], r["piece"]): r["sequence_turn"] for r in after.collect()}
+    assert turns[order[0], 0] == 0 and len(set(turns.values())) > 1
 
 
 def test_run(spark, data):

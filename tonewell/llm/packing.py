@@ -9,10 +9,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonewell.llm.common import Tokenizers, id_text, written
+from tonewell.operators.scans import sorted_positions
 
 #: Closing id of a document.
 END_ID = 2
@@ -21,29 +23,41 @@ PLACED = "doc_id string, piece int, start long, length long, ids_crc32 long, sal
 ELITE = "pool long, island int, place int, bins int, fitness double, genes binary"
 
 
-def token_pieces(docs: DataFrame, capacity: int = 1024) -> DataFrame:
+def has_places(docs: DataFrame) -> bool:
+    """Whether the rows come straight from files, so that each has a place in them."""
+    try:
+        docs.select("_metadata.file_name", "_metadata.row_index")
+        return True
+    except AnalysisException:
+        return False
+
+
+def token_pieces(docs: DataFrame, capacity: int = 1024, ordered: bool = False) -> DataFrame:
     """Pieces of every document: one, or for longer ones a first rest and full pieces.
 
-    ``salt`` is drawn from the row's place in its partition, so repeated rows spread.
+    ``salt`` is drawn from the row's place in its partition, so repeated rows spread. With
+    ``ordered`` each piece has its document's ``file`` and ``row`` as well.
     """
+    places = ["file", "row"] if ordered else []
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tok = Tokenizers()
         seen, part = 0, TaskContext.get().partitionId()
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for doc_id, text, *place in zip(*(batch[c] for c in ("doc_id", "text", *places)), strict=True):
                 ids = np.array([*tok.byte_bpe(text), END_ID], "<u4")
                 rest = len(ids) % capacity if len(ids) > capacity else len(ids)
                 edges = ([0] if rest else []) + list(range(rest, len(ids) + 1, capacity))
                 for piece, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
                     salt = zlib.crc32(f"{part} {seen}".encode())
-                    rows.append((doc_id, piece, a, b - a, zlib.crc32(ids[a:b].tobytes()), salt))
+                    rows.append((doc_id, piece, a, b - a, zlib.crc32(ids[a:b].tobytes()), salt, *place))
                     seen += 1
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "salt"])
+            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "salt", *places])
 
-    text = docs.select(id_text(), F.coalesce("text", F.lit("")).alias("text"))
-    return text.mapInPandas(pieces, PIECE)
+    found = [F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row")] if ordered else []
+    text = docs.select(id_text(), F.coalesce("text", F.lit("")).alias("text"), *found)
+    return text.mapInPandas(pieces, PIECE + (", file string, row long" if ordered else ""))
 
 
 class Bins:
@@ -175,10 +189,17 @@ def _in_order(items: pd.DataFrame) -> pd.DataFrame:
 def pack_level(
     items: DataFrame, capacity: int, pool_rows: int, islands: int, epochs: int, seed: int, label: str
 ) -> DataFrame:
-    """Place every item in a bin of its pool: islands evolve, elites move on after each epoch."""
-    n = items.count()
-    pools = max(1, math.ceil(n / pool_rows))
-    items = items.withColumn("pool", F.pmod(F.col("salt"), F.lit(pools)).cast("long"))
+    """Place every item in a bin of its pool: islands evolve, elites move on after each epoch.
+
+    Items with a ``turn`` keep together with their neighbours, others are dealt by their salt.
+    """
+    ordered = "turn" in items.columns
+    if ordered:
+        items = sorted_positions(items, [], ["turn"], "pool", f"{label}-pools")
+        items = items.withColumn("pool", F.floor(F.col("pool") / pool_rows))
+    else:
+        pools = max(1, math.ceil(items.count() / pool_rows))
+        items = items.withColumn("pool", F.pmod(F.col("salt"), F.lit(pools)).cast("long"))
     homes = items.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))))
 
     def run(epoch: int):
@@ -211,7 +232,7 @@ def pack_level(
 
     def place(key, group: pd.DataFrame, chosen: pd.DataFrame) -> pd.DataFrame:
         if not len(group):
-            return pd.DataFrame(columns=[c.split()[0] for c in PLACED.split(", ")])
+            return pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
         group = _in_order(group)
         genes = np.frombuffer(chosen["genes"].iloc[0], np.int32)
         sizes = group["length"].to_numpy(np.int64)
@@ -222,9 +243,12 @@ def pack_level(
         offset = np.empty(len(sizes), np.int64)
         offset[order] = ends - sizes[order] - before
         fill = np.bincount(genes, sizes).astype(np.int64)[genes]
-        return group.drop(columns="pool").assign(bin=genes, offset=offset, fill=fill)
+        group = group.drop(columns="pool").assign(bin=genes, offset=offset, fill=fill)
+        if ordered:
+            group["first_turn"] = group.groupby("bin")["turn"].transform("min")
+        return group
 
-    schema = f"{PLACED}, pool long"
+    schema = f"{PLACED}{', turn long, first_turn long' if ordered else ''}, pool long"
     fn = lambda key, g, c: place(key, g, c).assign(pool=key[0])
     return items.groupBy("pool").cogroup(best.groupBy("pool")).applyInPandas(fn, schema)
 
@@ -237,6 +261,7 @@ def pack(
     epochs: int = 2,
     well_filled: float = 0.985,
     seed: int = 7,
+    in_order: bool = False,
 ) -> DataFrame:
     """Pack every document of ``docs`` (doc_id, text) into sequences of at most ``capacity`` tokens.
 
@@ -246,24 +271,36 @@ def pack(
     moves to the next one. Pieces in bins that are not ``well_filled`` form new pools
     once more, so that a pool leaves no rest of its own.
 
-    Null text counts as empty (one closing id). Repeated rows and ids are packed once
+    With ``in_order`` the order of ``docs`` in their files is that of the stream to come
+    (rows without a place in files are dealt as above): a pool is some ``pool_rows``
+    pieces in a row, and ``sequence_turn``, the place of a sequence's first piece, orders the
+    sequences, so that up to the end of any pool the stream holds what the files held up to
+    there, but for the pieces of bins that are packed once more.
+
+    Null text counts as empty (one closing id). Whole texts are packed, however long. Repeated rows and ids are packed once
     per row. An empty table gives no row. Other columns are ignored.
     """
-    pieces = written(token_pieces(docs, capacity), "pieces")
+    in_order = in_order and has_places(docs)
+    pieces = written(token_pieces(docs, capacity, in_order), "pieces")
+    if in_order:
+        pieces = sorted_positions(pieces, [], ["file", "row", "piece"], "turn", "turns").drop("file", "row")
+        pieces = written(pieces, "ordered")
     short = pieces.filter(F.col("length") < capacity)
     first = written(pack_level(short, capacity, pool_rows, islands, epochs, seed, "pack"), "packed")
     done = F.col("fill") >= well_filled * capacity
-    rest = pack_level(
-        first.filter(~done).drop("bin", "offset", "fill", "pool"), capacity, pool_rows, islands, epochs, seed + 1, "rest"
-    )
+    placed = [c for c in ("bin", "offset", "fill", "pool", "first_turn") if c in first.columns]
+    rest = pack_level(first.filter(~done).drop(*placed), capacity, pool_rows, islands, epochs, seed + 1, "rest")
     ident = (F.col("doc_id").cast("long").alias("doc_id"), "piece", "start", "length", "ids_crc32")
     step = F.lit(2 * pool_rows * 64).cast("long")
 
+    def turn(name: str) -> list[Column]:
+        return [F.col(name).alias("sequence_turn")] if in_order else []
+
     def numbered(df: DataFrame, level: int) -> DataFrame:
         sequence = ((F.col("pool") * step + F.col("bin")) * 2 + level).alias("sequence_id")
-        return df.select(*ident, sequence, "offset")
+        return df.select(*ident, sequence, "offset", *turn("first_turn"))
 
     full = pieces.filter(F.col("length") >= capacity).select(
-        *ident, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
+        *ident, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), *turn("turn")
     )
     return full.union(numbered(first.filter(done), 0)).union(numbered(rest, 1))
