@@ -31,8 +31,11 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole documents, cut only where longer than a sequence, in as few sequences as can be."""
-    return packing.pack(docs, capacity=1024)
+    """Whole documents, cut only where longer than a sequence, in as few sequences as can be.
+
+    ``sequence_turn`` orders the sequences as the mix before ordered the documents' files.
+    """
+    return packing.pack(docs, capacity=1024, in_order=True)
 
 
 def _with_settings(stage):
