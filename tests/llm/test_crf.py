@@ -28,6 +28,27 @@ def test_forward_backward_against_enumeration():
     assert np.allclose(marginal, want) and np.allclose(pairs, want_pairs)
 
 
+def test_cut_chains_are_whole(monkeypatch):
+    """Marginals of texts cut in stretches equal those of uncut chains."""
+    rng = np.random.default_rng(1)
+    field = crf.Field(["a", "b", "c"], np.float32(rng.normal(size=(crf.BUCKETS, 3)) * 0.3), rng.normal(size=(3, 3)) * 2, rng.normal(size=3))
+    texts = [" ".join("".join(rng.choice(list("abcde"), 3)) for _ in range(n)) for n in (0, 1, 5, 7, 8, 9, 300, 64, 2000)]
+    whole = crf.label_batch(field, texts, length=5000)
+    for length in (1, 2, 7, 128):
+        cut = crf.label_batch(field, texts, length=length)
+        assert cut[0] == whole[0] and np.abs(cut[2] - whole[2]).max() < 1e-9, length
+
+
+def test_the_draw_does_not_depend_on_partitions(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    one, two = (crf.fit(x, per_label=20) for x in (docs.repartition(1), docs.repartition(7, "text")))
+    assert one.labels == two.labels and np.array_equal(one.weights, two.weights)
+    # one text in most rows doesn't crowd out the others of its language
+    often = docs.union(docs.limit(1).withColumn("doc_id", F.explode(F.array_repeat(F.lit(-1).cast("long"), 500))))
+    assert np.isfinite(crf.fit(often, per_label=20).weights).all()
+    assert len(crf.fit(docs, per_label=20, most_labels=2).labels) == 2
+
+
 def test_held_out_accuracy_and_folds(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4

@@ -41,6 +41,21 @@ def test_edges(spark, data):
     assert kept.columns == tables.docs(spark).columns and kept.count() == len(tables.rows())
 
 
+def test_statistics_of_all_rows_whatever_the_partitions(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    rows = pu_quality.measured(docs)
+    x = np.stack([r["x"] for r in rows.collect()])
+    mean, deviation = pu_quality.moments(rows)
+    assert np.allclose(mean, x.mean(0)) and np.allclose(deviation, x.std(0), atol=1e-6)
+    labels = spark.read.parquet(f"{data}/labels.parquet").filter("quality = 1")
+    one, two = (pu_quality.fit(d, labels.select("doc_id")) for d in (docs.repartition(1), docs.repartition(9, "text")))
+    assert np.allclose(one.mean, two.mean) and abs(one.prior - two.prior) < 1e-6
+    assert np.allclose(one.scores(x), two.scores(x), atol=1e-4)
+    cuts = np.quantile(one.logits(x), [0.1, 0.5, 0.9])
+    want = [(one.logits(x) >= c).mean() for c in cuts]
+    assert np.allclose(pu_quality.shares_above(rows, one, cuts), want)
+
+
 def test_prior_without_negatives():
     rng = np.random.default_rng(0)
     positive = rng.normal(0, 1, (4000, 5))

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonewell.llm.common import id_text, long_ids
@@ -71,13 +71,38 @@ class Field:
         return np.add.reduceat(self.weights[index], starts, axis=0).astype(np.float64)
 
 
-def forward_backward(e: np.ndarray, mask: np.ndarray, transitions: np.ndarray, first: np.ndarray, pairs: bool = False):
-    """Marginals of padded sequences ``e`` [sequence, place, label]; with ``pairs`` also expected label pairs."""
+def passages(e: np.ndarray, mask: np.ndarray, transitions: np.ndarray) -> np.ndarray:
+    """Per padded sequence the matrix that takes a forward message from the word before it to its last word."""
+    s, t, n = e.shape
+    local = np.exp(e - e.max(2, keepdims=True))
+    step = np.exp(transitions - transitions.max())
+    out = np.broadcast_to(np.eye(n), (s, n, n)).copy()
+    for i in range(t):
+        now = (out @ step) * local[:, i, None, :]
+        now /= now.sum((1, 2), keepdims=True)
+        out = np.where(mask[:, i, None, None], now, out)
+    return out
+
+
+def forward_backward(
+    e: np.ndarray, mask: np.ndarray, transitions: np.ndarray, first: np.ndarray, pairs: bool = False,
+    enter: np.ndarray | None = None, leave: np.ndarray | None = None,
+):
+    """Marginals of padded sequences ``e`` [sequence, place, label]; with ``pairs`` also expected label pairs.
+
+    Of sequences that go on from another one, ``enter`` holds the forward message at the
+    word before them (a row of zeros: none); ``leave`` is the backward message at the last word.
+    """
     s, t, n = e.shape
     local = np.exp(e - e.max(2, keepdims=True))
     step = np.exp(transitions - transitions.max())
     forward, backward = np.empty_like(local), np.ones_like(local)
-    now = local[:, 0] * np.exp(first - first.max())
+    now = np.broadcast_to(np.exp(first - first.max()), (s, n))
+    if enter is not None:
+        now = np.where(enter.any(1)[:, None], enter @ step, now)
+    end = np.ones((s, n)) if leave is None else leave
+    backward[:, t - 1] = end
+    now = local[:, 0] * now
     forward[:, 0] = now / now.sum(1, keepdims=True)
     for i in range(1, t):
         now = (forward[:, i - 1] @ step) * local[:, i]
@@ -86,7 +111,7 @@ def forward_backward(e: np.ndarray, mask: np.ndarray, transitions: np.ndarray, f
     for i in range(t - 2, -1, -1):
         now = (backward[:, i + 1] * local[:, i + 1]) @ step.T
         now /= now.sum(1, keepdims=True)
-        backward[:, i] = np.where(mask[:, i + 1, None], now, 1.0)
+        backward[:, i] = np.where(mask[:, i + 1, None], now, end)
     marginal = forward * backward
     marginal /= marginal.sum(2, keepdims=True)
     marginal *= mask[:, :, None]
@@ -162,25 +187,68 @@ def training_sequences(rows: pd.DataFrame, labels: list[str], length: int, seed:
     return out
 
 
-def fit(docs: DataFrame, per_label: int = 400, length: int = 48, seed: int = 3) -> Field | None:
-    """Learn from ``docs`` (doc_id, text, lang): about ``per_label`` texts of each language, drawn by hash.
+def fit(docs: DataFrame, per_label: int = 400, length: int = 48, seed: int = 3, most_labels: int = 256) -> Field | None:
+    """Learn from ``docs`` (doc_id, text, lang): at most ``per_label`` texts of each language, drawn by hash.
 
-    A row per language and that many texts reach the driver. None without a labelled text.
+    The ``most_labels`` most frequent values of lang are learned. A row for each of them and
+    that many texts reach the driver, the same ones whatever the partitions. None without
+    a labelled text.
     """
     rows = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_labels).collect()
     if not counts:
         return None
-    labels = sorted(counts)
-    unit = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    part = docs.sparkSession.createDataFrame([(k, per_label / v) for k, v in counts.items()], "lang string, part double")
-    drawn = rows.join(F.broadcast(part), "lang").filter(unit < F.col("part")).drop("part")
-    got = drawn.limit(2 * per_label * len(labels)).toPandas().sort_values(["doc_id", "text"], kind="stable")
+    labels = sorted(r["lang"] for r in counts)
+    hashed = F.xxhash64("doc_id", "text", F.lit(seed))
+    unit = F.pmod(hashed, F.lit(1 << 30)) / float(1 << 30)
+    # about twice the texts wanted; of those a language keeps the ones with the smallest hash
+    part = docs.sparkSession.createDataFrame([(r["lang"], 2 * per_label / r["n"]) for r in counts], "lang string, part double")
+    drawn = rows.join(F.broadcast(part), "lang").filter(unit < F.col("part")).drop("part").withColumn("draw", hashed)
+    # equal rows have one hash, so a text that is repeated very often comes once
+    once = drawn.dropDuplicates(["lang", "draw"])
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
+    got = once.withColumn("place", place).filter(F.col("place") <= per_label).drop("place", "draw")
+    got = got.toPandas().sort_values(["doc_id", "text"], kind="stable")
     if not len(got):
-        got = rows.limit(per_label).toPandas()
+        first = rows.orderBy(hashed, "lang").limit(per_label)
+        got = first.toPandas()
     return train(training_sequences(got, labels, length, seed), labels, seed=seed)
 
 
+def messages(field: Field, per_doc: np.ndarray, stretches) -> tuple[np.ndarray, np.ndarray]:
+    """The forward message that enters each stretch of a text and the backward one at its last word.
+
+    Stretches are passed as matrices, all of them at once; from stretch to stretch the
+    texts then move together. So a chain is as if it had not been cut.
+    """
+    n, total = len(field.labels), int(per_doc.sum())
+    enter, leave = np.zeros((total, n)), np.ones((total, n))
+    if per_doc.max(initial=0) < 2:
+        return enter, leave
+    through = np.empty((total, n, n))
+    begin = np.zeros((total, n))
+    init = np.exp(field.first - field.first.max())
+    for rows, _, _, e, mask in stretches:
+        through[rows] = passages(e[:, 1:], mask[:, 1:], field.transitions)
+        first = np.exp(e[:, 0] - e[:, 0].max(1, keepdims=True))
+        begin[rows] = first
+    step = np.exp(field.transitions - field.transitions.max())
+    first_row = np.cumsum(per_doc) - per_doc
+    # a stretch as a whole: into its first word, then through the others
+    into = lambda message, at: np.einsum("ij,ijk->ik", message * begin[at], through[at])
+    for k in range(1, int(per_doc.max())):
+        at = first_row[per_doc > k] + k
+        before = enter[at - 1] @ step if k > 1 else np.broadcast_to(init, (len(at), n))
+        now = into(before, at - 1)
+        enter[at] = now / now.sum(1, keepdims=True)
+    for k in range(int(per_doc.max()) - 1, 0, -1):
+        at = first_row[per_doc > k] + k
+        back = np.einsum("ijk,ik->ij", through[at], leave[at]) * begin[at]
+        now = back @ step.T
+        leave[at - 1] = now / now.sum(1, keepdims=True)
+    return enter, leave
+
+
 def label_batch(field: Field, texts: list[str], length: int = 128) -> tuple[list[list[str]], np.ndarray, np.ndarray]:
     """Words of the whole texts, the text each belongs to, and its label marginals."""
     lists = [LETTERS.findall(t.lower()) for t in texts]
@@ -197,14 +265,22 @@ def label_batch(field: Field, texts: list[str], length: int = 128) -> tuple[list
     per_doc = -(-sizes // length)
     row = np.repeat(np.cumsum(per_doc) - per_doc, sizes) + place // length
     col = place % length
+
+    def stretches():
+        """``(rows, words, padded scores, which are words)`` of some stretches at a time."""
+        for at in range(0, int(row[-1]) + 1, 2048):
+            part = slice(*np.searchsorted(row, [at, at + 2048]))
+            r, c = row[part] - at, col[part]
+            e = np.zeros((r.max() + 1, c.max() + 1, len(field.labels)))
+            mask = np.zeros(e.shape[:2], bool)
+            e[r, c], mask[r, c] = scores[codes[part]], True
+            yield slice(at, at + len(e)), part, (r, c), e, mask
+
+    enter, leave = messages(field, per_doc, stretches())
     marginal = np.empty((total, len(field.labels)))
-    for at in range(0, int(row[-1]) + 1, 2048):
-        part = slice(*np.searchsorted(row, [at, at + 2048]))
-        r, c = row[part] - at, col[part]
-        e = np.zeros((r.max() + 1, c.max() + 1, len(field.labels)))
-        mask = np.zeros(e.shape[:2], bool)
-        e[r, c], mask[r, c] = scores[codes[part]], True
-        marginal[part] = forward_backward(e, mask, field.transitions, field.first)[0][r, c]
+    for rows, part, at, e, mask in stretches():
+        found, _ = forward_backward(e, mask, field.transitions, field.first, False, enter[rows], leave[rows])
+        marginal[part] = found[at]
     return lists, doc, marginal * letters[codes][:, None]
 
 
@@ -254,7 +330,8 @@ def identify(docs: DataFrame, fold: int = 2, folds: int = 4) -> DataFrame:
     """Language of every whole text of ``docs`` (doc_id, text, lang); lang of the held-out fold is never read.
 
     The fold of a row is crc32(doc_id as text) mod ``folds``. The prediction is the label
-    with the largest sum of word marginals, the score its share. Null texts and texts
+    with the largest sum of word marginals, the score its share. Whole texts are labelled,
+    however long: they are cut in stretches, and messages pass over the cuts. Null texts and texts
     without a letter are ``und`` with score 0, as are all texts if nothing was labelled.
     A null doc_id is in no fold and not learned from. Repeated rows get a row each; an
     empty table gives no row; other columns are ignored.

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from tonewell.llm.common import WORD
+from tonewell.llm.common import WORD, written
 from tonewell.llm.fertility import repeated_words
 
 #: Classes of characters: lower, upper and other letters, digits, space, line end,
@@ -119,57 +119,119 @@ def _train(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, ep
     return tuple(w)
 
 
-def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, seed: int) -> float:
+#: Cuts at which the shares of positives and of unlabelled text are compared.
+CUTS = 50
+
+
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, seed: int, above=None) -> float:
     """Share of positives among the unlabelled, without any negative label.
 
     A classifier of positives against unlabelled text ranks what it wasn't fitted on.
     Above any cut lie a share of the unlabelled and a share of the positives, and the
     first holds at least prior times the second: the smallest ratio over the cuts that
     keep most positives bounds the prior, and is close where negatives rank low.
+
+    ``above(model, cuts)`` gives the shares of the unlabelled; then all of ``unlabelled`` is
+    fitted on. Without it, the second half of ``unlabelled`` is ranked.
     """
-    half_p, half_u = len(positive) // 2, len(unlabelled) // 2
+    half_p, half_u = len(positive) // 2, len(unlabelled) // 2 if above is None else len(unlabelled)
     weights = _train(positive[:half_p], unlabelled[:half_u], None, 6, seed)
     model = Model(np.zeros(positive.shape[1]), np.ones(positive.shape[1]), weights, 0.5)
-    p, u = np.sort(model.logits(positive[half_p:])), np.sort(model.logits(unlabelled[half_u:]))
-    cuts = np.quantile(p, np.linspace(0.01, 0.5, 50))
-    above = lambda x: 1 - np.searchsorted(x, cuts) / len(x)
-    return float(np.clip((above(u) / above(p)).min(), 0.05, 0.98))
+    p = np.sort(model.logits(positive[half_p:]))
+    cuts = np.quantile(p, np.linspace(0.01, 0.5, CUTS))
+    share = lambda x: 1 - np.searchsorted(x, cuts) / len(x)
+    found = share(np.sort(model.logits(unlabelled[half_u:]))) if above is None else above(model, cuts)
+    return float(np.clip((found / share(p)).min(), 0.05, 0.98))
+
+
+def measured(docs: DataFrame) -> DataFrame:
+    """``(doc_id, draw, x)``: the features of each row, and a draw from 0 to 1 by its id and text."""
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table = char_classes()
+        for batch in batches:
+            x = features(batch["text"].tolist(), table)
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "draw": batch["draw"], "x": list(x)})
+
+    text = F.coalesce("text", F.lit(""))
+    draw = F.pmod(F.xxhash64("doc_id", text, F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
+    rows = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), draw.alias("draw"), text.alias("text"))
+    made = rows.mapInPandas(measure, "doc_id string, draw double, x array<double>")
+    return written(made.withColumn("doc_id", F.col("doc_id").cast("long")), "features")
+
+
+def moments(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and deviation of the features of all rows: one row of sums per task, added up by Spark."""
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, s1, s2 = 0, 0.0, 0.0
+        for batch in batches:
+            if len(batch):
+                x = np.stack(list(batch["x"]))
+                n, s1, s2 = n + len(x), s1 + x.sum(0), s2 + (x * x).sum(0)
+        if n:
+            yield pd.DataFrame({"n": [n], "s": [np.stack([s1, s2], 1).tolist()]})
+
+    sums = rows.select("x").mapInPandas(partial, "n long, s array<array<double>>")
+    cells = sums.select("n", F.posexplode("s").alias("dim", "s")).groupBy("dim").agg(
+        F.sum("n").alias("n"), F.sum(F.col("s")[0]).alias("s1"), F.sum(F.col("s")[1]).alias("s2")
+    )
+    got = cells.orderBy("dim").toPandas()
+    mean = (got["s1"] / got["n"]).to_numpy()
+    return mean, np.sqrt(np.maximum((got["s2"] / got["n"]).to_numpy() - mean * mean, 0))
+
+
+def shares_above(rows: DataFrame, model: Model, cuts: np.ndarray) -> np.ndarray:
+    """Share of all ``rows`` whose logit is at least each cut; counts per task reach Spark's sum."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        above, n = np.zeros(len(cuts), np.int64), 0
+        for batch in batches:
+            if len(batch):
+                logits = np.sort(model.logits(np.stack(list(batch["x"]))))
+                above += len(logits) - np.searchsorted(logits, cuts)
+                n += len(logits)
+        yield pd.DataFrame({"n": [n], "above": [above.tolist()]})
+
+    counted = rows.select("x").mapInPandas(count, "n long, above array<long>")
+    got = counted.select("n", F.posexplode("above").alias("cut", "above")).groupBy("cut").agg(F.sum("n").alias("n"), F.sum("above").alias("above"))
+    table = got.orderBy("cut").toPandas()
+    return (table["above"] / table["n"].clip(lower=1)).to_numpy()
 
 
 def fit(docs: DataFrame, trusted: DataFrame, positives: int = 6000, unlabelled: int = 12000, seed: int = 5) -> Model | None:
     """Learn from ``trusted`` (doc_id of positives) and ``docs`` (doc_id, text) as unlabelled text.
 
-    At most about ``positives`` and ``unlabelled`` texts are drawn by the hash of their id,
-    and only their features reach the driver. None if there are fewer than ten of either.
+    The weights are fitted on at most ``positives`` and ``unlabelled`` texts, those with the
+    smallest hash of id and text, whatever the partitions; only their features reach the
+    driver. The mean and scale of the features come from all rows of ``docs``, the class
+    prior from the half of all rows that the ranking of the first half is tried on. None
+    if there are fewer than ten of either.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    unit = lambda salt: F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1 << 30)) / float(1 << 30)
+    rows = measured(docs)
     ids = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).dropna().distinct()
-    n_p, n_u = ids.count(), rows.count()
-    # at most twice the parameter, so small enough for every task; the texts stay where they are
-    drawn = ids.filter(unit(seed) < positives / max(1, n_p)).limit(2 * positives).withColumn("trusted", F.lit(True))
-    sample = rows.join(F.broadcast(drawn), "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
-    sample = sample.withColumn("drawn", unit(seed + 1) < unlabelled / max(1, n_u)).filter("trusted OR drawn")
+    # at most the parameter, so small enough for every task; the features stay where they are
+    drawn = ids.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(positives)
+    known = rows.join(F.broadcast(drawn), "doc_id")
 
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = char_classes()
-        for batch in batches:
-            x = features(batch["text"].tolist(), table)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "trusted": batch["trusted"], "drawn": batch["drawn"], "x": list(x)})
-
-    found = sample.mapInPandas(measure, "doc_id long, trusted boolean, drawn boolean, x array<double>")
-    most = 2 * (positives + unlabelled)  # the draw is near its size; this bounds it for certain
-    got = found.limit(most).toPandas().sort_values("doc_id", kind="stable")
-    p = got.loc[got["trusted"], "x"]
-    u = got.loc[got["drawn"], "x"]
-    if len(p) < 10 or len(u) < 10:
+    def smallest(df: DataFrame, n: int) -> np.ndarray:
+        got = df.select("draw", "doc_id", "x").orderBy("draw", "doc_id").limit(n).toPandas()
+        return np.stack(list(got["x"])) if len(got) else np.zeros((0, 0))
+
+    p, u, low = smallest(known, positives), smallest(rows, unlabelled), smallest(rows.filter("draw < 0.5"), unlabelled // 2)
+    if len(p) < 10 or len(u) < 10 or len(low) < 5:
         return None
     rng = np.random.default_rng(seed)
-    p, u = (np.stack(list(x))[rng.permutation(len(x))] for x in (p, u))
-    mean, scale = u.mean(0), np.maximum(u.std(0), 1e-3)
-    zp, zu = (np.clip((x - mean) / scale, -6, 6) for x in (p, u))
-    prior = estimate_prior(zp, zu, seed)
+    p, u, low = (x[rng.permutation(len(x))] for x in (p, u, low))
+    mean, deviation = moments(rows)
+    scale = np.maximum(deviation, 1e-3)
+    zp, zu, zl = (np.clip((x - mean) / scale, -6, 6) for x in (p, u, low))
+    high = rows.filter("draw >= 0.5")
+
+    def above(ranking: Model, cuts: np.ndarray) -> np.ndarray:
+        return shares_above(high, Model(mean, scale, ranking.weights, 0.5), cuts)
+
+    prior = estimate_prior(zp, zl, seed, above)
     return Model(mean, scale, _train(zp, zu, prior, 24, seed), prior)
 
 
