@@ -12,7 +12,8 @@ from tonewell.llm import pfair
 
 @pytest.mark.parametrize("shares", [[1], [5, 3], [1, 1, 1], [100, 60, 50, 40, 4, 2], [7, 7, 7, 7, 228]])
 def test_deadlines_hold_and_no_source_is_a_block_off(shares):
-    pattern, period = pfair.edf_pattern(shares), sum(shares)
+    period = sum(shares)
+    pattern = list(islice(pfair.earliest(shares, [0] * len(shares)), period))
     for s, n in enumerate(shares):
         slots = [t for t, x in enumerate(pattern) if x == s]
         assert len(slots) == n
@@ -23,26 +24,6 @@ def test_deadlines_hold_and_no_source_is_a_block_off(shares):
         assert np.abs(lag).max() < 1
 
 
-def test_shares():
-    assert pfair.shares_of([1, 1], 8) == [4, 4]
-    assert sum(pfair.shares_of([5, 1, 0.001], 64)) == 64 and min(pfair.shares_of([5, 1, 0.001], 64)) >= 1
-
-
-def test_phases_use_every_block_once():
-    blocks, weights = {"a": 1000, "b": 37, "c": 1, "d": 300}, {"a": 1.0, "b": 3.0, "c": 0.5, "d": 1.0}
-    taken = {}
-    for name, firsts, shares, starts, periods, slots in pfair.phases(blocks, weights, 16):
-        for block in range(blocks[name]):
-            phase = sum(x <= block for x in firsts) - 1
-            turn, place = divmod(block - firsts[phase], shares[phase])
-            slot = starts[phase] + turn * periods[phase] + slots[phase][place]
-            assert slot not in taken
-            taken[slot] = name
-    assert sorted(taken) == list(range(sum(blocks.values())))
-    before = [taken[i] for i in range(30)]  # no source has run out yet but c
-    assert abs(before.count("b") - 30 * 3 / 5.5) <= 2
-
-
 def test_mix(spark):
     docs = tables.docs(spark)
     out = pfair.mix(spark, docs, block_chars=50, bucket_rows=2).collect()
@@ -116,3 +97,68 @@ def test_mix_keeps_to_the_weights_beyond_a_period(spark):
         if done[s] == left[s]:  # from here on the others share its weight
             break
     assert t > 2000
+
+
+def plain_slots(blocks, weights):
+    """Slot of every block by a plain loop: among the released blocks the one with the earliest deadline."""
+    done, out, t0 = {s: 0 for s in blocks}, {}, 0
+    while active := [s for s in sorted(blocks) if done[s] < blocks[s]]:
+        total, begun, t = sum(weights[s] for s in active), dict(done), 0
+        while all(done[s] < blocks[s] for s in active):
+            ready = []
+            for k, s in enumerate(active):
+                i, w = done[s] - begun[s], weights[s] / total
+                if i / w // 1 <= t:
+                    ready.append((-(-(i + 1) / w // 1), k, s))
+            s = min(ready)[2]
+            out[s, done[s]] = t0 + t
+            done[s] += 1
+            t += 1
+        t0 += t
+    return out
+
+
+@pytest.mark.parametrize("every", [1, 7, 1 << 16])
+def test_slots_against_a_plain_loop(spark, every):
+    rng = random.Random(2)
+    for _ in range(4):
+        names = "abcde"[: rng.randint(1, 5)]
+        blocks = {s: rng.randint(1, 60) for s in names}
+        weights = {s: Fraction(rng.randint(1, 20), rng.randint(1, 20)) for s in names}
+        got = pfair.slots_of(spark, blocks, {s: float(w) for s, w in weights.items()}, every).collect()
+        want = plain_slots(blocks, {s: Fraction(float(w)) for s, w in weights.items()})
+        assert {(r["mix_name"], r["mix_block"]): r["mix_slot"] for r in got} == want
+
+
+def test_documents_of_the_slots(spark, data):
+    """The whole mix against a plain pass over the documents of each source in their order."""
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    rows = pfair.mix(spark, docs, block_chars=3000, bucket_rows=16).collect()
+    order = {r["doc_id"]: r["h"] for r in docs.selectExpr("doc_id", "xxhash64(doc_id, coalesce(text, ''), 11) AS h").collect()}
+    sources = defaultdict(list)
+    for r in rows:
+        sources[r["source"]].append(r)
+    block, size = {}, {}
+    for s, part in sources.items():
+        at, cuts = 0, -(-len(part) // 16)
+        bucket = {i: int((order[i] % (1 << 64) >> 11) / (1 << 53) * cuts) for i in (r["doc_id"] for r in part)}
+        for r in sorted(part, key=lambda r: (bucket[r["doc_id"]], order[r["doc_id"]])):  # noqa: B023
+            block[r["doc_id"]] = at // 3000
+            at += len(r["text"] or "") + 1
+        size[s] = at
+    assert {r["doc_id"]: r["block"] for r in rows} == block
+    want = plain_slots({s: -(-n // 3000) for s, n in size.items()}, {s: Fraction(n**0.7) for s, n in size.items()})
+    assert all(want[r["source"], r["block"]] == r["slot"] for r in rows)
+
+
+def test_many_slots_make_larger_blocks(spark, data, monkeypatch):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    monkeypatch.setattr(pfair, "MOST_SLOTS", 20)
+    assert max(r["slot"] for r in pfair.mix(spark, docs, block_chars=10).collect()) < 20 + 10
+
+
+def test_rows_of_one_id_spread(spark):
+    rows = [(None, f"text {i}", "a") for i in range(500)] + [(1, f"text {i}", "a") for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = pfair.mix(spark, docs, block_chars=100, bucket_rows=10).collect()
+    assert len(out) == 1000 and len({r["block"] for r in out}) > 50

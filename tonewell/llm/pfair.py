@@ -13,18 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def shares_of(weights: list[float], period: int) -> list[int]:
-    """Whole blocks per period in proportion to the weights, at least one each, by largest remainder.
-
-    Only for a pattern that repeats: ``mix`` takes the weights as they are.
-    """
-    total = sum(weights)
-    exact = [w / total * (period - len(weights)) for w in weights]
-    shares = [1 + int(x) for x in exact]
-    order = sorted(range(len(weights)), key=lambda i: (int(exact[i]) - exact[i], i))
-    for i in order[: period - sum(shares)]:
-        shares[i] += 1
-    return shares
+#: Slots that the driver counts through at most, and numbers in all the states that it keeps.
+MOST_SLOTS, STATE_NUMBERS = 1 << 25, 1 << 22
 
 
 def earliest(weights: list[int], done: list[int]) -> Iterator[int]:
@@ -50,11 +40,6 @@ def earliest(weights: list[int], done: list[int]) -> Iterator[int]:
         t += 1
 
 
-def edf_pattern(shares: list[int]) -> list[int]:
-    """The source of each slot of a period of ``sum(shares)`` slots, with ``shares`` blocks of each."""
-    return list(islice(earliest(shares, [0] * len(shares)), sum(shares)))
-
-
 def whole_weights(weights: list[float]) -> list[int]:
     """Integers in exactly the ratio of the weights."""
     if any(not 0 <= w < math.inf for w in weights):
@@ -90,10 +75,12 @@ def turns(
 def slots_of(spark: SparkSession, blocks: dict[str, int], weights: dict[str, float], every: int = 1 << 16) -> DataFrame:
     """``(mix_name, mix_block, mix_slot)`` of every block.
 
-    The driver goes through the slots once and keeps the state before every ``every``-th;
-    tasks go on from there and make the rows.
+    The driver goes through the slots once and keeps the state before every ``every``-th
+    (fewer where there are very many sources: ``STATE_NUMBERS`` in all); tasks go on from
+    there and make the rows.
     """
     names = sorted(blocks)
+    every = max(every, sum(blocks.values()) * len(names) // STATE_NUMBERS)
     sizes, exact = [blocks[s] for s in names], whole_weights([weights[s] for s in names])
     states = [
         (t, list(begun), list(done)) for t, (begun, done, _) in enumerate(turns(sizes, exact)) if t % every == 0
@@ -110,35 +97,6 @@ def slots_of(spark: SparkSession, blocks: dict[str, int], weights: dict[str, flo
     return chunks.mapInPandas(expand, "mix_name string, mix_block long, mix_slot long")
 
 
-def phases(blocks: dict[str, int], weights: dict[str, float], period: int) -> list[tuple]:
-    """For each source its first block, share, start slot, period and slots in every phase.
-
-    A phase repeats one period's pattern until the first of its sources has no block
-    left; then the weights of the others are scaled to one and the next phase begins.
-    Shares are rounded to the period; ``mix`` takes ``turns``, which follow the weights.
-    """
-    names = sorted(blocks)
-    left = dict(blocks)
-    rows = {s: ([], [], [], [], []) for s in names}
-    start = 0
-    while active := [s for s in names if left[s] > 0]:
-        shares = shares_of([weights[s] for s in active], max(period, 4 * len(active)))
-        pattern = edf_pattern(shares)
-        at = {s: [] for s in active}
-        for slot, i in enumerate(pattern):
-            at[active[i]].append(slot)
-        whole = min(left[s] // n for s, n in zip(active, shares, strict=True))
-        rest = {s: left[s] - whole * n for s, n in zip(active, shares, strict=True)}
-        ends = [at[s][rest[s] - 1] + 1 if rest[s] else 0 for s, n in zip(active, shares, strict=True) if rest[s] < n]
-        end = min(ends)
-        for s, n in zip(active, shares, strict=True):
-            for out, value in zip(rows[s], (blocks[s] - left[s], n, start, len(pattern), at[s]), strict=True):
-                out.append(value)
-            left[s] = rest[s] - sum(slot < end for slot in at[s])
-        start += whole * len(pattern) + end
-    return [(s, *rows[s]) for s in names if blocks[s] > 0]
-
-
 def mix(
     spark: SparkSession,
     docs: DataFrame,
@@ -158,11 +116,12 @@ def mix(
 
     A source is cut in buckets of about ``bucket_rows``, so that running sizes are windows
     of bounded groups however large the source is. Only one row per source reaches the
-    driver, which counts through the slots once; see ``slots_of``.
+    driver, which counts through the slots once; see ``slots_of``. Blocks are larger where
+    there would be more than ``MOST_SLOTS`` of them, so that this takes about a minute at most.
 
     Null sources are one source, a source without a weight gets the smallest one given,
     sources of weight zero come last, a negative weight is an error,
-    null texts have no characters, repeated rows are separate documents, an empty table
+    null texts have no characters, rows of one doc_id are told apart by their texts, repeated rows are separate documents, an empty table
     gives no row. Columns of ``docs`` stay, but those named block and slot are replaced;
     names that begin with ``mix_`` are reserved.
     """
@@ -171,12 +130,13 @@ def mix(
         {
             "mix_source": name,
             "mix_size": F.coalesce(F.length("text"), F.lit(0)).cast("long") + 1,
-            "mix_hash": F.xxhash64("doc_id", F.lit(11)),
+            "mix_hash": F.xxhash64("doc_id", F.coalesce("text", F.lit("")), F.lit(11)),
         }
     )
     stats = sized.groupBy("mix_source").agg(F.count("*").alias("n"), F.sum("mix_size").alias("size")).collect()
     if not stats:
         return docs.withColumns({"block": F.lit(0).cast("long"), "slot": F.lit(0).cast("long")})
+    block_chars = max(block_chars, -(-sum(r["size"] for r in stats) // MOST_SLOTS))
     own = [F.col(f"`{c}`") for c in docs.columns if c not in ("block", "slot")]
     if weights is None:
         target = {r["mix_source"]: r["size"] ** temper for r in stats}
