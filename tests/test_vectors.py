@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tonewell.functions import arrays as A
+from tonewell.operators import block_matrices as B
 from tonewell.operators import covariance, decoding, detection, history, metrics, quantise, ratings
 
 RNG = np.random.default_rng(1)
@@ -195,3 +196,28 @@ def test_let_runs_once_per_row(spark):
     # A random value bound once is the same for every element.
     df = spark.range(3).select(A.let(F.rand(), lambda r: F.transform(F.sequence(F.lit(1), F.lit(5)), lambda _: r)).alias("x"))
     assert all(len(set(r["x"])) == 1 for r in df.collect())
+
+
+def test_block_matrices_equal_numpy(spark):
+    """Products, covariances and the distance, widths that no block fills, ranks that are not full, groups of one side."""
+    rng = np.random.default_rng(6)
+    width, side = 7, 3
+    a = {g: rng.normal(size=(n, width)) for g, n in ((1, 30), (2, 5), (None, 12), (4, 1))}
+    b = {g: rng.normal(size=(n, width)) * 2 + 0.3 for g, n in ((1, 25), (2, 6), (3, 9), (None, 12), (4, 8))}
+    frames = [spark.createDataFrame([(g, r.tolist()) for g, x in part.items() for r in x], "label int, x array<double>") for part in (a, b)]
+    cov, _ = B.covariance_blocks(frames[0], "x", "label", width, side)
+    got = {}
+    for r in cov.collect():
+        whole = got.setdefault(r["label"], np.zeros((9, 9)))
+        whole[r["i"] * side : (r["i"] + 1) * side, r["j"] * side : (r["j"] + 1) * side] = B.block(bytes(r["cells"]), side)
+    assert set(got) == {1, 2, None}
+    for g, c in got.items():
+        assert np.allclose(c[:width, :width], np.cov(a[g].T)) and not c[width:].any() and not c[:, width:].any()
+    made = covariance.frechet_distance(*frames, "x", "label", dense_width=0, side=side).collect()
+    want = {}
+    for g in (1, 2, None):
+        c1, c2 = np.cov(a[g].T), np.cov(b[g].T)
+        root = np.sqrt(np.clip(np.linalg.eigvals(c1 @ c2).real, 0, None)).sum()
+        want[g] = ((a[g].mean(0) - b[g].mean(0)) ** 2).sum() + np.trace(c1) + np.trace(c2) - 2 * root
+    assert {r["label"] for r in made} == set(want)
+    assert all(abs(r["distance"] - want[r["label"]]) < 1e-5 for r in made)

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tonewell.operators import block_matrices
+
 # Open groups per task before the partial sums are handed on.
 FLUSH_GROUPS = 64
 
@@ -97,11 +99,18 @@ def _distance(rows: pd.DataFrame) -> float:
     return float(((mean1 - mean2) ** 2).sum() + np.trace(cov1) + np.trace(cov2) - 2.0 * cross)
 
 
-def frechet_distance(test: DataFrame, background: DataFrame, vector: str, by: str) -> DataFrame:
+def frechet_distance(
+    test: DataFrame, background: DataFrame, vector: str, by: str, dense_width: int = 1024, side: int = 512
+) -> DataFrame:
     """(by, distance) between two embedding sets with full covariances.
 
-    What reaches one task per group are the dim * dim moments, not the vectors.
+    Up to ``dense_width`` dimensions the moments of a group, not its vectors, reach one
+    task. Wider matrices are tables of blocks of ``side`` rows (``block_matrices``), and no
+    task ever holds one.
     """
+    width = test.agg(F.max(F.size(vector))).first()[0] or 0
+    if width > dense_width:
+        return block_matrices.frechet_distance(test, background, vector, by, width, side)
     kind = test.schema[by].dataType
     schema = T.StructType([T.StructField(by, kind), T.StructField("distance", T.DoubleType())])
     moments = embedding_mean_cov(test, vector, by).withColumn("side", F.lit(0))
