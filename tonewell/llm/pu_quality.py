@@ -215,7 +215,9 @@ def fit(docs: DataFrame, trusted: DataFrame, positives: int = 6000, unlabelled:
     known = rows.join(F.broadcast(drawn), "doc_id")
 
     def smallest(df: DataFrame, n: int) -> np.ndarray:
-        got = df.select("draw", "doc_id", "x").orderBy("draw", "doc_id").limit(n).toPandas()
+        # twice as many draws as wanted lie below this, so that no partition sends more than its share
+        low = df.filter(F.col("draw") <= 2 * n / max(1, df.count()))
+        got = low.select("draw", "doc_id", "x").orderBy("draw", "doc_id").limit(n).toPandas()
         return np.stack(list(got["x"])) if len(got) else np.zeros((0, 0))
 
     p, u, low = smallest(known, positives), smallest(rows, unlabelled), smallest(rows.filter("draw < 0.5"), unlabelled // 2)
