@@ -255,10 +255,10 @@ def frechet_full(spark, sf):
 SELECT label, round(sum((m * 0.5 - 0.1) * (m * 0.5 - 0.1) + 0.25 * v), 5) AS distance FROM m GROUP BY label""",
 )
 def frechet_blocks(spark, sf):
-    """The same with matrices in blocks of 24 rows, as for embeddings of any width."""
+    """The same with matrices in blocks of 40 rows, as for embeddings of any width."""
     rows = vectors(spark, sf)
     other = rows.withColumn("x", F.transform("x", lambda e: e * 0.5 + 0.1))
-    out = covariance.frechet_distance(rows, other, "x", "label", dense_width=0, side=24)
+    out = covariance.frechet_distance(rows, other, "x", "label", dense_width=0, side=40)
     return out.withColumn("distance", F.round("distance", 5))
 
 
