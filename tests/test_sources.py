@@ -147,6 +147,20 @@ def test_scan_and_read(spark, tmp_path):
     assert [r["x"] for r in cut] == [v / 2**15 for v in stereo[30:, 0]] + [0.0] * 7
 
 
+def test_many_segments_of_a_file(spark, tmp_path, monkeypatch):
+    """Lists of a bounded length: numbers go by time, whatever the order of the rows, and every segment is read."""
+    monkeypatch.setattr(wav, "SEGMENTS", 7)
+    codes = np.random.default_rng(9).integers(-9000, 9000, (3000, 1))
+    wave_file(tmp_path / "a.wav", codes)
+    starts = np.random.default_rng(3).permutation(50) * 59
+    rows = [(f"{tmp_path}/a.wav", s / 16000 + 1e-9, 20 / 16000 + 1e-9) for s in starts.tolist()]
+    segments = spark.createDataFrame(rows, "path string, seek_time double, duration double")
+    got = wav.read_signal(spark, str(tmp_path), 100 / 16000, 16000, segments).collect()
+    assert {r["segment"]: (np.array(r["samples"]) * 2**15).astype(int).tolist() for r in got} == {
+        i: codes[i * 59 : i * 59 + 20, 0].tolist() for i in range(50)
+    }
+
+
 def test_written_pcm_reads_back(spark, tmp_path):
     x = spark.createDataFrame([("c", 0, 0, 0, [0.5, -2.0]), ("c", 0, 1, 2, [0.25])], "clip_id string, channel int, chunk_idx int, start_frame bigint, samples array<double>")
     out = str(tmp_path / "pcm")

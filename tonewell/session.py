@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -48,6 +50,7 @@ def shared_folder(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         named = tempfile.mkdtemp(prefix="tonewell-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named)
     return named

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonewell.operators.corpus import MANIFEST_SCHEMA, sort_manifest
+from tonewell.operators.scans import row_positions, span_bucket
 from tonewell.session import written
 from tonewell.sources import heads
 from tonewell.sources.archives import MEMBER, list_members, open_source
@@ -25,8 +26,8 @@ from tonewell.sources.files import Ranges, file_path, replace_file
 
 # Fixed value: suffixes of audio files, compared in lower case.
 EXTENSIONS = (".wav", ".mp3", ".flac", ".ogg", ".m4a")
-# Samples held in memory before a task hands its rows on.
-MAX_VALUES = 4_000_000
+# Samples held in memory before a task hands its rows on, and segments of a file that are read together.
+MAX_VALUES, SEGMENTS = 4_000_000, 1000
 SIGNAL_COLUMNS = ["clip_id", "channel", "chunk_idx", "start_frame", "samples", "sample_rate", "error"]
 SIGNAL_SCHEMA = (
     "clip_id string, channel int, chunk_idx int, start_frame bigint, samples array<double>, "
@@ -211,21 +212,28 @@ def read_signal(
     A path may name a member of an archive below ``root``, ``archive.zip:inner.wav``; the
     segments of a packed member are read in one pass.
 
-    The segments of a file are gathered to its name, a list as long as the file has
-    segments; the task that holds the name reads the bytes of each segment, in slices.
+    The segments of a file are numbered by time and gathered to its name in lists of
+    ``SEGMENTS`` at most; the task that holds a list reads the bytes of each segment, in slices.
     No content is shuffled. ``clip_id`` is the path, ``start_frame`` counts from the
     segment's start, and ``segment`` is its place among the file's segments by time.
     """
     chunk = int(chunk_seconds * sample_rate)
     files = audio_files(spark, root, (".wav",))
-    whole = F.array(F.struct(F.lit(0.0).alias("seek_time"), F.lit(-1.0).alias("duration"), F.lit(False).alias("pad")))
+    names = ("segment", "seek_time", "duration", "pad")
+    whole = F.array(F.struct(*[F.lit(v).alias(n) for n, v in zip(names, (0, 0.0, -1.0, False), strict=True)]))
     if segments is None:
         plan = files.withColumn("parts", whole)
     else:
         pad = F.col("pad") if "pad" in segments.columns else F.lit(False)
         times = [F.col(c).cast("double").alias(c) for c in ("seek_time", "duration")]
-        part = F.struct(*times, pad.alias("pad"))
-        lists = segments.groupBy("path").agg(F.array_sort(F.collect_list(part)).alias("parts"))
+        asked = segments.select("path", *times, pad.alias("pad"))
+        # stretches of ten minutes order the segments, so that no file is one task
+        stretch = span_bucket(F.col("seek_time"), 600.0)
+        numbered = row_positions(asked, ["path"], stretch, [F.col(n) for n in names[1:]], "segment")
+        part = F.struct(F.col("segment").cast("int").alias("segment"), *names[1:])
+        lists = numbered.groupBy("path", F.floor(F.col("segment") / SEGMENTS).alias("list")).agg(
+            F.array_sort(F.collect_list(part)).alias("parts")
+        )
         plan = dealt(files.join(lists, "path"))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -251,12 +259,12 @@ def _read_parts(path: str, member, error: str | None, parts, chunk: int) -> Iter
             raise ValueError(error)
         opened = open_source(path, member)
     except Exception as exc:
-        yield from ((path, None, None, None, None, None, str(exc), number) for number in range(len(parts)))
+        yield from ((path, None, None, None, None, None, str(exc), part["segment"]) for part in parts)
         return
     with opened as source:
-        for number, part in enumerate(parts):
+        for part in parts:
             for made in _ranged(path, source.size, part, chunk, source):
-                yield (*made, number)
+                yield (*made, part["segment"])
 
 
 def _ranged(path: str, length: int, part, chunk: int, source=None) -> Iterator[tuple]:
