@@ -18,6 +18,8 @@ from tonewell.llm.common import Scratch, components, id_text, long_ids
 SAMPLE_ROWS, PROBE_ROWS = 20_000, 2_000
 #: Rows of a cell that are compared with each other at a time, and rows that a cell should hold.
 BLOCK, CELL_ROWS = 2048, 50
+#: Codewords of a half at most; the grid has the square of that many cells.
+MOST_CODES = 256
 #: Parts at least into which the rows of one class of equal vectors are dealt when they get their
 #: result, and rows of such a part in the largest class.
 SALTS, SALT_ROWS = 16, 1_000_000
@@ -83,7 +85,7 @@ class MultiIndex:
 
     @classmethod
     def fit(cls, sample: np.ndarray, rows: int) -> MultiIndex:
-        half, k = sample.shape[1] // 2, int(min(256, max(1, round(math.sqrt(rows / CELL_ROWS)))))
+        half, k = sample.shape[1] // 2, int(min(MOST_CODES, max(1, round(math.sqrt(rows / CELL_ROWS)))))
         blank = np.zeros((1, sample.shape[1]))
         sample = sample if len(sample) else blank
         return cls(kmeans(sample[:, :half], k), kmeans(sample[:, half:], k))
@@ -155,7 +157,8 @@ def homes(classes: DataFrame, index: MultiIndex, width: int, stop: float) -> Dat
 def dealt(members: DataFrame, block: int) -> DataFrame:
     """``members`` (at, key, ...) in groups ``g`` of bounded size, each of cells' block pairs (at, i, j)."""
     sizes = members.groupBy("at").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
-    rows = members.join(sizes, "at").withColumn("b", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    # a row per cell of the grid, 65,536 at most: the members themselves are shuffled once
+    rows = members.join(F.broadcast(sizes), "at").withColumn("b", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     pair = lambda x: F.struct(F.least("b", x).alias("i"), F.greatest("b", x).alias("j"))
     rows = rows.select(
         *members.columns, "b", F.inline(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), pair))
