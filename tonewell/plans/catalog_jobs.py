@@ -395,7 +395,8 @@ def ema_stream(spark, sf):
     # Batches of four files: rows of a slice may come in two batches.
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(folder)
     state, check = scratch_path(spark, "ema"), scratch_path(spark, "check")
-    jobs.ema_state(stream, state, check, "metric", "time", "value", 0.99, 2.0 * wide / SLICES, partitions=state_partitions(spark))
+    # Two state partitions: a handful of open blocks, and a Python worker starts for each partition and batch.
+    jobs.ema_state(stream, state, check, "metric", "time", "value", 0.99, 2.0 * wide / SLICES, partitions=2)
     newest = jobs.finished_ema(spark, state, check, "metric", 0.99)
     unbiased = jobs.ema_value(newest, "metric", 0.99)
     plain = jobs.ema_value(newest, "metric", 0.99, unbias=False).select("metric", F.round("ema", 6).alias("plain"))
