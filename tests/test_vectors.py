@@ -31,6 +31,18 @@ def test_empty_cluster_keeps_its_mean(spark):
     assert got[1].tolist() == [99.0, 99.0] and counts.tolist() == [20, 0]
 
 
+def test_partitions_without_rows_add_nothing(spark):
+    # Four partitions, the first two of them empty; their vectors: (2, 3) and (3, 4).
+    rows = spark.range(0, 4, 1, 4).filter("id > 1").selectExpr("id", "array(double(id), double(id + 1)) AS x")
+    assert rows.rdd.glom().map(len).collect() == [0, 0, 1, 1]
+    start = np.array([[0.0, 0.0], [3.0, 4.0]])
+    stats = quantise.assignment_stats(rows, "x", start)
+    assert sorted(map(tuple, stats.collect())) == [(1, 0, 2, 5.0), (1, 1, 2, 7.0)]
+    got, counts = quantise.kmeans(rows, "x", start, 2)
+    assert got.tolist() == [[0.0, 0.0], [2.5, 3.5]] and counts.tolist() == [0, 2]
+    assert quantise.assignment_stats(rows.filter("id > 5"), "x", start).collect() == []
+
+
 def test_ties_take_the_lowest_code(spark):
     book = np.array([[1.0, 0.0], [-1.0, 0.0], [1.0, 0.0]])
     assert [r["code"] for r in quantise.quantise(vectors(spark, [[0.0, 1.0], [2.0, 0.0]]), "x", book).collect()] == [0, 0]

@@ -144,7 +144,9 @@ def assignment_stats(df: DataFrame, vector: str, book: np.ndarray) -> DataFrame:
             counts += np.bincount(codes, minlength=len(centres))
             np.add.at(sums, codes, values)
         used = np.flatnonzero(counts)
-        yield pd.DataFrame({"code": used.astype("int32"), "n": counts[used], "sums": list(sums[used])})
+        # A split without rows, as a file of few row groups has, yields nothing: Arrow refuses an empty list column.
+        if len(used):
+            yield pd.DataFrame({"code": used.astype("int32"), "n": counts[used], "sums": list(sums[used])})
 
     parts = df.select(vector).mapInPandas(partials, schema)
     cells = parts.select("code", "n", F.posexplode("sums").alias("dim", "s"))
