@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -64,6 +66,20 @@ def test_residual_quantiser_shapes_and_error(spark):
     assert len(two["codes"]) == 2
 
 
+def test_decoding_sums_wide_rows(spark):
+    """Codes of two rows of one item, books of unlike widths, an unknown code; dimensions beyond one row."""
+    cells = [(0, 0, d, float(d)) for d in range(70)] + [(1, 2, d, 0.5) for d in (0, 33, 34)] + [(1, 2, 34, 0.25)]
+    books = spark.createDataFrame(cells, "q int, code int, dim int, value double")
+    rows = [(1, 0, 0), (1, 1, 2), (2, 1, 2), (2, 1, 2), (3, 1, 7), (None, 0, 0)]
+    got = quantise.rvq_decode(spark.createDataFrame(rows, "id int, q int, code int"), books, "id")
+    assert [f.dataType.simpleString() for f in got.schema] == ["int", "int", "double"]
+    short = {0: 0.5, 33: 0.5, 34: 0.75}
+    want = {(1, d): d + short.get(d, 0) for d in range(70)} | {(2, d): 2 * v for d, v in short.items()}
+    assert {(r["id"], r["dim"]): r["value"] for r in got.collect()} == want | {(None, d): float(d) for d in range(70)}
+    # No group of its own for each number of an item.
+    assert not re.search(r"Aggregate \[id#\d+L?, dim#", got._jdf.queryExecution().optimizedPlan().toString())
+
+
 def test_few_rows_are_reused(spark):
     picked = quantise.init_centroids(vectors(spark, [[1.0], [2.0]]), "x", "id", 5, "s")
     again = quantise.init_centroids(vectors(spark, [[1.0], [2.0]]), "x", "id", 5, "s")
