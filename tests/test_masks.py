@@ -137,3 +137,18 @@ def test_split_long(spark):
     df = spark.createDataFrame([(1, 0), (2, 10), (3, 25), (4, 21)], "id int, n int")
     got = batches.split_long(df, F.col("n"), 10, 3).select("id", "piece", "start", "size").collect()
     assert sorted(map(tuple, got)) == [(2, 0, 0, 10), (3, 0, 0, 10), (3, 1, 10, 10), (3, 2, 20, 5), (4, 0, 0, 10), (4, 1, 10, 10)]
+
+
+def test_stitched_tokens_are_not_sorted(spark):
+    """Windows of 4 with stride 3 over the items a (9 tokens) and b (3), a prompt of one token."""
+    df = spark.createDataFrame([("a", 9), ("b", 3)], "id string, n int")
+    plan = batches.window_plan(df, F.col("n"), 4, 3, F.lit(1))
+    tokens = plan.select("id", "window", F.posexplode(F.sequence(F.col("offset"), F.col("offset") + F.col("gen_len") - 1)).alias("pos", "code"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = batches.stitch_windows(tokens, plan, "id")
+        assert sorted(map(tuple, got.collect())) == [("a", t, t) for t in range(9)] + [("b", t, t) for t in range(3)]
+        assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

@@ -78,8 +78,10 @@ def window_plan(df: DataFrame, total: Column, window: int, stride: int, prompt:
 def stitch_windows(tokens: DataFrame, plan: DataFrame, item: str) -> DataFrame:
     """Absolute tokens (item, t, code) of generated windows (item, window, pos, code).
 
-    The carried prompt of a window is cut off; window 0 keeps its given prompt.
+    The carried prompt of a window is cut off; window 0 keeps its given prompt. The plan, one
+    row per window, is hashed, so that the tokens stream past it and are never sorted.
     """
-    joined = tokens.join(plan.select(item, "window", "offset", "prompt_len"), [item, "window"])
+    windows = plan.select(item, "window", "offset", "prompt_len").hint("shuffle_hash")
+    joined = tokens.join(windows, [item, "window"])
     fresh = joined.filter((F.col("window") == 0) | (F.col("pos") >= F.col("prompt_len")))
     return fresh.select(item, (F.col("offset") + F.col("pos")).alias("t"), "code")
