@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from tonewell.session import cut_lineage, scratch_path, shared_folder
 from tonewell.streaming import jobs
-from tonewell.streaming.stateful import chunk_windows
+from tonewell.streaming.stateful import ChunkWindows, chunk_windows
 
 
 def appended(spark, rows, schema, key, parts, files=2):
@@ -38,6 +38,47 @@ def test_windows_over_chunks(spark):
         assert np.allclose(got[c], [padded[f * 4 : f * 4 + 8] for f in range(count)]), c
 
 
+def test_chunks_in_turn_never_enter_the_state():
+    """One clip in two batches: chunks 0, 1 and 3, then 2 and the last one, 4; chunk 3 alone has to wait."""
+
+    class Value:
+        kept = None
+
+        def get(self):
+            return self.kept
+
+        def update(self, value):
+            self.kept = value
+
+        def clear(self):
+            self.kept = None
+
+    class Waiting(dict):
+        added = []
+
+        def exists(self):
+            return bool(self)
+
+        def getValue(self, key):
+            return self.get(key)
+
+        def updateValue(self, key, value):
+            self.added.append(key)
+            self[key] = value
+
+        def removeKey(self, key):
+            self.pop(key, None)
+
+    windows = ChunkWindows(4, 2)
+    windows.state, windows.waiting = Value(), Waiting()
+    first, second = [[{"chunk_idx": i, "samples": [2.0 * i, 2.0 * i + 1], "is_last": i == 4} for i in part] for part in ([1, 3, 0], [4, 2])]
+    got = [*windows.handleInputRows((7,), iter(first), None)]
+    assert windows.waiting.added == [(3,)] and [r["frame"] for r in got] == [0]
+    got += windows.handleInputRows((7,), iter(second), None)
+    assert [(r["clip_id"], r["frame"], r["values"]) for r in got] == [(7, f, [2.0 * f + i for i in range(4)]) for f in range(4)]
+    assert windows.waiting.added == [(3,)] and not windows.waiting and windows.state.kept is None
+
+
 def walked(values, decay, unbias):
     state, count = None, 0.0
     for v in values:

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import batched
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# Rows of a clip that are looked at together before those out of turn go to the state.
+ROWS = 1000
 
 
 class ChunkWindows(StatefulProcessor):
@@ -30,48 +33,64 @@ class ChunkWindows(StatefulProcessor):
         self.state = handle.getValueState("tail", "tail array<double>, next bigint, chunk bigint, last bigint")
         self.waiting = handle.getMapState("waiting", "chunk bigint", "samples array<double>")
 
-    def _rows(self, clip, first: int, windows: list) -> pd.DataFrame:
-        return pd.DataFrame(
-            {"clip_id": [clip] * len(windows), "frame": range(first, first + len(windows)), "values": windows}
-        )
+    def _rows(self, clip, first: int, windows: list) -> Iterator[Row]:
+        for frame, window in enumerate(windows, first):
+            yield Row(clip_id=clip, frame=frame, values=window.tolist())
 
-    def _flush(self, clip, tail: np.ndarray, following: int) -> Iterator[pd.DataFrame]:
+    def _flush(self, clip, tail: np.ndarray, following: int) -> Iterator[Row]:
         # What is left is a window of its own unless the last one covered it all.
         covered = self.kernel - self.stride if following else 0
         if len(tail) > covered:
             padded = np.zeros(self.kernel)
             padded[: len(tail)] = tail
-            yield self._rows(clip, following, [padded])
+            yield from self._rows(clip, following, [padded])
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        clip = key[0]
-        kept = self.state.get() if self.state.exists() else ([], 0, 0, -1)
-        tail, following, chunk, last = np.asarray(kept[0], dtype=np.float64), int(kept[1]), int(kept[2]), int(kept[3])
-        for batch in rows:
-            for index, samples, is_last in zip(batch["chunk_idx"], batch["samples"], batch["is_last"], strict=True):
-                last = int(index) if is_last else last
-                if index >= chunk:
-                    self.waiting.updateValue((int(index),), ([float(v) for v in samples],))
-            # All chunks whose turn has come, one at a time.
-            while self.waiting.containsKey((chunk,)):
-                buffer = np.concatenate([tail, np.asarray(self.waiting.getValue((chunk,))[0], dtype=np.float64)])
+    def _next(self, fresh: dict, held: bool, chunk: int):
+        """Samples of a chunk, which came just now or waited before; None if it has not come."""
+        if chunk in fresh:
+            if held:
                 self.waiting.removeKey((chunk,))
+            return fresh.pop(chunk)
+        found = self.waiting.getValue((chunk,)) if held else None
+        if found is None:
+            return None
+        self.waiting.removeKey((chunk,))
+        return found[0]
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        clip, kept = key[0], self.state.get()
+        tail, following, chunk, last = kept or ([], 0, 0, -1)
+        tail = np.asarray(tail, dtype=np.float64)
+        # Every call of the state is a message to the JVM: chunks in their turn never enter it.
+        held = self.waiting.exists()
+        for some in batched(rows, ROWS):
+            fresh = {}
+            for row in some:
+                last = row["chunk_idx"] if row["is_last"] else last
+                if row["chunk_idx"] >= chunk:
+                    fresh[row["chunk_idx"]] = row["samples"]
+            # All chunks whose turn has come, one at a time.
+            while (samples := self._next(fresh, held, chunk)) is not None:
+                buffer = np.concatenate([tail, np.asarray(samples, dtype=np.float64)])
                 chunk += 1
                 count = max(0, (len(buffer) - self.kernel) // self.stride + 1)
                 windows = [buffer[i * self.stride : i * self.stride + self.kernel] for i in range(count)]
-                if windows:
-                    yield self._rows(clip, following, windows)
+                yield from self._rows(clip, following, windows)
                 tail, following = buffer[count * self.stride :], following + count
+            for index, samples in fresh.items():
+                self.waiting.updateValue((index,), ([float(v) for v in samples],))
+                held = True
         if 0 <= last < chunk:
             yield from self._flush(clip, tail, following)
-            self.state.clear()
+            if kept:
+                self.state.clear()
         else:
-            self.state.update(([float(v) for v in tail], following, chunk, last))
+            self.state.update((tail.tolist(), following, chunk, last))
             if self.timeout_ms is not None:
                 now = timerValues.getCurrentProcessingTimeInMs()
                 self.handle.registerTimer(now + self.timeout_ms)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         if self.state.exists():
             tail, following, *_ = self.state.get()
             yield from self._flush(key[0], np.asarray(tail, dtype=np.float64), int(following))
@@ -91,7 +110,7 @@ def chunk_windows(
     """
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_PROVIDER)
     mode = "ProcessingTime" if timeout_ms is not None else "None"
-    return stream.groupBy("clip_id").transformWithStateInPandas(
+    return stream.groupBy("clip_id").transformWithState(
         statefulProcessor=ChunkWindows(kernel, stride, timeout_ms),
         outputStructType=f"clip_id {clip_type}, frame bigint, values array<double>",
         outputMode="Append",
