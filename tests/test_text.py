@@ -3,6 +3,7 @@ import json
 import re
 
 import pytest
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tonewell.functions import text as X
@@ -57,6 +58,16 @@ def test_slugify(spark):
     assert [g[0] for g in one(spark, values, X.slugify(F.col("c")))] == [expected(v) for v in values]
 
 
+def test_fold_takes_a_batch_by_slices(spark, monkeypatch):
+    values = ["É", None, "½", "plain", "ﬁ", "語"]
+    monkeypatch.setattr(X, "FOLD_ROWS", 2)
+    assert X._fold_batch.func(pa.array(values)).to_pylist() == ["E", None, "12", "plain", "fi", ""]
+    assert X._fold_batch.func(pa.array([], pa.string())).to_pylist() == []
+    # What is ASCII already is not sent to Python.
+    assert "RLIKE" in str(X._ascii_fold(F.col("c"))).upper()
+    assert [g[0] for g in one(spark, values, X.slugify(F.col("c")))] == ["e", None, "12", "plain", "fi", ""]
+
+
 def test_sample_id_uses_python_json(spark):
     rows = spark.createDataFrame([(7, {"b": "é\"x", "a": "Some Text"})], "i int, m map<string,string>")
     got = rows.select(X.sample_id(F.col("i"), F.lit(b"\x01\x02"), F.col("m"))).first()[0]

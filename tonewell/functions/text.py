@@ -7,6 +7,7 @@ import unicodedata
 from collections.abc import Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +24,8 @@ PY_SPACES = (
 PY_SPACE = f"[{PY_SPACES}]"
 # Fixed value: punctuation tokens left out of the hashed vocabulary.
 PUNCTUATION = ("?", ":", "!", ".", ",", ";")
+# Texts folded to ASCII at a time.
+FOLD_ROWS = 100
 # Fixed value: order of the structured prompt fields.
 PROMPT_FIELDS = (
     "description",
@@ -190,13 +193,22 @@ def hash_label(c: Column, bins: int, pad: int = 0) -> Column:
     )
 
 
-@F.pandas_udf(T.StringType())
-def _ascii_fold(values: pd.Series) -> pd.Series:
-    return values.map(
-        lambda v: None
-        if v is None
-        else unicodedata.normalize("NFKD", v).encode("ascii", "ignore").decode("ascii")
-    )
+def _folded(v: str | None) -> str | None:
+    return None if v is None else unicodedata.normalize("NFKD", v).encode("ascii", "ignore").decode("ascii")
+
+
+@F.arrow_udf(T.StringType())
+def _fold_batch(values: pa.Array) -> pa.Array:
+    # Texts take several times their bytes as Python objects: only a slice of the batch is that at once.
+    slices = (values.slice(i, FOLD_ROWS) for i in range(0, len(values), FOLD_ROWS))
+    folded = [pa.array(map(_folded, s.to_pylist()), pa.string()) for s in slices]
+    pa.default_memory_pool().release_unused()
+    return pa.concat_arrays(folded) if folded else pa.array([], pa.string())
+
+
+def _ascii_fold(c: Column) -> Column:
+    """Decomposed text without what is not ASCII; texts in ASCII stay as they are and are not sent to Python."""
+    return F.coalesce(_fold_batch(F.when(c.rlike(r"[^\x00-\x7F]"), c)), c)
 
 
 def slugify(c: Column) -> Column:
