@@ -1,6 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from tonewell.plans import catalog_jobs
 from tonewell.session import cut_lineage, scratch_path, shared_folder
 from tonewell.streaming import jobs
 from tonewell.streaming.stateful import ChunkWindows, chunk_windows
@@ -142,3 +143,13 @@ def test_shared_folder_and_lineage(spark):
     assert shared_folder(spark) == shared_folder(spark)
     df = spark.range(10).withColumn("x", F.col("id") * 2)
     assert cut_lineage(df).filter("x > 10").count() == 4
+
+
+def test_captions_are_written_by_every_core(spark, tmp_path, monkeypatch):
+    rows = [(i, " ".join(["word"] * (i + 1)), "en") for i in range(60)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(catalog_jobs, "scratch_path", lambda spark, label: f"{tmp_path}/{label}")
+    monkeypatch.setattr(type(spark.sparkContext), "defaultParallelism", property(lambda self: 6))
+    got = {r["doc_id"]: (r["words"], r["valid"]) for r in catalog_jobs.enriched_stream(spark, str(tmp_path)).collect()}
+    assert got == {i: (i + 1, True) if i >= 7 else (None, False) for i in range(60)}
+    assert len([*(tmp_path / "captions").glob("part-*.parquet")]) == 6

@@ -418,8 +418,10 @@ def enriched_stream(spark, sf):
     payload = F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()]))
     folder = scratch_path(spark, "captions")
     raw = docs.select("doc_id", payload.alias("payload"))
-    raw.repartition(4, "doc_id").write.parquet(folder)
-    stream = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 2).parquet(folder)
+    # A file per core, half of them in a micro-batch.
+    files = max(4, spark.sparkContext.defaultParallelism)
+    raw.repartition(files, "doc_id").write.parquet(folder)
+    stream = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", -(-files // 2)).parquet(folder)
     valid, failed = scratch_path(spark, "valid"), scratch_path(spark, "failed")
     jobs.stream_enrich(stream, "payload", valid, failed, scratch_path(spark, "check"))
     good = spark.read.parquet(valid).select("doc_id", F.size(F.split("description", "\\s+")).cast("bigint").alias("words"), F.lit(True).alias("valid"))
