@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tonewell.operators import joins, signal
 from tonewell.plans.convert import convert_corpus, converted_files
-from tonewell.sources import caches, manifests, sidecars, wav
+from tonewell.sources import archives, caches, files, manifests, sidecars, wav
 from tonewell.sources.resources import embed_with
 
 
@@ -172,6 +172,74 @@ def test_written_pcm_reads_back(spark, tmp_path):
     assert back["samples"] == [0.5, -limit, 0.25]
 
 
+def odd_names(root):
+    names = ["a.wav", "b c.WAV", "p%20q#?.wav", "[é]{\u3000}.wav", "k=1/x.wav", "d/e/f.wav", "d/u.zip", "U.ZIP", "note.txt"]
+    names += [".a.wav", "_a.wav", "_k=v.wav", "_metadata.wav", "w.wav._COPYING_", ".h/x.wav", "_h/x.wav", "_metadata/x.wav"]
+    for name in names:
+        write(root / name, name)
+    (root / "none.wav").write_bytes(b"")
+    (root / "empty").mkdir()
+    (root / "link").symlink_to(root / "d")
+    (root / "dead.wav").symlink_to(root / "nowhere")
+
+
+@pytest.mark.parametrize("limit", [1, 3, 10_000])
+def test_listing_by_tasks(spark, tmp_path, monkeypatch, limit):
+    """The same files as Spark's index, in one round or in many."""
+    monkeypatch.setattr(files, "ENTRIES", limit)
+    odd_names(tmp_path / "in")
+    columns = ["path", "modificationTime", "length", "content"]
+    for root in ("in", "in/*", "in/{d,d/e}", "in/a.wav", "in/none.wav", "in/_h", "in/empty"):
+        plain = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(tmp_path / root))
+        want = sorted(plain.withColumn("path", files.file_path()).collect())
+        got = files.list_files(spark, str(tmp_path / root)).select(columns)
+        assert got.dtypes == plain.dtypes and sorted(got.collect()) == want, root
+    for pattern in ("*.zip", "*.{zip,ZIP}", "[a-d]*", "b c?WAV"):
+        plain = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
+        want = sorted(r[0] for r in plain.load(str(tmp_path / "in")).select(files.file_path()).collect())
+        got = files.list_files(spark, str(tmp_path / "in")).filter(files.name_matches(spark, pattern))
+        assert sorted(r["path"] for r in got.collect()) == want and want, pattern
+
+
+def test_missing_folder(spark, tmp_path):
+    for name in ("none", "none*"):
+        with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+            files.list_files(spark, str(tmp_path / name))
+
+
+def test_no_file_index_on_the_driver(spark, tmp_path):
+    """However many files, the driver holds no names and a few tasks read them."""
+    for i in range(200):
+        wave_file(f"{tmp_path}/in/{i % 2}/{i}.wav", np.full((2, 1), i))
+    root = str(tmp_path / "in")
+    for listed in (wav.list_audio(spark, root).select("path"), wav.audio_files(spark, root), archives.list_members(spark, root)):
+        assert not [f for f in listed.inputFiles() if f.endswith(".wav")]
+    assert wav.list_audio(spark, root).select("path").rdd.getNumPartitions() == 4
+    assert wav.read_signal(spark, root, 1.0, 16000).count() == 200
+
+
+def test_walk_of_another_store(tmp_path, monkeypatch):
+    from urllib.parse import unquote
+
+    from pyarrow.fs import LocalFileSystem, SubTreeFileSystem
+
+    odd_names(tmp_path)
+    write(tmp_path / "s p" / "x.wav", "x")
+    here = sorted(files._walk(str(tmp_path), 10_000))
+    asked = []
+
+    def store_of(path):
+        asked.append(path)
+        return SubTreeFileSystem(str(tmp_path), LocalFileSystem()), unquote(path.removeprefix("far://host"))
+
+    monkeypatch.setattr(files, "store_of", store_of)
+    far = sorted(files._walk("far://host", 10_000))
+    assert [(r[0].removeprefix("far://host"), *r[2:]) for r in far] == [
+        (r[0].removeprefix(str(tmp_path)), *r[2:]) for r in here
+    ]
+    assert "far://host/s%20p" in asked
+
+
 def test_conversion_resumes(spark, tmp_path):
     root, out = str(tmp_path / "in"), str(tmp_path / "out")
     for name, channels in (("a", 1), ("b", 3), ("c", 2)):
