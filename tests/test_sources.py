@@ -262,6 +262,18 @@ def test_conversion_resumes(spark, tmp_path):
     assert {r["path"] for r in spark.read.json(failed).collect()} == {f"{root}/d.wav", "/else/e.wav"}
 
 
+def test_shared_folder_named_by_a_uri(spark, tmp_path, monkeypatch):
+    from tonewell.plans import catalog_jobs
+
+    rows = [(i, [i / 100.0, 0.5], i % 4) for i in range(8)]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")
+    table.write.parquet(str(tmp_path / "embeddings.parquet"))
+    monkeypatch.setattr(catalog_jobs, "scratch_path", lambda spark, label: f"file://{tmp_path}/{label}")
+    got = catalog_jobs.converted_corpus(spark, str(tmp_path)).collect()
+    assert {r["out_path"] for r in got} == {f"/out/{i % 4}/{i}.wav" for i in range(8) if i % 4 != 3}
+    assert len(got) == 6 * 2 * 2 and sum(r["x"] for r in got if r["t"] == 1) == 6 * 0.25
+
+
 def test_conversion_in_slices(spark, tmp_path, monkeypatch):
     """Whole files from slices: 32 bits with and without overflow, means, copies, too few channels."""
     monkeypatch.setattr(wav, "MAX_VALUES", 8 * 100)

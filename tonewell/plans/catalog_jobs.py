@@ -18,6 +18,7 @@ from tonewell.plans.catalog_vectors import K, START_SQL, assign_sql, start_codes
 from tonewell.plans.registry import joined, query, sql_joined, table
 from tonewell.session import configure, scratch_path
 from tonewell.sources import caches, manifests, sidecars, wav
+from tonewell.sources.files import local_name
 from tonewell.sources.resources import embed_with
 
 
@@ -268,11 +269,12 @@ def converted_corpus(spark, sf):
     wav.write_wav_files(clips.withColumn("clip_id", F.concat_ws("/", "label", F.col("vec_id").cast("string"))), folder, 16000)
     corpus = wav.list_audio(spark, folder).select("path", F.lit(3).alias("channels"))
     done, target = scratch_path(spark, "done"), scratch_path(spark, "conversions")
-    finished = corpus.filter(F.col("path").startswith(f"{folder}/3/"))
-    finished.select(F.regexp_replace("path", f"^{folder}/", f"{out}/").alias("out_path")).write.parquet(done)
-    convert_corpus(corpus, folder, out, target, done)
+    root = local_name(folder)
+    finished = corpus.filter(F.col("path").startswith(f"{root}/3/"))
+    finished.select(F.regexp_replace("path", f"^{root}/", f"{out}/").alias("out_path")).write.parquet(done)
+    convert_corpus(corpus, root, out, target, done)
     rows = signal.to_long(wav.read_signal(spark, out, CHUNK / 16000, 16000))
-    return rows.select(F.regexp_replace("clip_id", f"^{out}/", "/out/").alias("out_path"), "channel", "t", "x")
+    return rows.select(F.regexp_replace("clip_id", f"^{local_name(out)}/", "/out/").alias("out_path"), "channel", "t", "x")
 
 
 # Incremental jobs ------------------------------------------------------------------

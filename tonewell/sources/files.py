@@ -33,6 +33,11 @@ def file_path() -> Column:
     return F.regexp_replace(F.col("_metadata.file_path"), "^file:(//)?", "")
 
 
+def local_name(path: str) -> str:
+    """A path as ``file_path`` names what lies below it: without the local scheme."""
+    return re.sub("^file:(//)?", "", path)
+
+
 def store_of(path: str):
     """(file system, path in it) of a plain path or a URI."""
     from pyarrow.fs import FileSystem, LocalFileSystem
@@ -145,7 +150,7 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     is the plain name, ``path`` that of ``file_path``.
     """
     found = _roots(spark, root)
-    places = [re.sub("^file:(//)?", "", state.getPath().toString()) for state in found]
+    places = [local_name(state.getPath().toString()) for state in found]
     if not places or not all(map(_reached, places)):
         # Spark's own error for a path that is not there, and its index for stores that only Spark knows
         files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
